@@ -5,23 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenfold.llm.linking import linked_groups
+from lumenfold.llm.lookalike import letter_counts, same_looking, with_spelling
+from lumenfold.llm.survivorship import keepers, survive
 from lumenfold.operators.deliveries import latest_values
 from lumenfold.session import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+RANKED = ["width", "height", "stored_w", "stored_h", "has_camera_exif", "exif_lat", "exif_lon", "file_size"]
+GOLDEN = ["width", "height", "exif_dt", "exif_offset", "make", "model", "exif_lat", "exif_lon", "file_size", "filename"]
 
 
-def _groups(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
-    photos = scratch.save(latest_values(table(spark, d, "items_raw"), "item_id", ["sha256", "phash64"]), "photos")
-    return linked_groups(photos, scratch)
+def _photos(spark: SparkSession, d: str, scratch: Scratch, fields: list[str]) -> DataFrame:
+    """The repaired fields of every photo, by survivorship of its deliveries."""
+    return scratch.save(survive(table(spark, d, "items_raw"), ["item_id"], fields, "scanned_at"), "photos")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The keeper of every group of matching photos."""
+    scratch = Scratch(spark, "p1")
+    photos = _photos(spark, d, scratch, [*RANKED, "sha256", "phash64"])
+    groups = linked_groups(photos, scratch)
+    sidecars = survive(table(spark, d, "sidecars_raw"), ["sidecar_id"], ["item_id", "favorited"], "scanned_at")
+    return keepers(groups.join(photos.select("item_id", *RANKED), "item_id"), sidecars.where("favorited = 1 and item_id is not null"))
+
+
+def p1_golden(spark: SparkSession, d: str) -> DataFrame:
+    """One record per group of matching photos, each field from the most trusted, then latest delivery that has it.
+
+    A photo in a year folder is trusted over one in an album.
+    """
+    scratch = Scratch(spark, "p1g")
+    groups = linked_groups(_photos(spark, d, scratch, ["sha256", "phash64"]), scratch)
+    rows = table(spark, d, "items_raw").select("item_id", "scanned_at", "folder_kind", *GOLDEN).join(groups, "item_id")
+    return survive(rows, ["group_item_id"], GOLDEN, "scanned_at", F.when(F.col("folder_kind") == "year", 1).otherwise(0))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every photo that matches another, with its group's smallest item_id."""
-    return _groups(spark, d, Scratch(spark, "p2"))
+    scratch = Scratch(spark, "p2")
+    return linked_groups(_photos(spark, d, scratch, ["sha256", "phash64"]), scratch)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Photos and sidecars of one archive whose folder and name display alike in different characters."""
+    photos = latest_values(table(spark, d, "items_raw"), "item_id", ["zipkey", "folder", "filename"])
+    sidecars = latest_values(table(spark, d, "sidecars_raw"), "sidecar_id", ["zipkey", "folder", "title"])
+    return same_looking(photos, sidecars, Scratch(spark, "p3"), "zipkey", "item_id", "sidecar_id", ("folder", "filename"), ("folder", "title"))
+
+
+def p3_names(spark: SparkSession, d: str) -> DataFrame:
+    """The one spelling of every photo's folder and name."""
+    photos = latest_values(table(spark, d, "items_raw"), "item_id", ["folder", "filename"])
+    photos = Scratch(spark, "p3n").save(photos, "names")
+    return with_spelling(photos, {"folder": "folder_spelt", "filename": "filename_spelt"}, letter_counts(photos, ["folder", "filename"]))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names}
 ORACLES: dict[str, str] = {}
