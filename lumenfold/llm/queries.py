@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.linking import linked_groups
 from lumenfold.llm.lookalike import letter_counts, same_looking, with_spelling
+from lumenfold.llm.neighbours import nearest, neighbour_pairs
 from lumenfold.llm.survivorship import keepers, survive
 from lumenfold.operators.deliveries import latest_values
 from lumenfold.session import Scratch, table
@@ -63,5 +64,12 @@ def p3_names(spark: SparkSession, d: str) -> DataFrame:
     return with_spelling(photos, {"folder": "folder_spelt", "filename": "filename_spelt"}, letter_counts(photos, ["folder", "filename"]))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors with a cosine of at least 0.90, one of them among the other's ten most similar."""
+    used = table(spark, d, "items").where("emb_row is not null").select("emb_row")
+    vectors = table(spark, d, "emb_matrix").join(used, "emb_row", "left_semi")
+    return neighbour_pairs(nearest(vectors, Scratch(spark, "p4"), k=10, min_cosine=0.9))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found}
 ORACLES: dict[str, str] = {}
