@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lumenfold.llm.linking import linked_groups
 from lumenfold.llm.lookalike import letter_counts, same_looking, with_spelling
 from lumenfold.llm.neighbours import nearest, neighbour_pairs
+from lumenfold.llm.runs import collapsed, runs
 from lumenfold.llm.survivorship import keepers, survive
+from lumenfold.operators.capture import photo_instants
 from lumenfold.operators.deliveries import latest_values
 from lumenfold.session import Scratch, table
 
@@ -71,5 +73,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(nearest(vectors, Scratch(spark, "p4"), k=10, min_cosine=0.9))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found}
+def _bursts(spark: SparkSession, d: str, label: str) -> DataFrame:
+    shots = photo_instants(table(spark, d, "items_raw"), table(spark, d, "exports"), ["zipkey", "model", "phash64"])
+    return runs(shots, Scratch(spark, label), ("zipkey", "model"), "epoch_s", "item_id", "phash64", max_gap=3, max_bits=10)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every photo of a run of near-identical shots, with the run's first."""
+    return _bursts(spark, d, "p5").select("first_item_id", "item_id")
+
+
+def p5_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each run of shots as one event with its count and duration."""
+    return collapsed(_bursts(spark, d, "p5r"), "item_id")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs}
 ORACLES: dict[str, str] = {}
