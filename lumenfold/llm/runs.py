@@ -116,7 +116,7 @@ def runs(events: DataFrame, scratch: Scratch, entity: tuple[str, str], time: str
     per = per.withColumn("joined", F.coalesce(joined, F.lit(False)))
     # A chain of partitions goes on through those that are one run; elsewhere a new chain begins at the last run.
     per = per.withColumn("whole", F.col("f.run") == F.col("l.run")).withColumn("opens", ~(F.col("joined") & F.col("whole")))
-    per = per.withColumn("origin", F.last(F.when("opens", F.struct("pid", F.col("l.run").alias("run"))), True).over(w))
+    per = per.withColumn("origin", F.last(F.when(F.col("opens"), F.struct("pid", F.col("l.run").alias("run"))), True).over(w))
     per = per.withColumn("source", F.when(F.col("joined"), F.lag("origin").over(w)))
     moved = F.broadcast(per.where("joined").select("pid", F.col("f.run").alias("run"), F.col("source.pid").alias("pid0"), F.col("source.run").alias("run0")))
     every = parts.join(moved, ["pid", "run"], "left").select(F.coalesce("pid0", "pid").alias("pid"), F.coalesce("run0", "run").alias("run"), "id", "t")
