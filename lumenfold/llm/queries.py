@@ -12,6 +12,7 @@ from lumenfold.llm.lookalike import letter_counts, same_looking, with_spelling
 from lumenfold.llm.neighbours import nearest, neighbour_pairs
 from lumenfold.llm.runs import collapsed, runs
 from lumenfold.llm.survivorship import keepers, survive
+from lumenfold.llm.truncation import rates, truncated
 from lumenfold.operators.capture import photo_instants
 from lumenfold.operators.deliveries import latest_values
 from lumenfold.session import Scratch, table
@@ -88,5 +89,15 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(_bursts(spark, d, "p5r"), "item_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text stops before its end."""
+    return truncated(table(spark, d, "documents"), Scratch(spark, "p9")).where("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return rates(truncated(table(spark, d, "documents"), Scratch(spark, "p9r")))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLES: dict[str, str] = {}
