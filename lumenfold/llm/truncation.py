@@ -32,8 +32,9 @@ CLOSERS = "\"'»”’“)]}」』›"
 # End punctuation, newline, one ideograph, a word, digits, any other sign.
 TOKEN = re.compile(rf"[{STOPS}]+(?=[{re.escape(CLOSERS)}]*(?:\s|$))|\n|[{CJK}]|[^\W\d_{CJK}]+|\d+|[^\w\s]|_")
 MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|\.{3,}|…)$")
-NOTHING, LINE, STOP, DOT, PREFIX = range(5)
-ENDS = "doc_id long, source string, kind int, mark int, last int, chars int, bytes int, own int, k1 long, k2 long, k3 long, kp long"
+NOTHING, LINE, STOP, DOT, PREFIX, UNIT = range(6)
+UNIT_TOKENS = 16
+ENDS = "doc_id long, source string, kind int, mark int, last int, broken int, chars int, bytes int, own int, k1 long, k2 long, k3 long, kp long, ku long"
 REAL, CUT, UNSTOPPED = range(3)
 PLAIN, STOPPED = 0, 1
 
@@ -42,25 +43,8 @@ def _key(parts: tuple[str, ...] | str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts) if isinstance(parts, tuple) else "\x1e" + parts) - (1 << 63)
 
 
-def tokens(text: str) -> list[str]:
-    """Words in lower case, digits as 0, end punctuation as one stop, other dots as ·; markup counts as a new line."""
-    out = []
-    for t in TOKEN.findall(TAG.sub("\n", text)):
-        c = t[0]
-        if c == "\n":
-            t = c
-        elif c.isdigit():
-            t = "0"
-        elif c in STOPS and (len(t) > 1 or c != "."):
-            t = "."
-        elif c.isalpha():
-            t = t.lower() if len(t) <= 40 else "\x02"
-        out.append(t)
-    return out
-
-
 def _marked(text: str) -> list[str]:
-    """tokens(), with dots inside of words or numbers as ·."""
+    """Words in lower case, digits as 0, end punctuation as one stop, dots inside of words or numbers as ·; markup is a new line."""
     spaced = TAG.sub("\n", text)
     out = []
     for m in TOKEN.finditer(spaced):
@@ -94,11 +78,19 @@ def _event_of(following: str | None) -> int:
     return e
 
 
+def _unit_key(unit: list[str]) -> int:
+    """Key of a whole line or sentence of some tokens, without signs before it; 0 if it is none or long."""
+    i = next((i for i, x in enumerate(unit) if x.isalnum()), len(unit))
+    return _key(("\x1d", *unit[i:])) if 0 < len(unit) - i <= UNIT_TOKENS else 0
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of what follows every one, two and three tokens, and of words that go on after a prefix."""
     counts: Counter = Counter()
     words: Counter = Counter()
 
+    units: Counter = Counter()
+
     def flush() -> pa.RecordBatch:
         keys, events, ns = [], [], []
         for (*ctx, e), n in counts.items():
@@ -114,8 +106,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(_key(p))
             events.append(PREFIX)
             ns.append(n)
+        for u, n in units.items():
+            keys.append(u)
+            events.append(UNIT)
+            ns.append(n)
         counts.clear()
         words.clear()
+        units.clear()
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(events, pa.int32()), pa.array(ns, pa.int64())], names=["key", "event", "n"])
 
     for batch in batches:
@@ -129,16 +126,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.update(zip(t1, t, ev, strict=True))
             counts.update(zip(t2, t1, t, ev, strict=True))
             words.update(x for x in t if x[0].isalpha())
+            start = 0
+            for i, e in enumerate(ev):
+                if e == LINE or e == STOP:
+                    if u := _unit_key(t[start : i + 1]):
+                        units[u] += 1
+                    start = i + 1
             if len(counts) > FLUSH:
                 yield flush()
     if counts:
         yield flush()
 
 
-def _ending(text: str, own: int) -> tuple[int, int, int, int, int]:
-    """(own event, k1, k2, k3, kp) of the place after text."""
-    t = ["\n", "\n", *_marked(text[-400:])][-3:]
-    return own, _key((t[2],)), _key((t[1], t[2])), _key((t[0], t[1], t[2])), _key(t[2]) if t[2][0].isalpha() else 0
+def _ending(text: str, own: int) -> tuple[int, int, int, int, int, int]:
+    """(own event, k1, k2, k3, kp, ku) of the place after text."""
+    all_ = _marked(text[-400:])
+    start = next((i + 1 for i in range(len(all_) - 2, -1, -1) if _event_of(all_[i + 1]) in (LINE, STOP) or all_[i] in (".", "\n", "#")), 0)
+    t = ["\n", "\n", *all_][-3:]
+    return own, _key((t[2],)), _key((t[1], t[2])), _key((t[0], t[1], t[2])), _key(t[2]) if t[2][0].isalpha() else 0, _unit_key(all_[start:])
 
 
 def _core(text: str) -> tuple[str, int, int]:
@@ -166,12 +171,12 @@ def _endings(rate: float):
                 core, mark, last = _core(whole)
                 size = (len(whole), len(whole.encode()))
                 own = STOP if last == STOPPED or mark == 1 else NOTHING if mark == 2 else LINE
-                out.append((doc, source, REAL, mark, last, *size, *_ending(core, own)))
+                out.append((doc, source, REAL, mark, last, int(core.endswith("\ufffd")), *size, *_ending(core, own)))
                 dice = np.random.default_rng(xxhash.xxh3_64_intdigest(str(doc)))
                 if dice.random() >= rate:
                     continue
                 if last == STOPPED:
-                    out.append((doc, source, UNSTOPPED, 0, PLAIN, *size, *_ending(core, STOP)))
+                    out.append((doc, source, UNSTOPPED, 0, PLAIN, 0, *size, *_ending(core, STOP)))
                 for _ in range(2):
                     at = int(dice.integers(1, max(2, len(whole))))
                     cut, rest = whole[:at].rstrip(), whole[at:]
@@ -180,7 +185,7 @@ def _endings(rate: float):
                         continue
                     inside = whole[at - 1].isalnum() and rest[0].isalnum()
                     following = None if inside else next(iter(_marked(rest[:60])), None)
-                    out.append((doc, source, CUT, 0, PLAIN, *size, *_ending(cut, -1 if inside else _event_of(following))))
+                    out.append((doc, source, CUT, 0, PLAIN, 0, *size, *_ending(cut, -1 if inside else _event_of(following))))
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ENDS.split(", ")])
 
     return run
@@ -244,13 +249,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-FEATURES = ["f_line", "f_stop", "f_word", "f_seen", "f_both"]
+FEATURES = ["f_line", "f_stop", "f_word", "f_seen", "f_both", "f_never", "f_unit"]
 
 
 def _featured(ends: DataFrame, counts: DataFrame) -> DataFrame:
     """The n-gram evidence of each end, its own occurrence left out."""
-    slots = ends.select("eid", F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(c).alias("key")) for i, c in enumerate(("k1", "k2", "k3", "kp"), 1)]))).where("key <> 0")
-    known = slots.join(counts, "key").groupBy("eid").agg(*[F.max(F.when(F.col("slot") == i, F.struct("n0", "n1", "n2", "n3", "n4"))).alias(f"c{i}") for i in (1, 2, 3, 4)])
+    slots = ends.select("eid", F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(c).alias("key")) for i, c in enumerate(("k1", "k2", "k3", "kp", "ku"), 1)]))).where("key <> 0")
+    known = slots.join(counts, "key").groupBy("eid").agg(*[F.max(F.when(F.col("slot") == i, F.struct("n0", "n1", "n2", "n3", "n4", "n5"))).alias(f"c{i}") for i in (1, 2, 3, 4, 5)])
     d = ends.join(known, "eid", "left")
     own = F.when(F.col("own") >= 0, 1).otherwise(0)
     zero = F.lit(0)
@@ -268,15 +273,21 @@ def _featured(ends: DataFrame, counts: DataFrame) -> DataFrame:
         return p
 
     logit = lambda p: F.log(p / (1 - p))
+    both = F.least(F.col("p_line") + F.col("p_stop"), F.lit(1 - 1e-4))
     squeeze = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
     d = d.withColumns({"p_line": squeeze(share(LINE)), "p_stop": squeeze(share(STOP)), "p_dot": squeeze(share(DOT)), "n_word": seen(1, None), "n_seen": seen(3, None), "n_longer": F.coalesce(F.col("c4")["n4"], zero)})
     return d.withColumns({
         "f_line": logit(F.col("p_line")),
         "f_stop": logit(F.col("p_stop")),
-        "f_word": F.when(F.col("kp") == 0, 0.0).otherwise(F.log((F.col("n_word") + 0.1) / (F.col("n_longer") + 0.5))),
+        # Whether the last word is a whole one matters less where lines and sentences end with it.
+        "f_word": F.when(F.col("kp") == 0, 0.0).otherwise(F.greatest(F.least(F.log((F.col("n_word") + 0.1) / (F.col("n_longer") + 0.5)), F.lit(3.0)), F.lit(-5.0))) * F.pow(1 - both, 4.0),
         "f_seen": F.log(F.col("n_seen") + 0.2),
-        "f_both": F.log(squeeze(F.col("p_line") + F.col("p_stop"))),
-    }).select("doc_id", "source", "kind", "mark", "last", "chars", "bytes", "p_stop", "p_dot", *FEATURES)
+        "f_both": F.log(both),
+        # Last words seen often, after which the text always went on.
+        "f_never": F.when(both < 0.02, F.log(F.col("n_seen") + 1.0)).otherwise(0.0),
+        # Other lines and sentences that are the same as the last one.
+        "f_unit": F.log(F.greatest(F.coalesce(F.col("c5")["n5"], zero) - F.when(F.col("own").isin(LINE, STOP), 1).otherwise(0), zero) + 0.3),
+    }).select("doc_id", "source", "kind", "mark", "last", "broken", "chars", "bytes", "p_stop", "p_dot", *FEATURES)
 
 
 def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -291,7 +302,7 @@ def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     total = used.count()
     rate = min(1.0, sample_docs / max(1, total))
     per = lambda e: F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(0)).alias(f"n{e}")
-    counts = used.select("text").mapInArrow(_count, "key long, event int, n long").groupBy("key").agg(*[per(e) for e in range(5)])
+    counts = used.select("text").mapInArrow(_count, "key long, event int, n long").groupBy("key").agg(*[per(e) for e in range(6)])
     ends = scratch.save(used.mapInPandas(_endings(rate), ENDS).withColumn("eid", F.monotonically_increasing_id()), "ends")
     seen = scratch.save(_featured(ends, counts), "evidence")
     real = seen.where(F.col("kind") == REAL)
@@ -304,6 +315,8 @@ def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     # A cut in bytes spares the character it would split, so it may be up to three bytes short.
     reach = limits.select(F.col("source").alias("s"), "unit", F.col("length").alias("limit"), "censored", F.explode(F.when(F.col("unit") == "bytes", F.array(*[F.lit(i) for i in range(4)])).otherwise(F.array(F.lit(0)))).alias("short"))
     reach = reach.select("s", "unit", F.col("limit"), (F.col("limit") - F.col("short")).alias("length"), "short", "censored")
+    # A text without a source may come under any source's limit.
+    reach = reach.unionByName(reach.where("s <> ''").groupBy(F.lit("").alias("s"), "unit", "limit", "length", "short").agg((F.max("censored") / 2).alias("censored")))
     at = real.select("*", units).withColumn("s", F.coalesce("source", F.lit("")))
     at = at.join(reach, ["s", "unit", "length"]).where((F.col("short") == 0) | (F.col("bytes") > F.col("chars")))
 
@@ -312,9 +325,10 @@ def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     # What share of the texts at a candidate limit has a cut ending decides whether it is one.
     confirmed = score(at).withColumn("p", 1 / (1 + F.exp(-F.col("end_logit")))).groupBy("s", "unit", "limit").agg(F.avg("p").alias("open_share"))
     prior = at.join(confirmed, ["s", "unit", "limit"]).groupBy("doc_id").agg(F.max(F.struct((F.least("open_share", F.lit(0.98)) * F.col("censored")).alias("p"), "limit")).alias("best"))
-    scored = scratch.save(score(real).join(prior, "doc_id", "left").select("doc_id", "source", "end_logit", F.col("best.p").alias("limit_p"), F.col("best.limit").alias("limit")), "scored")
-    base = _base_rate(scored)
-    odds = F.least(F.greatest(F.coalesce(F.greatest("limit_p", F.lit(base)), F.lit(base)), F.lit(1e-3)), F.lit(0.98))
+    shape = (F.col("last") * 3 + F.col("mark")).alias("shape")
+    scored = scratch.save(score(real).join(prior, "doc_id", "left").select("doc_id", "source", shape, "end_logit", F.col("best.p").alias("limit_p"), F.col("best.limit").alias("limit")), "scored")
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in {-1: 0.02, **_base_rates(scored)}.items() for x in kv])[F.col("shape")], F.lit(0.02))
+    odds = F.least(F.greatest(F.coalesce(F.greatest("limit_p", base), base), F.lit(1e-3)), F.lit(0.98))
     posterior = 1 / (1 + F.exp(-(F.col("end_logit") + F.log(odds / (1 - odds)))))
     result = scored.select("doc_id", "source", posterior.alias("posterior"))
     blank = docs.where(F.col("text").isNull() | (F.length(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " "))) == 0)).select("doc_id", "source", F.lit(0.0).alias("posterior"))
@@ -335,7 +349,7 @@ def _ending_models(seen: DataFrame, limits: DataFrame, sample_docs: int) -> dict
         use = (kind == CUT) | np.isin(kind, negatives)
         xs, ys = x[use], (kind[use] == CUT).astype(float)
         if ys.sum() < 5 or (1 - ys).sum() < 5:
-            out[name] = [0.0, -0.5, -0.3, -0.3, 0.0, -0.5]
+            out[name] = [0.0, -0.5, -0.1, -0.5, 0.0, -0.5, 0.3, -0.5]
             continue
         keep = np.ones(len(ys), bool)
         # Some real ends are cut: those that look so are left out, and the model is fitted anew.
@@ -351,19 +365,23 @@ def _end_logit(model: dict[str, list[float]]) -> F.Column:
     """Log-odds that an end is cut; after a stop it is only if the stop is one inside a number or name."""
     line = lambda w: F.lit(w[0]) + sum(F.lit(v) * F.col(f) for v, f in zip(w[1:], FEATURES, strict=True))
     stopped = F.log(F.col("p_dot") / (F.col("p_stop") + F.col("p_dot") + 0.02)) - 1.0
-    return F.when(F.col("last") == STOPPED, stopped).when(F.col("mark") == 0, line(model["plain"])).otherwise(line(model["marked"]) + F.when(F.col("mark") == 2, 3.0).otherwise(0.0))
+    # Half a character, or an omission in brackets, is an end of its own.
+    sure = (F.col("broken") == 1) | (F.col("mark") == 2)
+    return F.when(sure, 12.0).when(F.col("last") == STOPPED, stopped).when(F.col("mark") == 0, line(model["plain"])).otherwise(line(model["marked"]))
 
 
-def _base_rate(scored: DataFrame, rounds: int = 20) -> float:
-    """Share of texts cut elsewhere than at a limit, by expectation maximisation over binned log-odds (a bounded table)."""
-    bins = scored.where("limit_p is null").groupBy(F.round(F.greatest(F.least("end_logit", F.lit(20.0)), F.lit(-20.0)) * 4).cast("int").alias("b")).count().collect()
-    if not bins:
-        return 0.02
-    logit, n = np.array([r["b"] / 4 for r in bins]), np.array([r["count"] for r in bins], float)
-    rate = 0.02
-    for _ in range(rounds):
-        rate = float(np.clip(np.average(1 / (1 + np.exp(-(logit + log(rate / (1 - rate))))), weights=n), 1e-3, 0.3))
-    return rate
+def _base_rates(scored: DataFrame, rounds: int = 20) -> dict[int, float]:
+    """Per kind of ending the share of texts cut elsewhere than at a limit, by expectation maximisation over binned log-odds."""
+    binned = F.round(F.greatest(F.least("end_logit", F.lit(20.0)), F.lit(-20.0)) * 4).cast("int")
+    bins = scored.where("limit_p is null").groupBy("shape", binned.alias("b")).count().collect()  # at most 161 bins of each kind
+    out = {}
+    for shape in {r["shape"] for r in bins}:
+        logit, n = (np.array([v for r in bins if r["shape"] == shape for v in [f(r)]], float) for f in (lambda r: r["b"] / 4, lambda r: r["count"]))
+        rate = 0.02
+        for _ in range(rounds):
+            rate = float(np.clip(np.average(1 / (1 + np.exp(-(logit + log(rate / (1 - rate))))), weights=n), 1e-3, 0.5))
+        out[shape] = rate
+    return out
 
 
 def rates(found: DataFrame, source: str = "source") -> DataFrame:
