@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.linking import linked_groups
 from lumenfold.llm.lookalike import letter_counts, same_looking, with_spelling
+from lumenfold.llm.mixing import mix, shares
 from lumenfold.llm.neighbours import nearest, neighbour_pairs
+from lumenfold.llm.packing import fills, pack
 from lumenfold.llm.runs import collapsed, runs
 from lumenfold.llm.survivorship import keepers, survive
+from lumenfold.llm.tokenizer import with_token_counts
 from lumenfold.llm.truncation import rates, truncated
 from lumenfold.operators.capture import photo_instants
 from lumenfold.operators.deliveries import latest_values
@@ -89,6 +92,44 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(_bursts(spark, d, "p5r"), "item_id")
 
 
+def _sized(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
+    """Documents with their token counts; texts are encoded once."""
+    return scratch.save(with_token_counts(table(spark, d, "documents").select("doc_id", "source", "text"), "text").drop("text"), "sized")
+
+
+def _packed(spark: SparkSession, d: str, label: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    scratch = Scratch(spark, label)
+    kinds = [(r["pack"], r["capacity"]) for r in table(spark, d, "pack_sizes").select("pack", "capacity").collect()]
+    return pack(_sized(spark, d, scratch), kinds, scratch), kinds
+
+
+def p7_packs(spark: SparkSession, d: str) -> DataFrame:
+    """The pack of every document or piece of one, for each kind of pack."""
+    return _packed(spark, d, "p7")[0]
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of every pack."""
+    return fills(*_packed(spark, d, "p7f"))
+
+
+def _mixed(spark: SparkSession, d: str, label: str) -> DataFrame:
+    scratch = Scratch(spark, label)
+    targets = [(r["source"], r["weight"], r["max_repeats"]) for r in table(spark, d, "mix_targets").select("source", "weight", "max_repeats").collect()]
+    return mix(_sized(spark, d, scratch), targets, scratch)
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks selected for every output shard, with the spans of documents in them."""
+    return _mixed(spark, d, "p8")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of tokens that each source wanted and reached."""
+    selected = Scratch(spark, "p8s").save(_mixed(spark, d, "p8s"), "selected")
+    return shares(selected, table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text stops before its end."""
     return truncated(table(spark, d, "documents"), Scratch(spark, "p9")).where("cut").select("doc_id")
@@ -99,5 +140,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(truncated(table(spark, d, "documents"), Scratch(spark, "p9r")))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLES: dict[str, str] = {}
