@@ -10,7 +10,6 @@ shared folder, so a lost executor costs no more than a step.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -180,7 +179,11 @@ def components(edges: DataFrame, scratch: Scratch, least_share: float = 0.1) ->
         before = edges
         edges, n = scratch.save_counted(rest, "edges")
         scratch.drop(deg, before if before is not first else None)
-    labels = reduce(_unremove, reversed(removed), None)
+    labels = None
+    for gone in reversed(removed):
+        # Written each time: the labels are read twice by every further step.
+        before, labels = labels, scratch.save(_unremove(labels, gone), "labels")
+        scratch.drop(before, gone)
     if labels is None:
         return vertices.select("v", F.col("v").alias("label"))
     roots = vertices.join(labels, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
