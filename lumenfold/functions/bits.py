@@ -25,7 +25,7 @@ def chunk(h: Column, start: int, width: int) -> Column:
 
 def vector_hash(values: Column, median: Column) -> Column:
     """Bit i is set where value i of a vector of 64 is above the median."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get(values, i) > median, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get(values, i) > median, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
 
 

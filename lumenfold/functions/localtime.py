@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.names import year_of_folder
 from lumenfold.operators.timestamps import days_from_civil, offset_seconds
 
 EXIF = r"^\s*(\d{4})[:\-/](\d{2})[:\-/](\d{2})[ T](\d{2}):(\d{2}):(\d{2})"
@@ -58,22 +59,42 @@ def wall_time(wall: Column) -> Column:
     return F.date_format(F.timestamp_seconds(wall), "HH:mm:ss")
 
 
-def local_fields(exif_dt: Column, offset: Column, exif_dt_any: Column, sidecar_ts: Column, folder_year: Column, zone: Column | str, max_year: int | None = None) -> dict[str, Column]:
-    """taken_ts, taken_src, local_date, local_time, day_uncertain and year.
+def with_exif_walls(df: DataFrame, walls: dict[str, str], max_year: int | None = None) -> DataFrame:
+    """Add for each name the wall seconds of a column, as exif_wall, in stages that keep the generated code small."""
+    top = max_year if max_year is not None else datetime.now(UTC).year + 1
+    texts = {f"_{o}_t": F.split(F.regexp_extract(F.regexp_replace(F.when(F.col(c).rlike(EXIF), F.col(c)), EXIF + r".*$", "$1 $2 $3 $4 $5 $6"), r"^[\d ]+", 0), " ") for o, c in walls.items()}
+    d = df.withColumns(texts)
+    d = d.withColumns({f"_{o}_{i}": F.get(f"_{o}_t", F.lit(i)).try_cast("int") for o in walls for i in range(6)})
+    out = {}
+    for o in walls:
+        y, mo, day, h, mi, s = (F.col(f"_{o}_{i}") for i in range(6))
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        days = F.when(mo == 2, F.when(leap, 29).otherwise(28)).when(mo.isin(4, 6, 9, 11), 30).otherwise(31)
+        real = y.between(MIN_YEAR, top) & mo.between(1, 12) & day.between(1, days) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
+        out[o] = F.when(real, days_from_civil(y, mo, day) * 86400 + h * 3600 + mi * 60 + s)
+    return d.withColumns(out).drop(*texts, *[f"_{o}_{i}" for o in walls for i in range(6)])
+
+
+LOCAL = ("taken_ts", "taken_src", "local_date", "local_time", "day_uncertain", "year")
+
+
+def with_local_fields(df: DataFrame, exif_dt: str, offset: str, exif_dt_any: str, sidecar_ts: str, folder: str, zone: Column, max_year: int | None = None) -> DataFrame:
+    """Add taken_ts, taken_src, local_date, local_time, day_uncertain and year.
 
     taken_ts: the sidecar, else EXIF with its offset, else EXIF in the zone, else the other EXIF time in the zone. Local: EXIF
     (certain), the sidecar with the EXIF offset (certain), the sidecar in the zone (uncertain), the other EXIF time (uncertain).
     """
-    dto, off, other = exif_wall(exif_dt, max_year), exif_offset(offset), exif_wall(exif_dt_any, max_year)
-    by_offset = F.when(sidecar_ts.between(LOWEST, HIGHEST), sidecar_ts + off)
-    wall = F.when(dto.isNotNull(), dto).when(sidecar_ts.isNotNull() & off.isNotNull(), by_offset).when(sidecar_ts.isNotNull(), utc_to_wall(sidecar_ts, zone)).otherwise(other)
-    certain = dto.isNotNull() | (sidecar_ts.isNotNull() & off.isNotNull() & by_offset.isNotNull())
-    date = wall_date(wall)
-    return {
-        "taken_ts": F.coalesce(sidecar_ts, dto - off, wall_to_utc(dto, zone), wall_to_utc(other, zone)),
-        "taken_src": F.when(sidecar_ts.isNotNull(), "sidecar").when(dto.isNotNull() & off.isNotNull(), "exif_offset").when(dto.isNotNull(), "exif_local").when(other.isNotNull(), "exif_any").otherwise("none"),
-        "local_date": date,
-        "local_time": wall_time(wall),
-        "day_uncertain": F.when(certain, 0).otherwise(1),
-        "year": F.coalesce(F.year(F.timestamp_seconds(wall)), folder_year),
-    }
+    d = with_exif_walls(df, {"_dto": exif_dt, "_any": exif_dt_any}, max_year)
+    d = d.withColumns({"_off": exif_offset(F.col(offset)), "_zone": zone, "_sc": F.col(sidecar_ts)})
+    dto, other, off, sc, z = (F.col(c) for c in ("_dto", "_any", "_off", "_sc", "_zone"))
+    by_offset = F.when(sc.between(LOWEST, HIGHEST), sc + off)
+    wall = F.when(dto.isNotNull(), dto).when(sc.isNotNull() & off.isNotNull(), by_offset).when(sc.isNotNull(), utc_to_wall(sc, z)).otherwise(other)
+    d = d.withColumns({
+        "_wall": wall,
+        "taken_ts": F.coalesce(sc, dto - off, wall_to_utc(dto, z), wall_to_utc(other, z)),
+        "taken_src": F.when(sc.isNotNull(), "sidecar").when(dto.isNotNull() & off.isNotNull(), "exif_offset").when(dto.isNotNull(), "exif_local").when(other.isNotNull(), "exif_any").otherwise("none"),
+    })
+    at = F.col("_wall")
+    certain = dto.isNotNull() | (sc.isNotNull() & off.isNotNull() & at.isNotNull())
+    d = d.withColumns({"local_date": wall_date(at), "local_time": wall_time(at), "day_uncertain": F.when(certain, 0).otherwise(1), "year": F.coalesce(F.year(F.timestamp_seconds(at)), year_of_folder(F.col(folder)))})
+    return d.drop("_dto", "_any", "_off", "_sc", "_zone", "_wall")

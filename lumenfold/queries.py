@@ -4,20 +4,580 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import bits, names, text
+from lumenfold.functions.documents import position, unix_field
+from lumenfold.functions.localtime import LOCAL, exif_wall, subsec, with_local_fields
+from lumenfold.operators import bursts as B
+from lumenfold.operators import candidates as C
+from lumenfold.operators import collapse as L
+from lumenfold.operators import groups as G
+from lumenfold.operators import scores as S
 from lumenfold.operators.capture import library_instants
-from lumenfold.session import table
+from lumenfold.operators.components import connected
+from lumenfold.operators.deliveries import latest_values
+from lumenfold.operators.pairing import mutual_best, pair
+from lumenfold.plans import lookups
+from lumenfold.plans import search as Q
+from lumenfold.session import Scratch, table
+from lumenfold.sources import shards as H
+from lumenfold.sources.archive import plan_shards as with_shards
+from lumenfold.streaming import decisions as D
+from lumenfold.streaming.sessions import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+MAX_YEAR = 2027  # fixed, so that results don't change with the date of a run
 
 
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def photos(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return latest_values(table(spark, d, "items_raw"), "item_id", list(fields))
+
+
+def sidecars(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return latest_values(table(spark, d, "sidecars_raw"), "sidecar_id", list(fields))
+
+
+@query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The UTC second of every timestamp that denotes an instant."""
     found = library_instants(table(spark, d, "items_raw"), table(spark, d, "sidecars_raw"), table(spark, d, "exports"))
     return found.where(F.col("epoch_s").isNotNull()).select("field", "row_id", "epoch_s")
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found}
-ORACLES: dict[str, str] = {}
+# Names, members, shards
+
+
+@query
+def media_names(spark, d):
+    n = F.col("filename")
+    return photos(spark, d, "filename", "folder").where("filename is not null").select("item_id", names.base(n).alias("base"), names.copy_number(n).alias("copy_no"), names.ext_of(n).alias("ext"), names.is_edited(n).alias("edited"), names.year_of_folder(F.col("folder")).alias("folder_year"), names.messaging_app(n).alias("app"), names.is_screenshot_name(n).alias("screenshot"), names.burst_key(n).alias("burst_key"))
+
+
+@query
+def export_ids(spark, d):
+    return table(spark, d, "zips").select("zip_id", names.export_id(F.col("name")).alias("export"))
+
+
+def _members(spark, d):
+    a = photos(spark, d, "member", "file_size", "zipkey", "member_idx").select(F.col("item_id").alias("id"), "member", "file_size", "zipkey", "member_idx")
+    b = sidecars(spark, d, "member", "zipkey", "member_idx").select((-F.col("sidecar_id")).alias("id"), "member", F.lit(0).cast("long").alias("file_size"), "zipkey", "member_idx")
+    return a.unionByName(b).where("member is not null")
+
+
+@query
+def classify_members(spark, d):
+    c = _members(spark, d).withColumn("c", names.classify(F.col("member"), F.col("file_size")))
+    return c.select("id", "c.kind", "c.folder", "c.folder_kind", "c.filename", "c.reason")
+
+
+@query
+def member_reasons(spark, d):
+    c = names.classify(F.col("member"), F.col("file_size"))
+    return _members(spark, d).select(c.alias("c")).groupBy(F.col("c.kind").alias("kind"), F.coalesce("c.reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def plan_shards(spark, d):
+    m = photos(spark, d, "zipkey", "member_idx", "ext").where("zipkey is not null and member_idx is not null")
+    return with_shards(m.withColumn("ext", F.lower("ext")), 50, ("member_idx", "item_id")).select("item_id", "zipkey", "shard")
+
+
+@query
+def pending_shards(spark, d):
+    plan = table(spark, d, "zips").select(F.col("zip_id").alias("shard_id"), "zipkey", F.lit(True).alias("present"))
+    done = photos(spark, d, "zipkey", "err").where("err is not null").groupBy("zipkey").agg(F.count("*").alias("size"))
+    return H.pending(plan, done.join(plan, "zipkey").select("shard_id", "size")).select("shard_id", "zipkey")
+
+
+@query
+def unique_names(spark, d):
+    return H.without_repeated_names(photos(spark, d, "filename").where("filename is not null"), "filename").select("item_id", "filename")
+
+
+@query
+def worker_split(spark, d):
+    return H.split_work(table(spark, d, "zips").select(F.col("zip_id").alias("shard_id")), 4).groupBy("worker").agg(F.count("*").alias("n"))
+
+
+# Texts and documents
+
+
+@query
+def text_clean(spark, d):
+    t = F.col("text")
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", text.clean_text(t, 60).alias("clean"), F.substring(text.csv_cell(t), 1, 40).alias("cell"), F.length(text.strip_unsafe(t)).cast("long").alias("n_safe"))
+
+
+@query
+def url_ids(spark, d):
+    return sidecars(spark, d, "url").where("url is not null").select("sidecar_id", text.photo_url(F.col("url"), "photos.example").alias("canonical"), text.url_id(F.col("url")).alias("url_id"))
+
+
+@query
+def sidecar_times(spark, d):
+    s = sidecars(spark, d, "taken_ts", "lat", "lon")
+    return s.select("sidecar_id", unix_field(F.col("taken_ts")).alias("taken"), position(F.col("lat"), F.col("lon")).isNotNull().alias("located"))
+
+
+@query
+def json_props(spark, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    return table(spark, d, "events").select("event_id", k.alias("k"))
+
+
+@query
+def search_links(spark, d):
+    p = photos(spark, d, "filename").join(sidecars(spark, d, "item_id", "url").where("item_id is not null").groupBy("item_id").agg(F.min("url").alias("url")), "item_id", "left")
+    link = lookups.photo_link(host="photos.example")
+    return p.select("item_id", link["conf"].alias("conf"), F.length(link["link"]).cast("long").alias("n"))
+
+
+@query
+def image_tokens(spark, d):
+    return photos(spark, d, "width", "height").where("width > 0 and height > 0").select("item_id", text.image_tokens(F.col("width"), F.col("height")).alias("tokens"))
+
+
+# Local time
+
+
+@query
+def local_day(spark, d):
+    s = sidecars(spark, d, "item_id", "taken_ts").where("item_id is not null").groupBy("item_id").agg(F.min_by("taken_ts", "sidecar_id").alias("sc"))
+    p = photos(spark, d, "exif_dt", "exif_offset", "exif_dt_any", "folder", "export_id").join(s, "item_id", "left").join(table(spark, d, "exports"), "export_id", "left")
+    p = with_local_fields(p.withColumn("sc_ts", unix_field(F.col("sc"))), "exif_dt", "exif_offset", "exif_dt_any", "sc_ts", "folder", F.col("home_tz"), MAX_YEAR)
+    return p.select("item_id", *LOCAL[1:])
+
+
+def _local(spark, d):
+    """Written once: filters on computed dates would otherwise repeat the whole computation."""
+    return Scratch(spark, "local").save(local_day(spark, d))
+
+
+@query
+def day_counts(spark, d):
+    return lookups.day_stats(_local(spark, d)).select("local_date", "n", "n_uncertain")
+
+
+@query
+def undated_by_year(spark, d):
+    return lookups.undated_counts(_local(spark, d).join(photos(spark, d, "folder"), "item_id")).select("year", "n")
+
+
+# Scores
+
+
+MEASURES = ["filename", "format", "width", "height", "has_camera_exif", "lap_var", "luma_mean", "luma_std", "frac_dark", "frac_bright", "flat_frac"]
+
+
+def _measured(spark, d, *more):
+    s = sidecars(spark, d, "item_id", "origin_folder").where("item_id is not null").groupBy("item_id").agg(F.min_by("origin_folder", "sidecar_id").alias("origin_folder"))
+    return photos(spark, d, *MEASURES, *more).join(s, "item_id", "left")
+
+
+@query
+def category_scores(spark, d):
+    return S.category_scores(_measured(spark, d))
+
+
+def _all_scores(spark, d, label):
+    scratch = Scratch(spark, label)
+    m = _measured(spark, d).withColumn("shot", F.coalesce(S.screenshot()["score"], F.lit(0.0)))
+    m = scratch.save(m.withColumn("is_graphic", (F.col("shot") >= 0.8) | (F.coalesce("flat_frac", F.lit(0.0)) >= 0.35)), "measured")
+    return scratch.save(S.stored(S.category_scores(m).select("item_id", "category", "score"), S.distribution_scores(m, scratch)), "scores")
+
+
+@query
+def distribution_scores(spark, d):
+    return _all_scores(spark, d, "ecdf").where("category in ('blur', 'dark', 'overexposed')")
+
+
+@query
+def combined_score(spark, d):
+    return S.combined(_all_scores(spark, d, "combined"))
+
+
+@query
+def top_flags(spark, d):
+    return S.top_flags(_all_scores(spark, d, "flags"), 2)
+
+
+@query
+def junk_counts(spark, d):
+    return S.category_counts(_all_scores(spark, d, "junk"))
+
+
+@query
+def ecdf_values(spark, d):
+    e = S.ecdf(photos(spark, d, "lap_var").where("lap_var is not null"), "lap_var")
+    return e.select(F.col("x"), F.round("below", 9).alias("below"), F.round("above", 9).alias("above"))
+
+
+# Duplicates
+
+
+@query
+def exact_dups(spark, d):
+    p = photos(spark, d, "sha256", "width", "height", "file_size").where("sha256 is not null")
+    px = F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0))
+    order = F.struct(px.alias("px"), F.coalesce("file_size", F.lit(0)).alias("size"), (-F.col("item_id")).alias("id"))
+    g = p.groupBy("sha256").agg(F.count("*").alias("n"), (-F.max(order)["id"]).alias("keeper"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), "\n")).alias("group_key"))
+    return g.where("n > 1").select("keeper", "n", "group_key")
+
+
+def _eligible(spark, d):
+    p = photos(spark, d, "phash64", "width", "height", "exif_dt", "exif_subsec", "sha256").where("phash64 is not null and phash64 <> 0")
+    return p.withColumns({"capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec"))})
+
+
+@query
+def near_candidates(spark, d):
+    return C.near_candidates(Scratch(spark, "near").save(_eligible(spark, d).select("item_id", "phash64")), 3)
+
+
+@query
+def near_candidates_5(spark, d):
+    return C.near_candidates(Scratch(spark, "near5").save(_eligible(spark, d).select("item_id", "phash64")), 5)
+
+
+@query
+def bucket_skips(spark, d):
+    return C.bucket_skips(_eligible(spark, d), 3, 5)
+
+
+@query
+def vector_hashes(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", bits.vector_hash(F.col("embedding"), bits.median64(F.col("embedding"))).alias("h"))
+
+
+@query
+def near_vectors(spark, d):
+    h = Scratch(spark, "nearvec").save(vector_hashes(spark, d))
+    return C.near_candidates(h, 16, None, "vec_id", "h")
+
+
+def _checked(spark, d, label):
+    scratch = Scratch(spark, label)
+    p = scratch.save(_eligible(spark, d))
+    pairs = C.near_candidates(p, 3)
+    side = lambda s: p.select(F.col("item_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("width", "height", "capture_s", "subsec", "sha256")])
+    j = pairs.join(side("a"), "a").join(side("b"), "b").where(~F.coalesce(F.col("a_sha256") == F.col("b_sha256"), F.lit(False)))
+    aspect = bits.aspect_ok(F.col("a_width"), F.col("a_height"), F.col("b_width"), F.col("b_height"))
+    capture = bits.capture_ok(F.col("a_capture_s"), F.col("b_capture_s"), F.col("a_subsec"), F.col("b_subsec"))
+    return scratch.save(j.select("a", "b", F.when(~aspect, "aspect").when(~capture, "capture").otherwise("none").alias("rejected"))), p
+
+
+@query
+def edge_checks(spark, d):
+    return _checked(spark, d, "checks")[0]
+
+
+@query
+def reject_tally(spark, d):
+    return _checked(spark, d, "tally")[0].groupBy("rejected").agg(F.count("*").alias("n"))
+
+
+@query
+def components(spark, d):
+    scratch = Scratch(spark, "cc")
+    return connected(_checked(spark, d, "ccx")[0].where("rejected = 'none'"), scratch)
+
+
+@query
+def seed_groups(spark, d):
+    """Groups in which every member matches its seed; without signatures, as the test tables have none."""
+    scratch = Scratch(spark, "seed")
+    p = photos(spark, d, "sha256", "phash64", "width", "height", "file_size", "has_camera_exif", "exif_dt", "exif_subsec").where("sha256 is not null")
+    items = p.withColumns({"item_uid": F.col("item_id").cast("string"), "sig": F.lit(bytearray(1152)), "is_graphic": F.coalesce(F.col("phash64") == 0, F.lit(False)), "capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec")), "url": F.col("item_id").cast("string"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "favorited": F.lit(0), "albums_n": F.lit(0), "taken_ts": F.lit(None).cast("long")})
+    found = G.find_groups(items, scratch, G.GroupParams(bucket_cap=None))
+    return found["members"].select("component", "group_no", "item_id", "place", "dist", "is_keeper")
+
+
+@query
+def keeper_rank(spark, d):
+    p = photos(spark, d, "sha256", "width", "height", "has_camera_exif", "exif_lat", "exif_lon", "file_size").where("sha256 is not null")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    order = [(zero("width").cast("long") * zero("height")).desc(), zero("has_camera_exif").desc(), (F.col("exif_lat").isNotNull() & F.col("exif_lon").isNotNull()).desc(), zero("file_size").desc(), F.col("item_id")]
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("sha256").orderBy(*order)).cast("long")).where("place > 1").select("item_id", "place")
+
+
+# Collapse
+
+
+def _records(spark, d):
+    s = sidecars(spark, d, "item_id", "url", "favorited", "archived").where("item_id is not null").groupBy("item_id").agg(F.min_by(F.struct("url", "favorited", "archived"), "sidecar_id").alias("s"))
+    p = photos(spark, d, "zipkey", "zip_name", "export_id", "member_idx", "member", "folder", "folder_kind", "filename", "sha256", "exif_dt", "exif_dt_any").where("sha256 is not null")
+    return p.join(s, "item_id", "left").select(*p.columns, "s.url", F.coalesce("s.favorited", F.lit(0)).alias("favorited"), F.coalesce("s.archived", F.lit(0)).alias("archived"))
+
+
+@query
+def collapse(spark, d):
+    a = L.assign_items(_records(spark, d))
+    return a.select("item_id", F.col("is_primary").cast("int").alias("is_primary"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query
+def flag_merge(spark, d):
+    m = L.merged(L.assign_items(Scratch(spark, "flags").save(_records(spark, d)))).where("url is not null")
+    return m.select("url", F.col("favorited").cast("long").alias("favorited"), F.col("archived").cast("long").alias("archived"), F.col("n_records"), F.col("albums_n").cast("long").alias("albums_n"))
+
+
+@query
+def album_sets(spark, d):
+    s = sidecars(spark, d, "url", "folder", "folder_kind", "trashed")
+    return L.albums_by_url(s).select("url", F.array_join(F.array_sort("url_albums"), "|").alias("albums"))
+
+
+@query
+def uid_suffixes(spark, d):
+    r = _records(spark, d).withColumn("url", F.lit(None).cast("string")).withColumn("local_date", F.lit(None).cast("string"))
+    r = L.with_uids(r.withColumn("filename", F.col("folder_kind")))
+    return r.select("item_id", F.md5(F.col("item_uid").cast("binary")).alias("uid_md5"))
+
+
+@query
+def dense_ids(spark, d):
+    p = _local(spark, d).withColumn("item_uid", F.concat(F.lit("x:"), F.col("item_id").cast("string")))
+    return L.with_item_ids(p.withColumnRenamed("item_id", "photo"), "new_id").select("photo", "new_id")
+
+
+@query
+def unindexed_by_day(spark, d):
+    s = sidecars(spark, d, "item_id", "url", "taken_ts", "title").withColumn("ts", unix_field(F.col("taken_ts")))
+    media = s.where("item_id is null").select(F.lit("image").alias("kind"), "url", F.coalesce("title", F.lit("")).alias("filename"), F.lit(None).cast("long").alias("file_size"), F.col("ts").alias("taken_ts"))
+    u = L.unindexed(media, s.where("item_id is not null").select("url"), "America/New_York")
+    return u.groupBy("day").agg(F.count("*").alias("n"))
+
+
+# Pairing
+
+
+@query
+def pairing(spark, d):
+    """The sidecar of every photo by names, titles and times alone."""
+    m = photos(spark, d, "export_id", "folder", "filename", "exif_dt").select(F.col("item_id").alias("media_key"), "export_id", "folder", "filename", exif_wall(F.col("exif_dt"), MAX_YEAR).alias("exif_ts")).where("filename is not null")
+    s = sidecars(spark, d, "export_id", "folder", "json_name", "title", "taken_ts").select(F.col("sidecar_id").alias("sidecar_key"), "export_id", "folder", "json_name", "title", unix_field(F.col("taken_ts")).alias("taken_ts")).where("json_name is not null")
+    return pair(m, s, Scratch(spark, "pairing"))
+
+
+@query
+def mutual_best_match(spark, d):
+    """Customers and suppliers of a nation with balances within 50, paired while each is the other's only best."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("media_key"), F.col("c_nationkey").alias("k"), "c_acctbal")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sidecar_key"), F.col("s_nationkey").alias("k"), "s_acctbal")
+    q = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
+    return mutual_best(c.join(s, "k").withColumn("q", q).where("q <= 50").select("media_key", "sidecar_key", "q"), Scratch(spark, "mutual"))
+
+
+# Bursts
+
+
+def _shots(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("item_id"), F.col("event_id").cast("string").alias("item_uid"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("taken_ts"), F.lit(None).cast("string").alias("exif_subsec"), F.lit(1).cast("long").alias("phash64"), F.col("event_type").alias("model"), F.col("value").alias("lap_var"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(0.0).alias("frac_dark"), F.lit(0.0).alias("frac_bright"))
+    return e
+
+
+@query
+def bursts_time(spark, d):
+    return B.time_bursts(Scratch(spark, "bt").save(_shots(spark, d)), 60.0)
+
+
+@query
+def burst_ranks(spark, d):
+    s = Scratch(spark, "br").save(_shots(spark, d))
+    return B.ranked(B.time_bursts(s, 60.0), s).select("burst", "item_id", F.col("rank").cast("long").alias("place"), F.col("is_best").cast("long").alias("is_best"))
+
+
+@query
+def burst_summary(spark, d):
+    s = Scratch(spark, "bs").save(_shots(spark, d))
+    return B.burst_summary(B.time_bursts(s, 60.0), s).select("burst", "size", "start_ts", "end_ts")
+
+
+@query
+def burst_extras(spark, d):
+    s = Scratch(spark, "be").save(_shots(spark, d))
+    return B.burst_extras(B.ranked(B.time_bursts(s, 60.0), s)).select("item_id", "best_item_id", "score")
+
+
+@query
+def bursts_by_name(spark, d):
+    return B.filename_bursts(photos(spark, d, "folder", "filename").withColumn("filename", F.concat(F.substring("filename", 1, 6), F.lit("_BURST001.jpg"))))
+
+
+# Serving
+
+
+def _index(spark, d):
+    i = _local(spark, d).join(photos(spark, d, "filename", "exif_lat", "exif_lon", "file_size"), "item_id").withColumnsRenamed({"exif_lat": "lat", "exif_lon": "lon"})
+    return i.withColumn("item_uid", F.concat(F.lit("x:"), F.col("item_id").cast("string"))).withColumn("origin_folder", F.lit(None).cast("string"))
+
+
+@query
+def search_filters(spark, d):
+    p = Q.SearchParams(date_from="2015-01-01", date_to="2019-12-31", filename_contains="IMG_", has_gps=True)
+    return Q.filtered(_index(spark, d), p.validate()).select("item_id", "local_date")
+
+
+@query
+def search_semi(spark, d):
+    p = Q.SearchParams(category="tiny", min_score=0.6).validate()
+    return Q.filtered(_index(spark, d), p, S.category_scores(_measured(spark, d)).select("item_id", "category", "score")).select("item_id")
+
+
+@query
+def search_anti(spark, d):
+    queued = sidecars(spark, d, "item_id", "favorited").where("favorited = 1").select(F.concat(F.lit("x:"), F.col("item_id").cast("string")).alias("item_uid")).where("item_uid is not null").distinct()
+    return Q.filtered(_index(spark, d), Q.SearchParams(year=2018).validate(), queued=queued).select("item_id")
+
+
+@query
+def search_page(spark, d):
+    """The second page of a search in calendar order: the limit is the feature."""
+    page, _ = Q.search(_index(spark, d), Q.SearchParams(limit=50, offset=50), S.category_scores(_measured(spark, d)).select("item_id", "category", "score"))
+    return page.select("item_id", "local_date", "score")
+
+
+@query
+def vector_topk(spark, d):
+    """The 20 vectors most similar to a fixed direction: a top-k report."""
+    return Q.vector_topk(table(spark, d, "embeddings"), [1.0 if i % 2 else -0.5 for i in range(64)], 20, -1.0, "vec_id", "embedding").select("vec_id")
+
+
+@query
+def items_in_zips(spark, d):
+    z = table(spark, d, "zips").select("zipkey", "zip_id", F.col("name").alias("zip_name"))
+    return table(spark, d, "items").join(z, "zipkey").select("item_id", "zip_id", "zip_name")
+
+
+@query
+def library_counts(spark, d):
+    i = table(spark, d, "items")
+    return i.groupBy("year").agg(F.count("*").alias("n"), F.count("emb_row").alias("n_vectors"), F.count_if(F.col("is_graphic") == 1).alias("n_graphic"))
+
+
+def _dup_members(spark, d):
+    p = photos(spark, d, "sha256").where("sha256 is not null")
+    g = p.groupBy("sha256").agg(F.min("item_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    m = p.join(g, "sha256")
+    return m.select("group_id", "item_id", (F.col("item_id") == F.col("group_id")).cast("int").alias("is_keeper"))
+
+
+@query
+def memberships(spark, d):
+    b = table(spark, d, "items").where("year is not null").groupBy("zipkey", "year").agg(F.min("item_id").alias("burst_id"), F.count("*").alias("n")).where("n between 2 and 5")
+    bm = table(spark, d, "items").join(b, ["zipkey", "year"]).select("burst_id", "item_id")
+    bursts = b.select("burst_id", F.col("burst_id").alias("best_item_id"))
+    return lookups.memberships(table(spark, d, "items"), _dup_members(spark, d), bm, bursts)
+
+
+@query
+def keeper_diff(spark, d):
+    return lookups.keeper_diff(_dup_members(spark, d), photos(spark, d, "width", "height", "file_size", "filename"), ("width", "height", "file_size", "filename"))
+
+
+@query
+def uncertain_members(spark, d):
+    url = sidecars(spark, d, "item_id", "url").where("item_id is not null").groupBy("item_id").agg(F.min("url").alias("url"))
+    return lookups.uncertain_members(_dup_members(spark, d), photos(spark, d, "zipkey").join(url, "item_id", "left"))
+
+
+@query
+def relational_division(spark, d):
+    chosen = photos(spark, d, "width").where("width >= 1000").select("item_id")
+    return lookups.contained_groups(_dup_members(spark, d), chosen)
+
+
+@query
+def group_pages(spark, d):
+    """The members of the first 20 groups: a page is the feature."""
+    m = _dup_members(spark, d)
+    g = m.groupBy("group_id").agg(F.count("*").alias("size"))
+    return lookups.group_page(g, m, photos(spark, d, "filename"), 0, 20).select("group_id", "item_id", "is_keeper")
+
+
+@query
+def ordered_lookup(spark, d):
+    want = table(spark, d, "items").where("emb_row is not null").select(F.col("emb_row").alias("ordinal"), "item_id")
+    return lookups.by_ids(table(spark, d, "items").select("item_id", "item_uid"), want).select("item_id", "item_uid", "ordinal")
+
+
+@query
+def day_blockers(spark, d):
+    i = _index(spark, d).where("local_date is not null")
+    approved = i.where("filename like 'IMG%' or filename like 'PXL%' or filename like 'DSC%'").select("item_uid")
+    unindexed = sidecars(spark, d, "item_id", "taken_ts").where("item_id is null").select(F.date_format(F.timestamp_seconds(unix_field(F.col("taken_ts"))), "yyyy-MM-dd").alias("day"))
+    return lookups.day_safety(i, unindexed, approved, _dup_members(spark, d).where("is_keeper = 0"))
+
+
+# Decisions and streams
+
+
+def _decisions(events: DataFrame) -> DataFrame:
+    kind = F.pmod(F.col("event_id"), F.lit(5))
+    action = F.when(kind == 0, "propose").when(kind == 1, "approve").when(kind == 2, "reject").when(kind == 3, "add").otherwise("reset")
+    return events.select(F.col("user_id").cast("string").alias("item_uid"), F.col("event_id").alias("seq"), action.alias("action"), F.lit("a").alias("actor"))
+
+
+@query
+def queue_fold(spark, d):
+    return D.fold(_decisions(table(spark, d, "events")))
+
+
+@query
+def latest_decisions(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("group_key"), F.col("event_id").alias("seq"), F.when(F.pmod(F.col("event_id"), F.lit(3)) == 0, "clear").otherwise("keeper").alias("action"), F.col("event_type").alias("keeper_uid"))
+    return D.latest_decision(e)
+
+
+@query
+def proposal_batches(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("batch_id"), F.pmod(F.col("user_id"), F.lit(3)).cast("string").alias("actor"), F.col("event_id").alias("ts"))
+    return D.batches(e)
+
+
+@query
+def event_sessions(spark, d):
+    s = sessions(table(spark, d, "events"), ["event_type"], "ts", "60 seconds")
+    return s.select("event_type", "n", F.unix_timestamp("start_ts").alias("start_s"), F.unix_timestamp("end_ts").alias("end_s"))
+
+
+def _stream(spark, d, name):
+    """The events as a file stream: the table's file is read through a glob."""
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
+
+
+@query
+def stream_queue_fold(spark, d):
+    """The fold of decisions run as a stream to its end, and its latest state per key."""
+    scratch = Scratch(spark, "stream")
+    out, check = f"{scratch.root}/rows", f"{scratch.root}/state"
+    q = D.run_guarded(D.fold_stream(_decisions(_stream(spark, d, "events"))), lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), None, check)
+    q.awaitTermination()
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("item_uid").agg(F.max(F.struct("batch", "seq", "status", "actor", "n_events")).alias("x"))
+    return last.where("x.status is not null").select("item_uid", "x.status", "x.actor", "x.seq", "x.n_events")
+
+
+@query
+def stream_sessions(spark, d):
+    """Sessions of the event stream run to its end, in complete mode."""
+    scratch = Scratch(spark, "sessions")
+    out = f"{scratch.root}/rows"
+    s = sessions(_stream(spark, d, "events"), ["event_type"], "ts", "60 seconds")
+    q = s.writeStream.outputMode("complete").option("checkpointLocation", f"{scratch.root}/state").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_type", "n", F.unix_timestamp("start_ts").alias("start_s"), F.unix_timestamp("end_ts").alias("end_s"))
+
+
+from lumenfold.oracles import ORACLES  # noqa: E402,F401
