@@ -1 +1,216 @@
+"""DuckDB SQL that gives the same rows as the core's queries."""
+
+from __future__ import annotations
+
+from lumenfold.functions.names import BURST, EDITED_CUT, EDITED_WORDS, MESSAGING, NON_SIDECAR_JSON, OTHER_IMAGE_EXTS, PHOTO_EXTS, RAW_BURST, RAW_EXTS, SCREENSHOT, TRASH_FOLDERS, VIDEO_EXTS
+from lumenfold.functions.text import UNSAFE
+from lumenfold.operators.scores import APP_FOLDERS, CATEGORIES, PHONE_SHORT, TABLET_SHORT
+
 ORACLES: dict[str, str] = {}
+
+
+def quoted(*values: object) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def latest(table: str, key: str, *fields: str) -> str:
+    cols = ", ".join(f"arg_max({f}, scanned_at) filter (where {f} is not null) as {f}" for f in fields)
+    return f"(select {key}, {cols} from {table} where {key} is not null group by {key})"
+
+
+def photos(*fields: str) -> str:
+    return latest("items_raw", "item_id", *fields)
+
+
+def sidecars(*fields: str) -> str:
+    return latest("sidecars_raw", "sidecar_id", *fields)
+
+
+def ext_parts(n: str) -> tuple[str, str]:
+    has = f"regexp_matches({n}, '^.+\\.[A-Za-z0-9]{{1,10}}$')"
+    return f"(case when {has} then regexp_extract({n}, '^(.+)(\\.[A-Za-z0-9]{{1,10}})$', 1) else {n} end)", f"(case when {has} then regexp_extract({n}, '^(.+)(\\.[A-Za-z0-9]{{1,10}})$', 2) else '' end)"
+
+
+def name_sql(n: str) -> dict[str, str]:
+    stem, dot = ext_parts(n)
+    copied = f"regexp_matches({stem}, '^.*\\S\\(\\d{{1,6}}\\)$')"
+    base = f"(case when {copied} then regexp_extract({stem}, '^(.*\\S)\\((\\d{{1,6}})\\)$', 1) else {stem} end)"
+    plain = f"({base} || {dot})"
+    words, cut = "|".join(EDITED_WORDS), "|".join(EDITED_CUT)
+    num = f"regexp_extract({plain}, '{BURST}', 2)"
+    return {
+        "stem": stem,
+        "base": base,
+        "copy_no": f"(case when {copied} then cast(regexp_extract({stem}, '^(.*\\S)\\((\\d{{1,6}})\\)$', 2) as bigint) end)",
+        "ext": f"lower(substr({dot}, 2))",
+        "edited": f"(regexp_matches(lower({base}), '-(?:{words})$') or (octet_length(encode({plain})) between 47 and 56 and regexp_matches(lower({base}), '(?:{cut})$')))",
+        "app": "(case " + " ".join(f"when regexp_matches({n}, '{p}') then '{a}'" for a, p in MESSAGING) + " end)",
+        "screenshot": f"regexp_matches({n}, '{SCREENSHOT}')",
+        "burst_key": f"(case when regexp_matches({plain}, '{RAW_BURST}') then regexp_extract({plain}, '{RAW_BURST}', 1) when not regexp_matches({plain}, '{BURST}') then null when length({num}) >= 14 then 'BURST' || {num} else regexp_extract({plain}, '{BURST}', 1) end)",
+    }
+
+
+N = name_sql("filename")
+YEAR = "(case when regexp_matches(folder, '^Photos from \\d{4}$') then cast(regexp_extract(folder, '^Photos from (\\d{4})$', 1) as bigint) end)"
+ORACLES["media_names"] = f"select item_id, {N['base']} as base, {N['copy_no']} as copy_no, {N['ext']} as ext, {N['edited']} as edited, {YEAR} as folder_year, {N['app']} as app, {N['screenshot']} as screenshot, {N['burst_key']} as burst_key from {photos('filename', 'folder')} where filename is not null"
+ORACLES["export_ids"] = "select zip_id, case when regexp_matches(name, '(?i)^.+?-\\d{3,}\\.zip$') then regexp_extract(name, '(?i)^(.+?)-\\d{3,}\\.zip$', 1) else coalesce(nullif(regexp_replace(name, '(?i)\\.zip$', ''), ''), 'default') end as export from zips"
+
+MEMBERS = f"(select item_id as id, member, file_size from {photos('member', 'file_size')} where member is not null union all select -sidecar_id as id, member, 0 as file_size from {sidecars('member')} where member is not null)"
+_n = name_sql("filename")
+_f = name_sql("p3")
+CLASSIFY = f"""with m as (select id, file_size, replace(member, '\\', '/') as path from {MEMBERS}),
+s as (select *, string_split(path, '/') as parts from m), t as (select *, parts[3] as folder, parts[4] as filename, parts[3] as p3, regexp_matches(parts[3], '^Photos from \\d{{4}}$') as is_year from s),
+u as (select *, {_n['ext']} as ext, {_n['edited']} as edited, {_f['ext']} as ext3 from t),
+c as (select *, case when path like '%/' then 'directory' when parts[1] <> 'Takeout' or coalesce(parts[2] <> 'Google Photos', true) then 'outside_photos'
+ when len(parts) = 3 and ext3 = 'json' then 'root_json' when len(parts) = 3 then 'root_other' when len(parts) <> 4 or folder = '' or filename = '' then 'deep'
+ when lower(folder) in ({quoted(*TRASH_FOLDERS)}) then 'trash' when ext = 'json' and lower(filename) in ({quoted(*NON_SIDECAR_JSON)}) then 'non_sidecar_json' when ext = 'json' then 'SIDECAR'
+ when ext in ({quoted(*PHOTO_EXTS, *VIDEO_EXTS, *OTHER_IMAGE_EXTS)}) and edited then 'edited' when ext in ({quoted(*RAW_EXTS)}) then 'raw' when ext in ({quoted(*OTHER_IMAGE_EXTS)}) then 'other_image'
+ when ext in ({quoted(*PHOTO_EXTS)}) and not is_year then 'album_media' when ext in ({quoted(*PHOTO_EXTS)}) and file_size > 209715200 then 'too_large' when ext in ({quoted(*PHOTO_EXTS)}) then 'IMAGE'
+ when ext in ({quoted(*VIDEO_EXTS)}) and not is_year then 'album_video' when ext in ({quoted(*VIDEO_EXTS)}) then 'VIDEO' else 'other' end as r from u)
+select id, case when r in ('SIDECAR', 'IMAGE', 'VIDEO') then lower(r) else 'skip' end as kind,
+ case when r in ('directory', 'outside_photos', 'root_json', 'root_other', 'deep') then null else folder end as folder,
+ case when r in ('directory', 'outside_photos', 'root_json', 'root_other', 'deep', 'trash') then null when is_year then 'year' else 'album' end as folder_kind,
+ case when r in ('directory', 'outside_photos', 'deep') then null when r like 'root%' then p3 else filename end as filename,
+ case when r in ('SIDECAR', 'IMAGE', 'VIDEO') then null when r = 'root_json' then 'non_sidecar_json' when r in ('root_other', 'deep') then 'other' else r end as reason from c"""
+ORACLES["classify_members"] = CLASSIFY
+ORACLES["member_reasons"] = f"select kind, coalesce(reason, '') as reason, count(*) as n from ({CLASSIFY}) group by 1, 2"
+ORACLES["plan_shards"] = f"""with m as (select item_id, zipkey, member_idx, case when lower(ext) in ({quoted(*PHOTO_EXTS)}) then 1 else 0 end as photo from {photos('zipkey', 'member_idx', 'ext')} where zipkey is not null and member_idx is not null),
+c as (select *, sum(photo) over (partition by zipkey order by member_idx, item_id rows unbounded preceding) as nth, sum(photo) over (partition by zipkey) as total from m)
+select item_id, zipkey, cast(least(greatest(floor((nth - 1) / 50), 0), greatest(floor(total / 50), 1) - 1) as bigint) as shard from c"""
+ORACLES["pending_shards"] = f"select zip_id as shard_id, zipkey from zips where zipkey not in (select zipkey from {photos('zipkey', 'err')} where err is not null and zipkey is not null)"
+ORACLES["unique_names"] = f"select item_id, filename from (select *, count(*) over (partition by filename) as n from {photos('filename')} where filename is not null) where n = 1"
+ORACLES["worker_split"] = "select zip_id % 4 as worker, count(*) as n from zips group by 1"
+
+SAFE = f"trim(regexp_replace(regexp_replace(text, '{UNSAFE}', '', 'g'), '\\s+', ' ', 'g'), ' ')"
+ORACLES["text_clean"] = f"""with s as (select doc_id, text, {SAFE} as safe from documents where text is not null), p as (select *, replace(safe, '|', '/') as line from s)
+select doc_id, case when length(line) > 60 then rtrim(left(line, 59)) || '…' else line end as clean, substr(case when regexp_matches(text, '^[=+\\-@\\t\\r\\n]') then '''' || text else text end, 1, 40) as cell, length(safe) as n_safe from p"""
+ORACLES["url_ids"] = f"select sidecar_id, case when length(url) <= 2048 and regexp_full_match(url, 'https://photos[.]example/photo/[A-Za-z0-9_-]{{10,200}}/?(?:[?#][!-~]*)?') then 'https://photos.example/photo/' || regexp_extract(url, 'photo/([A-Za-z0-9_-]{{10,200}})', 1) end as canonical, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) as url_id from {sidecars('url')} where url is not null"
+
+
+def unix_sql(c: str) -> str:
+    whole = f"case when regexp_matches({c}, '^\\s*[+-]?\\d{{1,12}}\\s*$') then try_cast(trim({c}) as bigint) when regexp_matches({c}, '^[+-]?\\d+[.]\\d*$') then cast(floor(try_cast({c} as double)) as bigint) end"
+    return f"(case when abs({whole}) < 1000000000000 then nullif({whole}, 0) end)"
+
+
+ORACLES["sidecar_times"] = f"select sidecar_id, {unix_sql('taken_ts')} as taken, case when lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0) then true else false end as located from {sidecars('taken_ts', 'lat', 'lon')}"
+ORACLES["json_props"] = "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events"
+_url = f"(select item_id, min(url) as url from {sidecars('item_id', 'url')} where item_id is not null group by 1)"
+ORACLES["image_tokens"] = f"select item_id, cast(ceil(width / 28.0) * ceil(height / 28.0) as bigint) as tokens from {photos('width', 'height')} where width > 0 and height > 0"
+
+EXIF = "^\\s*(\\d{4})[:\\-/](\\d{2})[:\\-/](\\d{2})[ T](\\d{2}):(\\d{2}):(\\d{2})"
+
+
+def wall_sql(c: str) -> str:
+    g = lambda i: f"regexp_extract({c}, '{EXIF}', {i})"
+    ts = f"try_cast({g(1)} || '-' || {g(2)} || '-' || {g(3)} || ' ' || {g(4)} || ':' || {g(5)} || ':' || {g(6)} as timestamp)"
+    return f"(case when regexp_matches({c}, '{EXIF}') and {g(4)} < '24' and year({ts}) between 1990 and 2027 then {ts} end)"
+
+
+def offset_sql(c: str) -> str:
+    p = "^\\s*([+-])(\\d{2}):?(\\d{2})\\s*$"
+    g = lambda i: f"cast(regexp_extract({c}, '{p}', {i}) as bigint)"
+    return f"(case when not regexp_matches({c}, '{p}') then null when {g(3)} >= 60 or {g(2)} * 60 + {g(3)} > 840 then null else (case when regexp_extract({c}, '{p}', 1) = '-' then -1 else 1 end) * ({g(2)} * 3600 + {g(3)} * 60) end)"
+
+
+LOCAL = f"""with s as (select item_id, arg_min(row(taken_ts, 1), sidecar_id)[1] as sc0 from {sidecars('item_id', 'taken_ts')} where item_id is not null group by 1),
+p as (select p.*, e.home_tz, {wall_sql('exif_dt')} as dto, {wall_sql('exif_dt_any')} as other, {offset_sql('exif_offset')} as off, {unix_sql('s.sc0')} as sc from {photos('exif_dt', 'exif_offset', 'exif_dt_any', 'folder', 'export_id')} p left join s on s.item_id = p.item_id left join exports e on e.export_id = p.export_id),
+w as (select *, case when dto is not null then dto when sc is not null and off is not null then epoch_ms((sc + off) * 1000) when sc is not null then timezone(home_tz, timezone('UTC', epoch_ms(sc * 1000))) else other end as wall from p),
+r as (select item_id, folder, case when sc is not null then 'sidecar' when dto is not null and off is not null then 'exif_offset' when dto is not null then 'exif_local' when other is not null then 'exif_any' else 'none' end as taken_src,
+ strftime(wall, '%Y-%m-%d') as local_date, strftime(wall, '%H:%M:%S') as local_time, case when dto is not null or (sc is not null and off is not null) then 0 else 1 end as day_uncertain, coalesce(year(wall), {YEAR}) as year from w)"""
+ORACLES["local_day"] = f"{LOCAL} select item_id, taken_src, local_date, local_time, day_uncertain, year from r"
+ORACLES["day_counts"] = f"{LOCAL} select local_date, count(*) as n, cast(sum(day_uncertain) as bigint) as n_uncertain from r where local_date is not null group by 1"
+ORACLES["undated_by_year"] = f"{LOCAL} select coalesce(year, {YEAR}) as year, count(*) as n from r where local_date is null group by 1"
+ORACLES["dense_ids"] = f"{LOCAL} select item_id as photo, row_number() over (order by local_date is null, local_date, local_time, 'x:' || item_id) as new_id from r"
+
+MEASURED = f"""with o as (select item_id, arg_min(row(origin_folder, 1), sidecar_id)[1] as origin_folder from {sidecars('item_id', 'origin_folder')} where item_id is not null group by 1),
+m as (select p.*, lower(o.origin_folder) as origin, coalesce(width, 0) as w, coalesce(height, 0) as h, coalesce(has_camera_exif, 0) as cam from {photos('filename', 'format', 'width', 'height', 'has_camera_exif', 'lap_var', 'luma_mean', 'luma_std', 'frac_dark', 'frac_bright', 'flat_frac')} p left join o on o.item_id = p.item_id),
+g as (select *, least(w, h) as short, greatest(w, h) as long_, greatest(w, h) / nullif(cast(least(w, h) as double), 0) as ratio, {N['app']} as app from m),
+z as (select *, case when short > 0 and ((short in ({', '.join(map(str, PHONE_SHORT))}) and ratio between 1.6 and 2.4) or (short in ({', '.join(map(str, TABLET_SHORT))}) and ratio between 1.3 and 1.45)) then true else false end as screen from g),
+c as (select item_id, 'screenshot' as category, case when {N['screenshot']} then 0.95 when origin like '%screenshot%' or origin like '%screen shot%' then 0.95 when cam = 0 and screen and (upper(format) = 'PNG' or coalesce(flat_frac, 0) >= 0.35) then 0.8 when cam = 0 and screen then 0.65 end as score,
+ case when {N['screenshot']} then 'screenshot file name' when origin like '%screenshot%' or origin like '%screen shot%' then 'from a Screenshots folder' when cam = 0 and screen and (upper(format) = 'PNG' or coalesce(flat_frac, 0) >= 0.35) then 'screen-sized ' || w || 'x' || h || ' graphic, no camera data' when cam = 0 and screen then 'screen-sized ' || w || 'x' || h || ', no camera data' end as reason from z
+ union all select item_id, 'messaging', case when app is not null or {' or '.join(f"origin like '%{k}%'" for k, _ in APP_FOLDERS)} then 0.9 end, case {' '.join(f"when app = '{k}' then 'saved from {v} (file name)'" for k, v in APP_FOLDERS)} {' '.join(f"when origin like '%{k}%' then 'from a {v} folder'" for k, v in APP_FOLDERS)} end from z
+ union all select item_id, 'tiny', case when long_ > 0 and long_ < 480 then 1.0 when long_ > 0 and long_ < 800 then 0.6 end, case when long_ > 0 and long_ < 480 then 'tiny: ' || w || 'x' || h when long_ > 0 and long_ < 800 then 'small: ' || w || 'x' || h end from z
+ union all select item_id, 'pocket', case when cam <> 1 then null when luma_mean < 25 and luma_std < 12 then 0.8 when flat_frac > 0.6 then 0.7 when lap_var < 20 then 0.6 end, case when cam <> 1 then null when luma_mean < 25 and luma_std < 12 then 'black frame (pocket or lens cap?)' when flat_frac > 0.6 then cast(round_even(flat_frac * 100, 0) as integer) || '% of the frame is one flat tone' when lap_var < 20 then 'almost no detail' end from z),
+rules as (select item_id, category, cast(score as double) as score, reason from c where score is not null)"""
+ORACLES["category_scores"] = f"{MEASURED} select item_id, category, score, reason from rules"
+ALL = f"""{MEASURED}, shots as (select z.*, coalesce(r.score, 0) as shot from z left join rules r on r.item_id = z.item_id and r.category = 'screenshot'),
+k as (select *, shot >= 0.8 or coalesce(flat_frac, 0) >= 0.35 as graphic, case when frac_bright is not null and luma_mean is not null then greatest(frac_bright, luma_mean / 255.0) end as over_ from shots),
+n as (select count(*) filter (where cam = 1 and not graphic) as n_cam, count(*) filter (where not graphic) as n_plain from k),
+ref as (select k.* from k, n where case when n_cam >= 20 then cam = 1 and not graphic when n_plain > 0 then not graphic else true end),
+v as (select item_id, 'blur' as category, lap_var as x, lap_var < 50 as gate from k where shot < 0.8 and lap_var is not null union all select item_id, 'dark', luma_mean, luma_mean < 25 from k where shot < 0.8 and luma_mean is not null union all select item_id, 'overexposed', over_, frac_bright > 0.5 or luma_mean > 215 from k where shot < 0.8 and over_ is not null),
+rv as (select 'blur' as category, lap_var as x from ref where lap_var is not null union all select 'dark', luma_mean from ref where luma_mean is not null union all select 'overexposed', over_ from ref where over_ is not null),
+tot as (select category, count(*) as t from rv group by 1),
+dv as (select distinct category, x from v), sh as (select dv.category, dv.x, (case when dv.category = 'overexposed' then count(*) filter (where rv.x < dv.x) else count(*) filter (where rv.x > dv.x) end) / cast(any_value(t) as double) as pct from dv join rv on rv.category = dv.category join tot on tot.category = dv.category group by 1, 2),
+dist as (select item_id, v.category, case when gate then greatest(pct, 0.5) else pct * 0.3 end as score from v join sh on sh.category = v.category and sh.x = v.x),
+scores as (select item_id, category, round(least(score, 1.0), 4) as score from (select item_id, category, score from rules union all select item_id, category, score from dist) where score >= 0.05)"""
+ORACLES["distribution_scores"] = f"{ALL} select item_id, category, score from scores where category in ('blur', 'dark', 'overexposed')"
+ORACLES["combined_score"] = f"{ALL} select item_id, max(score) as score from scores group by 1"
+ORACLES["top_flags"] = f"{ALL} select item_id, place, category, score from (select *, row_number() over (partition by item_id order by score desc, category) as place from scores where score > 0) where place <= 2"
+ORACLES["junk_counts"] = f"{ALL} select c as category, count(s.item_id) as n from (select unnest([{quoted(*CATEGORIES)}]) as c) left join scores s on s.category = c and s.score >= 0.5 group by 1"
+ORACLES["ecdf_values"] = f"with p as (select lap_var as x from {photos('lap_var')} where lap_var is not null), c as (select x, count(*) as n from p group by 1), t as (select *, sum(n) over (order by x) - n as under, sum(n) over () as total from c) select x, round(under / cast(total as double), 9) as below, round((total - under - n) / cast(total as double), 9) as above from t"
+
+ORACLES["exact_dups"] = f"with p as (select *, coalesce(width, 0) * coalesce(height, 0) as px, coalesce(file_size, 0) as fs from {photos('sha256', 'width', 'height', 'file_size')} where sha256 is not null), r as (select *, row_number() over (partition by sha256 order by px desc, fs desc, item_id) as k from p) select max(case when k = 1 then item_id end) as keeper, count(*) as n, sha1(string_agg(cast(item_id as varchar), chr(10) order by cast(item_id as varchar))) as group_key from r group by sha256 having count(*) > 1"
+ELIGIBLE = f"(select * from {photos('phash64', 'width', 'height', 'exif_dt', 'exif_subsec', 'sha256')} where phash64 is not null and phash64 <> 0)"
+
+
+def near_sql(limit: int) -> str:
+    return f"select a.item_id as a, b.item_id as b, cast(bit_count(xor(a.phash64, b.phash64)) as integer) as dist from {ELIGIBLE} a join {ELIGIBLE} b on a.item_id < b.item_id and bit_count(xor(a.phash64, b.phash64)) <= {limit}"
+
+
+ORACLES["near_candidates"] = near_sql(3)
+ORACLES["near_candidates_5"] = near_sql(5)
+SUB = "(case when regexp_matches(exif_subsec, '^\\s*\\d{1,9}') then cast(regexp_extract(exif_subsec, '^\\s*(\\d{1,9})', 1) as double) / power(10.0, length(regexp_extract(exif_subsec, '^\\s*(\\d{1,9})', 1))) end)"
+CHECKS = f"""with e as materialized (select item_id, phash64, width, height, sha256, epoch({wall_sql('exif_dt')}) as cs, {SUB} as sub from {ELIGIBLE}),
+p as (select a.item_id as a, b.item_id as b, a.width as w1, a.height as h1, b.width as w2, b.height as h2, case when a.cs is null or b.cs is null then null when a.sub is not null and b.sub is not null then abs((a.cs + a.sub) - (b.cs + b.sub)) else abs(a.cs - b.cs) end as delta from e a join e b on a.item_id < b.item_id and bit_count(xor(a.phash64, b.phash64)) <= 3 where a.sha256 is distinct from b.sha256 or a.sha256 is null),
+x as (select a, b, case when not coalesce(least(w1, h1, w2, h2) > 0 and w1 is not null and h1 is not null and w2 is not null and h2 is not null and abs(w1 / cast(h1 as double) - w2 / cast(h2 as double)) / greatest(w1 / cast(h1 as double), w2 / cast(h2 as double)) <= 0.02, false) then 'aspect' when not (delta is null or delta < 1e-6 or delta > 60) then 'capture' else 'none' end as rejected from p)"""
+ORACLES["edge_checks"] = f"{CHECKS} select a, b, rejected from x"
+ORACLES["reject_tally"] = f"{CHECKS} select rejected, count(*) as n from x group by 1"
+ORACLES["components"] = CHECKS.replace("with e as materialized", "with recursive e as materialized", 1) + ", s as (select a, b from x where rejected = 'none' union select b, a from x where rejected = 'none'), r as (select a as v, a as u from s union select r.v, s.b from r join s on s.a = r.u) select v, min(u) as component from r group by v"
+CHUNKS = "(select i, item_id, (phash64 >> case i when 0 then 1 when 1 then 17 when 2 then 33 else 49 end) & case when i = 3 then 32767 else 65535 end as value from E, range(4) t(i))"
+ORACLES["bucket_skips"] = f"with E as {ELIGIBLE}, c as {CHUNKS}, n as (select i, value, count(*) as n from c group by 1, 2 having count(*) > 5) select count(*) as skipped_buckets, cast(coalesce(sum(n), 0) as bigint) as skipped_bucket_items, cast(coalesce(sum(n * (n - 1) // 2), 0) as bigint) as unexamined_pairs from n"
+BITS = "(select vec_id, string_agg(case when embedding[64 - i] > med then '1' else '0' end, '' order by i) as bits from (select vec_id, embedding, (cast(list_sort(embedding)[32] as double) + list_sort(embedding)[33]) / 2 as med from embeddings), range(64) t(i) group by vec_id)"
+ORACLES["near_vectors"] = f"with h as materialized {BITS} select a.vec_id as a, b.vec_id as b, cast(hamming(a.bits, b.bits) as integer) as dist from h a join h b on a.vec_id < b.vec_id and hamming(a.bits, b.bits) <= 16"
+ORACLES["keeper_rank"] = f"select item_id, place from (select item_id, row_number() over (partition by sha256 order by coalesce(width, 0) * coalesce(height, 0) desc, coalesce(has_camera_exif, 0) desc, (exif_lat is not null and exif_lon is not null) desc, coalesce(file_size, 0) desc, item_id) as place from {photos('sha256', 'width', 'height', 'has_camera_exif', 'exif_lat', 'exif_lon', 'file_size')} where sha256 is not null) where place > 1"
+
+RECORDS = f"""s as (select item_id, arg_min(row(url, favorited, archived), sidecar_id) as s from {sidecars('item_id', 'url', 'favorited', 'archived')} where item_id is not null group by 1),
+rec as (select p.*, s.s[1] as url, coalesce(s.s[2], 0) as favorited, coalesce(s.s[3], 0) as archived, lower(nfc_normalize(filename)) as nm, coalesce(strftime(coalesce({wall_sql('exif_dt')}, {wall_sql('exif_dt_any')}), '%Y-%m-%d'), '') as day from {photos('zipkey', 'zip_name', 'export_id', 'member_idx', 'member', 'folder', 'folder_kind', 'filename', 'sha256', 'exif_dt', 'exif_dt_any')} p left join s on s.item_id = p.item_id where p.sha256 is not null),
+own as (select sha256, nm, day, count(distinct url) as owners, min(url) as owner from rec where url is not null group by 1, 2, 3),
+k as (select rec.*, case when url is not null then 'u|' || url when owners = 1 then 'u|' || owner when owners > 1 then 'a|' || zipkey || '|' || member_idx else 'n|' || hex(rec.sha256) || '|' || coalesce(rec.nm, '?') || '|' || rec.day end as item_key from rec left join own on own.sha256 = rec.sha256 and own.nm = rec.nm and own.day = rec.day),
+pl as (select *, row_number() over w as place, first_value(export_id) over w as pe from k window w as (partition by item_key order by url is null, case when folder_kind = 'year' then 0 else 1 end, export_id desc, zipkey, member_idx))"""
+ORACLES["collapse"] = f"with {RECORDS} select item_id, cast(place = 1 as integer) as is_primary, case when place = 1 then '' when folder_kind = 'album' then 'album_copy' when export_id <> pe then case when url is not null then 'double_export' else 'double_export_nourl' end when url is not null then 'same_url' else 'same_file_nourl' end as reason from pl"
+ORACLES["flag_merge"] = f"with {RECORDS} select max(url) as url, cast(max(favorited) as bigint) as favorited, cast(max(archived) as bigint) as archived, count(*) as n_records, count(distinct case when folder_kind = 'album' then folder end) as albums_n from k group by item_key having max(url) is not null"
+ORACLES["album_sets"] = f"select url, string_agg(distinct folder, '|' order by folder) as albums from {sidecars('url', 'folder', 'folder_kind', 'trashed')} where url is not null and folder_kind = 'album' and coalesce(trashed, 0) = 0 group by url having count(folder) > 0"
+ORACLES["uid_suffixes"] = f"with {RECORDS}, u as (select item_id, 's:' || lower(hex(sha256)) || ':' || folder_kind as base, row_number() over (partition by sha256, folder_kind order by folder, export_id, zip_name, member) as n from rec) select item_id, md5(case when n = 1 then base else base || ':' || n end) as uid_md5 from u"
+ORACLES["unindexed_by_day"] = f"""with s as (select *, {unix_sql('taken_ts')} as ts from {sidecars('item_id', 'url', 'taken_ts', 'title')}),
+m as (select url, lower(nfc_normalize(coalesce(title, ''))) as nm, strftime(timezone('America/New_York', timezone('UTC', epoch_ms(ts * 1000))), '%Y-%m-%d') as day from s where item_id is null and (url is null or url not in (select url from s where item_id is not null and url is not null))),
+o as (select case when url is not null then 'u|' || url else 'n|' || nm || '|' || coalesce(day, '?') end as same, min(day) as day from m group by 1) select day, count(*) as n from o group by 1"""
+
+SHOTS = """q as (select event_id, event_type, epoch(date_trunc('second', ts)) as t, value from events), l as (select *, case when t - lag(t) over w <= 60 and event_type = lag(event_type) over w then 0 else 1 end as o from q window w as (order by t, cast(event_id as varchar), event_id)),
+c as (select *, sum(o) over (order by t, cast(event_id as varchar), event_id rows unbounded preceding) as chain from l), b as (select *, min(event_id) over (partition by chain) as burst, count(*) over (partition by chain) as size from c), f as (select * from b where size > 1),
+k as (select *, row_number() over (partition by burst order by coalesce(value, 0) desc, cast(event_id as varchar)) as r from f)"""
+ORACLES["bursts_time"] = f"with {SHOTS} select burst, event_id as item_id from f"
+ORACLES["burst_ranks"] = f"with {SHOTS} select burst, event_id as item_id, r - 1 as place, cast(r = 1 as bigint) as is_best from k"
+ORACLES["burst_summary"] = f"with {SHOTS} select burst, count(*) as size, cast(min(t) as bigint) as start_ts, cast(max(t) as bigint) as end_ts from f group by 1"
+ORACLES["burst_extras"] = f"with {SHOTS} select a.event_id as item_id, b.event_id as best_item_id, cast(0.8 as double) as score from k a join k b on b.burst = a.burst and b.r = 1 where a.r > 1"
+ORACLES["bursts_by_name"] = f"with p as (select item_id, folder, substr(filename, 1, 6) as k from {photos('folder', 'filename')} where filename is not null and folder is not null), n as (select *, count(*) over (partition by folder, k) as n, min(item_id) over (partition by folder, k) as burst from p) select burst, item_id from n where n > 1"
+
+INDEX = LOCAL + f", ix as (select r.item_id, r.local_date, r.local_time, r.day_uncertain, r.year, p.filename, p.exif_lat as lat, p.exif_lon as lon from r join {photos('filename', 'exif_lat', 'exif_lon')} p on p.item_id = r.item_id)"
+ORACLES["search_filters"] = f"{INDEX} select item_id, local_date from ix where local_date between '2015-01-01' and '2019-12-31' and contains(lower(filename), 'img_') and lat is not null and lon is not null"
+ORACLES["search_semi"] = f"{MEASURED} select item_id from rules where category = 'tiny' and score >= 0.6"
+ORACLES["search_anti"] = f"{INDEX} select item_id from ix where year = 2018 and item_id not in (select item_id from {sidecars('item_id', 'favorited')} where favorited = 1 and item_id is not null)"
+ORACLES["search_page"] = f"{INDEX}, {MEASURED[5:]} select ix.item_id, local_date, (select max(score) from rules where rules.item_id = ix.item_id) as score from ix order by local_date is null, local_date, local_time, ix.item_id limit 50 offset 50"
+ORACLES["vector_topk"] = "select vec_id from (select vec_id, list_sum(list_transform(range(64), lambda i: cast(embedding[i + 1] as double) * (case when i % 2 = 1 then 1.0 else -0.5 end))) as s from embeddings) order by s desc, vec_id limit 20"
+ORACLES["items_in_zips"] = "select item_id, zip_id, name as zip_name from items join zips using (zipkey)"
+ORACLES["library_counts"] = "select year, count(*) as n, count(emb_row) as n_vectors, count(*) filter (where is_graphic = 1) as n_graphic from items group by 1"
+DUP = f"dm as (select *, min(item_id) over (partition by sha256) as group_id, count(*) over (partition by sha256) as n from {photos('sha256', 'width', 'height', 'file_size', 'filename')} where sha256 is not null), d as (select *, cast(item_id = group_id as integer) as is_keeper from dm where n > 1)"
+ORACLES["memberships"] = f"with {DUP}, b as (select zipkey, year, min(item_id) as burst from items where year is not null group by 1, 2 having count(*) between 2 and 5) select i.item_id, d.group_id as dup_group, d.is_keeper, b.burst, case when b.burst is not null then cast(i.item_id = b.burst as integer) end as is_best from items i left join d on d.item_id = i.item_id left join b on b.zipkey = i.zipkey and b.year = i.year"
+ORACLES["keeper_diff"] = f"with {DUP} select m.group_id, m.item_id, concat_ws(',', case when m.width is distinct from k.width then 'width' end, case when m.height is distinct from k.height then 'height' end, case when m.file_size is distinct from k.file_size then 'file_size' end, case when m.filename is distinct from k.filename then 'filename' end) as diff from d m join d k on k.item_id = m.group_id where m.is_keeper = 0"
+ORACLES["uncertain_members"] = f"with {DUP}, u as {_url} select m.group_id, m.item_id from d m left join u a on a.item_id = m.item_id left join u b on b.item_id = m.group_id where m.is_keeper = 0 and (a.url is null or b.url is null or a.url = b.url)"
+ORACLES["relational_division"] = f"with {DUP} select group_id from d group by 1 having bool_and(coalesce(width >= 1000, false))"
+ORACLES["group_pages"] = f"with {DUP}, g as (select distinct group_id from d order by group_id limit 20) select group_id, item_id, is_keeper from d where group_id in (select group_id from g)"
+ORACLES["ordered_lookup"] = "select item_id, item_uid, emb_row as ordinal from items where emb_row is not null"
+ORACLES["latest_decisions"] = "with e as (select user_id as group_key, event_id as seq, case when event_id % 3 = 0 then 'clear' else 'keeper' end as action, event_type as keeper_uid from events), l as (select *, row_number() over (partition by group_key order by seq desc) as r from e) select group_key, action, keeper_uid, seq from l where r = 1 and action <> 'clear'"
+ORACLES["proposal_batches"] = "select event_type as batch_id, cast(user_id % 3 as varchar) as actor, count(*) as n, min(event_id) as first_ts from events group by 1, 2"
+SESSIONS = "with l as (select event_type, ts, case when ts - lag(ts) over (partition by event_type order by ts) <= interval 60 seconds then 0 else 1 end as o from events), c as (select *, sum(o) over (partition by event_type order by ts rows unbounded preceding) as s from l) select event_type, count(*) as n, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts))) as bigint) as end_s from c group by event_type, s"
+ORACLES["event_sessions"] = SESSIONS
+ORACLES["stream_sessions"] = SESSIONS
