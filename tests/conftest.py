@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from lumenfold.session import local_session
 
-    s = local_session(cores=4, shuffle_partitions=4, memory="3g")
+    s = local_session(cores=4, shuffle_partitions=2, memory="3g")
     yield s
     s.stop()
 
