@@ -11,6 +11,7 @@ from lumenfold.llm.linking import linked_groups
 from lumenfold.llm.lookalike import letter_counts, same_looking, with_spelling
 from lumenfold.llm.mixing import mix, shares
 from lumenfold.llm.neighbours import nearest, neighbour_pairs
+from lumenfold.llm.oracles import ORACLES  # noqa: F401
 from lumenfold.llm.packing import fills, pack
 from lumenfold.llm.runs import collapsed, runs
 from lumenfold.llm.survivorship import keepers, survive
@@ -141,4 +142,4 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_golden": p1_golden, "p2_found": p2_found, "p3_found": p3_found, "p3_names": p3_names, "p4_found": p4_found, "p5_found": p5_found, "p5_runs": p5_runs, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
-ORACLES: dict[str, str] = {}
+
