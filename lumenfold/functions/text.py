@@ -88,3 +88,38 @@ def photo_url(c: Column, host: str = "photos.google.com") -> Column:
 def url_id(c: Column) -> Column:
     """The last part of a url's path."""
     return F.substring_index(F.regexp_replace(c, "/+$", ""), "/", -1)
+
+
+def recoverable_until(deleted_at: Column, days: int = 30) -> Column:
+    """The last day on which something deleted can be restored."""
+    return F.date_add(F.to_date(deleted_at), days)
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with fixed digits, rounded half to even on its exact binary value, which format_string isn't."""
+
+    @F.pandas_udf(T.StringType())
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None or v != v else f"{v:.{digits}f}")
+
+    return form(c.cast("double"))
+
+
+def percent(c: Column) -> Column:
+    """A share as whole percent, rounded half to even on its exact binary value."""
+
+    @F.pandas_udf(T.StringType())
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None or v != v else f"{v:.0%}")
+
+    return form(c.cast("double"))
+
+
+def round_binary(c: Column, digits: int = 4) -> Column:
+    """Rounded on the exact binary value, where round() goes by the shortest decimal."""
+
+    @F.pandas_udf(T.DoubleType())
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None or v != v else round(v, digits)).astype(float)
+
+    return form(c.cast("double"))

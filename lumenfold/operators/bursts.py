@@ -80,3 +80,13 @@ def burst_extras(rank: DataFrame) -> DataFrame:
     best = rank.where("is_best = 1").select("burst", F.col("quality").alias("best_quality"), F.col("item_id").alias("best_item_id"))
     d = rank.where("is_best = 0").join(best, "burst")
     return d.select("item_id", "best_item_id", F.lit(EXTRA).alias("score"), F.when(F.col("quality") > 0, F.col("best_quality") / F.col("quality")).alias("ratio"))
+
+
+def extra_reasons(extras: DataFrame, summary: DataFrame, rank: DataFrame) -> DataFrame:
+    """(item_id, score, reason): how many frames in how many seconds, and how much sharper the best one is."""
+    from lumenfold.functions.text import fixed
+
+    d = extras.join(rank.select("item_id", "burst"), "item_id").join(summary.select("burst", "size", "duration_s"), "burst")
+    sharper = F.when(F.col("ratio").isNotNull(), F.concat(fixed(F.col("ratio"), 1), F.lit("x sharper"))).otherwise("sharper")
+    reason = F.concat(F.lit("burst of "), F.col("size").cast("string"), F.lit(" in "), fixed(F.col("duration_s"), 1), F.lit(" s; #"), F.col("best_item_id").cast("string"), F.lit(" is "), sharper)
+    return d.select("item_id", "score", reason.alias("reason"))

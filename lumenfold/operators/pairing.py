@@ -146,3 +146,13 @@ def pair(media: DataFrame, sidecars: DataFrame, scratch: Scratch) -> DataFrame:
         s = s.join(won.select("sidecar_key"), "sidecar_key", "left_anti")
     out = media.select("media_key").distinct().join(found, "media_key", "left")
     return out.select("media_key", "sidecar_key", F.coalesce("rule", F.lit("none")).alias("rule"), F.coalesce("conf", F.lit("none")).alias("conf"))
+
+
+def unpaired(sidecars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sidecars that no media file claimed."""
+    return sidecars.join(pairs.where("sidecar_key is not null").select("sidecar_key"), "sidecar_key", "left_anti")
+
+
+def pairing_stats(pairs: DataFrame) -> DataFrame:
+    """(rule, conf, n) over all media."""
+    return pairs.groupBy("rule", "conf").agg(F.count("*").alias("n"))

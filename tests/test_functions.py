@@ -151,3 +151,26 @@ def test_pixels(spark):
     assert out[0].f.sig == sig and out[0].f.err is None and out[1].f.err == "ValueError" and out[2].f.phash64 is None
     pair = spark.createDataFrame([(bytearray(sig), bytearray(sig)), (bytearray(sig), None)], "a binary, b binary").select(pixels.sig_metrics("a", "b").alias("m")).collect()
     assert tuple(pair[0].m) == (0, 0, 0) and tuple(pair[1].m) == (None, None, None)
+
+
+def test_exact_rounding(spark):
+    assert column(spark, [0.25, 2.675, None], lambda c: text.fixed(c, 1), "double") == ["0.2", "2.7", None]
+    assert column(spark, [0.125, 0.615], text.percent, "double") == ["12%", "62%"]
+    assert column(spark, [2.675], lambda c: text.round_binary(c, 2), "double") == [2.67]
+    assert str(column(spark, ["2024-01-31 10:00:00"], text.recoverable_until)[0]) == "2024-03-01"
+
+
+def test_embedders(spark):
+    from lumenfold.functions.embedding import StubEmbedder, embed_images, query_vector
+
+    class Picky(StubEmbedder):
+        def images(self, data):
+            if b"bad" in data:
+                raise ValueError
+            return super().images(data)
+
+    rows = [(bytearray(b"a"),), (bytearray(b"bad"),), (None,), (bytearray(b"a"),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c binary").coalesce(1).select(embed_images(F.col("c"), lambda: Picky(8))).collect()]
+    assert got[0] == got[3] and got[1] is None and got[2] is None and len(got[0]) == 8
+    q = query_vector(StubEmbedder(8), "boat")
+    assert abs(sum(x * x for x in q) - 1) < 1e-6

@@ -251,3 +251,11 @@ NONE = (None, "none", "none")
 )
 def test_pairing(spark, scratch, media, sidecars, want):
     assert pairs_of(spark, scratch, media, sidecars) == want
+
+
+def test_burst_reasons(spark):
+    rows = [shot(1, 1, lap=230.0), shot(2, 2, lap=100.0, sub="014"), shot(3, 3, lap=0.0)]
+    items, members = spark.createDataFrame(rows, SHOT), spark.createDataFrame([(1, i) for i in (1, 2, 3)], "burst long, item_id long")
+    rank = B.ranked(members, items)
+    got = {r.item_id: r.reason for r in B.extra_reasons(B.burst_extras(rank), B.burst_summary(members, items), rank).collect()}
+    assert got == {2: "burst of 3 in 2.0 s; #1 is 2.3x sharper", 3: "burst of 3 in 2.0 s; #1 is sharper"}
