@@ -11,7 +11,7 @@ from lumenfold.operators import collapse as L
 from lumenfold.operators import groups as G
 from lumenfold.operators import scores as S
 from lumenfold.operators.components import connected
-from lumenfold.operators.pairing import pair
+from lumenfold.operators.pairing import pair, pairing_stats, unpaired
 
 ITEM = "item_id long, item_uid string, sha256 binary, phash64 long, sig binary, width int, height int, is_graphic boolean, capture_s long, subsec double, url string, has_camera_exif int, lat double, lon double, favorited int, albums_n int, file_size long, taken_ts long"
 SIG = bytearray(1152)
@@ -217,40 +217,49 @@ def test_distribution_scores(spark, scratch):
     assert counts["blur"] == 1 and counts["tiny"] == 0 and len(counts) == len(S.CATEGORIES)
 
 
-def pairs_of(spark, scratch, media, sidecars):
-    m = spark.createDataFrame([(i, "e", "f", n, t) for i, (n, t) in enumerate(media)], "media_key long, export_id string, folder string, filename string, exif_ts long")
-    s = spark.createDataFrame([(i, "e", "f", n, title, t) for i, (n, title, t) in enumerate(sidecars)], "sidecar_key long, export_id string, folder string, json_name string, title string, taken_ts long")
-    return {r.media_key: (r.sidecar_key, r.rule, r.conf) for r in pair(m, s, scratch).collect()}
-
-
 NONE = (None, "none", "none")
-
-
-@pytest.mark.parametrize(
-    ("media", "sidecars", "want"),
-    [
-        ([("a.jpg", None)], [("a.jpg.supplemental-metadata.json", "a.jpg", None)], {0: (0, "R1", "high")}),
-        ([("a.jpg", None)], [("a.jpg.json", None, None)], {0: (0, "R1", "low")}),
-        ([("a.jpg", None)], [("a.jpg.json", "b.jpg", None)], {0: NONE}),
-        ([("a(1).jpg", None)], [("a.jpg(1).json", "a.jpg", None)], {0: (0, "R2", "high")}),
-        ([("a.jpg", None)], [("a.jpg(1).json", "a.jpg", None)], {0: NONE}),
-        ([("A" * 44 + ".jpg", None)], [("A" * 44 + ".jp.json", "A" * 44 + ".jpg", None)], {0: (0, "R3", "high")}),
-        ([("a.jpg", None)], [("a.json", "a.jpg", None)], {0: (0, "R4", "high")}),
-        ([("a.jpg", None)], [("a.json", None, None)], {0: NONE}),
-        ([("a.jpg", None)], [("A.JPG.json", "a.jpg", None)], {0: (0, "R5", "high")}),
-        ([("a.jpg", None)], [("zzz.json", "a.jpg", None)], {0: (0, "R6", "high")}),
-        ([("é.jpg", None)], [("é.jpg.json", "é.jpg", None)], {0: (0, "R1", "high")}),
-        ([("a-edited.jpg", None)], [("a.jpg.json", "a.jpg", None)], {0: NONE}),
-        ([("a.jpg", 0)], [("a.jpg.json", "a.jpg", 86400 + 14 * 3600)], {0: (0, "R1", "high")}),
-        ([("a.jpg", 0)], [("a.jpg.json", "a.jpg", 86400 + 14 * 3600 + 1)], {0: NONE}),
-        ([("a.jpg", None), ("a.jpg", None)], [("a.jpg.json", "a.jpg", None)], {0: NONE, 1: NONE}),
-        ([("a.heic", None), ("a.mov", None)], [("a.json", "a.heic", None)], {0: (0, "R4", "high"), 1: NONE}),
-        ([("Photo (1).jpg", None), ("Photo.jpg", None)], [("Photo (1).jpg.json", "Photo (1).jpg", None), ("Photo.jpg.json", "Photo.jpg", None)], {0: (0, "R1", "high"), 1: (1, "R1", "high")}),
-        ([("a.jpg", None)], [], {0: NONE}),
-    ],
-)
-def test_pairing(spark, scratch, media, sidecars, want):
-    assert pairs_of(spark, scratch, media, sidecars) == want
+# media (name, time), sidecars (name, title, time), and for each media its sidecar, rule and confidence
+PAIRINGS = [
+    ([("a.jpg", None)], [("a.jpg.supplemental-metadata.json", "a.jpg", None)], {0: (0, "R1", "high")}),
+    ([("a.jpg", None)], [("a.jpg.json", None, None)], {0: (0, "R1", "low")}),
+    ([("a.jpg", None)], [("a.jpg.json", "b.jpg", None)], {0: NONE}),
+    ([("a(1).jpg", None)], [("a.jpg(1).json", "a.jpg", None)], {0: (0, "R2", "high")}),
+    ([("a.jpg", None)], [("a.jpg(1).json", "a.jpg", None)], {0: NONE}),
+    ([("A" * 44 + ".jpg", None)], [("A" * 44 + ".jp.json", "A" * 44 + ".jpg", None)], {0: (0, "R3", "high")}),
+    ([("a.jpg", None)], [("a.json", "a.jpg", None)], {0: (0, "R4", "high")}),
+    ([("a.jpg", None)], [("a.json", None, None)], {0: NONE}),
+    ([("a.jpg", None)], [("A.JPG.json", "a.jpg", None)], {0: (0, "R5", "high")}),
+    ([("a.jpg", None)], [("zzz.json", "a.jpg", None)], {0: (0, "R6", "high")}),
+    ([("é.jpg", None)], [("é.jpg.json", "é.jpg", None)], {0: (0, "R1", "high")}),
+    ([("a-edited.jpg", None)], [("a.jpg.json", "a.jpg", None)], {0: NONE}),
+    ([("a.jpg", 0)], [("a.jpg.json", "a.jpg", 86400 + 14 * 3600)], {0: (0, "R1", "high")}),
+    ([("a.jpg", 0)], [("a.jpg.json", "a.jpg", 86400 + 14 * 3600 + 1)], {0: NONE}),
+    ([("a.jpg", None), ("a.jpg", None)], [("a.jpg.json", "a.jpg", None)], {0: NONE, 1: NONE}),
+    ([("a.heic", None), ("a.mov", None)], [("a.json", "a.heic", None)], {0: (0, "R4", "high"), 1: NONE}),
+    ([("Photo (1).jpg", None), ("Photo.jpg", None)], [("Photo (1).jpg.json", "Photo (1).jpg", None), ("Photo.jpg.json", "Photo.jpg", None)], {0: (0, "R1", "high"), 1: (1, "R1", "high")}),
+    ([("a.jpg", None)], [], {0: NONE}),
+]
+
+
+def test_pairing(spark, scratch):
+    """Each case in a folder of its own; keys are numbered through."""
+    media, sidecars, want = [], [], {}
+    for n, (ms, ss, expected) in enumerate(PAIRINGS):
+        for i, (name, t) in enumerate(ms):
+            media.append((100 * n + i, "e", f"f{n}", name, t))
+            key, rule, conf = expected[i]
+            want[100 * n + i] = (None if key is None else 100 * n + key, rule, conf)
+        sidecars += [(100 * n + i, "e", f"f{n}", name, title, t) for i, (name, title, t) in enumerate(ss)]
+    media.append((99_999, None, None, "a.jpg", None))
+    want[99_999] = NONE
+    sidecars.append((99_999, None, None, "a.jpg.json", "a.jpg", None))
+    m = spark.createDataFrame(media, "media_key long, export_id string, folder string, filename string, exif_ts long")
+    s = spark.createDataFrame(sidecars, "sidecar_key long, export_id string, folder string, json_name string, title string, taken_ts long")
+    pairs = scratch.save(pair(m, s, scratch))
+    assert {r.media_key: (r.sidecar_key, r.rule, r.conf) for r in pairs.collect()} == want
+    assert unpaired(s, pairs).count() == len(sidecars) - sum(v[0] is not None for v in want.values())
+    assert sum(r.n for r in pairing_stats(pairs).collect()) == len(media)
+    assert pair(m.limit(0), s.limit(0), scratch).count() == 0
 
 
 def test_burst_reasons(spark):
