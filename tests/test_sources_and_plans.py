@@ -88,7 +88,7 @@ def test_search(spark, index):
     assert find(filename_contains="%") == [1, 3, 5] and find(filename_contains="STRASSE") == [2, 4] and find(filename_contains="_") == [1, 3, 5]
     assert find(category="blur") == [1] and find(category="any", min_score=0.4) == [1, 3, 2] and find(min_score=0.6) == [1, 3]
     assert find(date_from="2020-01-02", date_to="2020-01-03") == [2, 3] and find(has_gps=True) == [2] and find(has_gps=False) == [1, 3, 4, 5]
-    assert find(vector=[1.0, 1.0]) == [1, 2, 3] and find(vector=[1.0, -1.0]) == []
+    assert find(vector=[1.0, 1.0]) == [3, 2, 1] and find(vector=[1.0, -1.0]) == []
     page, total = Q.search(index, Q.SearchParams(limit=2, offset=4), scores)
     assert ids(page) == [5] and tuple(total.first()) == (5, None)
     hidden = spark.createDataFrame([("u1",), ("u2",)], "item_uid string")
