@@ -29,8 +29,10 @@ CJK = "぀-ヿ㐀-鿿ｦ-ﾟ"
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 STOPS = ".!?。！？…"
 CLOSERS = "\"'»”’“)]}」』›"
-# End punctuation, newline, one ideograph, a word, digits, any other sign.
-TOKEN = re.compile(rf"[{STOPS}]+(?=[{re.escape(CLOSERS)}]*(?:\s|$))|\n|[{CJK}]|[^\W\d_{CJK}]+|\d+|[^\w\s]|_")
+# A dot that text goes on after is one inside of a word or number.
+INNER = re.compile(rf"\.(?=[^\s.{re.escape(CLOSERS)}])")
+# Stops, newline, one ideograph, a word, digits, any other sign.
+TOKEN = re.compile(rf"[{STOPS}]+|\n|[{CJK}]|[^\W\d_{CJK}]+|\d+|[^\w\s]|_")
 MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|\.{3,}|…)$")
 NOTHING, LINE, STOP, DOT, PREFIX, UNIT = range(6)
 UNIT_TOKENS = 16
@@ -43,21 +45,25 @@ def _key(parts: tuple[str, ...] | str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts) if isinstance(parts, tuple) else "\x1e" + parts) - (1 << 63)
 
 
+class _Forms(dict):
+    """Token to its form, filled as tokens come: words in lower case, digits as 0, stops as one, overlong words as one."""
+
+    def __missing__(self, t: str) -> str:
+        c = t[0]
+        form = "0" if c.isdigit() else "." if c in STOPS else (t.lower() if len(t) <= 40 else "\x02") if c.isalpha() else t
+        if len(self) < 1_000_000:
+            self[t] = form
+        return form
+
+
+_FORMS = _Forms()
+
+
 def _marked(text: str) -> list[str]:
-    """Words in lower case, digits as 0, end punctuation as one stop, dots inside of words or numbers as ·; markup is a new line."""
-    spaced = TAG.sub("\n", text)
-    out = []
-    for m in TOKEN.finditer(spaced):
-        t, c = m.group(), m.group()[0]
-        if c in STOPS:
-            after = spaced[m.end() : m.end() + 1]
-            t = "." if not after or after.isspace() or after in CLOSERS or c != "." or len(t) > 1 else "·"
-        elif c.isdigit():
-            t = "0"
-        elif c.isalpha():
-            t = t.lower() if len(t) <= 40 else "\x02"
-        out.append(t)
-    return out
+    """Forms of the tokens, with dots inside of words or numbers as ·; markup is a new line."""
+    plain = TAG.sub("\n", text) if "<" in text else text
+    forms = _FORMS
+    return [forms[t] for t in TOKEN.findall(INNER.sub("·", plain))]
 
 
 def _event(following: str | None) -> int:
@@ -66,16 +72,15 @@ def _event(following: str | None) -> int:
     return STOP if following == "." else DOT if following == "·" else NOTHING
 
 
-_EVENTS: dict[str | None, int] = {}
+class _Events(dict):
+    def __missing__(self, following: str | None) -> int:
+        e = _event(following)
+        if len(self) < 1_000_000:
+            self[following] = e
+        return e
 
 
-def _event_of(following: str | None) -> int:
-    e = _EVENTS.get(following)
-    if e is None:
-        e = _event(following)
-        if len(_EVENTS) < 500_000:
-            _EVENTS[following] = e
-    return e
+_EVENTS = _Events()
 
 
 def _unit_key(unit: list[str]) -> int:
@@ -90,6 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
 
     units: Counter = Counter()
+    events_of = _EVENTS
 
     def flush() -> pa.RecordBatch:
         keys, events, ns = [], [], []
@@ -99,7 +105,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ns.append(n)
         prefixes: Counter = Counter()
         for w, n in words.items():
-            if len(w) <= 40:
+            if len(w) > 1 and w[0].isalpha():
                 for i in range(1, len(w)):
                     prefixes[w[:i]] += n
         for p, n in prefixes.items():
@@ -120,18 +126,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = _marked(text.rstrip())
             if not t:
                 continue
-            ev = [_event_of(x) for x in t[1:]] + [LINE]
+            ev = [events_of[x] for x in t[1:]] + [LINE]
             t1, t2 = ["\n", *t[:-1]], ["\n", "\n", *t[:-2]][: len(t)]
             counts.update(zip(t, ev, strict=True))
             counts.update(zip(t1, t, ev, strict=True))
             counts.update(zip(t2, t1, t, ev, strict=True))
-            words.update(x for x in t if x[0].isalpha())
+            words.update(t)
             start = 0
-            for i, e in enumerate(ev):
-                if e == LINE or e == STOP:
-                    if u := _unit_key(t[start : i + 1]):
-                        units[u] += 1
-                    start = i + 1
+            for i in [i for i, e in enumerate(ev) if e == LINE or e == STOP]:
+                if i - start < 2 * UNIT_TOKENS and (u := _unit_key(t[start : i + 1])):
+                    units[u] += 1
+                start = i + 1
             if len(counts) > FLUSH:
                 yield flush()
     if counts:
@@ -141,7 +146,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ending(text: str, own: int) -> tuple[int, int, int, int, int, int]:
     """(own event, k1, k2, k3, kp, ku) of the place after text."""
     all_ = _marked(text[-400:])
-    start = next((i + 1 for i in range(len(all_) - 2, -1, -1) if _event_of(all_[i + 1]) in (LINE, STOP) or all_[i] in (".", "\n", "#")), 0)
+    start = next((i + 1 for i in range(len(all_) - 2, -1, -1) if _EVENTS[all_[i + 1]] in (LINE, STOP) or all_[i] in (".", "\n", "#")), 0)
     t = ["\n", "\n", *all_][-3:]
     return own, _key((t[2],)), _key((t[1], t[2])), _key((t[0], t[1], t[2])), _key(t[2]) if t[2][0].isalpha() else 0, _unit_key(all_[start:])
 
@@ -185,7 +190,7 @@ def _endings(rate: float):
                         continue
                     inside = whole[at - 1].isalnum() and rest[0].isalnum()
                     following = None if inside else next(iter(_marked(rest[:60])), None)
-                    out.append((doc, source, CUT, 0, PLAIN, 0, *size, *_ending(cut, -1 if inside else _event_of(following))))
+                    out.append((doc, source, CUT, 0, PLAIN, 0, *size, *_ending(cut, -1 if inside else _EVENTS[following])))
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ENDS.split(", ")])
 
     return run
@@ -298,7 +303,8 @@ def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     Counts cover all documents; sample_docs bounds the documents that train the ending model only.
     """
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source"))
-    used = docs.where(F.col("text").isNotNull() & (F.length(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " "))) > 0))
+    written = F.coalesce(F.col("text").rlike(r"[^\s\p{Z}]"), F.lit(False))
+    used = docs.where(written)
     total = used.count()
     rate = min(1.0, sample_docs / max(1, total))
     per = lambda e: F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(0)).alias(f"n{e}")
@@ -331,7 +337,7 @@ def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     odds = F.least(F.greatest(F.coalesce(F.greatest("limit_p", base), base), F.lit(1e-3)), F.lit(0.98))
     posterior = 1 / (1 + F.exp(-(F.col("end_logit") + F.log(odds / (1 - odds)))))
     result = scored.select("doc_id", "source", posterior.alias("posterior"))
-    blank = docs.where(F.col("text").isNull() | (F.length(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " "))) == 0)).select("doc_id", "source", F.lit(0.0).alias("posterior"))
+    blank = docs.where(~written).select("doc_id", "source", F.lit(0.0).alias("posterior"))
     return result.unionByName(blank).select(F.col("doc_id").alias(key), F.col("source").alias(source), (F.col("posterior") >= 0.5).alias("cut"), "posterior")
 
 
