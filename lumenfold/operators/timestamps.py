@@ -189,4 +189,4 @@ def with_instants(df: DataFrame, value: str, home_tz: str, offset: str | None =
         .otherwise(F.lit("skipped"))
     )
     d = d.withColumn(out, F.coalesce(F.col("_ts_u"), w - used)).withColumn(f"{out}_how", how)
-    return d.select(*df.columns, out, f"{out}_how")
+    return d.select(*[c for c in df.columns if c not in (out, f"{out}_how")], out, f"{out}_how")
