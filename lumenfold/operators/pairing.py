@@ -140,7 +140,7 @@ def pair(media: DataFrame, sidecars: DataFrame, scratch: Scratch) -> DataFrame:
     found = None
     for rule in ("R1", "R2", "R3", "R4", "R5", "R6"):
         won = mutual_best(_confirmed(_candidates(rule, m, s), rule), scratch)
-        won = scratch.save(won.withColumn("rule", F.lit(rule)), f"won-{rule}")
+        won = won.withColumn("rule", F.lit(rule))
         found = won if found is None else found.unionByName(won)
         m = m.join(won.select("media_key"), "media_key", "left_anti")
         s = s.join(won.select("sidecar_key"), "sidecar_key", "left_anti")
