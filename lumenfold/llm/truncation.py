@@ -298,11 +298,11 @@ def _featured(ends: DataFrame, counts: DataFrame) -> DataFrame:
 def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(key, source, cut, posterior): for every document whether its text stops before its end.
 
-    Null, empty and blank texts are not cut. Documents without a source form a source of their own. Texts are read whole and
+    Null keys are dropped. Null, empty and blank texts are not cut. Documents without a source form a source of their own. Texts are read whole and
     of any length; a repeated key gives a row each time; an empty table gives an empty table; other columns are dropped.
     Counts cover all documents; sample_docs bounds the documents that train the ending model only.
     """
-    docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source"))
+    docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source")).where("doc_id is not null")
     written = F.coalesce(F.col("text").rlike(r"[^\s\p{Z}]"), F.lit(False))
     used = docs.where(written)
     total = used.count()

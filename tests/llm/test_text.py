@@ -107,7 +107,7 @@ def test_cut_texts(spark, scratch):
 
 
 def test_odd_documents(spark, scratch):
-    rows = [(1, None, None), (2, "", "s"), (3, "word " * 60_000, "s"), (3, "one.", "s"), (4, "�", "s"), (5, "😀", "s"), (6, "x" * 300_000, "s")]
+    rows = [(None, "gone", "s"), (1, None, None), (2, "", "s"), (3, "word " * 60_000, "s"), (3, "one.", "s"), (4, "�", "s"), (5, "😀", "s"), (6, "x" * 300_000, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = truncated(df, scratch).collect()
     assert len(got) == 7 and {r.doc_id for r in got if r.doc_id in (1, 2) and r.cut} == set()
