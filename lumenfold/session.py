@@ -7,10 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int = 4, shuffle_partitions: int = 8, memory: str = "4g") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
@@ -31,6 +35,28 @@ def local_session(cores: int = 4, shuffle_partitions: int = 8, memory: str = "4g
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Spark send the package to Python workers that can't import it from the driver's PYTHONPATH or folder.
+
+    Done once for an application; the archive is served by the driver, so executors need no copy of the repository.
+    """
+    package = Path(__file__).resolve().parent
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if spark.sparkContext.master.startswith("local["):  # the workers start in the driver's folder
+        known.append(os.getcwd())
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or any(p and Path(p).resolve() == package.parent for p in known):
+        return
+    folder = tempfile.mkdtemp(prefix="lumenfold-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; columns are pruned and filters pushed down by Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
