@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.documents import unix_field
 from lumenfold.functions.localtime import exif_wall, subsec, with_local_fields
+from lumenfold.functions.pixels import SIG_BYTES
 from lumenfold.operators import bursts as B
 from lumenfold.operators import scores as S
 from lumenfold.operators.collapse import assign_items, merged, with_item_ids, with_uids
@@ -56,15 +57,21 @@ def analyse(items: DataFrame, scratch: Scratch, p: GroupParams | None = None) ->
     """Groups, bursts and scores: a function of index columns only.
 
     The screenshot score decides what is graphic, that what is grouped, the groups what can be a burst, and all of it the scores.
+    Where no item has a signature, near matches are verified by hash, aspect and capture alone: one signature stands for all, and
+    the members' signature distances are null. A hash of 0 (a blank frame) then matches nothing.
     """
-    if "sig" not in items.columns:
-        items = items.withColumn("sig", F.lit(None).cast("binary"))
+    signed = "sig" in items.columns and not items.where("sig is not null").isEmpty()
+    if not signed:
+        items = items.withColumn("sig", F.when(F.col("phash64") != 0, F.lit(bytearray(SIG_BYTES))))
     d = items.withColumn("shot", S.screenshot()["score"]).withColumn("is_graphic", (F.coalesce("shot", F.lit(0.0)) >= 0.8) | (F.coalesce("flat_frac", F.lit(0.0)) >= 0.35))
     d = scratch.save(d.withColumns({"capture_s": exif_wall(F.col("exif_dt")), "subsec": subsec(F.col("exif_subsec"))}), "flagged")
     found = find_groups(d, scratch, p)
     ids = found["groups"].select("component", "group_no", F.dense_rank().over(_by_seed()).cast("long").alias("group_id"))
     groups = scratch.save(found["groups"].join(ids, ["component", "group_no"]).drop("component", "group_no"), "groups")
-    members = scratch.save(found["members"].join(ids, ["component", "group_no"]).drop("component", "group_no"), "members")
+    members = found["members"].join(ids, ["component", "group_no"]).drop("component", "group_no")
+    if not signed:
+        d, members = d.drop("sig"), members.withColumns({c: F.lit(None).cast(t) for c, t in members.dtypes if c.startswith("sig_")})
+    members = scratch.save(members, "members")
     inside = members.select("item_id", F.col("group_id").alias("dup_group"), "is_keeper")
     by_name = scratch.save(B.filename_bursts(d), "by-name")
     seq = d.where(~F.col("is_graphic")).join(by_name.select("item_id"), "item_id", "left_anti").join(inside, "item_id", "left").where("is_keeper is null or is_keeper = 1")
@@ -90,7 +97,8 @@ def build(spark: SparkSession, sf_dir: str, root: str, name: str, p: GroupParams
     """Read deliveries, build the index and write it as a snapshot; returns the manifest."""
     scratch = Scratch(spark, "build")
     raw = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    photos = scratch.save(latest_values(raw("items_raw"), "item_id", PHOTO), "photos")
+    scanned = raw("items_raw")
+    photos = scratch.save(latest_values(scanned, "item_id", [*PHOTO, *(c for c in ["sig"] if c in scanned.columns)]), "photos")
     sidecars = scratch.save(latest_values(raw("sidecars_raw"), "sidecar_id", SIDECAR), "sidecars")
     items, aliases = library_items(records(photos, sidecars, raw("exports")), sidecars, scratch)
     tables = analyse(items, scratch, p)

@@ -167,3 +167,45 @@ def test_build_and_regroup(spark, tmp_path):
     for t in ("scores", "dup_members"):
         a, b = (snapshots.read_table(spark, root, n, t) for n in ("one", "two"))
         assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def deliveries(spark, tmp_path, **changed):
+    """A data directory with the smallest tables, some of them changed."""
+    for t in ("items_raw", "sidecars_raw", "exports", "zips"):
+        changed.get(t, spark.read.parquet(f"{DATA}/{t}.parquet")).write.parquet(f"{tmp_path}/data/{t}.parquet")
+    return f"{tmp_path}/data"
+
+
+def planted(spark, n, sig=None, **fields):
+    """n photos of one hash but for a bit, each with bytes and a name of its own; fields override those of a delivered photo."""
+    raw = spark.read.parquet(f"{DATA}/items_raw.parquet")
+    one = raw.where("err is null and phash64 <> 0 and width > 0 and height > 0").orderBy("item_id").limit(1)
+    i = F.col("i")
+    d = one.join(spark.range(n).withColumnRenamed("id", "i")).withColumns({"item_id": 10_000_000 + i, "member_idx": 10_000_000 + i, "filename": F.concat(F.lit("planted"), i, F.lit(".jpg")), "sha256": F.unhex(F.sha2(F.concat(F.lit("planted"), i.cast("string")), 256)), "phash64": F.lit(0x0123456789ABCDEF).bitwiseXOR(F.when(i == n - 1, 1).otherwise(0).cast("long"))})
+    for c, v in {"exif_dt": None, "exif_dt_any": None, "flat_frac": 0.0, "width": 4000, "height": 3000, "format": "JPEG", "has_camera_exif": 1, **fields}.items():
+        d = d.withColumn(c, F.lit(v).cast(raw.schema[c].dataType))
+    d = d.select(*raw.columns, *([sig(i).alias("sig")] if sig is not None else []))
+    return raw.unionByName(d, allowMissingColumns=True)
+
+
+def test_build_finds_near_groups_without_signatures(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    pipeline.build(spark, deliveries(spark, tmp_path, items_raw=planted(spark, 3)), root, "one")
+    groups, members, items = (snapshots.read_table(spark, root, "one", t) for t in ("dup_groups", "dup_members", "items"))
+    near = groups.where("kind = 'near'").join(members, "group_id").join(items, "item_id")
+    assert [r["n"] for r in near.where("filename like 'planted%'").groupBy("group_id").agg(F.count("*").alias("n")).collect()] == [3]
+    assert members.where("sig_mad is not null").count() == 0 and "sig" not in items.columns
+
+
+def test_build_carries_signatures(spark, tmp_path):
+    root, sig = f"file://{tmp_path}", lambda i: F.when(i == 0, F.lit(bytearray([200]) * 1152)).otherwise(F.lit(bytearray(1152)))
+    pipeline.build(spark, deliveries(spark, tmp_path, items_raw=planted(spark, 3, sig)), root, "one")
+    pipeline.regroup(spark, root, "one", "two", GroupParams())
+    for name in ("one", "two"):
+        groups, members, items = (snapshots.read_table(spark, root, name, t) for t in ("dup_groups", "dup_members", "items"))
+        near = groups.where("kind = 'near'").join(members, "group_id").join(items, "item_id")
+        assert sorted(r.filename for r in near.collect()) == ["planted1.jpg", "planted2.jpg"]
+        assert near.where("sig_mad = 0").count() == 2
