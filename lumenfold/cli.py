@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(a)
         if name in ("build", "regroup"):
             s.add_argument("--distance", type=int, default=3)
+            s.add_argument("--bucket-cap", type=int, help="skip hash buckets of more items, as the reference does at 500; exact without")
         if name == "search":
             for a in ("category", "date_from", "date_to", "filename_contains", "group"):
                 s.add_argument(f"--{a.replace('_', '-')}", dest=a)
@@ -34,9 +35,9 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("lumenfold").getOrCreate()
     if a.command == "build":
-        print(pipeline.build(spark, a.data, a.root, a.name, GroupParams(distance=a.distance))["tables"])
+        print(pipeline.build(spark, a.data, a.root, a.name, GroupParams(distance=a.distance, bucket_cap=a.bucket_cap))["tables"])
     elif a.command == "regroup":
-        print(pipeline.regroup(spark, a.root, a.old, a.new, GroupParams(distance=a.distance))["tables"])
+        print(pipeline.regroup(spark, a.root, a.old, a.new, GroupParams(distance=a.distance, bucket_cap=a.bucket_cap))["tables"])
     elif a.command == "check":
         problems = snapshots.check_snapshot(spark, a.root, a.name)
         problems.show(truncate=False)

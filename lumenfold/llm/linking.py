@@ -1,6 +1,6 @@
 """Pairwise matches consolidated into groups.
 
-`hamming_pairs` finds all pairs of distinct 64-bit hashes within a small distance; `match_edges` adds the stars of
+`hamming_pairs` (of the core) finds all pairs of distinct 64-bit hashes within a small distance; `match_edges` adds the stars of
 exact copies; `components` gives every linked record one group identifier. The components come by stripping
 vertices of degree one and compressing chains of degree-two vertices by list ranking, in turn, until little more
 goes; the reduced core is solved by hooking and contraction; then the labels return to the removed vertices in
@@ -10,67 +10,12 @@ shared folder, so a lost executor costs no more than a step.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.candidates import HOT_BUCKET, block_masks, hamming_pairs  # noqa: F401
 from lumenfold.session import Scratch
 
-BITS = 64
-HOT_BUCKET = 2000  # buckets with more distinct hashes are split by further bits
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
-
-
-def _split(positions: list[int], parts: int) -> list[int]:
-    """Masks of contiguous parts of the bit positions."""
-    cuts = [len(positions) * i // parts for i in range(parts + 1)]
-    return [sum(1 << p for p in positions[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def block_masks(distance: int) -> list[int]:
-    """Masks of every two of distance + 2 blocks: hashes within the distance agree on at least one of them."""
-    blocks = _split(list(range(BITS)), distance + 2)
-    return [a | b for a, b in combinations(blocks, 2)]
-
-
-def _first_agreeing(x: Column, masks: list[int]) -> Column:
-    return F.coalesce(*[F.when(x.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
-
-
-def hamming_pairs(hashes: DataFrame, scratch: Scratch, distance: int = 3, hash_col: str = "h", id_col: str = "rep", hot: int = HOT_BUCKET) -> DataFrame:
-    """(a, b): the ids of all pairs of distinct hashes at most `distance` bits apart, each pair once.
-
-    hashes: distinct non-null hashes with an id. Exact at any size: candidates agree on two of distance + 2 blocks, and a
-    pair is kept in the first table where it agrees. Buckets over `hot` hashes are keyed by a further part of their other
-    bits, of which one must agree again, so no bucket is joined with itself on few bits.
-    """
-    masks = block_masks(distance)
-    rest = [_split([p for p in range(BITS) if not m >> p & 1], distance + 1) for m in masks]
-    one = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    keyed = one.select("id", "h", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.col("h").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])))
-    crowded, n_hot = scratch.save_counted(keyed.groupBy("t", "k").count().where(F.col("count") > hot).select("t", "k", F.lit(True).alias("hot")), "hot")
-
-    def joined(left: DataFrame, on: list[str], extra: Column) -> DataFrame:
-        a, b = (left.select(*on, F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h")) for s in "ab")
-        x = F.col("a_h").bitwiseXOR(F.col("b_h"))
-        near = (F.col("a_h") < F.col("b_h")) & (F.bit_count(x) <= distance) & (_first_agreeing(x, masks) == F.col("t"))
-        return a.join(b, on).where(near & extra).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-    if not n_hot:
-        return joined(keyed, ["t", "k"], F.lit(True))
-    marked = keyed.join(crowded, ["t", "k"], "left")
-    plain = joined(marked.where(F.col("hot").isNull()), ["t", "k"], F.lit(True))
-    # The part masks of every table, as one small literal.
-    parts = F.array(*[F.array(*[F.lit(_signed(m | s)) for s in subs]) for m, subs in zip(masks, rest, strict=True)])
-    finer = marked.where("hot").select("id", "h", "t", F.posexplode(F.get(parts, F.col("t"))).alias("s", "m")).withColumn("k2", F.col("h").bitwiseAND(F.col("m")))
-    x = F.col("a_h").bitwiseXOR(F.col("b_h"))
-    first_part = F.coalesce(*[F.when(x.bitwiseAND(F.get(F.get(parts, F.col("t")), F.lit(i))) == 0, F.lit(i)) for i in range(distance + 1)])
-    return plain.unionByName(joined(finer, ["t", "s", "k2"], first_part == F.col("s")))
-
 
 def match_edges(items: DataFrame, scratch: Scratch, key: str = "item_id", exact: str = "sha256", hashed: str = "phash64", distance: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b) edges that link all matching records: stars of equal `exact`, stars of equal `hashed`, and near hashes.

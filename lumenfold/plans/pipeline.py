@@ -83,7 +83,13 @@ def analyse(items: DataFrame, scratch: Scratch, p: GroupParams | None = None) ->
     sure = (F.col("deletable") == 1) & F.col("url").isNotNull() & F.col("keeper_url").isNotNull() & (F.col("url") != F.col("keeper_url"))
     dup = dup.select("item_id", F.lit("dup_extra").alias("category"), F.when(sure, 1.0).otherwise(0.6).alias("score"))
     scores = S.stored(S.category_scores(d).select("item_id", "category", "score"), S.distribution_scores(d, scratch), extras, dup)
-    return {"items": d.drop("capture_s", "subsec"), "dup_groups": groups, "dup_members": members, "burst_members": rank, "bursts": B.burst_summary(rank.select("burst", "item_id"), d), "scores": scores}
+    out = {"items": d.drop("capture_s", "subsec"), "dup_groups": groups, "dup_members": members, "burst_members": rank, "bursts": B.burst_summary(rank.select("burst", "item_id"), d), "scores": scores}
+    return {**out, "bucket_skips": found["skips"]} if "skips" in found else out
+
+
+def _cfg(p: GroupParams | None) -> dict:
+    p = p or GroupParams()
+    return {"distance": p.distance, "bucket_cap": p.bucket_cap}
 
 
 def _by_seed():
@@ -102,7 +108,7 @@ def build(spark: SparkSession, sf_dir: str, root: str, name: str, p: GroupParams
     sidecars = scratch.save(latest_values(raw("sidecars_raw"), "sidecar_id", SIDECAR), "sidecars")
     items, aliases = library_items(records(photos, sidecars, raw("exports")), sidecars, scratch)
     tables = analyse(items, scratch, p)
-    return write_snapshot(spark, root, name, {**tables, "item_aliases": aliases, "zips": raw("zips")}, {"distance": (p or GroupParams()).distance})
+    return write_snapshot(spark, root, name, {**tables, "item_aliases": aliases, "zips": raw("zips")}, _cfg(p))
 
 
 def regroup(spark: SparkSession, root: str, old: str, new: str, p: GroupParams) -> dict:
@@ -110,4 +116,4 @@ def regroup(spark: SparkSession, root: str, old: str, new: str, p: GroupParams)
     scratch = Scratch(spark, "regroup")
     items = read_table(spark, root, old, "items").drop("shot", "is_graphic")
     keep = {t: read_table(spark, root, old, t) for t in ("item_aliases", "zips")}
-    return write_snapshot(spark, root, new, {**analyse(items, scratch, p), **keep}, {"distance": p.distance})
+    return write_snapshot(spark, root, new, {**analyse(items, scratch, p), **keep}, _cfg(p))

@@ -49,6 +49,25 @@ def test_bucket_caps(spark):
     assert C.near_candidates(df, 3, 12).count() == 66
 
 
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_exact_candidates_equal_brute_force(spark, scratch, hot):
+    rng = random.Random(hot)
+    near = [1 << b for b in range(40)] + [0b11 << b for b in range(0, 60, 7)]
+    rows = [(i, h) for i, h in enumerate([5] * 20 + near + [rng.getrandbits(62) for _ in range(50)])]
+    df = spark.createDataFrame(rows + [(None, 5), (9999, None)], "item_id long, phash64 long")
+    got = sorted(map(tuple, C.exact_candidates(df, scratch, 3, hot=hot).collect()))
+    assert got == sorted(map(tuple, C.brute_candidates(df.dropna(), 3).collect()))
+
+
+def test_crowded_hashes_keep_their_near_ones(spark, scratch):
+    """By default nothing is skipped: 600 copies and one near hash are one group; a cap is an option and tells what it skips."""
+    rows = [item(i, "x", 7) for i in range(600)] + [item(600, "y", 6)]
+    got, found = groups_of(spark, scratch, rows)
+    assert [len(g) for g in got] == [601] and "skips" not in found
+    got, found = groups_of(spark, scratch, rows, bucket_cap=500)
+    assert [len(g) for g in got] == [600] and found["skips"].first()["skipped_buckets"] == 4
+
+
 def test_components_equal_union_find(spark, scratch):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000), (None, 3)]
