@@ -1,4 +1,4 @@
-"""From deliveries to an index: records, items, analysis, snapshot."""
+"""From deliveries to an index: pairs, records, items, analysis, snapshot."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from lumenfold.operators import scores as S
 from lumenfold.operators.collapse import assign_items, merged, with_item_ids, with_uids
 from lumenfold.operators.deliveries import latest_values
 from lumenfold.operators.groups import GroupParams, find_groups
+from lumenfold.operators.pairing import pair, unpaired
 from lumenfold.session import Scratch
 from lumenfold.sources.snapshots import read_table, write_snapshot
 
@@ -27,12 +28,26 @@ def location() -> dict[str, F.Column]:
     return {"lat": p["lat"], "lon": p["lon"]}
 
 
-def records(photos: DataFrame, sidecars: DataFrame, exports: DataFrame, max_year: int | None = None) -> DataFrame:
+def owned_sidecars(photos: DataFrame, sidecars: DataFrame, scratch: Scratch, max_year: int | None = None) -> DataFrame:
+    """(item_id, sidecar_id): the sidecar of each photo that has one, by names, titles and times.
+
+    A photo for which those find none keeps the sidecar it was delivered with (of several, the one of the smallest id), unless
+    another photo has it by them.
+    """
+    media = photos.select(F.col("item_id").alias("media_key"), "export_id", "folder", "filename", exif_wall(F.col("exif_dt"), max_year).alias("exif_ts")).where("filename is not null")
+    s = sidecars.select(F.col("sidecar_id").alias("sidecar_key"), "item_id", "export_id", "folder", "json_name", "title", unix_field(F.col("taken_ts")).alias("taken_ts"))
+    pairs = scratch.save(pair(media, s.drop("item_id").where("json_name is not null"), scratch).where("sidecar_key is not null"), "pairs")
+    named = pairs.select(F.col("media_key").alias("item_id"), F.col("sidecar_key").alias("sidecar_id"))
+    delivered = unpaired(s.where("item_id is not null"), pairs).groupBy("item_id").agg(F.min("sidecar_key").alias("sidecar_id"))
+    return named.unionByName(delivered.join(named.select("item_id"), "item_id", "left_anti"))
+
+
+def records(photos: DataFrame, sidecars: DataFrame, owned: DataFrame, exports: DataFrame, max_year: int | None = None) -> DataFrame:
     """One row per photo that could be read and isn't trashed, with its sidecar's fields beside it and its local time.
 
-    A photo with several sidecars takes the one of the smallest id; flags of none are 0.
+    owned: item_id, sidecar_id, one row per photo with a sidecar; flags of none are 0.
     """
-    s = sidecars.where("item_id is not null").groupBy("item_id").agg(F.min_by(F.struct(*[c for c in sidecars.columns if c != "item_id"]), "sidecar_id").alias("s"))
+    s = owned.join(sidecars.select("sidecar_id", F.struct(*[c for c in sidecars.columns if c != "item_id"]).alias("s")), "sidecar_id").select("item_id", "s")
     homes = exports.groupBy("export_id").agg(F.min("home_tz").alias("home_tz"))
     d = photos.where("err is null").withColumnRenamed("item_id", "photo_id").join(s.withColumnRenamed("item_id", "photo_id"), "photo_id", "left").join(homes, "export_id", "left")
     flag = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(0)).cast("int")
@@ -106,7 +121,8 @@ def build(spark: SparkSession, sf_dir: str, root: str, name: str, p: GroupParams
     scanned = raw("items_raw")
     photos = scratch.save(latest_values(scanned, "item_id", [*PHOTO, *(c for c in ["sig"] if c in scanned.columns)]), "photos")
     sidecars = scratch.save(latest_values(raw("sidecars_raw"), "sidecar_id", SIDECAR), "sidecars")
-    items, aliases = library_items(records(photos, sidecars, raw("exports")), sidecars, scratch)
+    owned = scratch.save(owned_sidecars(photos, sidecars, scratch), "owned")
+    items, aliases = library_items(records(photos, sidecars, owned, raw("exports")), sidecars, scratch)
     tables = analyse(items, scratch, p)
     return write_snapshot(spark, root, name, {**tables, "item_aliases": aliases, "zips": raw("zips")}, _cfg(p))
 

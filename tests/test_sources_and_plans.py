@@ -209,3 +209,21 @@ def test_build_carries_signatures(spark, tmp_path):
         near = groups.where("kind = 'near'").join(members, "group_id").join(items, "item_id")
         assert sorted(r.filename for r in near.collect()) == ["planted1.jpg", "planted2.jpg"]
         assert near.where("sig_mad = 0").count() == 2
+
+
+def test_build_pairs_sidecars_that_came_unpaired(spark, tmp_path, scratch):
+    """A sidecar without item_id gives its photo its fields by name; one that names can't pair stays with its delivered photo."""
+    side = spark.read.parquet(f"{DATA}/sidecars_raw.parquet")
+    photo = planted(spark, 1).where("item_id = 10000000").first()
+    d = side.where("err is null and coalesce(trashed, 0) = 0").orderBy("sidecar_id").limit(1)
+    fields = {"sidecar_id": 20_000_000, "item_id": None, "export_id": photo.export_id, "folder": photo.folder, "folder_kind": photo.folder_kind, "json_name": "planted0.jpg.json", "title": "planted0.jpg", "taken_ts": "1500000000", "lat": 10.0, "lon": 20.0, "url": "https://photos.example/photo/planted000000", "favorited": 1, "trashed": 0}
+    for c, v in fields.items():
+        d = d.withColumn(c, F.lit(v).cast(side.schema[c].dataType))
+    data = deliveries(spark, tmp_path, items_raw=planted(spark, 1), sidecars_raw=side.unionByName(d.select(*side.columns)))
+    root = f"file://{tmp_path}"
+    pipeline.build(spark, data, root, "one")
+    got = snapshots.read_table(spark, root, "one", "items").where("filename = 'planted0.jpg'").first()
+    assert (got.taken_ts, got.lat, got.lon, got.favorited, got.url) == (1500000000, 10.0, 20.0, 1, fields["url"])
+    photos = spark.createDataFrame([(1, "e", "f", "a.jpg", None), (2, "e", "f", "b.jpg", None), (3, "e", "f", "c.jpg", None)], "item_id long, export_id string, folder string, filename string, exif_dt string")
+    cars = spark.createDataFrame([(7, 2, "e", "f", "zz.json", "q", None), (6, 1, "e", "f", "zz.json", "q", None), (5, 3, "e", "f", "a.jpg.json", "a.jpg", None)], "sidecar_id long, item_id long, export_id string, folder string, json_name string, title string, taken_ts string")
+    assert sorted(map(tuple, pipeline.owned_sidecars(photos, cars, scratch).select("item_id", "sidecar_id").collect())) == [(1, 5), (2, 7)]
