@@ -292,13 +292,25 @@ def components(spark, d):
     return connected(_checked(spark, d, "ccx")[0].where("rejected = 'none'"), scratch)
 
 
+def _groupable(spark, d):
+    """Photos with what find_groups needs: position, favorite, albums, url and time from their sidecars and files."""
+    raw = sidecars(spark, d, "item_id", "url", "favorited", "folder", "folder_kind", "trashed", "taken_ts", "lat", "lon")
+    albums = L.albums_by_url(raw)
+    own = raw.where("item_id is not null").withColumn("at", position(F.col("lat"), F.col("lon"))).groupBy("item_id").agg(F.min_by("url", F.when(F.col("url").isNotNull(), F.col("sidecar_id"))).alias("url"), F.max("favorited").alias("favorited"), F.min_by("at", F.when(F.col("at").isNotNull(), F.col("sidecar_id"))).alias("sc_at"), F.min_by("taken_ts", "sidecar_id").alias("sc"))
+    p = photos(spark, d, "sha256", "phash64", "width", "height", "file_size", "has_camera_exif", "exif_dt", "exif_offset", "exif_dt_any", "exif_subsec", "exif_lat", "exif_lon", "folder", "folder_kind", "export_id")
+    p = p.join(own, "item_id", "left").join(albums, "url", "left").join(table(spark, d, "exports"), "export_id", "left")
+    p = with_local_fields(p.withColumn("sc_ts", unix_field(F.col("sc"))), "exif_dt", "exif_offset", "exif_dt_any", "sc_ts", "folder", F.col("home_tz"), MAX_YEAR)
+    at = F.coalesce("sc_at", position(F.col("exif_lat"), F.col("exif_lon")))
+    album = F.when(F.col("folder_kind") == "album", F.array("folder")).otherwise(F.array().cast("array<string>"))
+    p = p.withColumns({"lat": at["lat"], "lon": at["lon"], "favorited": F.coalesce("favorited", F.lit(0)), "albums_n": F.size(F.array_union(album, F.coalesce("url_albums", F.array().cast("array<string>"))))})
+    return p.withColumns({"item_uid": F.col("item_id").cast("string"), "sig": F.lit(bytearray(1152)), "is_graphic": F.coalesce(F.col("phash64") == 0, F.lit(False)), "capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec"))})
+
+
 @query
 def seed_groups(spark, d):
-    """Groups in which every member matches its seed; without signatures, as the test tables have none."""
+    """Groups in which every member matches its seed; one signature stands for all, as the test tables have none."""
     scratch = Scratch(spark, "seed")
-    p = photos(spark, d, "sha256", "phash64", "width", "height", "file_size", "has_camera_exif", "exif_dt", "exif_subsec").where("sha256 is not null")
-    items = p.withColumns({"item_uid": F.col("item_id").cast("string"), "sig": F.lit(bytearray(1152)), "is_graphic": F.coalesce(F.col("phash64") == 0, F.lit(False)), "capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec")), "url": F.col("item_id").cast("string"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "favorited": F.lit(0), "albums_n": F.lit(0), "taken_ts": F.lit(None).cast("long")})
-    found = G.find_groups(items, scratch, G.GroupParams(bucket_cap=None))
+    found = G.find_groups(_groupable(spark, d), scratch, G.GroupParams(bucket_cap=None))
     return found["members"].select("component", "group_no", "item_id", "place", "dist", "is_keeper")
 
 

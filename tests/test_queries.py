@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lumenfold.oracles import ORACLES
@@ -47,3 +48,32 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+RAW = ("items_raw", "sidecars_raw", "exports")
+
+
+def test_seed_groups_keeper_by_sidecar_and_without_bytes(spark, tmp_path):
+    """Of copies that tie in pixels and camera the located, favorited, or album one is kept; photos without sha256 take part."""
+    t = {n: spark.read.parquet(f"{DATA}/{n}.parquet") for n in RAW}
+    one = t["items_raw"].where("folder_kind = 'year'").limit(1)
+    side = t["sidecars_raw"].limit(1)
+    sha = lambda x: bytearray(x.encode() * 32)
+    same = {"width": 100, "height": 50, "has_camera_exif": 1, "exif_dt": None, "exif_subsec": None, "exif_lat": None, "exif_lon": None, "file_size": 9, "exif_dt_any": None}
+
+    def rows(base, changes, fixed):
+        out = None
+        for c in changes:
+            d = base
+            for k, v in {**fixed, **c}.items():
+                d = d.withColumn(k, F.lit(v).cast(base.schema[k].dataType))
+            out = d if out is None else out.unionByName(d)
+        return out
+
+    photos = [{"item_id": i, "sha256": sha(x), "phash64": h} for i, x, h in [(1, "a", 0), (2, "a", 0), (3, "b", 0), (4, "b", 0), (5, "c", 0), (6, "c", 0), (9, "d", 0), (10, "d", 0)]] + [{"item_id": i, "sha256": None, "phash64": 12345} for i in (7, 8)]
+    cars = [{"sidecar_id": 1, "item_id": 2, "favorited": 1}, {"sidecar_id": 2, "item_id": 4, "lat": 1.0, "lon": 2.0}, {"sidecar_id": 3, "item_id": 3, "lat": 0.0, "lon": 0.0}, {"sidecar_id": 4, "item_id": 6, "url": "u6"}, {"sidecar_id": 5, "item_id": None, "url": "u6", "folder": "Trip", "folder_kind": "album"}, {"sidecar_id": 6, "item_id": 10, "taken_ts": "1500000000"}]
+    rows(one, photos, same).write.parquet(f"{tmp_path}/items_raw.parquet")
+    rows(side, cars, {"lat": None, "lon": None, "url": None, "favorited": 0, "trashed": 0, "taken_ts": None, "folder_kind": "year"}).write.parquet(f"{tmp_path}/sidecars_raw.parquet")
+    t["exports"].write.parquet(f"{tmp_path}/exports.parquet")
+    got = entry.queries()["seed_groups"](spark, str(tmp_path)).where("is_keeper = 1").collect()
+    assert sorted(r.item_id for r in got) == [2, 4, 6, 7, 10]
