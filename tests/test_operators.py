@@ -124,6 +124,42 @@ def test_deletable_and_checks(spark, scratch):
         G.GroupParams(distance=6)
 
 
+def brute_groups(rows, p):
+    """Groups of rows by the definition, item by item: components of all verified pairs, then the best seed's matches again and again."""
+    import numpy as np
+
+    rows = sorted(rows, key=lambda r: (-(r[5] * r[6]), -r[16], r[1]))
+    def split(part):
+        col = lambda i: np.array([np.nan if r[i] is None else r[i] for r in part], float)
+        code = np.array([[r[3] or 0, r[3] is not None] for r in part], dtype=np.int64)
+        sha = [None if r[2] is None else bytes(r[2]) for r in part]
+        return G.anti_chain(np.array([r[0] for r in part]), sha, code, [bytes(r[4]) for r in part], np.column_stack([col(5), col(6)]), np.array([r[7] for r in part]), col(8), col(9), np.ones(len(part), int), p)
+    # All rows as one component give the same groups, since a seed takes verified matches only.
+    return sorted([rows[k][0] for k in g] for g in split(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_give_the_groups_of_single_items(spark, scratch, seed):
+    rng = random.Random(seed)
+    rows = [item(i, rng.choice([None, None, *"abcdef"]), rng.choice([None, 1, 2, 3, 0b11111, 0b11111000]), w=rng.choice([0, 100, 101, 300]), graphic=rng.random() < 0.15, capture=rng.choice([None, None, 100, 110]), size=rng.choice([10, 20])) for i in range(150)]
+    got, found = groups_of(spark, scratch, rows)
+    assert got == brute_groups(rows, G.GroupParams())
+    stats = G.group_stats(spark.createDataFrame(rows, ITEM), found["edges"]).first()
+    eligible = [r for r in rows if not r[7] and r[3] is not None]
+    pairs = [(a, b) for i, a in enumerate(eligible) for b in eligible[i + 1 :] if (a[3] ^ b[3]).bit_count() <= 3 and (a[2] is None or a[2] != b[2])]
+    assert stats["candidate_pairs"] == len(pairs) == stats["near_edges"] + stats["rejected_aspect"] + stats["rejected_sig"] + stats["rejected_capture"]
+
+
+def test_copies_go_through_the_split_as_one_row(spark, scratch, monkeypatch):
+    """A third of a table in one hash or one sha256 reaches the split as single rows and comes out whole, best first."""
+    seen, split = [], G.seed_groups
+    monkeypatch.setattr(G, "seed_groups", lambda m, p: seen.append(m.count()) or split(m, p))
+    rows = [item(i, f"s{i}", 1, size=i) for i in range(800)] + [item(1000 + i, "x", 0xFF << 40) for i in range(800)]
+    got, found = groups_of(spark, scratch, rows)
+    assert seen == [2] and got == [list(range(799, -1, -1)), list(range(1000, 1800))]
+    assert found["edges"].count() == 1
+
+
 RECORD = "zipkey string, zip_name string, export_id string, member_idx long, member string, folder string, folder_kind string, filename string, sha256 binary, exif_dt string, exif_dt_any string, url string, favorited int"
 
 
