@@ -204,6 +204,7 @@ ORACLES["items_in_zips"] = "select item_id, zip_id, name as zip_name from items
 ORACLES["library_counts"] = "select year, count(*) as n, count(emb_row) as n_vectors, count(*) filter (where is_graphic = 1) as n_graphic from items group by 1"
 DUP = f"dm as (select *, min(item_id) over (partition by sha256) as group_id, count(*) over (partition by sha256) as n from {photos('sha256', 'width', 'height', 'file_size', 'filename')} where sha256 is not null), d as (select *, cast(item_id = group_id as integer) as is_keeper from dm where n > 1)"
 ORACLES["memberships"] = f"with {DUP}, b as (select zipkey, year, min(item_id) as burst from items where year is not null group by 1, 2 having count(*) between 2 and 5) select i.item_id, d.group_id as dup_group, d.is_keeper, b.burst, case when b.burst is not null then cast(i.item_id = b.burst as integer) end as is_best from items i left join d on d.item_id = i.item_id left join b on b.zipkey = i.zipkey and b.year = i.year"
+ORACLES["memberships_all"] = f"with {DUP}, b as (select zipkey, year, min(item_id) as burst from items where year is not null group by 1, 2 having count(*) > 1) select i.item_id, d.group_id as dup_group, d.is_keeper, b.burst, case when b.burst is not null then cast(i.item_id = b.burst as integer) end as is_best from items i left join d on d.item_id = i.item_id left join b on b.zipkey = i.zipkey and b.year = i.year"
 ORACLES["keeper_diff"] = f"with {DUP} select m.group_id, m.item_id, concat_ws(',', case when m.width is distinct from k.width then 'width' end, case when m.height is distinct from k.height then 'height' end, case when m.file_size is distinct from k.file_size then 'file_size' end, case when m.filename is distinct from k.filename then 'filename' end) as diff from d m join d k on k.item_id = m.group_id where m.is_keeper = 0"
 ORACLES["uncertain_members"] = f"with {DUP}, u as {_url} select m.group_id, m.item_id from d m left join u a on a.item_id = m.item_id left join u b on b.item_id = m.group_id where m.is_keeper = 0 and (a.url is null or b.url is null or a.url = b.url)"
 ORACLES["relational_division"] = f"with {DUP} select group_id from d group by 1 having bool_and(coalesce(width >= 1000, false))"

@@ -492,6 +492,15 @@ def memberships(spark, d):
     return lookups.memberships(table(spark, d, "items"), _dup_members(spark, d), bm, bursts)
 
 
+@query
+def memberships_all(spark, d):
+    """Memberships with every group of two or more of one archive and year on the burst side, whatever its size."""
+    i = table(spark, d, "items")
+    b = i.where("year is not null").groupBy("zipkey", "year").agg(F.min("item_id").alias("burst_id"), F.count("*").alias("n")).where("n > 1")
+    bm = i.join(b, ["zipkey", "year"]).select("burst_id", "item_id")
+    return lookups.memberships(i, _dup_members(spark, d), bm, b.select("burst_id", F.col("burst_id").alias("best_item_id")))
+
+
 @query
 def keeper_diff(spark, d):
     return lookups.keeper_diff(_dup_members(spark, d), photos(spark, d, "width", "height", "file_size", "filename"), ("width", "height", "file_size", "filename"))

@@ -77,3 +77,8 @@ def test_seed_groups_keeper_by_sidecar_and_without_bytes(spark, tmp_path):
     t["exports"].write.parquet(f"{tmp_path}/exports.parquet")
     got = entry.queries()["seed_groups"](spark, str(tmp_path)).where("is_keeper = 1").collect()
     assert sorted(r.item_id for r in got) == [2, 4, 6, 7, 10]
+
+
+def test_memberships_all_has_bursts_of_any_size(spark):
+    rows = entry.queries()["memberships_all"](spark, DATA)
+    assert rows.where("burst is not null").groupBy("burst").count().agg(F.max("count")).first()[0] > 5
