@@ -84,6 +84,7 @@ ORACLES["worker_split"] = "select zip_id % 4 as worker, count(*) as n from zips
 SAFE = f"trim(regexp_replace(regexp_replace(text, '{UNSAFE}', '', 'g'), '\\s+', ' ', 'g'), ' ')"
 ORACLES["text_clean"] = f"""with s as (select doc_id, text, {SAFE} as safe from documents where text is not null), p as (select *, replace(safe, '|', '/') as line from s)
 select doc_id, case when length(line) > 60 then rtrim(left(line, 59)) || '…' else line end as clean, substr(case when regexp_matches(text, '^[=+\\-@\\t\\r\\n]') then '''' || text else text end, 1, 40) as cell, length(safe) as n_safe from p"""
+ORACLES["csv_cells"] = "select doc_id, case when regexp_matches(text, '^[=+\\-@\\t\\r\\n]') then '''' || text else text end as cell from documents where text is not null"
 ORACLES["url_ids"] = f"select sidecar_id, case when length(url) <= 2048 and regexp_full_match(url, 'https://photos[.]example/photo/[A-Za-z0-9_-]{{10,200}}/?(?:[?#][!-~]*)?') then 'https://photos.example/photo/' || regexp_extract(url, 'photo/([A-Za-z0-9_-]{{10,200}})', 1) end as canonical, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) as url_id from {sidecars('url')} where url is not null"
 
 

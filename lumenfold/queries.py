@@ -117,6 +117,12 @@ def text_clean(spark, d):
     return docs.select("doc_id", text.clean_text(t, 60).alias("clean"), F.substring(text.csv_cell(t), 1, 40).alias("cell"), F.length(text.strip_unsafe(t)).cast("long").alias("n_safe"))
 
 
+@query
+def csv_cells(spark, d):
+    """The whole safe cell of every document."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", text.csv_cell(F.col("text")).alias("cell"))
+
+
 @query
 def url_ids(spark, d):
     return sidecars(spark, d, "url").where("url is not null").select("sidecar_id", text.photo_url(F.col("url"), "photos.example").alias("canonical"), text.url_id(F.col("url")).alias("url_id"))
