@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Names, extensions and patterns that exports and apps use.
 PHOTO_EXTS = ("jpg", "jpeg", "png", "heic", "heif", "webp", "gif")
 VIDEO_EXTS = ("mp4", "mov", "3gp", "m4v", "mkv", "avi", "webm", "mts", "m2ts", "wmv", "mpg", "mpeg", "mp")
-RAW_EXTS = ("dng", "cr2", "cr3", "nef", "arw", "orf", "rw2", "raf", "srw", "pef")
+RAW_EXTS = ("dng", "cr2", "cr3", "nef", "arw", "rw2", "orf", "raf", "srw", "pef")
 OTHER_IMAGE_EXTS = ("bmp", "tif", "tiff", "avif", "jxl")
 NON_SIDECAR_JSON = ("metadata.json", "print-subscriptions.json", "shared_album_comments.json", "user-generated-memory-titles.json")
 TRASH_FOLDERS = ("trash", "bin")

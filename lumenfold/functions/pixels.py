@@ -31,34 +31,65 @@ def dct_matrix(n: int = SIDE) -> np.ndarray:
 
 
 def phash(luma: np.ndarray) -> int:
-    """64-bit hash of 32 by 32 luma: low frequencies above their median, first bit highest, as a signed integer."""
+    """64-bit hash of 32 by 32 luma as a signed integer: bit i is set where low frequency i exceeds their median, bit 0 the mean."""
     d = dct_matrix()
     low = (d @ luma.astype(np.float64) @ d.T)[:LOW, :LOW].ravel()
-    bits = low > np.median(low)
-    value = int("".join("1" if b else "0" for b in bits), 2)
-    return value - (1 << 64) if value >> 63 else value
+    return int(np.packbits(low > np.median(low), bitorder="little").view(np.int64)[0])
 
 
-def block_means(plane: np.ndarray, side: int) -> np.ndarray:
-    """Area means of a plane on a grid of side by side."""
-    rows = [np.mean(r, axis=0) for r in np.array_split(plane.astype(np.float64), side, axis=0)]
-    return np.stack([[c.mean() for c in np.array_split(r, side)] for r in rows])
+def area_weights(n: int, side: int) -> np.ndarray:
+    """(side, n): which share of each of n pixels falls into each of `side` equal cells, rows summing to one."""
+    edges = np.arange(side + 1) * n / side
+    lo, hi = np.maximum(edges[:-1, None], np.arange(n)), np.minimum(edges[1:, None], np.arange(1, n + 1))
+    return np.maximum(hi - lo, 0) * side / n
+
+
+def area_means(plane: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """A plane averaged onto rows by cols cells, pixels on a border shared by area."""
+    return area_weights(plane.shape[0], rows) @ plane.astype(np.float64) @ area_weights(plane.shape[1], cols).T
+
+
+def to_byte(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
+
+
+# Luma and the two colour differences of the JPEG standard.
+YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+
+
+def luma_of(rgb: np.ndarray) -> np.ndarray:
+    """Luma of an RGB image in whole steps."""
+    return to_byte(rgb.astype(np.float64) @ YCC[0])
 
 
 def signature(rgb: np.ndarray) -> bytes:
-    """32 by 32 luma and 8 by 8 of each chroma, one byte a value."""
-    r, g, b = (rgb[..., i].astype(np.float64) for i in range(3))
-    y = 0.299 * r + 0.587 * g + 0.114 * b
-    planes = (block_means(y, SIDE), block_means(128 + 0.564 * (b - y), CHROMA), block_means(128 + 0.713 * (r - y), CHROMA))
-    return b"".join(np.clip(np.rint(p), 0, 255).astype(np.uint8).tobytes() for p in planes)
+    """32 by 32 luma and 8 by 8 of each chroma, area means, one byte a value."""
+    cb, cr = (to_byte(128 + rgb.astype(np.float64) @ w) for w in YCC[1:])
+    return b"".join(to_byte(area_means(p, n, n)).tobytes() for p, n in ((luma_of(rgb), SIDE), (cb, CHROMA), (cr, CHROMA)))
+
+
+def lanczos_weights(n: int, size: int, lobes: int = 3) -> np.ndarray:
+    """(size, n): weights of a Lanczos reduction, the kernel widened by the reduction and cut at the borders."""
+    scale = max(n / size, 1.0)
+    centre = (np.arange(size)[:, None] + 0.5) * n / size
+    x = (np.arange(n)[None, :] + 0.5 - centre) / scale
+    w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def reduced(h: int, w: int, edge: int) -> tuple[int, int]:
+    """The size with a long edge of at most `edge`; small images stay."""
+    scale = min(1.0, edge / max(h, w))
+    return max(1, round(h * scale)), max(1, round(w * scale))
 
 
 def sig_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of signatures: mean luma difference, that of the worst 8 by 8 block, and the largest chroma difference."""
-    d = np.abs(a.astype(np.int16) - b.astype(np.int16)).astype(np.float64)
-    luma = d[:, : SIDE * SIDE].reshape(-1, 4, 8, 4, 8)
-    blocks = luma.mean(axis=(2, 4)).reshape(len(d), -1)
-    return luma.mean(axis=(1, 2, 3, 4)), blocks.max(axis=1), d[:, SIDE * SIDE :].max(axis=1)
+    gap = np.abs(a.astype(np.int16) - b.astype(np.int16))
+    luma, colour = np.split(gap, [SIDE * SIDE], axis=1)
+    # Sums over the rows of pixels of a block, then over its columns.
+    sums = np.add.reduceat(np.add.reduceat(luma.reshape(-1, SIDE, SIDE).astype(np.int64), range(0, SIDE, 8), axis=1), range(0, SIDE, 8), axis=2)
+    return sums.sum(axis=(1, 2)) / (SIDE * SIDE), sums.max(axis=(1, 2)) / 64, colour.max(axis=1).astype(np.float64)
 
 
 def _rows(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -86,24 +117,34 @@ def sig_luma_std(s: pd.Series) -> pd.Series:
     return out.astype(float)
 
 
+# The long edges at which sharpness and the statistics are measured.
+SHARP_EDGE, STATS_EDGE = 512, 128
+
+
 def features(rgb: np.ndarray) -> dict[str, float]:
-    """Sharpness, brightness, flatness and colour of one image."""
-    r, g, b = (rgb[..., i].astype(np.float64) for i in range(3))
-    y = 0.299 * r + 0.587 * g + 0.114 * b
-    inner = y[1:-1, 1:-1]
-    lap = y[:-2, 1:-1] + y[2:, 1:-1] + y[1:-1, :-2] + y[1:-1, 2:] - 4 * inner
-    rg, yb = r - g, (r + g) / 2 - b
-    tone = np.histogram(y, bins=32, range=(0.0, 256.0))[0]
+    """Sharpness at a long edge of 512 pixels; brightness, flatness and colour at 128; smaller images as they are."""
+    h, w = rgb.shape[:2]
+    y = luma_of(rgb)
+    rows, cols = reduced(h, w, SHARP_EDGE)
+    sharp = y.astype(np.float64) if (rows, cols) == (h, w) else to_byte(lanczos_weights(h, rows) @ y @ lanczos_weights(w, cols).T).astype(np.float64)
+    inner = sharp[1:-1, 1:-1]
+    lap = sharp[:-2, 1:-1] + sharp[2:, 1:-1] + sharp[1:-1, :-2] + sharp[1:-1, 2:] - 4 * inner if min(sharp.shape) > 2 else np.zeros(0)
+    rows, cols = reduced(h, w, STATS_EDGE)
+    small = rgb if (rows, cols) == (h, w) else np.stack([to_byte(area_means(rgb[..., i], rows, cols)) for i in range(3)], axis=-1)
+    tones = luma_of(small).astype(np.float64)
+    share = lambda mask: float(mask.mean())
+    red, green, blue = np.moveaxis(small.astype(np.float64), -1, 0)
+    opponents = np.stack([red - green, (red + green) / 2 - blue]).reshape(2, -1)
     return {
         "lap_var": float(lap.var()) if lap.size else 0.0,
-        "luma_mean": float(y.mean()),
-        "luma_std": float(y.std()),
-        "luma_p02": float(np.percentile(y, 2)),
-        "luma_p98": float(np.percentile(y, 98)),
-        "frac_dark": float((y < 20).mean()),
-        "frac_bright": float((y > 245).mean()),
-        "flat_frac": float(tone.max() / y.size),
-        "colorfulness": float(np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean())),
+        "luma_mean": float(tones.mean()),
+        "luma_std": float(tones.std()),
+        "luma_p02": float(np.quantile(tones, 0.02)),
+        "luma_p98": float(np.quantile(tones, 0.98)),
+        "frac_dark": share(tones < 20),
+        "frac_bright": share(tones > 245),
+        "flat_frac": float(np.bincount((tones // 8).astype(int).ravel()).max() / tones.size),
+        "colorfulness": float(np.sqrt(opponents.var(axis=1).sum()) + 0.3 * np.sqrt((opponents.mean(axis=1) ** 2).sum())),
     }
 
 
@@ -115,8 +156,8 @@ def fingerprint(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataF
         try:
             image = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)
             sig = signature(image)
-            luma = np.frombuffer(sig[: SIDE * SIDE], np.uint8).reshape(SIDE, SIDE)
-            rows.append({"phash64": phash(luma), "sig": sig, **features(image), "err": None})
+            work = to_byte(lanczos_weights(int(h), SIDE) @ luma_of(image) @ lanczos_weights(int(w), SIDE).T)
+            rows.append({"phash64": phash(work), "sig": sig, **features(image), "err": None})
         except (TypeError, ValueError) as e:
             rows.append({"err": type(e).__name__})
     frame = pd.DataFrame(rows, columns=FINGERPRINT.names)

@@ -13,22 +13,21 @@ from pyspark.sql import types as T
 @F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     """Full Unicode case folding of the composed form, which lower() isn't: ß folds to ss."""
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v).casefold())
+    return s.map(lambda v: None if v is None else v.lower() if v.isascii() else unicodedata.normalize("NFC", v).casefold())
 
 
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+    return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
 def truncate_utf8(c: Column, limit: int) -> Column:
-    """At most `limit` bytes, without a character cut in two: cut bytes read as replacement characters at the end."""
-
-    @F.pandas_udf(T.StringType())
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else v.encode()[:limit].decode(errors="ignore"))
-
-    return F.when(F.octet_length(c) <= limit, c).otherwise(cut(c))
+    """At most `limit` bytes, without a character cut in two: the cut is moved before the bytes that go on a character."""
+    b = F.encode(c, "UTF-8")
+    goes_on = lambda at: F.hex(F.substring(b, at, 1)).rlike("^[89AB]")
+    part = lambda k: F.substring(b, 1, limit - k).cast("string")
+    cut = F.when(~goes_on(limit + 1), part(0)).when(~goes_on(limit), part(1)).when(~goes_on(limit - 1), part(2)).otherwise(part(3))
+    return F.when(F.octet_length(c) <= limit, c).otherwise(cut)
 
 
 # Controls, invisible marks, directional marks and tags that must not reach a screen.
@@ -59,8 +58,10 @@ def csv_cell(c: Column) -> Column:
 
 
 def url_quote(c: Column) -> Column:
-    """Percent encoding with %20 for blanks."""
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """Percent encoding of all but letters, digits and -._~ of ASCII."""
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        c = F.replace(F.url_encode(c) if a == "+" else c, F.lit(a), F.lit(b))
+    return c
 
 
 def when_text(date: Column, time: Column, uncertain: Column) -> Column:
@@ -123,3 +124,13 @@ def round_binary(c: Column, digits: int = 4) -> Column:
         return s.map(lambda v: None if v is None or v != v else round(v, digits)).astype(float)
 
     return form(c.cast("double"))
+
+
+def round_share(c: Column) -> Column:
+    """A share from 1/32 on, at most 1, in four digits, rounded half to even on its exact binary value: as round_binary, in the JVM."""
+    unit = 1 << 57  # such a share is a whole number of these parts
+    n = (F.least(c, F.lit(1.0)) * float(unit)).cast("decimal(20,0)") * F.lit(10_000)
+    q = F.call_function("div", n, F.lit(unit).cast("decimal(20,0)"))
+    r = (n - q.cast("decimal(20,0)") * F.lit(unit).cast("decimal(20,0)")).cast("decimal(38,0)")
+    up = (r > F.lit(unit // 2)) | ((r == F.lit(unit // 2)) & (q % 2 == 1))
+    return (q + F.when(up, 1).otherwise(0)) / 10_000

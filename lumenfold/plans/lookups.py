@@ -9,7 +9,8 @@ from lumenfold.functions.names import year_of_folder
 from lumenfold.functions.text import url_quote
 from lumenfold.plans.search import calendar_order, page
 
-DIFF_FIELDS = ("width", "height", "file_size", "format", "taken_ts", "local_date", "lat", "lon", "make", "model", "favorited", "url")
+# What tells two copies apart for a person; sizes are compared as one.
+DIFF_FIELDS = ("dims", "size_bytes", "ext", "local_date", "local_time", "filename", "match_conf", "link_conf", "albums_n", "shared", "partner", "favorited")
 
 
 def by_ids(items: DataFrame, wanted: DataFrame, key: str = "item_id") -> DataFrame:
@@ -34,8 +35,14 @@ def memberships(items: DataFrame, dup_members: DataFrame, burst_members: DataFra
 
 
 def keeper_diff(members: DataFrame, items: DataFrame, fields: tuple[str, ...] = DIFF_FIELDS, key: str = "group_id") -> DataFrame:
-    """(key, item_id, diff): the fields in which a member differs from its group's keeper; null equals null."""
-    rows = members.join(items.select("item_id", *fields), "item_id")
+    """(key, item_id, diff): the fields in which a member differs from its group's keeper; null equals null.
+
+    `dims` are width and height as one, `size_bytes` is file_size; fields that items lack are left out.
+    """
+    made = {"dims": ("width", F.struct("width", "height")), "size_bytes": ("file_size", F.col("file_size"))}
+    fields = tuple(f for f in fields if f in items.columns or (f in made and made[f][0] in items.columns))
+    values = [(F.col(f) if f in items.columns else made[f][1]).alias(f) for f in fields]
+    rows = members.join(items.select("item_id", *values), "item_id")
     keeper = rows.where("is_keeper = 1").select(key, *[F.col(f).alias(f"k_{f}") for f in fields])
     diff = F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"k_{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
     return rows.join(keeper, key).where("is_keeper = 0").select(key, "item_id", F.array_join(diff, ",").alias("diff"))
@@ -77,21 +84,35 @@ def undated_counts(items: DataFrame) -> DataFrame:
     return items.where("local_date is null").groupBy(F.coalesce("year", year_of_folder(F.col("folder"))).alias("year")).agg(F.count("*").alias("n"))
 
 
-def day_safety(items: DataFrame, unindexed: DataFrame, approved: DataFrame, uncertain_items: DataFrame, undated_unindexed: int = 0) -> DataFrame:
-    """(local_date, n, blocker): for each day with approved items the first reason why it can't be taken as a whole, null if none.
+# Why a day can't be taken as a whole, in the order they are told.
+DAY_BLOCKERS = ("no_indexed_photos", "not_all_approved", "not_indexed_that_day", "day_uncertain", "undated_in_year", "undated_unknown_year", "unindexed_undated")
+
+
+def day_safety(items: DataFrame, unindexed: DataFrame, approved: DataFrame) -> DataFrame:
+    """One row per day with approved rows: its counts, the codes of all that speaks against taking it as a whole, and whether nothing does.
 
-    In order: items without any known day, unindexed items of the day, items whose day is uncertain, items not approved, members
-    that may be the keeper's own.
+    items: item_uid, local_date, day_uncertain, year, folder. unindexed: day, null where unknown. approved: item_uid of approved rows, each
+    once, and a local_date that counts where the item isn't in the index. Undated items speak against the days of their year, those of
+    unknown year and undated media without a row against every day.
     """
-    days = day_stats(items)
-    chosen = items.join(approved.select("item_uid"), "item_uid", "left_semi").where("local_date is not null").groupBy("local_date").agg(F.count("*").alias("n_approved"))
-    risky = items.join(uncertain_items.select("item_id").distinct(), "item_id", "left_semi").where("local_date is not null").groupBy("local_date").agg(F.count("*").alias("n_risky"))
-    others = unindexed.where("day is not null").groupBy(F.col("day").alias("local_date")).agg(F.count("*").alias("n_unindexed"))
-    undated = items.agg(F.count_if(F.col("local_date").isNull()).alias("u")).first()["u"] + undated_unindexed
-    d = chosen.join(days, "local_date").join(others, "local_date", "left").join(risky, "local_date", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    blocker = F.when(F.lit(undated) > 0, "undated items").when(zero("n_unindexed") > 0, "unindexed items").when(F.col("n_uncertain") > 0, "uncertain day").when(F.col("n_approved") < F.col("n"), "not all approved").when(zero("n_risky") > 0, "possible same item")
-    return d.select("local_date", "n", "n_approved", blocker.alias("blocker"))
+    known = items.select("item_uid", F.col("local_date").alias("indexed_date"), F.lit(1).alias("here"))
+    own = F.col("local_date") if "local_date" in approved.columns else F.lit(None).cast("string")
+    chosen = approved.select("item_uid", own.alias("own_date")).join(known, "item_uid", "left").withColumn("local_date", F.coalesce("indexed_date", F.when(F.col("here").isNull(), F.col("own_date"))))
+    days = chosen.where("local_date is not null").groupBy("local_date").agg(F.count("here").alias("n_approved"))
+    others = unindexed.where("day is not null").groupBy(F.col("day").alias("local_date")).agg(F.count("*").alias("n_not_indexed"))
+    undated = undated_counts(items)
+    by_year = undated.where("year is not null").select(F.col("year").cast("int").alias("_year"), F.col("n").alias("n_undated_in_year"))
+    # Two tables of one row each.
+    unknown = undated.agg(F.coalesce(F.sum(F.when(F.col("year").isNull(), F.col("n"))), F.lit(0)).alias("n_undated_unknown_year")).withColumn("_one", F.lit(1))
+    dateless = unindexed.agg(F.count_if(F.col("day").isNull()).alias("n_unindexed_undated")).withColumn("_one", F.lit(1))
+    d = days.withColumns({"_one": F.lit(1), "_year": F.left("local_date", F.lit(4)).cast("int")})
+    d = d.join(day_stats(items), "local_date", "left").join(others, "local_date", "left").join(by_year, "_year", "left").join(unknown, "_one").join(dateless, "_one")
+    counts = ["n", "n_approved", "n_not_indexed", "n_uncertain", "n_undated_in_year", "n_undated_unknown_year", "n_unindexed_undated"]
+    d = d.select("local_date", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+    c = F.col
+    checks = (c("n") == 0, (c("n") > 0) & (c("n_approved") != c("n")), c("n_not_indexed") > 0, c("n_uncertain") > 0, c("n_undated_in_year") > 0, c("n_undated_unknown_year") > 0, c("n_unindexed_undated") > 0)
+    codes = F.array_join(F.array(*[F.when(x, F.lit(code)) for code, x in zip(DAY_BLOCKERS, checks, strict=True)]), ",")
+    return d.withColumn("blockers", codes).withColumn("safe", F.when(F.col("blockers") == "", 1).otherwise(0))
 
 
 def photo_link(url_col: str = "url", name_col: str = "filename", account: int | None = None, host: str = "photos.google.com") -> F.Column:
@@ -108,7 +129,7 @@ def library_stats(items: DataFrame, groups: DataFrame, scores: DataFrame, videos
     """(key, value) of the whole library: counts, per year, per kind of group and per category."""
     one = lambda df, name, c: df.agg(c.cast("long").alias("value")).select(F.lit(name).alias("key"), "value")
     per = lambda df, prefix, col: df.groupBy(col).agg(F.count("*").alias("value")).select(F.concat_ws(":", F.lit(prefix), F.coalesce(F.col(col).cast("string"), F.lit("unknown"))).alias("key"), "value")
-    parts = [one(items, "items", F.count("*")), one(items, "with_vector", F.count("emb_row")), one(items, "undated", F.count_if(F.col("local_date").isNull())), one(videos_by_day, "unindexed", F.coalesce(F.sum("n"), F.lit(0))), per(items, "year", "year"), per(groups, "groups", "kind"), per(scores.where("score >= 0.5"), "category", "category")]
+    parts = [one(items, "items", F.count("*")), one(items, "with_vector", F.count("emb_row") if "emb_row" in items.columns else F.lit(0)), one(items, "undated", F.count_if(F.col("local_date").isNull())), one(videos_by_day, "unindexed", F.coalesce(F.sum("n"), F.lit(0))), per(items, "year", "year"), per(groups, "groups", "kind"), per(scores.where("score >= 0.5"), "category", "category")]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

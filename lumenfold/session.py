@@ -65,10 +65,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share.
 
-    Where the session names none (tests on one machine) a temporary folder is made once and set.
+    Where a local session names none (tests on one machine) a temporary folder is made once and set; on a cluster, where a folder
+    of one machine would lose tables, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="lumenfold-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         named = f"file://{made}"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import csv_cell
 
-COLUMNS = ("item_id", "item_uid", "status", "filename", "folder", "local_date", "local_time", "category", "reason", "url", "width", "height", "file_size")
+# The columns of an export.
+COLUMNS = ("item_uid", "filename", "local_date", "local_time", "width", "height", "size_bytes", "category", "reason", "proposed_by", "status", "deleted", "url")
 
 
 def safe_cells(df: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

@@ -25,8 +25,9 @@ def shard_problems(info: DataFrame) -> DataFrame:
 
 
 def without_repeated_names(df: DataFrame, name: str) -> DataFrame:
-    """Rows whose name occurs once; all rows of a repeated name go."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(name))).where("_n = 1").drop("_n")
+    """Rows whose name occurs once; all rows of a repeated name go. Names are counted by partial sums, so a hot one is no burden."""
+    once = df.groupBy(name).agg(F.count("*").alias("_n")).where("_n = 1").select(name)
+    return df.join(once, name, "left_semi")
 
 
 def extend_plan(plan: DataFrame, found: DataFrame) -> DataFrame:

@@ -106,10 +106,25 @@ def test_sidecar_documents(spark):
     docs = ['{"title": "a.jpg", "photoTakenTime": {"timestamp": "1566350851"}, "geoData": {"latitude": 1.5, "longitude": 2}, "favorited": true, "people": [{"name": " A "}, {"name": ""}, {"x": 1}], "url": "https://photos.google.com/photo/AF1QipABCDEFGH", "googlePhotosOrigin": {"fromPartnerSharing": {}}}', '﻿{"title": 5, "photoTakenTime": {"timestamp": "0"}, "geoData": {"latitude": 0, "longitude": 0}}', "not json", "[1]", None, "", '{"title": "' + "é" * 3000 + '"}']
     rows = documents.sidecar_fields(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")).orderBy("i").collect()
     r = rows[0]
-    assert (r.title, r.taken_ts, r.geo.lat, r.favorited, r.people, r.from_partner, r.from_shared_album, r.err) == ("a.jpg", 1566350851, 1.5, 1, '["A"]', 1, 0, None)
+    assert (r.title, r.taken_ts, r.geo.lat, r.favorited, r.people, r.from_partner, r.from_shared_album, r.err) == ("a.jpg", 1566350851, 1.5, 1, '[" A "]', 1, 0, None)
     assert (rows[1].title, rows[1].taken_ts, rows[1].geo, rows[1].err) == (None, None, None, None)
     assert [x.err for x in rows] == [None, None, "BadJson", "BadJson", "Missing", "BadJson", None]
     assert len(rows[6].title.encode()) == 1024
+    assert (rows[0].raw, rows[2].raw) == (docs[0], None)
+
+
+@pytest.mark.parametrize(("value", "want"), [('"12.5"', None), ('"+5"', None), ('" -1 "', -1), ("12.9", 12), ("-1.5", -1), ('"0"', None), ("0", None), ("true", None), ('"1234567890123"', None), ("1e12", None), ("null", None), ("[1]", None)])
+def test_unix_times_of_documents(spark, value, want):
+    doc = spark.createDataFrame([(f'{{"photoTakenTime": {{"timestamp": {value}}}}}',)], "doc string")
+    assert documents.sidecar_fields(doc).first().taken_ts == want
+
+
+def test_document_altitude_and_byte_limits(spark):
+    text_ = '{"geoData": {"latitude": 1, "longitude": 2, "altitude": 3.5}, "geoDataExif": {"latitude": 0, "longitude": 0, "altitude": 9}, "people": [{"name": "' + "é" * 150 + '"}]}'
+    r = documents.sidecar_fields(spark.createDataFrame([(text_,)], "doc string")).first()
+    assert (r.geo.alt, r.geo_exif, r.people) == (3.5, None, '["' + "é" * 100 + '"]')
+    got = spark.createDataFrame([("aé€😀" * 3,)], "s string").select(*[text.truncate_utf8(F.col("s"), n).alias(str(n)) for n in range(1, 31)]).first()
+    assert [got[str(n)] for n in range(1, 31)] == [("aé€😀" * 3).encode()[:n].decode(errors="ignore") for n in range(1, 31)]
 
 
 def test_local_fields(spark):
@@ -140,6 +155,14 @@ def test_pixels(spark):
     assert np.allclose(d @ d.T, np.eye(32))
     h = pixels.phash(luma)
     assert -(2**63) <= h < 2**63 and pixels.phash(luma + 0) == h
+    assert pixels.phash(np.full((32, 32), 9)) & 1 == 1  # the mean is bit 0
+    wave = np.cos(np.pi * (2 * np.arange(32) + 1) * 3 / 64)[None, :].repeat(32, 0)
+    assert pixels.phash(100 + 50 * wave) & 0xF == 0b1001  # row 0, column 3 is bit 3
+    assert np.allclose(pixels.area_means(np.arange(12).reshape(3, 4), 1, 2), [[4.5, 6.5]])
+    assert np.allclose(pixels.area_weights(5, 2).sum(1), 1) and np.allclose(pixels.lanczos_weights(1000, 7).sum(1), 1)
+    checked = np.indices((1024, 1024)).sum(0) % 2 * 255
+    f = pixels.features(np.stack([checked] * 3, axis=-1).astype(np.uint8))
+    assert f["luma_std"] == 0 and f["lap_var"] < 1  # at the working sizes the pattern is one grey
     image = rng.integers(0, 256, (40, 50, 3)).astype(np.uint8)
     sig = pixels.signature(image)
     assert len(sig) == pixels.SIG_BYTES
