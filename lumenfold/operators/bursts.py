@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.bits import hamming
 from lumenfold.functions.localtime import subsec
 from lumenfold.functions.names import burst_key
+from lumenfold.session import Scratch
 
 # Shares of dark and bright pixels from which a frame is badly exposed, and the score of a frame too many.
 DARK_MAX, BRIGHT_MAX, EXTRA = 0.5, 0.2, 0.8
@@ -20,40 +21,33 @@ def filename_bursts(items: DataFrame) -> DataFrame:
     return keyed.join(many, ["folder", "key"]).select("burst", "item_id")
 
 
-def time_bursts(items: DataFrame, window_s: float = 3.0, max_bits: int = 10) -> DataFrame:
-    """(burst, item_id): chains of consecutive frames close in time and likeness.
+def time_bursts(items: DataFrame, scratch: Scratch, window_s: float = 3.0, max_bits: int = 10) -> DataFrame:
+    """(burst, item_id): chains of consecutive frames close in time and likeness, named by their smallest item.
 
     items: item_id, item_uid, taken_ts, exif_subsec, phash64, model, and optionally dup_group; those with null time or hash take no
-    part. The order is over the whole library: a foreign frame in between breaks a chain. Chains can't cross a gap longer than
-    the window, so time is first cut at such gaps by hour buckets, and only within a stretch are neighbours compared; one
-    stretch goes to one task.
+    part. The order is over the whole library: a foreign frame in between breaks a chain. A null model is like any; copies of one
+    dup_group are not linked. Rows are range-partitioned by time and compared with the one before, at a border with the last of the
+    range before, so a library with a photo every second is spread over tasks as any other.
     """
     t = F.col("taken_ts") + F.coalesce(subsec(F.col("exif_subsec")), F.lit(0.0))
     group = F.col("dup_group") if "dup_group" in items.columns else F.lit(None).cast("long")
-    seq = items.where("taken_ts is not null and phash64 is not null").select("item_id", F.coalesce("item_uid", F.lit("")).alias("uid"), t.alias("t"), "phash64", "model", group.alias("g"))
-    # Busy seconds, aggregated; a stretch is a run of seconds without a gap.
-    hour = F.floor(F.col("t") / 3600)
-    busy = seq.select(F.floor("t").cast("long").alias("s")).distinct().withColumn("h", F.floor(F.col("s") / 3600))
-    edge = F.lag("s").over(Window.partitionBy("h").orderBy("s"))
-    opens = busy.withColumn("prev", edge).where(F.col("prev").isNull() | (F.col("s") - F.col("prev") > window_s + 1)).select("s", "h")
-    # An hour's first second opens a stretch only if the last second before it is too far: hours are few, so they are put in order as a table.
-    hours = busy.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    linked = hours.withColumn("before", F.lag("hi").over(Window.orderBy("h"))).where(F.col("lo") - F.col("before") <= window_s + 1).select(F.col("lo").alias("s"), F.lit(True).alias("goes_on"))
-    opens = opens.join(linked, "s", "left").where("goes_on is null").select("s", "h")
-    per_hour = opens.groupBy("h").agg(F.array_sort(F.collect_list("s")).alias("starts"))
-    last_before = per_hour.select("h", F.element_at("starts", -1).alias("last"))
-    all_hours = hours.select("h").join(last_before, "h", "left").withColumn("carried", F.last("last", True).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = seq.withColumn("h", hour).join(all_hours.select("h", "carried"), "h").join(per_hour, "h", "left")
-    inside = F.array_max(F.filter(F.coalesce("starts", F.array().cast("array<long>")), lambda x: x <= F.col("t")))
-    placed = placed.withColumn("stretch", F.coalesce(inside, "carried"))
-    w = Window.partitionBy("stretch").orderBy("t", "uid", "item_id")
-    p = lambda c: F.lag(c).over(w)
-    alike = F.coalesce(p("model") == F.col("model"), F.lit(True))
-    same_group = F.coalesce(p("g") == F.col("g"), F.lit(False))
-    linked_to = F.coalesce((F.col("t") - p("t") <= window_s) & (hamming(p("phash64"), F.col("phash64")) <= max_bits), F.lit(False)) & alike & ~same_group
-    chains = placed.withColumn("opens", F.when(linked_to, 0).otherwise(1)).withColumn("chain", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    many = chains.groupBy("stretch", "chain").agg(F.count("*").alias("n"), F.min("item_id").alias("burst")).where("n > 1")
-    return chains.join(many, ["stretch", "chain"]).select("burst", "item_id")
+    frame = F.struct(t.alias("t"), F.coalesce("item_uid", F.lit("")).alias("uid"), "item_id", "phash64", "model", group.alias("g"))
+    seq = items.where("taken_ts is not null and phash64 is not null").select(frame.alias("f"))
+    at = scratch.save(seq.repartitionByRange("f.t", "f.uid", "f.item_id").withColumn("part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("part").orderBy("f.t", "f.uid", "f.item_id")
+    # One row for each range.
+    tails = at.groupBy("part").agg(F.max("f").alias("tail")).select("part", F.lag("tail").over(Window.orderBy("part")).alias("before"))
+    d = at.join(F.broadcast(tails), "part").withColumn("p", F.coalesce(F.lag("f").over(w), F.col("before")))
+    alike = F.coalesce(F.col("p.model") == F.col("f.model"), F.lit(True))
+    same_group = F.coalesce(F.col("p.g") == F.col("f.g"), F.lit(False))
+    close = F.coalesce((F.col("f.t") - F.col("p.t") <= window_s) & (hamming(F.col("p.phash64"), F.col("f.phash64")) <= max_bits), F.lit(False))
+    d = scratch.save(d.select("part", "f", F.when(close & alike & ~same_group, 0).otherwise(1).alias("opens")), "linked")
+    opened = d.groupBy("part").agg(F.sum("opens").alias("n"))
+    ahead = opened.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    chain = F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("ahead")
+    chains = d.join(F.broadcast(ahead), "part").select("f.item_id", chain.alias("chain"))
+    many = chains.groupBy("chain").agg(F.count("*").alias("n"), F.min("item_id").alias("burst")).where("n > 1")
+    return chains.join(many, "chain").select("burst", "item_id")
 
 
 def ranked(members: DataFrame, items: DataFrame) -> DataFrame:

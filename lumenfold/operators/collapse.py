@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.localtime import exif_wall, wall_date
 from lumenfold.functions.text import casefold, url_id
+from lumenfold.operators.ordering import numbered
+from lumenfold.session import Scratch
 
 FLAGS = ("favorited", "shared", "partner", "archived")
 
@@ -70,28 +72,30 @@ def merged(assigned: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
 
 
 def with_uids(items: DataFrame) -> DataFrame:
-    """Add item_uid: g: and the url's id, else s:, the hash and the name; further items of one base get :2, :3 and so on."""
+    """Add item_uid: g: and the url's id, else s:, the hash and the name; further items of one base get :2, :3 and so on.
+
+    A number whose uid is another item's own base is passed over, so uids are unique.
+    """
     base = F.when(F.col("url").isNotNull(), F.concat(F.lit("g:"), url_id(F.col("url")))).otherwise(F.concat(F.lit("s:"), F.lower(F.hex("sha256")), F.lit(":"), F.col("filename")))
+    made = items.withColumn("uid_base", base)
+    # Bases that look like another base with a number; names hardly ever do.
+    bases = made.where("url is null").select("uid_base").distinct()
+    taken = bases.select(F.regexp_extract("uid_base", r"^(.*):([1-9]\d{0,8})$", 1).alias("owner"), F.regexp_extract("uid_base", r"^(.*):([1-9]\d{0,8})$", 2).try_cast("long").alias("no")).where("no >= 2")
+    taken = taken.join(bases.withColumnRenamed("uid_base", "owner"), "owner", "left_semi").groupBy("owner").agg(F.array_sort(F.collect_set("no")).alias("taken")).withColumnRenamed("owner", "uid_base")
     w = Window.partitionBy("uid_base").orderBy(F.coalesce("local_date", F.lit("")), "folder", "export_id", "zip_name", "member")
-    n = F.row_number().over(w)
-    made = items.withColumn("uid_base", base).withColumn("uid_no", F.when(F.col("url").isNotNull(), 1).otherwise(n))
-    return made.withColumn("item_uid", F.when(F.col("uid_no") == 1, F.col("uid_base")).otherwise(F.concat_ws(":", "uid_base", "uid_no"))).drop("uid_base", "uid_no")
+    made = made.withColumn("uid_no", F.when(F.col("url").isNotNull(), 1).otherwise(F.row_number().over(w)).cast("long")).join(taken, "uid_base", "left")
+    # Every taken number at or below the place reached so far moves it on by one.
+    no = F.aggregate(F.coalesce("taken", F.array().cast("array<long>")), F.col("uid_no"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    made = made.withColumn("uid_no", F.when(F.col("uid_no") == 1, 1).otherwise(no))
+    return made.withColumn("item_uid", F.when(F.col("uid_no") == 1, F.col("uid_base")).otherwise(F.concat_ws(":", "uid_base", "uid_no"))).drop("uid_base", "uid_no", "taken")
 
 
-def with_item_ids(items: DataFrame, out: str = "item_id") -> DataFrame:
-    """Add dense ids in the order of date (undated last), time and uid.
-
-    Days are counted first and summed over the calendar, a table with a row for each day; ranks are then counted within a day, so
-    no task holds more than one day.
-    """
-    d = items.withColumn("_day", F.coalesce("local_date", F.lit("9999-99-99")))
-    days = d.groupBy("_day").agg(F.count("*").alias("_n"))
-    ahead = days.withColumn("_ahead", F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_day").orderBy(F.coalesce("local_time", F.lit("")), "item_uid"))
-    return d.join(ahead, "_day").withColumn(out, (F.col("_ahead") + inside).cast("long")).drop("_day", "_ahead")
+def with_item_ids(items: DataFrame, scratch: Scratch, out: str = "item_id") -> DataFrame:
+    """Add dense ids in the order of date (undated last), time and uid; a day, or the undated, may span many tasks."""
+    return numbered(items, [F.coalesce("local_date", F.lit("9999-99-99")), F.coalesce("local_time", F.lit("")), "item_uid"], out, scratch)
 
 
-def unindexed(media: DataFrame, indexed_urls: DataFrame, home_tz: str) -> DataFrame:
+def unindexed(media: DataFrame, indexed_urls: DataFrame, home_tz: Column | str) -> DataFrame:
     """One row per library item that has no row in the index: kind ('video' or 'image') and local day (null if unknown).
 
     media: kind, url, filename, file_size, taken_ts. Records with one url are one item; without, those of one kind, folded name,

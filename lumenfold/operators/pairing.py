@@ -7,10 +7,10 @@ again until none is left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.names import NON_SIDECAR_JSON, base, copy_number, dot_ext, is_edited, match, without_copy
+from lumenfold.functions.names import NON_SIDECAR_JSON, base, classify, copy_number, dot_ext, is_edited, match, without_copy
 from lumenfold.functions.text import casefold, nfc
 from lumenfold.session import Scratch
 
@@ -36,7 +36,7 @@ def _key(name: Column) -> Column:
 def _media(media: DataFrame) -> DataFrame:
     m = media.where(~is_edited(F.col("filename"))).withColumn("lit", nfc(F.col("filename")))
     m = m.select(F.col("media_key"), *PLACE, "lit", "exif_ts", copy_number(F.col("lit")).alias("m_dup"), without_copy(F.col("lit")).alias("plain"), base(F.col("lit")).alias("base"))
-    m = m.withColumns({"lit_key": _key(F.col("lit")), "plain_key": _key(F.col("plain")), "base_cf": casefold(F.col("base")), "plain_cf": casefold(F.col("plain"))})
+    m = m.withColumns({"lit_key": _key(F.col("lit")), "plain_key": _key(F.col("plain")), "base_cf": casefold(F.col("base")), "plain_cf": casefold(F.col("plain")), "lit_cf": casefold(F.col("lit"))})
     return m.withColumn("cut", (F.octet_length("lit") >= CUT_MIN_BYTES) & (F.length("base") >= PREFIX_MIN))
 
 
@@ -56,19 +56,19 @@ def _sidecars(sidecars: DataFrame, present: DataFrame) -> DataFrame:
     return s.join(present.withColumnRenamed("key", "title_key"), [*PLACE, "title_key"], "left").withColumn("names_present", F.coalesce("here", F.lit(False))).drop("here")
 
 
-def _confirmed(c: DataFrame, rule: str) -> DataFrame:
-    """Candidates that title and time don't refute, with their quality (less is better) and confidence."""
+def _confirmed(c: DataFrame) -> DataFrame:
+    """Candidates that title and time don't refute, with their quality (less is better) and confidence; rule is a column."""
     named = (F.col("title_key") == F.col("lit_key")) | (F.col("title_key") == F.col("plain_key"))
     prefix = F.col("cut") & (F.col("title_key.ext") == F.col("plain_key.ext")) & F.col("title_key.stem").startswith(F.col("base_cf")) & ~F.col("names_present")
-    no_title = F.lit(None).cast("int") if rule in ("R3", "R4", "R6") else F.lit(2)
+    no_title = F.when(~F.col("rule").isin("R3", "R4", "R6"), 2)
     title_rank = F.when(F.col("title").isNull(), no_title).when(named, 0).when(prefix, 1)
     dt = F.abs(F.col("taken_ts") - F.col("exif_ts"))
     off = dt % 900
     time_rank = F.when(dt.isNull(), 2).when(dt > WINDOW_S, F.lit(None).cast("int")).when((dt <= ZONE_S) & ((off <= 1) | (off >= 899)), 0).when(dt <= ZONE_S, 1).otherwise(2)
     d = c.withColumns({"title_rank": title_rank, "time_rank": time_rank, "dup_rank": F.when(F.col("s_dup").eqNullSafe(F.col("m_dup")), 0).otherwise(1)})
     d = d.where("title_rank is not null and time_rank is not null and not (title_rank = 1 and time_rank <> 0)")
-    conf = F.when((F.col("title_rank") == 0) | ((F.col("title_rank") == 1) & F.lit(rule not in ("R3", "R6"))), "high").otherwise("low")
-    return d.select("media_key", "sidecar_key", F.struct("title_rank", "dup_rank", "time_rank").alias("q"), conf.alias("conf")).distinct()
+    conf = F.when((F.col("title_rank") == 0) | ((F.col("title_rank") == 1) & ~F.col("rule").isin("R3", "R6")), "high").otherwise("low")
+    return d.select("rule", "media_key", "sidecar_key", F.struct("title_rank", "dup_rank", "time_rank").alias("q"), conf.alias("conf"))
 
 
 def _titled(m: DataFrame, s: DataFrame) -> DataFrame:
@@ -78,76 +78,122 @@ def _titled(m: DataFrame, s: DataFrame) -> DataFrame:
     named = t.join(keys, [*PLACE, "title_key"]).select(*t.columns, *[c for c in m.columns if c not in PLACE])
     starts = t.where(F.length("title_key.stem") >= PREFIX_MIN).select("*", F.explode(F.sequence(F.lit(PREFIX_MIN), F.length("title_key.stem"))).alias("n")).withColumn("base_cf", F.left(F.col("title_key.stem"), F.col("n"))).drop("n")
     begun = starts.join(m.where("cut"), [*PLACE, "base_cf"]).select(*named.columns)
-    return named.unionByName(begun).distinct()
+    return named.unionByName(begun)
 
 
-def _named(m: DataFrame, s: DataFrame, names: list[Column], on: str) -> DataFrame:
-    keys = m.select("*", F.explode(F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull()))).alias(on))
-    return s.join(keys, [*PLACE, on])
-
-
-def _candidates(rule: str, m: DataFrame, s: DataFrame) -> DataFrame:
+def _by_name(m: DataFrame, s: DataFrame) -> dict[str, DataFrame]:
+    """Candidates of the rules that go by the sidecar's name, from one join on exact and one on folded names."""
     js, number = F.lit(".json"), F.concat(F.lit("("), F.col("m_dup").cast("string"), F.lit(")"))
+    dup = F.coalesce(number, F.lit(""))
+    # Null where a name has no number: such keys are left out.
+    key = lambda rule, c: F.struct(F.lit(rule).alias("rule"), c.alias("key"))
     whole = [F.concat("lit", F.lit(SUPP), js), F.concat("lit", js)]
     moved = [F.concat("plain", F.lit(SUPP), number, js), F.concat("plain", number, js)]
-    if rule == "R1":
-        return _named(m, s, whole, "name")
-    if rule == "R2":
-        return _named(m.where("m_dup is not null"), s, moved, "name")
-    if rule == "R5":
-        return _named(m, s, [casefold(x) for x in (*whole, *moved)], "name_cf")
-    if rule == "R4":
-        d = F.coalesce(number, F.lit(""))
-        return _named(m.where("plain <> base"), s, [F.concat("base_cf", d, js), F.concat("base_cf", F.lit(SUPP), d, js)], "name_cf")
-    t = _titled(m, s)
-    if rule == "R6":
-        return t.where(F.col("m_dup").eqNullSafe(F.col("s_dup")))
-    cut = F.concat("plain_cf", F.lit(SUPP)).startswith(F.col("stem_cf")) | (F.col("cut") & F.col("stem_cf").startswith(F.col("base_cf")))
-    return t.where(F.col("long") & (F.length("stem_cf") >= PREFIX_MIN) & cut & (F.col("m_dup").eqNullSafe(F.col("s_dup")) | (F.col("m_dup").isNull() & F.col("collision"))))
+    bare = [F.when(F.col("plain") != F.col("base"), F.concat("base_cf", x, dup, js)) for x in (F.lit(""), F.lit(SUPP))]
+
+    def joined(keys: list[Column], on: str) -> DataFrame:
+        d = m.select("*", F.inline(F.array_distinct(F.filter(F.array(*keys), lambda x: x["key"].isNotNull())))).withColumnRenamed("key", on)
+        return s.join(d, [*PLACE, on])
+
+    exact = joined([*(key("R1", c) for c in whole), *(key("R2", c) for c in moved)], "name")
+    any_case = [F.concat("lit_cf", F.lit(SUPP), js), F.concat("lit_cf", js), F.concat("plain_cf", F.lit(SUPP), number, js), F.concat("plain_cf", number, js)]
+    folded = joined([*(key("R4", c) for c in bare), *(key("R5", c) for c in any_case)], "name_cf")
+    return {"exact": exact, "folded": folded}
 
 
 def mutual_best(edges: DataFrame, scratch: Scratch, left: str = "media_key", right: str = "sidecar_key", quality: str = "q") -> DataFrame:
     """The edges taken by repeating: keep those that are the only best of both their ends, drop their ends' other edges.
 
-    Ends when a round takes none. Ties of quality on one side leave both edges open.
+    edges: distinct pairs of longs with a quality, less is better. Ends when a round takes none, so there are at most as many rounds as
+    the longest chain of edges of which each one's taking frees the next. Ties of quality on one side leave both edges open. A side's
+    best is told by two aggregates, its smallest and its largest partner of the least quality, so a hot end is no burden.
     """
     keep = [c for c in edges.columns if c != quality]
-    rest, n = scratch.save_counted(edges, "rest")
-    taken = None
-    while n:
-        def only(side: str) -> Column:
-            best = F.min(quality).over(Window.partitionBy(side))
-            ties = F.count("*").over(Window.partitionBy(side, quality))
-            return (F.col(quality) == best) & (ties == 1)
-
-        won, n_won = scratch.save_counted(rest.where("true").withColumn("_l", only(left)).withColumn("_r", only(right)).where("_l and _r").select(*keep), "won")
-        if not n_won:
+    rest, taken = edges, None
+    while True:
+        def only(end: str, other: str) -> DataFrame:
+            lo, hi = (F.min(F.struct(F.col(quality).alias("q"), x.alias("o")))["o"] for x in (F.col(other), -F.col(other)))
+            return rest.groupBy(end).agg(lo.alias(other), hi.alias("_hi")).where(F.col(other) == -F.col("_hi")).drop("_hi")
+
+        pairs = only(left, right).join(only(right, left), [left, right])
+        won, n = scratch.save_counted(rest.join(pairs, [left, right], "left_semi").select(*keep), "won")
+        if not n:
             break
         taken = won if taken is None else taken.unionByName(won)
+        before = rest
         rest, n = scratch.save_counted(rest.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti"), "rest")
+        scratch.drop(before if before is not edges else None)
+        if not n:
+            break
     return taken if taken is not None else edges.where("false").select(*keep)
 
 
+RULES = ("R1", "R2", "R3", "R4", "R5", "R6")
+
+
+def candidates(m: DataFrame, s: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rule, media_key, sidecar_key, q, conf): the confirmed candidates of all rules, each pair once a rule. No rule's depend on what others took."""
+    t = _titled(m, s)
+    same_number = F.col("m_dup").eqNullSafe(F.col("s_dup"))
+    cut = F.concat("plain_cf", F.lit(SUPP)).startswith(F.col("stem_cf")) | (F.col("cut") & F.col("stem_cf").startswith(F.col("base_cf")))
+    r3 = F.col("long") & (F.length("stem_cf") >= PREFIX_MIN) & cut & (same_number | (F.col("m_dup").isNull() & F.col("collision")))
+    by_title = t.select("*", F.explode(F.array_compact(F.array(F.when(r3, F.lit("R3")), F.when(same_number, F.lit("R6"))))).alias("rule"))
+    found = None
+    for d in (*_by_name(m, s).values(), by_title):
+        c = _confirmed(d)
+        found = c if found is None else found.unionByName(c)
+    return scratch.save(found.distinct(), "candidates")
+
+
 def pair(media: DataFrame, sidecars: DataFrame, scratch: Scratch) -> DataFrame:
     """(media_key, sidecar_key, rule, conf): every media key, with 'none' where no sidecar belongs to it.
 
-    media: media_key long, export_id, folder, filename, exif_ts; videos included. sidecars: sidecar_key long, export_id, folder,
-    json_name, title, taken_ts. Edited copies never own a sidecar. Nulls in a place match nothing.
+    media: media_key long, export_id, folder, filename, exif_ts; videos and skipped media included. sidecars: sidecar_key long,
+    export_id, folder, json_name, title, taken_ts. Edited copies never own a sidecar. Nulls in a place match nothing. The candidates of
+    all rules are found in one pass; a rule is then settled among those whose ends no earlier rule took.
     """
     m = scratch.save(_media(media), "media")
     present = m.select(*PLACE, F.explode(F.array("lit_key", "plain_key")).alias("key")).distinct().withColumn("here", F.lit(True))
     s = scratch.save(_sidecars(sidecars, present), "sidecars")
+    every = candidates(m, s, scratch)
+    some = {r["rule"] for r in every.select("rule").distinct().collect()}  # six at most
     found = None
-    for rule in ("R1", "R2", "R3", "R4", "R5", "R6"):
-        won = mutual_best(_confirmed(_candidates(rule, m, s), rule), scratch)
-        won = won.withColumn("rule", F.lit(rule))
+    for rule in RULES:
+        if rule not in some:
+            continue
+        left = every.where(F.col("rule") == rule).select("media_key", "sidecar_key", "q", "conf", "rule")
+        if found is not None:
+            left = left.join(found.select("media_key"), "media_key", "left_anti").join(found.select("sidecar_key"), "sidecar_key", "left_anti")
+        won = mutual_best(left, scratch)
         found = won if found is None else found.unionByName(won)
-        m = m.join(won.select("media_key"), "media_key", "left_anti")
-        s = s.join(won.select("sidecar_key"), "sidecar_key", "left_anti")
-    out = media.select("media_key").distinct().join(found, "media_key", "left")
+    out = media.select("media_key").distinct()
+    if found is None:
+        return out.select("media_key", F.lit(None).cast("long").alias("sidecar_key"), F.lit("none").alias("rule"), F.lit("none").alias("conf"))
+    out = out.join(found, "media_key", "left")
     return out.select("media_key", "sidecar_key", F.coalesce("rule", F.lit("none")).alias("rule"), F.coalesce("conf", F.lit("none")).alias("conf"))
 
 
+SKIPPED_MEDIA = ("raw", "other_image", "too_large")  # reasons by which library items have no row
+
+
+def media_of_all_kinds(images: DataFrame, videos: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """The media that take part in pairing: kind ('image', 'video' or 'skipped'), key, export_id, folder, filename, file_size and exif_ts.
+
+    Videos and skipped media own sidecars, so images must not take them. skipped: key, export_id, member, reason and file_size; folder and
+    name are told from the member, and only media of a year folder skipped for one of SKIPPED_MEDIA count.
+    """
+    cols = ["kind", "key", "export_id", "folder", "filename", "file_size", "exif_ts"]
+    none = F.lit(None).cast("long")
+    out = images.withColumn("kind", F.lit("image")).select(*cols)
+    if videos is not None:
+        out = out.unionByName(videos.withColumns({"kind": F.lit("video"), "exif_ts": none}).select(*cols))
+    if skipped is not None:
+        c = classify(F.col("member"), F.lit(None).cast("long"), include_albums=True)
+        d = skipped.where(F.col("reason").isin(*SKIPPED_MEDIA)).withColumn("c", c).where("c.folder_kind = 'year' and c.filename is not null")
+        out = out.unionByName(d.select(F.lit("skipped").alias("kind"), "key", "export_id", "c.folder", "c.filename", "file_size", none.alias("exif_ts")))
+    return out
+
+
 def unpaired(sidecars: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sidecars that no media file claimed."""
     return sidecars.join(pairs.where("sidecar_key is not null").select("sidecar_key"), "sidecar_key", "left_anti")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.names import is_screenshot_name, messaging_app
-from lumenfold.functions.text import casefold
+from lumenfold.functions.text import casefold, round_share
+from lumenfold.operators.ordering import running_sum
 from lumenfold.session import Scratch
 
 # Sizes of screens, folder and app names, limits.
@@ -90,24 +91,19 @@ def reference_rows(items: DataFrame) -> DataFrame:
     return items.where(camera & ~graphic if n["camera"] >= MIN_REFERENCE else ~graphic if n["plain"] else F.lit(True))
 
 
-def ecdf(reference: DataFrame, value: str) -> DataFrame:
-    """(x, below, above): of every distinct reference value the share strictly below and strictly above it.
-
-    Distinct values are counted first; sums over the order of values run in ranges, whose totals are a bounded table.
-    """
+def ecdf(reference: DataFrame, value: str, scratch: Scratch) -> DataFrame:
+    """(x, below, above): of every distinct reference value the share strictly below and strictly above it; nulls are left out."""
     counts = reference.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    # Ranges of equal width between the extremes; NaN sorts last.
-    ends = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all")).first()
-    if ends["all"] is None:
+    return _shares(counts, scratch)
+
+
+def _shares(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, below, above) of distinct values with their counts, some of which may be 0. Ranges follow the values, however they are spread."""
+    d = running_sum(counts, ["x"], F.col("n"), "under", scratch)
+    total = counts.agg(F.sum("n").alias("n")).first()["n"]  # one number
+    if not total:
         return counts.select("x", F.lit(0.0).alias("below"), F.lit(0.0).alias("above"))
-    span = float(ends["hi"] - ends["lo"]) or 1.0
-    ranged = counts.withColumn("range", F.floor((F.col("x") - F.lit(ends["lo"])) / span * 1023))
-    sums = ranged.groupBy("range").agg(F.sum("n").alias("sum"))
-    ahead = sums.withColumn("ahead", F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).drop("sum")
-    inside = F.sum("n").over(Window.partitionBy("range").orderBy("x")) - F.col("n")
-    d = ranged.withColumn("inside", inside).join(F.broadcast(ahead), "range").withColumn("under", F.col("ahead") + F.col("inside"))
-    total = float(ends["all"])
-    return d.select("x", (F.col("under") / total).alias("below"), ((total - F.col("under") - F.col("n")) / total).alias("above"))
+    return d.select("x", (F.col("under") / float(total)).alias("below"), ((F.lit(float(total)) - F.col("under") - F.col("n")) / float(total)).alias("above"))
 
 
 def with_shares(items: DataFrame, reference: DataFrame, value: str, out: str, scratch: Scratch, below: bool = False) -> DataFrame:
@@ -117,20 +113,8 @@ def with_shares(items: DataFrame, reference: DataFrame, value: str, out: str, sc
     """
     tag = items.where(F.col(value).isNotNull()).select(F.col(value).alias("x"), F.lit(0).alias("ref")).distinct()
     refs = reference.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("ref"))
-    both = tag.unionByName(refs).groupBy("x").agg(F.sum("ref").alias("n"))
-    ends = scratch.save(both, "values")
-    stats = ends.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all")).first()
-    if not stats["all"]:
-        return items.withColumn(out, F.when(F.col(value).isNotNull(), 0.0))
-    span = float(stats["hi"] - stats["lo"]) or 1.0
-    ranged = ends.withColumn("range", F.floor((F.col("x") - F.lit(stats["lo"])) / span * 1023))
-    sums = ranged.groupBy("range").agg(F.sum("n").alias("sum"))
-    ahead = sums.withColumn("ahead", F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).drop("sum")
-    inside = F.sum("n").over(Window.partitionBy("range").orderBy("x")) - F.col("n")
-    under = F.col("ahead") + F.col("inside")
-    total = float(stats["all"])
-    share = under / total if below else (F.lit(total) - under - F.col("n")) / total
-    looked = ranged.withColumn("inside", inside).join(F.broadcast(ahead), "range").select(F.col("x").alias(value), share.alias(out))
+    both = scratch.save(tag.unionByName(refs).groupBy("x").agg(F.sum("ref").alias("n")), "values")
+    looked = _shares(both, scratch).select(F.col("x").alias(value), F.col("below" if below else "above").alias(out))
     return items.join(looked, value, "left")
 
 
@@ -138,8 +122,17 @@ def _gated(share: Column, gate: Column) -> Column:
     return F.when(gate, F.greatest(share, F.lit(GATE_FLOOR))).otherwise(share * DAMP)
 
 
+def _whole(c: Column) -> Column:
+    """A number in whole units as text, halves to the even one."""
+    return F.rint(c).cast("long").cast("string")
+
+
+def _percent(share: Column) -> Column:
+    return F.concat(_whole(share * 100), F.lit("%"))
+
+
 def distribution_scores(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """(item_id, category, score) of blur, dark and overexposed against the library's own distribution.
+    """(item_id, category, score, reason) of blur, dark and overexposed against the library's own distribution.
 
     items: item_id, is_graphic, shot (screenshot score), lap_var, luma_mean, frac_bright, has_camera_exif. Nulls have no score, nor have
     likely screenshots.
@@ -149,19 +142,20 @@ def distribution_scores(items: DataFrame, scratch: Scratch) -> DataFrame:
     ref = reference_rows(d)
     for value, out, below in (("lap_var", "p_lap", False), ("luma_mean", "p_mean", False), ("over", "p_over", True)):
         d = with_shares(d, ref, value, out, scratch, below)
+    lap, mean, bright = F.col("lap_var"), F.col("luma_mean"), F.col("frac_bright")
     rules = (
-        ("blur", _gated(F.col("p_lap"), F.col("lap_var") < BLUR_GATE)),
-        ("dark", _gated(F.col("p_mean"), F.col("luma_mean") < DARK_GATE)),
-        ("overexposed", F.when(F.col("over").isNotNull(), _gated(F.col("p_over"), (F.col("frac_bright") > OVER_BRIGHT_GATE) | (F.col("luma_mean") > OVER_MEAN_GATE)))),
+        ("blur", _gated(F.col("p_lap"), lap < BLUR_GATE), F.concat(F.lit("sharpness "), _whole(lap), F.lit(": blurrier than "), _percent(F.col("p_lap")), F.lit(" of camera photos"))),
+        ("dark", _gated(F.col("p_mean"), mean < DARK_GATE), F.concat(F.lit("brightness "), _whole(mean), F.lit("/255: darker than "), _percent(F.col("p_mean")), F.lit(" of camera photos"))),
+        ("overexposed", F.when(F.col("over").isNotNull(), _gated(F.col("p_over"), (bright > OVER_BRIGHT_GATE) | (mean > OVER_MEAN_GATE))), F.concat(_percent(bright), F.lit(" blown-out pixels, brightness "), _whole(mean), F.lit("/255"))),
     )
-    long = d.where(F.coalesce("shot", F.lit(0.0)) < 0.8).select("item_id", F.inline(F.array(*[F.struct(F.lit(n).alias("category"), c.alias("score")) for n, c in rules])))
-    return long.where(F.col("score") >= MIN_STORED).select("item_id", "category", F.round(F.least("score", F.lit(1.0)), 4).alias("score"))
+    long = d.where(F.coalesce("shot", F.lit(0.0)) < 0.8).select("item_id", F.inline(F.array(*[F.struct(F.lit(n).alias("category"), c.alias("score"), r.alias("reason")) for n, c, r in rules])))
+    return long.where(F.col("score") >= MIN_STORED).select("item_id", "category", round_share(F.col("score")).alias("score"), "reason")
 
 
 def stored(*parts: DataFrame) -> DataFrame:
     """The long union of score tables, kept from the least score on and rounded."""
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return whole.where(F.col("score") >= MIN_STORED).withColumn("score", F.round(F.least("score", F.lit(1.0)), 4))
+    return whole.where(F.col("score") >= MIN_STORED).withColumn("score", round_share(F.col("score")))
 
 
 def category_counts(scores: DataFrame, min_score: float = SHOW_MIN) -> DataFrame:

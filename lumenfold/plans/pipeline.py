@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.documents import unix_field
 from lumenfold.functions.localtime import exif_wall, subsec, with_local_fields
-from lumenfold.functions.pixels import SIG_BYTES
+from lumenfold.functions.pixels import SIG_BYTES, sig_luma_std
 from lumenfold.operators import bursts as B
 from lumenfold.operators import scores as S
-from lumenfold.operators.collapse import assign_items, merged, with_item_ids, with_uids
+from lumenfold.operators.collapse import assign_items, merged, unindexed, with_item_ids, with_uids
 from lumenfold.operators.deliveries import latest_values
 from lumenfold.operators.groups import GroupParams, find_groups
+from lumenfold.operators.ordering import numbered
 from lumenfold.operators.pairing import pair, unpaired
+from lumenfold.plans.lookups import library_stats
 from lumenfold.session import Scratch
 from lumenfold.sources.snapshots import read_table, write_snapshot
 
@@ -22,14 +24,14 @@ SIDECAR = ["item_id", "export_id", "folder", "folder_kind", "json_name", "title"
 
 
 def location() -> dict[str, F.Column]:
-    """The first pair of coordinates that is whole: the sidecar's, else the file's."""
+    """The first pair of coordinates that is whole: the sidecar's, its copy of the file's, the file's own."""
     pair = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("lat"), F.col(b).alias("lon")))
-    p = F.coalesce(pair("sc_lat", "sc_lon"), pair("exif_lat", "exif_lon"))
+    p = F.coalesce(pair("sc_lat", "sc_lon"), pair("sc_lat_exif", "sc_lon_exif"), pair("exif_lat", "exif_lon"))
     return {"lat": p["lat"], "lon": p["lon"]}
 
 
 def owned_sidecars(photos: DataFrame, sidecars: DataFrame, scratch: Scratch, max_year: int | None = None) -> DataFrame:
-    """(item_id, sidecar_id): the sidecar of each photo that has one, by names, titles and times.
+    """(item_id, sidecar_id, rule): the sidecar of each photo that has one, by names, titles and times.
 
     A photo for which those find none keeps the sidecar it was delivered with (of several, the one of the smallest id), unless
     another photo has it by them.
@@ -37,8 +39,8 @@ def owned_sidecars(photos: DataFrame, sidecars: DataFrame, scratch: Scratch, max
     media = photos.select(F.col("item_id").alias("media_key"), "export_id", "folder", "filename", exif_wall(F.col("exif_dt"), max_year).alias("exif_ts")).where("filename is not null")
     s = sidecars.select(F.col("sidecar_id").alias("sidecar_key"), "item_id", "export_id", "folder", "json_name", "title", unix_field(F.col("taken_ts")).alias("taken_ts"))
     pairs = scratch.save(pair(media, s.drop("item_id").where("json_name is not null"), scratch).where("sidecar_key is not null"), "pairs")
-    named = pairs.select(F.col("media_key").alias("item_id"), F.col("sidecar_key").alias("sidecar_id"))
-    delivered = unpaired(s.where("item_id is not null"), pairs).groupBy("item_id").agg(F.min("sidecar_key").alias("sidecar_id"))
+    named = pairs.select(F.col("media_key").alias("item_id"), F.col("sidecar_key").alias("sidecar_id"), "rule")
+    delivered = unpaired(s.where("item_id is not null"), pairs).groupBy("item_id").agg(F.min("sidecar_key").alias("sidecar_id")).withColumn("rule", F.lit("delivered"))
     return named.unionByName(delivered.join(named.select("item_id"), "item_id", "left_anti"))
 
 
@@ -51,10 +53,10 @@ def records(photos: DataFrame, sidecars: DataFrame, owned: DataFrame, exports: D
     homes = exports.groupBy("export_id").agg(F.min("home_tz").alias("home_tz"))
     d = photos.where("err is null").withColumnRenamed("item_id", "photo_id").join(s.withColumnRenamed("item_id", "photo_id"), "photo_id", "left").join(homes, "export_id", "left")
     flag = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(0)).cast("int")
-    d = d.withColumns({"url": F.col("s.url"), "origin_folder": F.col("s.origin_folder"), "sc_lat": F.col("s.lat"), "sc_lon": F.col("s.lon"), "sc_taken_ts": unix_field(F.col("s.taken_ts")), "favorited": flag("favorited"), "archived": flag("archived"), "shared": flag("from_shared_album"), "partner": flag("from_partner"), "trashed": flag("trashed")})
+    d = d.withColumns({"url": F.col("s.url"), "origin_folder": F.col("s.origin_folder"), "sc_lat": F.col("s.lat"), "sc_lon": F.col("s.lon"), **{f"sc_{c}": F.col(f"s.{c}") if c in sidecars.columns else F.lit(None).cast("double") for c in ("lat_exif", "lon_exif")}, "sc_taken_ts": unix_field(F.col("s.taken_ts")), "favorited": flag("favorited"), "archived": flag("archived"), "shared": flag("from_shared_album"), "partner": flag("from_partner"), "trashed": flag("trashed")})
     d = d.where("trashed = 0").withColumns(location())
     zone = F.coalesce("home_tz", F.lit("UTC"))
-    return with_local_fields(d, "exif_dt", "exif_offset", "exif_dt_any", "sc_taken_ts", "folder", zone, max_year).drop("s", "home_tz", "sc_lat", "sc_lon")
+    return with_local_fields(d, "exif_dt", "exif_offset", "exif_dt_any", "sc_taken_ts", "folder", zone, max_year).drop("s", "home_tz", "sc_lat", "sc_lon", "sc_lat_exif", "sc_lon_exif")
 
 
 def library_items(recs: DataFrame, sidecars: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -63,11 +65,20 @@ def library_items(recs: DataFrame, sidecars: DataFrame, scratch: Scratch) -> tup
     whole = merged(assigned, sidecars).drop("url")
     flags = [c for c in whole.columns if c in ("favorited", "shared", "partner", "archived")]
     primary = assigned.where("is_primary").drop(*flags, "is_primary", "reason").join(whole, "item_key")
-    items = scratch.save(with_item_ids(with_uids(primary)), "items")
+    items = scratch.save(with_item_ids(with_uids(primary), scratch), "items")
     aliases = assigned.where(~F.col("is_primary")).join(items.select("item_key", "item_id"), "item_key").select("item_id", "zipkey", "member", "reason")
     return items, aliases
 
 
+def without_row(photos: DataFrame, sidecars: DataFrame, owned: DataFrame, exports: DataFrame, items: DataFrame) -> DataFrame:
+    """(kind, day): library items that have no row in the index: photos of year folders that could not be read and aren't trashed."""
+    s = owned.join(sidecars.select("sidecar_id", "url", "taken_ts", F.coalesce("trashed", F.lit(0)).alias("trashed")), "sidecar_id").drop("sidecar_id", "rule")
+    homes = exports.groupBy("export_id").agg(F.min("home_tz").alias("home_tz"))
+    d = photos.where("(err is not null or sha256 is null) and folder_kind = 'year'").join(s, "item_id", "left").where("coalesce(trashed, 0) = 0").join(homes, "export_id", "left")
+    media = d.select(F.lit("image").alias("kind"), "url", "filename", "file_size", unix_field(F.col("taken_ts")).alias("taken_ts"), F.coalesce("home_tz", F.lit("UTC")).alias("home_tz"))
+    return unindexed(media, items.select("url"), F.col("home_tz"))
+
+
 def analyse(items: DataFrame, scratch: Scratch, p: GroupParams | None = None) -> dict[str, DataFrame]:
     """Groups, bursts and scores: a function of index columns only.
 
@@ -78,27 +89,31 @@ def analyse(items: DataFrame, scratch: Scratch, p: GroupParams | None = None) ->
     signed = "sig" in items.columns and not items.where("sig is not null").isEmpty()
     if not signed:
         items = items.withColumn("sig", F.when(F.col("phash64") != 0, F.lit(bytearray(SIG_BYTES))))
-    d = items.withColumn("shot", S.screenshot()["score"]).withColumn("is_graphic", (F.coalesce("shot", F.lit(0.0)) >= 0.8) | (F.coalesce("flat_frac", F.lit(0.0)) >= 0.35))
+    d = items.withColumn("shot", S.screenshot()["score"])
+    # Without any signatures their rules can't tell a graphic.
+    d = d.withColumn("is_graphic", S.is_graphic(F.col("shot"), sig_luma_std("sig"), F.coalesce(F.length("sig") == SIG_BYTES, F.lit(False))) if signed else S.is_graphic(F.col("shot"), F.lit(None).cast("double"), F.lit(True)))
     d = scratch.save(d.withColumns({"capture_s": exif_wall(F.col("exif_dt")), "subsec": subsec(F.col("exif_subsec"))}), "flagged")
     found = find_groups(d, scratch, p)
-    ids = found["groups"].select("component", "group_no", F.dense_rank().over(_by_seed()).cast("long").alias("group_id"))
-    groups = scratch.save(found["groups"].join(ids, ["component", "group_no"]).drop("component", "group_no"), "groups")
-    members = found["members"].join(ids, ["component", "group_no"]).drop("component", "group_no")
+    groups = scratch.save(numbered(found["groups"], ["seed_item_id"], "group_id", scratch), "groups")
+    members = found["members"].join(groups.select("seed_item_id", "group_id"), "seed_item_id").drop("seed_item_id")
     if not signed:
         d, members = d.drop("sig"), members.withColumns({c: F.lit(None).cast(t) for c, t in members.dtypes if c.startswith("sig_")})
     members = scratch.save(members, "members")
     inside = members.select("item_id", F.col("group_id").alias("dup_group"), "is_keeper")
     by_name = scratch.save(B.filename_bursts(d), "by-name")
     seq = d.where(~F.col("is_graphic")).join(by_name.select("item_id"), "item_id", "left_anti").join(inside, "item_id", "left").where("is_keeper is null or is_keeper = 1")
-    frames = scratch.save(by_name.withColumn("source", F.lit("filename")).unionByName(B.time_bursts(seq).withColumn("source", F.lit("time"))), "frames")
+    frames = scratch.save(by_name.withColumn("source", F.lit("filename")).unionByName(B.time_bursts(seq, scratch).withColumn("source", F.lit("time"))), "frames")
     rank = scratch.save(B.ranked(frames.select(F.concat_ws("-", "source", "burst").alias("burst"), "item_id"), d), "ranked")
-    extras = B.burst_extras(rank).select("item_id", F.lit("burst_extra").alias("category"), "score")
+    summary = scratch.save(B.burst_summary(rank.select("burst", "item_id"), d), "bursts")
+    extras = B.extra_reasons(B.burst_extras(rank), summary, rank).select("item_id", F.lit("burst_extra").alias("category"), "score", "reason")
     keeper = groups.select("group_id", "deletable", F.col("seed_item_id").alias("keeper")).join(d.select(F.col("item_id").alias("keeper"), F.col("url").alias("keeper_url")), "keeper")
     dup = members.where("is_keeper = 0").join(keeper, "group_id").join(d.select("item_id", "url"), "item_id")
     sure = (F.col("deletable") == 1) & F.col("url").isNotNull() & F.col("keeper_url").isNotNull() & (F.col("url") != F.col("keeper_url"))
-    dup = dup.select("item_id", F.lit("dup_extra").alias("category"), F.when(sure, 1.0).otherwise(0.6).alias("score"))
-    scores = S.stored(S.category_scores(d).select("item_id", "category", "score"), S.distribution_scores(d, scratch), extras, dup)
-    out = {"items": d.drop("capture_s", "subsec"), "dup_groups": groups, "dup_members": members, "burst_members": rank, "bursts": B.burst_summary(rank.select("burst", "item_id"), d), "scores": scores}
+    number = F.col("keeper").cast("string")
+    reason = F.when(sure, F.concat(F.lit("duplicate of #"), number)).otherwise(F.concat(F.lit("possible duplicate of #"), number, F.lit(" (may be the same item)")))
+    dup = dup.select("item_id", F.lit("dup_extra").alias("category"), F.when(sure, 1.0).otherwise(0.6).alias("score"), reason.alias("reason"))
+    scores = S.stored(S.category_scores(d), S.distribution_scores(d, scratch), extras, dup)
+    out = {"items": d.drop("capture_s", "subsec"), "dup_groups": groups, "dup_members": members, "burst_members": rank, "bursts": summary, "scores": scores}
     return {**out, "bucket_skips": found["skips"]} if "skips" in found else out
 
 
@@ -107,29 +122,30 @@ def _cfg(p: GroupParams | None) -> dict:
     return {"distance": p.distance, "bucket_cap": p.bucket_cap}
 
 
-def _by_seed():
-    from pyspark.sql import Window
-
-    # Groups are ordered by seed; the table of groups holds a row for each group, ids only.
-    return Window.orderBy("seed_item_id", "group_key")
-
-
 def build(spark: SparkSession, sf_dir: str, root: str, name: str, p: GroupParams | None = None) -> dict:
     """Read deliveries, build the index and write it as a snapshot; returns the manifest."""
     scratch = Scratch(spark, "build")
     raw = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     scanned = raw("items_raw")
     photos = scratch.save(latest_values(scanned, "item_id", [*PHOTO, *(c for c in ["sig"] if c in scanned.columns)]), "photos")
-    sidecars = scratch.save(latest_values(raw("sidecars_raw"), "sidecar_id", SIDECAR), "sidecars")
+    told = raw("sidecars_raw")
+    sidecars = scratch.save(latest_values(told, "sidecar_id", [*SIDECAR, *(c for c in ("lat_exif", "lon_exif") if c in told.columns)]), "sidecars")
     owned = scratch.save(owned_sidecars(photos, sidecars, scratch), "owned")
     items, aliases = library_items(records(photos, sidecars, owned, raw("exports")), sidecars, scratch)
     tables = analyse(items, scratch, p)
-    return write_snapshot(spark, root, name, {**tables, "item_aliases": aliases, "zips": raw("zips")}, _cfg(p))
+    missing = scratch.save(without_row(photos, sidecars, owned, raw("exports"), tables["items"]), "missing")
+    by_day = missing.where("day is not null").groupBy(F.col("day").alias("local_date")).agg(F.count("*").alias("n"))
+    stats = library_stats(tables["items"], tables["dup_groups"], tables["scores"], by_day)
+    more = {"undated_unindexed": missing.where("day is null"), "aliases": aliases, "unreadable": photos.where("err is not null or sha256 is null")}
+    for key, df in more.items():
+        stats = stats.unionByName(df.agg(F.count("*").alias("value")).select(F.lit(key).alias("key"), "value"))
+    stats = stats.unionByName(owned.groupBy("rule").agg(F.count("*").alias("value")).select(F.concat(F.lit("pairing:"), "rule").alias("key"), "value"))
+    return write_snapshot(spark, root, name, {**tables, "item_aliases": aliases, "videos_by_day": by_day, "stats": stats, "zips": raw("zips")}, _cfg(p))
 
 
 def regroup(spark: SparkSession, root: str, old: str, new: str, p: GroupParams) -> dict:
     """A new snapshot with the analysis made anew from the items of an old one."""
     scratch = Scratch(spark, "regroup")
     items = read_table(spark, root, old, "items").drop("shot", "is_graphic")
-    keep = {t: read_table(spark, root, old, t) for t in ("item_aliases", "zips")}
+    keep = {t: read_table(spark, root, old, t) for t in ("item_aliases", "videos_by_day", "stats", "zips")}
     return write_snapshot(spark, root, new, {**analyse(items, scratch, p), **keep}, _cfg(p))

@@ -25,7 +25,7 @@ def groups_of(spark, scratch, rows, **kw):
     found = G.find_groups(spark.createDataFrame(rows, ITEM), scratch, G.GroupParams(**kw))
     out = {}
     for r in found["members"].orderBy("place").collect():
-        out.setdefault((r.component, r.group_no), []).append(r.item_id)
+        out.setdefault(r.seed_item_id, []).append(r.item_id)
     return sorted(out.values()), found
 
 
@@ -124,18 +124,27 @@ def test_deletable_and_checks(spark, scratch):
         G.GroupParams(distance=6)
 
 
-def brute_groups(rows, p):
-    """Groups of rows by the definition, item by item: components of all verified pairs, then the best seed's matches again and again."""
-    import numpy as np
+def near_rows(a, b, p):
+    """Whether two rows match by hash, sizes and capture; all signatures of the fixture are equal."""
+    if a[7] or b[7] or a[3] is None or b[3] is None or min(a[5], a[6], b[5], b[6]) <= 0 or (a[3] ^ b[3]).bit_count() > p.distance:
+        return False
+    ra, rb = a[5] / a[6], b[5] / b[6]
+    if abs(ra - rb) / max(ra, rb) > p.aspect:
+        return False
+    return a[8] is None or b[8] is None or a[8] == b[8] or abs(a[8] - b[8]) > p.capture_window
+
 
-    rows = sorted(rows, key=lambda r: (-(r[5] * r[6]), -r[16], r[1]))
-    def split(part):
-        col = lambda i: np.array([np.nan if r[i] is None else r[i] for r in part], float)
-        code = np.array([[r[3] or 0, r[3] is not None] for r in part], dtype=np.int64)
-        sha = [None if r[2] is None else bytes(r[2]) for r in part]
-        return G.anti_chain(np.array([r[0] for r in part]), sha, code, [bytes(r[4]) for r in part], np.column_stack([col(5), col(6)]), np.array([r[7] for r in part]), col(8), col(9), np.ones(len(part), int), p)
-    # All rows as one component give the same groups, since a seed takes verified matches only.
-    return sorted([rows[k][0] for k in g] for g in split(rows))
+def brute_groups(rows, p):
+    """Groups by the definition, item by item: the best of what is left, all that its copies match, and the copies of those."""
+    left, out = sorted(rows, key=lambda r: (-(r[5] * r[6]), -r[16], r[1])), []
+    while left:
+        same = lambda a, b: a is b or (a[2] is not None and a[2] == b[2])
+        copies = [r for r in left if same(r, left[0])]
+        near = [r for r in left if r in copies or any(near_rows(r, c, p) for c in copies)]
+        group = [r for r in left if any(same(r, g) for g in near)]
+        out += [[r[0] for r in group]] if len(group) > 1 else []
+        left = [r for r in left if r not in group]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -150,14 +159,56 @@ def test_classes_give_the_groups_of_single_items(spark, scratch, seed):
     assert stats["candidate_pairs"] == len(pairs) == stats["near_edges"] + stats["rejected_aspect"] + stats["rejected_sig"] + stats["rejected_capture"]
 
 
-def test_copies_go_through_the_split_as_one_row(spark, scratch, monkeypatch):
-    """A third of a table in one hash or one sha256 reaches the split as single rows and comes out whole, best first."""
-    seen, split = [], G.seed_groups
-    monkeypatch.setattr(G, "seed_groups", lambda m, p: seen.append(m.count()) or split(m, p))
+def test_copies_are_elected_as_one_row(spark, scratch, monkeypatch):
+    """A third of a table in one hash or one sha256 reaches the election as single rows and comes out whole, best first."""
+    seen, elect = [], G.elect_seeds
+    monkeypatch.setattr(G, "elect_seeds", lambda u, links, s: seen.append((u.count(), links.count())) or elect(u, links, s))
+    monkeypatch.setattr(G, "KEY_CHUNK", 100)
     rows = [item(i, f"s{i}", 1, size=i) for i in range(800)] + [item(1000 + i, "x", 0xFF << 40) for i in range(800)]
     got, found = groups_of(spark, scratch, rows)
-    assert seen == [2] and got == [list(range(799, -1, -1)), list(range(1000, 1800))]
-    assert found["edges"].count() == 1
+    assert seen == [(2, 0)] and got == [list(range(799, -1, -1)), list(range(1000, 1800))]
+    assert found["edges"].count() == 1 and found["groups"].agg(F.count_distinct("group_key")).first()[0] == 2
+
+
+@pytest.mark.parametrize("n", [2, 7, 40])
+def test_seeds_along_a_path_of_falling_rank(spark, scratch, n):
+    """The order that takes the most rounds: every second unit is a seed."""
+    units = spark.createDataFrame([(i, i) for i in range(n)], "unit long, rank long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert sorted(map(tuple, G.elect_seeds(units, links, scratch).collect())) == [(i, i - 1) for i in range(1, n, 2)]
+
+
+def test_two_dense_clusters(spark, scratch):
+    """Two clusters of 400 differing items in which all pairs match: 160,000 links, one round."""
+    rows = [item(1000 * c + i, f"{c}-{i}", (0xFFFF << 40 if c else 0) | (1 << i % 20 if i else 0), size=i, capture=1000 * i) for c in (0, 1) for i in range(400)]
+    got, found = groups_of(spark, scratch, rows)
+    assert [len(g) for g in got] == [400, 400]
+    assert G.group_stats(spark.createDataFrame(rows, ITEM), found["edges"]).first()["candidate_pairs"] == 2 * 400 * 399 // 2
+
+
+def test_group_keys(spark, monkeypatch):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "g long, item_uid string")
+    assert {r.g: (r.size, r.group_key) for r in G.group_keys(df, "g").collect()} == {1: (2, hashlib.sha1(b"a\nb").hexdigest()), 2: (1, hashlib.sha1(b"c").hexdigest())}
+
+
+def test_numbers_that_are_other_names_are_passed_over(spark):
+    """a and its repeats are numbered past an item whose own name is a:2."""
+    rows = [(i, None, bytearray(b"t"), n, f"m{i}") for i, n in enumerate(["a", "a", "a", "a:2", "a:4"])]
+    df = spark.createDataFrame(rows, "i int, url string, sha256 binary, filename string, member string").withColumns({c: F.lit("x") for c in ("local_date", "folder", "export_id", "zip_name")})
+    assert sorted(r.item_uid for r in L.with_uids(df).collect()) == ["s:74:a", "s:74:a:2", "s:74:a:3", "s:74:a:4", "s:74:a:5"]
+
+
+def test_a_hot_key_is_numbered_over_many_tasks(spark, scratch):
+    """A third of the rows has no date, a third one value: ids are dense and in order, shares right."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("2020-01-"), F.lpad((F.col("id") % 28).cast("string"), 2, "0"))).alias("local_date"), F.lit(None).cast("string").alias("local_time"), F.lpad(F.col("id").cast("string"), 6, "0").alias("item_uid"))
+    got = [(r.local_date or "9", r.item_uid) for r in L.with_item_ids(rows, scratch).orderBy("item_id").collect()]
+    assert got == sorted(got) and len(got) == 30_000
+    values = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.pow(F.lit(1.01), F.col("id"))).alias("x"))
+    flat = sorted(r.x for r in values.collect())
+    for r in S.ecdf(values, "x", scratch).collect():
+        assert r.below == sum(v < r.x for v in flat) / 3000 and r.above == sum(v > r.x for v in flat) / 3000
 
 
 RECORD = "zipkey string, zip_name string, export_id string, member_idx long, member string, folder string, folder_kind string, filename string, sha256 binary, exif_dt string, exif_dt_any string, url string, favorited int"
@@ -182,12 +233,12 @@ def test_collapse(spark):
     assert collapsed(spark, []) == {}
 
 
-def test_flags_albums_uids_and_ids(spark):
+def test_flags_albums_uids_and_ids(spark, scratch):
     rows = spark.createDataFrame([record(1, "h/p/1"), record(2, "h/p/1", kind="album", fav=1), record(3, sha="t", kind="album"), record(4, sha="t", kind="album", day=None)], RECORD)
     a = L.assign_items(rows)
     m = {r.url: (r.favorited, r.albums, r.albums_n) for r in L.merged(a).collect()}
     assert m["h/p/1"] == (1, ["Album 2"], 1)
-    items = L.with_item_ids(L.with_uids(a.where("is_primary").withColumn("local_date", F.lit(None).cast("string")).withColumn("local_time", F.lit(None).cast("string"))))
+    items = L.with_item_ids(L.with_uids(a.where("is_primary").withColumn("local_date", F.lit(None).cast("string")).withColumn("local_time", F.lit(None).cast("string"))), scratch)
     assert sorted(r.item_uid for r in items.collect()) == ["g:1", "s:74:a.jpg", "s:74:a.jpg:2"]
     assert sorted(r.item_id for r in items.collect()) == [1, 2, 3]
 
@@ -200,8 +251,10 @@ def shot(i, t, h=1, model="m", sub=None, group=None, lap=1.0, dark=0.0):
 
 
 def time_groups(spark, rows):
+    from lumenfold.session import Scratch
+
     out = {}
-    for r in B.time_bursts(spark.createDataFrame(rows, SHOT)).collect():
+    for r in B.time_bursts(spark.createDataFrame(rows, SHOT), Scratch(spark, "bursts")).collect():
         out.setdefault(r.burst, set()).add(r.item_id)
     return sorted(map(sorted, out.values()))
 
@@ -317,6 +370,31 @@ def test_pairing(spark, scratch):
     assert pair(m.limit(0), s.limit(0), scratch).count() == 0
 
 
+def test_mutual_best_in_rounds(spark, scratch):
+    """A chain in which each pair's taking frees the next, a tie on one side, and a hot end."""
+    from lumenfold.operators.pairing import mutual_best
+
+    chain = [(i, j, i + j) for i in range(5) for j in (i, i + 1)]
+    tie, hot = [(10, 20, 1), (11, 20, 1)], [(30, 40 + i, 5) for i in range(300)] + [(30, 999, 1)]
+    df = spark.createDataFrame(chain + tie + hot, "media_key long, sidecar_key long, q int")
+    assert sorted(map(tuple, mutual_best(df, scratch).collect())) == [(i, i) for i in range(5)] + [(30, 999)]
+    assert mutual_best(df.limit(0), scratch).count() == 0
+
+
+def test_media_of_all_kinds(spark, scratch):
+    """A video or a raw file owns the sidecar that an image could have had; album copies and other reasons don't take part."""
+    from lumenfold.operators.pairing import media_of_all_kinds
+
+    images = spark.createDataFrame([(1, "e", "Photos from 2020", "a.jpg", 5, None)], "key long, export_id string, folder string, filename string, file_size long, exif_ts long")
+    videos = spark.createDataFrame([(2, "e", "Photos from 2020", "a.mov", 6)], "key long, export_id string, folder string, filename string, file_size long")
+    skipped = spark.createDataFrame([(3, "e", "Takeout/Google Photos/Photos from 2020/a.dng", "raw", 7), (4, "e", "Takeout/Google Photos/Trip/b.dng", "raw", 7), (5, "e", "Takeout/Google Photos/Photos from 2020/c.txt", "other", 7)], "key long, export_id string, member string, reason string, file_size long")
+    m = media_of_all_kinds(images, videos, skipped)
+    assert sorted((r.kind, r.key, r.filename) for r in m.collect()) == [("image", 1, "a.jpg"), ("skipped", 3, "a.dng"), ("video", 2, "a.mov")]
+    s = spark.createDataFrame([(1, "e", "Photos from 2020", "a.dng.json", "a.dng", None)], "sidecar_key long, export_id string, folder string, json_name string, title string, taken_ts long")
+    got = {r.media_key: r.sidecar_key for r in pair(m.withColumnRenamed("key", "media_key"), s, scratch).collect()}
+    assert got == {1: None, 2: None, 3: 1}
+
+
 def test_burst_reasons(spark):
     rows = [shot(1, 1, lap=230.0), shot(2, 2, lap=100.0, sub="014"), shot(3, 3, lap=0.0)]
     items, members = spark.createDataFrame(rows, SHOT), spark.createDataFrame([(1, i) for i in (1, 2, 3)], "burst long, item_id long")
