@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
-from lumenfold.functions.names import BURST, EDITED_CUT, EDITED_WORDS, MESSAGING, NON_SIDECAR_JSON, OTHER_IMAGE_EXTS, PHOTO_EXTS, RAW_BURST, RAW_EXTS, SCREENSHOT, TRASH_FOLDERS, VIDEO_EXTS
-from lumenfold.functions.text import UNSAFE
-from lumenfold.operators.scores import APP_FOLDERS, CATEGORIES, PHONE_SHORT, TABLET_SHORT
+# Fixed values, written out here so that the SQL can disagree with the code: extensions, words and patterns of names, screens, apps, limits.
+PHOTO_EXTS = ("jpg", "jpeg", "png", "heic", "heif", "webp", "gif")
+VIDEO_EXTS = ("mp4", "mov", "3gp", "m4v", "mkv", "avi", "webm", "mts", "m2ts", "wmv", "mpg", "mpeg", "mp")
+RAW_EXTS = ("dng", "cr2", "cr3", "nef", "arw", "rw2", "orf", "raf", "srw", "pef")
+OTHER_IMAGE_EXTS = ("bmp", "tif", "tiff", "avif", "jxl")
+NON_SIDECAR_JSON = ("metadata.json", "print-subscriptions.json", "shared_album_comments.json", "user-generated-memory-titles.json")
+TRASH_FOLDERS = ("trash", "bin")
+EDITED_WORDS = ("edited", "bearbeitet", "modifié", "editado", "modificato", "bewerkt", "redigerad")
+EDITED_CUT = ("-edi", "-edit", "-edite")
+MESSAGING = (
+    ("whatsapp", r"(?i)^(?:IMG|VID)-[0-9]{8}-WA[0-9]{4}"),
+    ("whatsapp", r"(?i)^WhatsApp (?:Image|Video) [0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    ("messenger", r"(?i)^received_[0-9]{6}"),
+    ("facebook", r"(?i)^FB_IMG_[0-9]{6}"),
+    ("signal", r"(?i)^signal-[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    ("telegram", r"(?i)^photo_[0-9]{4}-[0-9]{2}-[0-9]{2}_[0-9]{2}-[0-9]{2}-[0-9]{2}"),
+    ("snapchat", r"(?i)^Snapchat-[0-9]{4}"),
+    ("reddit", r"(?i)^RDT_[0-9]{8}_"),
+)
+SCREENSHOT = r"(?i)^(?:screenshot[ _(-]|screen shot |screencapture)"
+BURST = r"(?i)^(.+?)_BURST([0-9]{3,})(_COVER)?([.][A-Za-z0-9]+)?$"
+RAW_BURST = r"(?i)^(PXL_[0-9]{8}_[0-9]{6,9})[.]RAW-[0-9]{2}[.].+$"
+UNSAFE = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}\x{e0000}-\x{e007f}]"
+PHONE_SHORT = (720, 750, 828, 1080, 1125, 1170, 1179, 1242, 1284, 1290, 1320, 1440)
+TABLET_SHORT = (1536, 1620, 1640, 1668, 2048)
+APP_FOLDERS = (("whatsapp", "WhatsApp"), ("telegram", "Telegram"), ("messenger", "Messenger"), ("signal", "Signal"), ("instagram", "Instagram"), ("snapchat", "Snapchat"), ("facebook", "Facebook"), ("reddit", "Reddit"), ("discord", "Discord"), ("download", "Downloads"))
+CATEGORIES = ("screenshot", "messaging", "tiny", "pocket", "blur", "dark", "overexposed", "burst_extra", "dup_extra")
 
 ORACLES: dict[str, str] = {}
 
@@ -83,19 +107,18 @@ ORACLES["worker_split"] = "select zip_id % 4 as worker, count(*) as n from zips
 
 SAFE = f"trim(regexp_replace(regexp_replace(text, '{UNSAFE}', '', 'g'), '\\s+', ' ', 'g'), ' ')"
 ORACLES["text_clean"] = f"""with s as (select doc_id, text, {SAFE} as safe from documents where text is not null), p as (select *, replace(safe, '|', '/') as line from s)
-select doc_id, case when length(line) > 60 then rtrim(left(line, 59)) || '…' else line end as clean, substr(case when regexp_matches(text, '^[=+\\-@\\t\\r\\n]') then '''' || text else text end, 1, 40) as cell, length(safe) as n_safe from p"""
-ORACLES["csv_cells"] = "select doc_id, case when regexp_matches(text, '^[=+\\-@\\t\\r\\n]') then '''' || text else text end as cell from documents where text is not null"
+select doc_id, case when length(line) > 60 then rtrim(left(line, 59)) || '…' else line end as clean, case when substr(text, 1, 1) in ('=', '+', '-', '@', chr(9), chr(13), chr(10)) then '''' || text else text end as cell, length(safe) as n_safe from p"""
 ORACLES["url_ids"] = f"select sidecar_id, case when length(url) <= 2048 and regexp_full_match(url, 'https://photos[.]example/photo/[A-Za-z0-9_-]{{10,200}}/?(?:[?#][!-~]*)?') then 'https://photos.example/photo/' || regexp_extract(url, 'photo/([A-Za-z0-9_-]{{10,200}})', 1) end as canonical, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) as url_id from {sidecars('url')} where url is not null"
 
 
 def unix_sql(c: str) -> str:
-    whole = f"case when regexp_matches({c}, '^\\s*[+-]?\\d{{1,12}}\\s*$') then try_cast(trim({c}) as bigint) when regexp_matches({c}, '^[+-]?\\d+[.]\\d*$') then cast(floor(try_cast({c} as double)) as bigint) end"
-    return f"(case when abs({whole}) < 1000000000000 then nullif({whole}, 0) end)"
+    return f"(case when regexp_full_match(trim({c}, ' ' || chr(9) || chr(10) || chr(13)), '-?[0-9]{{1,12}}') then nullif(cast(trim({c}, ' ' || chr(9) || chr(10) || chr(13)) as bigint), 0) end)"
 
 
 ORACLES["sidecar_times"] = f"select sidecar_id, {unix_sql('taken_ts')} as taken, case when lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0) then true else false end as located from {sidecars('taken_ts', 'lat', 'lon')}"
 ORACLES["json_props"] = "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events"
 _url = f"(select item_id, min(url) as url from {sidecars('item_id', 'url')} where item_id is not null group by 1)"
+ORACLES["search_links"] = f"select p.item_id, case when u.url is not null then 'high' when {N['stem']} <> '' then 'low' else 'none' end as conf, case when u.url is not null then u.url when {N['stem']} <> '' then 'https://photos.example/search/' || url_encode({N['stem']}) end as link from {photos('filename')} p left join {_url} u on u.item_id = p.item_id"
 ORACLES["image_tokens"] = f"select item_id, cast(ceil(width / 28.0) * ceil(height / 28.0) as bigint) as tokens from {photos('width', 'height')} where width > 0 and height > 0"
 
 EXIF = "^\\s*(\\d{4})[:\\-/](\\d{2})[:\\-/](\\d{2})[ T](\\d{2}):(\\d{2}):(\\d{2})"
@@ -142,11 +165,14 @@ v as (select item_id, 'blur' as category, lap_var as x, lap_var < 50 as gate fro
 rv as (select 'blur' as category, lap_var as x from ref where lap_var is not null union all select 'dark', luma_mean from ref where luma_mean is not null union all select 'overexposed', over_ from ref where over_ is not null),
 tot as (select category, count(*) as t from rv group by 1),
 dv as (select distinct category, x from v), sh as (select dv.category, dv.x, (case when dv.category = 'overexposed' then count(*) filter (where rv.x < dv.x) else count(*) filter (where rv.x > dv.x) end) / cast(any_value(t) as double) as pct from dv join rv on rv.category = dv.category join tot on tot.category = dv.category group by 1, 2),
-dist as (select item_id, v.category, case when gate then greatest(pct, 0.5) else pct * 0.3 end as score from v join sh on sh.category = v.category and sh.x = v.x),
-scores as (select item_id, category, round(least(score, 1.0), 4) as score from (select item_id, category, score from rules union all select item_id, category, score from dist) where score >= 0.05)"""
-ORACLES["distribution_scores"] = f"{ALL} select item_id, category, score from scores where category in ('blur', 'dark', 'overexposed')"
+dist as (select v.item_id, v.category, case when gate then greatest(pct, 0.5) else pct * 0.3 end as score,
+ case v.category when 'blur' then 'sharpness ' || cast(round_even(lap_var, 0) as bigint) || ': blurrier than ' || cast(round_even(pct * 100, 0) as bigint) || '% of camera photos' when 'dark' then 'brightness ' || cast(round_even(luma_mean, 0) as bigint) || '/255: darker than ' || cast(round_even(pct * 100, 0) as bigint) || '% of camera photos'
+ else cast(round_even(frac_bright * 100, 0) as bigint) || '% blown-out pixels, brightness ' || cast(round_even(luma_mean, 0) as bigint) || '/255' end as reason from v join sh on sh.category = v.category and sh.x = v.x join k on k.item_id = v.item_id),
+parts as (select item_id, category, reason, cast(least(score, 1.0) * {1 << 57} as hugeint) * 10000 as m from (select item_id, category, score, reason from rules union all select item_id, category, score, reason from dist) where score >= 0.05),
+scores as (select item_id, category, (m // {1 << 57} + case when m % {1 << 57} > {1 << 56} or (m % {1 << 57} = {1 << 56} and (m // {1 << 57}) % 2 = 1) then 1 else 0 end) / 10000.0 as score, reason from parts)"""
+ORACLES["distribution_scores"] = f"{ALL} select item_id, category, score, reason from scores where category in ('blur', 'dark', 'overexposed')"
 ORACLES["combined_score"] = f"{ALL} select item_id, max(score) as score from scores group by 1"
-ORACLES["top_flags"] = f"{ALL} select item_id, place, category, score from (select *, row_number() over (partition by item_id order by score desc, category) as place from scores where score > 0) where place <= 2"
+ORACLES["top_flags"] = f"{ALL} select item_id, place, category, score from (select *, row_number() over (partition by item_id order by score desc, category) as place from scores where score > 0) where place <= 5"
 ORACLES["junk_counts"] = f"{ALL} select c as category, count(s.item_id) as n from (select unnest([{quoted(*CATEGORIES)}]) as c) left join scores s on s.category = c and s.score >= 0.5 group by 1"
 ORACLES["ecdf_values"] = f"with p as (select lap_var as x from {photos('lap_var')} where lap_var is not null), c as (select x, count(*) as n from p group by 1), t as (select *, sum(n) over (order by x) - n as under, sum(n) over () as total from c) select x, round(under / cast(total as double), 9) as below, round((total - under - n) / cast(total as double), 9) as above from t"
 
@@ -155,23 +181,56 @@ ELIGIBLE = f"(select * from {photos('phash64', 'width', 'height', 'exif_dt', 'ex
 
 
 def near_sql(limit: int) -> str:
-    return f"select a.item_id as a, b.item_id as b, cast(bit_count(xor(a.phash64, b.phash64)) as integer) as dist from {ELIGIBLE} a join {ELIGIBLE} b on a.item_id < b.item_id and bit_count(xor(a.phash64, b.phash64)) <= {limit}"
+    e = f"(select phash64, min(item_id) as item_id from {ELIGIBLE} group by phash64)"
+    return f"select a.item_id as a, b.item_id as b, cast(bit_count(xor(a.phash64, b.phash64)) as integer) as dist from {e} a join {e} b on a.item_id < b.item_id and bit_count(xor(a.phash64, b.phash64)) <= {limit}"
 
 
 ORACLES["near_candidates"] = near_sql(3)
 ORACLES["near_candidates_5"] = near_sql(5)
+ORACLES["hash_classes"] = f"select item_id, min(item_id) over (partition by phash64) as rep from {ELIGIBLE}"
 SUB = "(case when regexp_matches(exif_subsec, '^\\s*\\d{1,9}') then cast(regexp_extract(exif_subsec, '^\\s*(\\d{1,9})', 1) as double) / power(10.0, length(regexp_extract(exif_subsec, '^\\s*(\\d{1,9})', 1))) end)"
-CHECKS = f"""with e as materialized (select item_id, phash64, width, height, sha256, epoch({wall_sql('exif_dt')}) as cs, {SUB} as sub from {ELIGIBLE}),
-p as (select a.item_id as a, b.item_id as b, a.width as w1, a.height as h1, b.width as w2, b.height as h2, case when a.cs is null or b.cs is null then null when a.sub is not null and b.sub is not null then abs((a.cs + a.sub) - (b.cs + b.sub)) else abs(a.cs - b.cs) end as delta from e a join e b on a.item_id < b.item_id and bit_count(xor(a.phash64, b.phash64)) <= 3 where a.sha256 is distinct from b.sha256 or a.sha256 is null),
-x as (select a, b, case when not coalesce(least(w1, h1, w2, h2) > 0 and w1 is not null and h1 is not null and w2 is not null and h2 is not null and abs(w1 / cast(h1 as double) - w2 / cast(h2 as double)) / greatest(w1 / cast(h1 as double), w2 / cast(h2 as double)) <= 0.02, false) then 'aspect' when not (delta is null or delta < 1e-6 or delta > 60) then 'capture' else 'none' end as rejected from p)"""
-ORACLES["edge_checks"] = f"{CHECKS} select a, b, rejected from x"
-ORACLES["reject_tally"] = f"{CHECKS} select rejected, count(*) as n from x group by 1"
-ORACLES["components"] = CHECKS.replace("with e as materialized", "with recursive e as materialized", 1) + ", s as (select a, b from x where rejected = 'none' union select b, a from x where rejected = 'none'), r as (select a as v, a as u from s union select r.v, s.b from r join s on s.a = r.u) select v, min(u) as component from r group by v"
+
+
+def blocks_sql() -> str:
+    """Whether two hashes differ in two bits of one of 16 blocks of 2 by 2, of 8 by 8: then the derived signatures differ too much."""
+    masks = [sum(1 << (r * 8 + c) for r in (2 * i, 2 * i + 1) for c in (2 * j, 2 * j + 1)) for i in range(4) for j in range(4)]
+    return " or ".join(f"bit_count(xor(h1, h2) & ({m - (1 << 64) if m >> 63 else m})) > 1" for m in masks)
+
+
+def checks_sql(source: str) -> str:
+    return f"""e as materialized ({source}),
+p as (select a.item_id as a, b.item_id as b, a.phash64 as h1, b.phash64 as h2, a.width as w1, a.height as h1_, b.width as w2, b.height as h2_, case when a.cs is null or b.cs is null then null when a.sub is not null and b.sub is not null then abs((a.cs + a.sub) - (b.cs + b.sub)) else abs(a.cs - b.cs) end as delta from e a join e b on a.item_id < b.item_id and bit_count(xor(a.phash64, b.phash64)) <= 3 where a.sha256 is distinct from b.sha256 or a.sha256 is null),
+x as (select a, b, case when not coalesce(least(w1, h1_, w2, h2_) > 0 and w1 is not null and h1_ is not null and w2 is not null and h2_ is not null and abs(w1 / cast(h1_ as double) - w2 / cast(h2_ as double)) / greatest(w1 / cast(h1_ as double), w2 / cast(h2_ as double)) <= 0.02, false) then 'aspect' when {blocks_sql()} then 'sig' when not (delta is null or delta < 1e-6 or delta > 60 or (abs(delta / 3600 - round_even(delta / 3600, 0)) < 1e-6 and delta > 1800)) then 'capture' else 'none' end as rejected from p)"""
+
+
+SEEN = f"select item_id, phash64, width, height, sha256, epoch({wall_sql('exif_dt')}) as cs, {SUB} as sub from {ELIGIBLE}"
+CHECKS = checks_sql(f"select min(item_id) as item_id, phash64, width, height, sha256, cs, sub from ({SEEN}) group by all")
+ORACLES["edge_checks"] = f"with {CHECKS} select a, b, rejected from x"
+ORACLES["reject_tally"] = f"with {CHECKS} select rejected, count(*) as n from x group by 1"
+ORACLES["components"] = f"with recursive {CHECKS}, s as (select a, b from x where rejected = 'none' union select b, a from x where rejected = 'none'), r as (select a as v, a as u from s union select r.v, s.b from r join s on s.a = r.u) select v, min(u) as component from r group by v"
 CHUNKS = "(select i, item_id, (phash64 >> case i when 0 then 1 when 1 then 17 when 2 then 33 else 49 end) & case when i = 3 then 32767 else 65535 end as value from E, range(4) t(i))"
 ORACLES["bucket_skips"] = f"with E as {ELIGIBLE}, c as {CHUNKS}, n as (select i, value, count(*) as n from c group by 1, 2 having count(*) > 5) select count(*) as skipped_buckets, cast(coalesce(sum(n), 0) as bigint) as skipped_bucket_items, cast(coalesce(sum(n * (n - 1) // 2), 0) as bigint) as unexamined_pairs from n"
-BITS = "(select vec_id, string_agg(case when embedding[64 - i] > med then '1' else '0' end, '' order by i) as bits from (select vec_id, embedding, (cast(list_sort(embedding)[32] as double) + list_sort(embedding)[33]) / 2 as med from embeddings), range(64) t(i) group by vec_id)"
-ORACLES["near_vectors"] = f"with h as materialized {BITS} select a.vec_id as a, b.vec_id as b, cast(hamming(a.bits, b.bits) as integer) as dist from h a join h b on a.vec_id < b.vec_id and hamming(a.bits, b.bits) <= 16"
-ORACLES["keeper_rank"] = f"select item_id, place from (select item_id, row_number() over (partition by sha256 order by coalesce(width, 0) * coalesce(height, 0) desc, coalesce(has_camera_exif, 0) desc, (exif_lat is not null and exif_lon is not null) desc, coalesce(file_size, 0) desc, item_id) as place from {photos('sha256', 'width', 'height', 'has_camera_exif', 'exif_lat', 'exif_lon', 'file_size')} where sha256 is not null) where place > 1"
+ORACLES["vector_hashes"] = "with m as (select vec_id, embedding, (cast(list_sort(embedding)[32] as double) + list_sort(embedding)[33]) / 2 as med from embeddings) select vec_id, cast(list_sum(list_transform(range(64), lambda i: case when embedding[i + 1] > med then (case when i = 63 then cast(-9223372036854775808 as hugeint) else cast(power(2, i) as hugeint) end) else cast(0 as hugeint) end)) as bigint) as h from m"
+# All photos in the order of keepers, `rk` 1 the best.
+KEEPERS = f"""{LOCAL.replace("with s as", "with recursive s as", 1)}, sa as (select * from {sidecars('item_id', 'url', 'favorited', 'folder', 'folder_kind', 'trashed', 'lat', 'lon')}),
+alb as (select url, list(distinct folder) as al from sa where url is not null and folder_kind = 'album' and coalesce(trashed, 0) = 0 and folder is not null group by url),
+own as (select item_id, arg_min(url, sidecar_id) filter (where url is not null) as url, max(favorited) as fav, bool_or(coalesce(lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0), false)) as at from sa where item_id is not null group by 1),
+ks as (select f.item_id, f.sha256, f.phash64, coalesce(width, 0) * coalesce(height, 0) as px, coalesce(has_camera_exif, 0) as cam, case when coalesce(own.at, false) or coalesce(exif_lat between -90 and 90 and exif_lon between -180 and 180 and not (exif_lat = 0 and exif_lon = 0), false) then 1 else 0 end as gps, coalesce(own.fav, 0) as fav,
+ len(list_distinct(list_concat(case when folder_kind = 'album' then [f.folder] else [] end, coalesce(alb.al, [])))) as albums_n, coalesce(file_size, 0) as fs, coalesce(w.sc, cast(epoch(w.dto) as bigint) - w.off, cast(epoch(timezone(w.home_tz, w.dto)) as bigint), cast(epoch(timezone(w.home_tz, w.other)) as bigint)) as ts
+ from {photos('sha256', 'phash64', 'width', 'height', 'file_size', 'has_camera_exif', 'exif_lat', 'exif_lon', 'folder', 'folder_kind')} f join w on w.item_id = f.item_id left join own on own.item_id = f.item_id left join alb on alb.url = own.url),
+kp as (select *, row_number() over (order by px desc, cam desc, gps desc, fav desc, albums_n desc, fs desc, ts is null, ts, cast(item_id as varchar)) as rk from ks)"""
+ORACLES["keeper_rank"] = f"{KEEPERS} select item_id, place from (select item_id, row_number() over (partition by sha256 order by rk) - 1 as place from kp where sha256 is not null) where place > 0"
+# Units are the photos of one sha256, named by the place of their best; from best to worst each takes what is left of its matches.
+ORACLES["seed_groups"] = f"""{KEEPERS}, {checks_sql(SEEN).replace('p as (select a.item_id', 'pp as (select a.item_id').replace('as rejected from p)', 'as rejected from pp)')},
+u as materialized (select item_id, phash64, rk, min(rk) over (partition by coalesce(hex(sha256), 'i' || item_id)) as unit from kp),
+l as (select distinct a.unit as ua, b.unit as ub from x join u a on a.item_id = x.a join u b on b.item_id = x.b where rejected = 'none' and a.unit <> b.unit),
+adj as materialized (select ua, list(distinct ub) as near from (select ua, ub from l union all select ub, ua from l) group by ua),
+walk as (select cast(null as bigint) as seed, cast([] as bigint[]) as taken, coalesce((select list(ua order by ua) from adj), []) as rest
+ union all select rest[1], list_filter(near, lambda z: list_contains(rest, z)), list_filter(rest[2:], lambda z: not list_contains(near, z)) from walk join adj on ua = rest[1]),
+g as (select seed, unnest(taken) as unit from walk where seed is not null),
+m as (select coalesce(g.seed, u.unit) as seed, item_id, phash64, rk from u left join g on g.unit = u.unit),
+n as (select *, count(*) over (partition by seed) as n, row_number() over (partition by seed order by rk) - 1 as place from m)
+select s.item_id as seed_item_id, n.item_id, n.place, cast(bit_count(xor(n.phash64, s.phash64)) as integer) as dist, cast(n.place = 0 as integer) as is_keeper from n join kp s on s.rk = n.seed where n.n > 1"""
 
 RECORDS = f"""s as (select item_id, arg_min(row(url, favorited, archived), sidecar_id) as s from {sidecars('item_id', 'url', 'favorited', 'archived')} where item_id is not null group by 1),
 rec as (select p.*, s.s[1] as url, coalesce(s.s[2], 0) as favorited, coalesce(s.s[3], 0) as archived, lower(nfc_normalize(filename)) as nm, coalesce(strftime(coalesce({wall_sql('exif_dt')}, {wall_sql('exif_dt_any')}), '%Y-%m-%d'), '') as day from {photos('zipkey', 'zip_name', 'export_id', 'member_idx', 'member', 'folder', 'folder_kind', 'filename', 'sha256', 'exif_dt', 'exif_dt_any')} p left join s on s.item_id = p.item_id where p.sha256 is not null),
@@ -181,19 +240,21 @@ pl as (select *, row_number() over w as place, first_value(export_id) over w as
 ORACLES["collapse"] = f"with {RECORDS} select item_id, cast(place = 1 as integer) as is_primary, case when place = 1 then '' when folder_kind = 'album' then 'album_copy' when export_id <> pe then case when url is not null then 'double_export' else 'double_export_nourl' end when url is not null then 'same_url' else 'same_file_nourl' end as reason from pl"
 ORACLES["flag_merge"] = f"with {RECORDS} select max(url) as url, cast(max(favorited) as bigint) as favorited, cast(max(archived) as bigint) as archived, count(*) as n_records, count(distinct case when folder_kind = 'album' then folder end) as albums_n from k group by item_key having max(url) is not null"
 ORACLES["album_sets"] = f"select url, string_agg(distinct folder, '|' order by folder) as albums from {sidecars('url', 'folder', 'folder_kind', 'trashed')} where url is not null and folder_kind = 'album' and coalesce(trashed, 0) = 0 group by url having count(folder) > 0"
-ORACLES["uid_suffixes"] = f"with {RECORDS}, u as (select item_id, 's:' || lower(hex(sha256)) || ':' || folder_kind as base, row_number() over (partition by sha256, folder_kind order by folder, export_id, zip_name, member) as n from rec) select item_id, md5(case when n = 1 then base else base || ':' || n end) as uid_md5 from u"
+ORACLES["uid_suffixes"] = f"with {RECORDS}, u as (select item_id, url, case when url is not null then 'g:' || regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) else 's:' || lower(hex(sha256)) || ':' || filename end as base, folder, export_id, zip_name, member from rec where filename is not null), n as (select *, case when url is not null then 1 else row_number() over (partition by base order by folder, export_id, zip_name, member) end as n from u) select item_id, case when n = 1 then base else base || ':' || n end as item_uid from n"
 ORACLES["unindexed_by_day"] = f"""with s as (select *, {unix_sql('taken_ts')} as ts from {sidecars('item_id', 'url', 'taken_ts', 'title')}),
 m as (select url, lower(nfc_normalize(coalesce(title, ''))) as nm, strftime(timezone('America/New_York', timezone('UTC', epoch_ms(ts * 1000))), '%Y-%m-%d') as day from s where item_id is null and (url is null or url not in (select url from s where item_id is not null and url is not null))),
 o as (select case when url is not null then 'u|' || url else 'n|' || nm || '|' || coalesce(day, '?') end as same, min(day) as day from m group by 1) select day, count(*) as n from o group by 1"""
 
-SHOTS = """q as (select event_id, event_type, epoch(date_trunc('second', ts)) as t, value from events), l as (select *, case when t - lag(t) over w <= 60 and event_type = lag(event_type) over w then 0 else 1 end as o from q window w as (order by t, cast(event_id as varchar), event_id)),
-c as (select *, sum(o) over (order by t, cast(event_id as varchar), event_id rows unbounded preceding) as chain from l), b as (select *, min(event_id) over (partition by chain) as burst, count(*) over (partition by chain) as size from c), f as (select * from b where size > 1),
-k as (select *, row_number() over (partition by burst order by coalesce(value, 0) desc, cast(event_id as varchar)) as r from f)"""
-ORACLES["bursts_time"] = f"with {SHOTS} select burst, event_id as item_id from f"
-ORACLES["burst_ranks"] = f"with {SHOTS} select burst, event_id as item_id, r - 1 as place, cast(r = 1 as bigint) as is_best from k"
-ORACLES["burst_summary"] = f"with {SHOTS} select burst, count(*) as size, cast(min(t) as bigint) as start_ts, cast(max(t) as bigint) as end_ts from f group by 1"
-ORACLES["burst_extras"] = f"with {SHOTS} select a.event_id as item_id, b.event_id as best_item_id, cast(0.8 as double) as score from k a join k b on b.burst = a.burst and b.r = 1 where a.r > 1"
-ORACLES["bursts_by_name"] = f"with p as (select item_id, folder, substr(filename, 1, 6) as k from {photos('folder', 'filename')} where filename is not null and folder is not null), n as (select *, count(*) over (partition by folder, k) as n, min(item_id) over (partition by folder, k) as burst from p) select burst, item_id from n where n > 1"
+SHOTS = f"""dg as (select item_id, case when count(*) over (partition by sha256) > 1 then min(item_id) over (partition by sha256) end as g from {photos('sha256')} where sha256 is not null),
+q as (select p.item_id, epoch({wall_sql('exif_dt')}) as ts, epoch({wall_sql('exif_dt')}) + coalesce({SUB}, 0.0) as t, phash64, model, dg.g, coalesce(lap_var, 0.0) as lap, coalesce(width, 0) * coalesce(height, 0) as px, coalesce(frac_dark, 0.0) < 0.5 and coalesce(frac_bright, 0.0) < 0.2 as good from {photos('exif_dt', 'exif_subsec', 'phash64', 'model', 'lap_var', 'width', 'height', 'frac_dark', 'frac_bright')} p left join dg on dg.item_id = p.item_id),
+l as (select *, case when coalesce(t - lag(t) over w <= 3 and bit_count(xor(phash64, lag(phash64) over w)) <= 10, false) and coalesce(model = lag(model) over w, true) and not coalesce(g = lag(g) over w, false) then 0 else 1 end as o from q where ts is not null and phash64 is not null window w as (order by t, cast(item_id as varchar), item_id)),
+c as (select *, sum(o) over (order by t, cast(item_id as varchar), item_id rows unbounded preceding) as chain from l), b as (select *, min(item_id) over (partition by chain) as burst, count(*) over (partition by chain) as size from c), f as (select * from b where size > 1),
+ch as (select *, row_number() over (partition by burst order by good desc, lap desc, px desc, cast(item_id as varchar)) as choice from f), k as (select *, row_number() over (partition by burst order by choice <> 1, lap desc, px desc, cast(item_id as varchar)) - 1 as place from ch)"""
+ORACLES["bursts_time"] = f"with {SHOTS} select burst, item_id from f"
+ORACLES["burst_ranks"] = f"with {SHOTS} select burst, item_id, place, cast(choice = 1 as bigint) as is_best from k"
+ORACLES["burst_summary"] = f"with {SHOTS} select burst, count(*) as size, cast(min(ts) as bigint) as start_ts, cast(max(ts) as bigint) as end_ts, round(max(t) - min(t), 6) as duration_s from f group by 1"
+ORACLES["burst_extras"] = f"with {SHOTS}, d as (select burst, max(t) - min(t) as dur from f group by 1) select a.item_id, cast(0.8 as double) as score, 'burst of ' || a.size || ' in ' || printf('%.1f', d.dur) || ' s; #' || b.item_id || ' is ' || case when a.lap > 0 then printf('%.1f', b.lap / a.lap) || 'x sharper' else 'sharper' end as reason from k a join k b on b.burst = a.burst and b.choice = 1 join d on d.burst = a.burst where a.choice > 1"
+ORACLES["bursts_by_name"] = f"with p as (select item_id, folder, {N['burst_key']} as k from {photos('folder', 'filename')} where folder is not null), n as (select *, count(*) over (partition by folder, k) as n, min(item_id) over (partition by folder, k) as burst from p where k is not null) select burst, item_id from n where n > 1"
 
 INDEX = LOCAL + f", ix as (select r.item_id, r.local_date, r.local_time, r.day_uncertain, r.year, p.filename, p.exif_lat as lat, p.exif_lon as lon from r join {photos('filename', 'exif_lat', 'exif_lon')} p on p.item_id = r.item_id)"
 ORACLES["search_filters"] = f"{INDEX} select item_id, local_date from ix where local_date between '2015-01-01' and '2019-12-31' and contains(lower(filename), 'img_') and lat is not null and lon is not null"
@@ -204,13 +265,32 @@ ORACLES["vector_topk"] = "select vec_id from (select vec_id, list_sum(list_trans
 ORACLES["items_in_zips"] = "select item_id, zip_id, name as zip_name from items join zips using (zipkey)"
 ORACLES["library_counts"] = "select year, count(*) as n, count(emb_row) as n_vectors, count(*) filter (where is_graphic = 1) as n_graphic from items group by 1"
 DUP = f"dm as (select *, min(item_id) over (partition by sha256) as group_id, count(*) over (partition by sha256) as n from {photos('sha256', 'width', 'height', 'file_size', 'filename')} where sha256 is not null), d as (select *, cast(item_id = group_id as integer) as is_keeper from dm where n > 1)"
-ORACLES["memberships"] = f"with {DUP}, b as (select zipkey, year, min(item_id) as burst from items where year is not null group by 1, 2 having count(*) between 2 and 5) select i.item_id, d.group_id as dup_group, d.is_keeper, b.burst, case when b.burst is not null then cast(i.item_id = b.burst as integer) end as is_best from items i left join d on d.item_id = i.item_id left join b on b.zipkey = i.zipkey and b.year = i.year"
-ORACLES["memberships_all"] = f"with {DUP}, b as (select zipkey, year, min(item_id) as burst from items where year is not null group by 1, 2 having count(*) > 1) select i.item_id, d.group_id as dup_group, d.is_keeper, b.burst, case when b.burst is not null then cast(i.item_id = b.burst as integer) end as is_best from items i left join d on d.item_id = i.item_id left join b on b.zipkey = i.zipkey and b.year = i.year"
+ORACLES["memberships"] = f"with {DUP}, {SHOTS} select i.item_id, d.group_id as dup_group, d.is_keeper, k.burst, case when k.burst is not null then cast(k.choice = 1 as integer) end as is_best from items i left join d on d.item_id = i.item_id left join k on k.item_id = i.item_id"
 ORACLES["keeper_diff"] = f"with {DUP} select m.group_id, m.item_id, concat_ws(',', case when m.width is distinct from k.width then 'width' end, case when m.height is distinct from k.height then 'height' end, case when m.file_size is distinct from k.file_size then 'file_size' end, case when m.filename is distinct from k.filename then 'filename' end) as diff from d m join d k on k.item_id = m.group_id where m.is_keeper = 0"
 ORACLES["uncertain_members"] = f"with {DUP}, u as {_url} select m.group_id, m.item_id from d m left join u a on a.item_id = m.item_id left join u b on b.item_id = m.group_id where m.is_keeper = 0 and (a.url is null or b.url is null or a.url = b.url)"
 ORACLES["relational_division"] = f"with {DUP} select group_id from d group by 1 having bool_and(coalesce(width >= 1000, false))"
 ORACLES["group_pages"] = f"with {DUP}, g as (select distinct group_id from d order by group_id limit 20) select group_id, item_id, is_keeper from d where group_id in (select group_id from g)"
 ORACLES["ordered_lookup"] = "select item_id, item_uid, emb_row as ordinal from items where emb_row is not null"
+TAKEN_DAY = f"(case when {unix_sql('taken_ts')} between -62135510400 and 253402214400 then strftime(epoch_ms({unix_sql('taken_ts')} * 1000), '%Y-%m-%d') end)"
+ORACLES["day_blockers"] = f"""{LOCAL}, sd as (select item_id, favorited, {TAKEN_DAY} as day from {sidecars('item_id', 'favorited', 'taken_ts')}),
+liked as (select item_id, min(day) as own from sd where favorited = 1 and item_id is not null group by 1),
+ch as (select case when r.item_id is not null then r.local_date else own end as d, r.item_id from liked left join r on r.item_id = liked.item_id),
+days as (select d as local_date, count(item_id) as n_approved from ch where d is not null group by 1),
+st as (select local_date, count(*) as n, sum(day_uncertain) as n_uncertain from r where local_date is not null group by 1), ot as (select day, count(*) as n from sd where item_id is null and day is not null group by 1),
+un as (select coalesce(year, {YEAR}) as y, count(*) as n from r where local_date is null group by 1),
+c as (select days.local_date, coalesce(st.n, 0) as n, n_approved, coalesce(ot.n, 0) as n_not_indexed, cast(coalesce(n_uncertain, 0) as bigint) as n_uncertain, coalesce(un.n, 0) as n_undated_in_year, coalesce((select n from un where y is null), 0) as n_undated_unknown_year, (select count(*) from sd where item_id is null and day is null) as n_unindexed_undated
+ from days left join st using (local_date) left join ot on ot.day = days.local_date left join un on un.y = cast(left(days.local_date, 4) as integer)),
+b as (select *, concat_ws(',', case when n = 0 then 'no_indexed_photos' end, case when n > 0 and n_approved <> n then 'not_all_approved' end, case when n_not_indexed > 0 then 'not_indexed_that_day' end, case when n_uncertain > 0 then 'day_uncertain' end, case when n_undated_in_year > 0 then 'undated_in_year' end, case when n_undated_unknown_year > 0 then 'undated_unknown_year' end, case when n_unindexed_undated > 0 then 'unindexed_undated' end) as blockers from c)
+select *, cast(blockers = '' as integer) as safe from b"""
+ORACLES["queue_fold"] = """with recursive e as (select cast(user_id as varchar) as item_uid, event_id as seq, case event_id % 5 when 0 then 'propose' when 1 then 'approve' when 2 then 'reject' when 3 then 'add' else 'reset' end as action, row_number() over (partition by user_id order by event_id) as i from events),
+r as (select item_uid, cast(0 as bigint) as i, cast(null as varchar) as status, cast(null as varchar) as actor, cast(0 as bigint) as seq, cast(0 as bigint) as n_events from (select distinct item_uid from e)
+ union all select item_uid, i, status, case when status is null then null else actor end, seq, n_events + cast((status, actor) is distinct from (old, first_) as bigint) from (
+  select r.item_uid, e.i, e.seq, r.n_events, r.status as old, r.actor as first_,
+   case when action = 'propose' then coalesce(r.status, 'proposed') when action = 'add' then 'approved' when r.status is null then null when action = 'approve' then 'approved' when action = 'reject' then 'rejected' when r.actor = 'user' then null else 'proposed' end as status,
+   case when r.actor is not null then r.actor when action = 'propose' then 'a' when action = 'add' then 'user' end as actor
+  from r join e on e.item_uid = r.item_uid and e.i = r.i + 1)),
+l as (select *, row_number() over (partition by item_uid order by i desc) as k from r) select item_uid, status, actor, seq, n_events from l where k = 1 and status is not null"""
+ORACLES["stream_queue_fold"] = ORACLES["queue_fold"]
 ORACLES["latest_decisions"] = "with e as (select user_id as group_key, event_id as seq, case when event_id % 3 = 0 then 'clear' else 'keeper' end as action, event_type as keeper_uid from events), l as (select *, row_number() over (partition by group_key order by seq desc) as r from e) select group_key, action, keeper_uid, seq from l where r = 1 and action <> 'clear'"
 ORACLES["proposal_batches"] = "select event_type as batch_id, cast(user_id % 3 as varchar) as actor, count(*) as n, min(event_id) as first_ts from events group by 1, 2"
 SESSIONS = "with l as (select event_type, ts, case when ts - lag(ts) over (partition by event_type order by ts) <= interval 60 seconds then 0 else 1 end as o from events), c as (select *, sum(o) over (partition by event_type order by ts rows unbounded preceding) as s from l) select event_type, count(*) as n, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts))) as bigint) as end_s from c group by event_type, s"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import bits, names, text
 from lumenfold.functions.documents import position, unix_field
-from lumenfold.functions.localtime import LOCAL, exif_wall, subsec, with_local_fields
+from lumenfold.functions.localtime import LOCAL, exif_wall, subsec, utc_to_wall, wall_date, with_local_fields
 from lumenfold.operators import bursts as B
 from lumenfold.operators import candidates as C
 from lumenfold.operators import collapse as L
@@ -114,13 +114,7 @@ def worker_split(spark, d):
 def text_clean(spark, d):
     t = F.col("text")
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", text.clean_text(t, 60).alias("clean"), F.substring(text.csv_cell(t), 1, 40).alias("cell"), F.length(text.strip_unsafe(t)).cast("long").alias("n_safe"))
-
-
-@query
-def csv_cells(spark, d):
-    """The whole safe cell of every document."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", text.csv_cell(F.col("text")).alias("cell"))
+    return docs.select("doc_id", text.clean_text(t, 60).alias("clean"), text.csv_cell(t).alias("cell"), F.length(text.strip_unsafe(t)).cast("long").alias("n_safe"))
 
 
 @query
@@ -144,7 +138,7 @@ def json_props(spark, d):
 def search_links(spark, d):
     p = photos(spark, d, "filename").join(sidecars(spark, d, "item_id", "url").where("item_id is not null").groupBy("item_id").agg(F.min("url").alias("url")), "item_id", "left")
     link = lookups.photo_link(host="photos.example")
-    return p.select("item_id", link["conf"].alias("conf"), F.length(link["link"]).cast("long").alias("n"))
+    return p.select("item_id", link["conf"].alias("conf"), link["link"].alias("link"))
 
 
 @query
@@ -197,8 +191,9 @@ def category_scores(spark, d):
 def _all_scores(spark, d, label):
     scratch = Scratch(spark, label)
     m = _measured(spark, d).withColumn("shot", F.coalesce(S.screenshot()["score"], F.lit(0.0)))
-    m = scratch.save(m.withColumn("is_graphic", (F.col("shot") >= 0.8) | (F.coalesce("flat_frac", F.lit(0.0)) >= 0.35)), "measured")
-    return scratch.save(S.stored(S.category_scores(m).select("item_id", "category", "score"), S.distribution_scores(m, scratch)), "scores")
+    # The test tables have no signatures, whose rules are left out.
+    m = scratch.save(m.withColumn("is_graphic", S.is_graphic(F.col("shot"), F.lit(None).cast("double"), F.lit(True))), "measured")
+    return scratch.save(S.stored(S.category_scores(m), S.distribution_scores(m, scratch)), "scores")
 
 
 @query
@@ -213,7 +208,7 @@ def combined_score(spark, d):
 
 @query
 def top_flags(spark, d):
-    return S.top_flags(_all_scores(spark, d, "flags"), 2)
+    return S.top_flags(_all_scores(spark, d, "flags"))
 
 
 @query
@@ -223,7 +218,7 @@ def junk_counts(spark, d):
 
 @query
 def ecdf_values(spark, d):
-    e = S.ecdf(photos(spark, d, "lap_var").where("lap_var is not null"), "lap_var")
+    e = S.ecdf(photos(spark, d, "lap_var"), "lap_var", Scratch(spark, "ecdf-values"))
     return e.select(F.col("x"), F.round("below", 9).alias("below"), F.round("above", 9).alias("above"))
 
 
@@ -235,8 +230,9 @@ def exact_dups(spark, d):
     p = photos(spark, d, "sha256", "width", "height", "file_size").where("sha256 is not null")
     px = F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0))
     order = F.struct(px.alias("px"), F.coalesce("file_size", F.lit(0)).alias("size"), (-F.col("item_id")).alias("id"))
-    g = p.groupBy("sha256").agg(F.count("*").alias("n"), (-F.max(order)["id"]).alias("keeper"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), "\n")).alias("group_key"))
-    return g.where("n > 1").select("keeper", "n", "group_key")
+    best = p.groupBy("sha256").agg(F.count("*").alias("n"), (-F.max(order)["id"]).alias("keeper")).where("n > 1")
+    members = Scratch(spark, "exact").save(p.join(best, "sha256").select("keeper", F.col("item_id").cast("string").alias("item_uid")))
+    return G.group_keys(members, "keeper").select("keeper", F.col("size").alias("n"), "group_key")
 
 
 def _eligible(spark, d):
@@ -244,14 +240,34 @@ def _eligible(spark, d):
     return p.withColumns({"capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec"))})
 
 
+def signature_of_hash(h):
+    """A stand-in for the signatures that the test tables lack: every bit of the hash lights a cell of 4 by 4 luma pixels."""
+    bit = lambda r, c: F.when(F.getbit(h, r * 8 + c) == 1, F.lit("1e" * 4)).otherwise(F.lit("00" * 4))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: bit(r, c)), ""), 4))
+    return F.when(h.isNotNull(), F.unhex(F.concat(F.array_join(rows, ""), F.lit("80" * 128))))
+
+
+def _near(spark, d, distance, label):
+    """Pairs between the smallest photos of distinct hashes; `hash_classes` tells the others of each."""
+    reps = _eligible(spark, d).groupBy("phash64").agg(F.min("item_id").alias("item_id"))
+    return C.exact_candidates(reps, Scratch(spark, label), distance)
+
+
 @query
 def near_candidates(spark, d):
-    return C.near_candidates(Scratch(spark, "near").save(_eligible(spark, d).select("item_id", "phash64")), 3)
+    return _near(spark, d, 3, "near")
 
 
 @query
 def near_candidates_5(spark, d):
-    return C.near_candidates(Scratch(spark, "near5").save(_eligible(spark, d).select("item_id", "phash64")), 5)
+    return _near(spark, d, 5, "near5")
+
+
+@query
+def hash_classes(spark, d):
+    """The photos of one hash, as one class named by its smallest."""
+    p = _eligible(spark, d).select("item_id", "phash64")
+    return p.join(p.groupBy("phash64").agg(F.min("item_id").alias("rep")), "phash64").select("item_id", "rep")
 
 
 @query
@@ -265,37 +281,28 @@ def vector_hashes(spark, d):
     return e.select("vec_id", bits.vector_hash(F.col("embedding"), bits.median64(F.col("embedding"))).alias("h"))
 
 
-@query
-def near_vectors(spark, d):
-    h = Scratch(spark, "nearvec").save(vector_hashes(spark, d))
-    return C.near_candidates(h, 16, None, "vec_id", "h")
-
-
 def _checked(spark, d, label):
+    """Candidate pairs of representatives of (hash, bytes, sizes, capture) with the check that rejects each."""
     scratch = Scratch(spark, label)
-    p = scratch.save(_eligible(spark, d))
-    pairs = C.near_candidates(p, 3)
-    side = lambda s: p.select(F.col("item_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("width", "height", "capture_s", "subsec", "sha256")])
-    j = pairs.join(side("a"), "a").join(side("b"), "b").where(~F.coalesce(F.col("a_sha256") == F.col("b_sha256"), F.lit(False)))
-    aspect = bits.aspect_ok(F.col("a_width"), F.col("a_height"), F.col("b_width"), F.col("b_height"))
-    capture = bits.capture_ok(F.col("a_capture_s"), F.col("b_capture_s"), F.col("a_subsec"), F.col("b_subsec"))
-    return scratch.save(j.select("a", "b", F.when(~aspect, "aspect").when(~capture, "capture").otherwise("none").alias("rejected"))), p
+    looks = ["phash64", "width", "height", "capture_s", "subsec", "sha256"]
+    p = scratch.save(_eligible(spark, d).groupBy(*looks).agg(F.min("item_id").alias("item_id")).withColumn("sig", signature_of_hash(F.col("phash64"))), "looks")
+    edges = G.verified_edges(C.exact_candidates(p, scratch, 3), p, G.GroupParams())
+    return scratch.save(edges.select("a", "b", F.coalesce("rejected", F.lit("none")).alias("rejected")), "checked")
 
 
 @query
 def edge_checks(spark, d):
-    return _checked(spark, d, "checks")[0]
+    return _checked(spark, d, "checks")
 
 
 @query
 def reject_tally(spark, d):
-    return _checked(spark, d, "tally")[0].groupBy("rejected").agg(F.count("*").alias("n"))
+    return _checked(spark, d, "tally").groupBy("rejected").agg(F.count("*").alias("n"))
 
 
 @query
 def components(spark, d):
-    scratch = Scratch(spark, "cc")
-    return connected(_checked(spark, d, "ccx")[0].where("rejected = 'none'"), scratch)
+    return connected(_checked(spark, d, "ccx").where("rejected = 'none'"), Scratch(spark, "cc"))
 
 
 def _groupable(spark, d):
@@ -309,23 +316,22 @@ def _groupable(spark, d):
     at = F.coalesce("sc_at", position(F.col("exif_lat"), F.col("exif_lon")))
     album = F.when(F.col("folder_kind") == "album", F.array("folder")).otherwise(F.array().cast("array<string>"))
     p = p.withColumns({"lat": at["lat"], "lon": at["lon"], "favorited": F.coalesce("favorited", F.lit(0)), "albums_n": F.size(F.array_union(album, F.coalesce("url_albums", F.array().cast("array<string>"))))})
-    return p.withColumns({"item_uid": F.col("item_id").cast("string"), "sig": F.lit(bytearray(1152)), "is_graphic": F.coalesce(F.col("phash64") == 0, F.lit(False)), "capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec"))})
+    return p.withColumns({"item_uid": F.col("item_id").cast("string"), "sig": signature_of_hash(F.col("phash64")), "is_graphic": F.coalesce(F.col("phash64") == 0, F.lit(False)), "capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec"))})
 
 
 @query
 def seed_groups(spark, d):
-    """Groups in which every member matches its seed; one signature stands for all, as the test tables have none."""
-    scratch = Scratch(spark, "seed")
-    found = G.find_groups(_groupable(spark, d), scratch, G.GroupParams(bucket_cap=None))
-    return found["members"].select("component", "group_no", "item_id", "place", "dist", "is_keeper")
+    """Groups in which every member matches its seed; signatures are derived from the hashes, as the test tables have none."""
+    found = G.find_groups(_groupable(spark, d), Scratch(spark, "seed"))
+    return found["members"].select("seed_item_id", "item_id", "place", "dist", "is_keeper")
 
 
 @query
 def keeper_rank(spark, d):
-    p = photos(spark, d, "sha256", "width", "height", "has_camera_exif", "exif_lat", "exif_lon", "file_size").where("sha256 is not null")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    order = [(zero("width").cast("long") * zero("height")).desc(), zero("has_camera_exif").desc(), (F.col("exif_lat").isNotNull() & F.col("exif_lon").isNotNull()).desc(), zero("file_size").desc(), F.col("item_id")]
-    return p.withColumn("place", F.row_number().over(Window.partitionBy("sha256").orderBy(*order)).cast("long")).where("place > 1").select("item_id", "place")
+    """The place of every copy but the best among those of its bytes, in the order of keepers."""
+    scratch = Scratch(spark, "rank")
+    p = scratch.save(G.with_keeper_rank(_groupable(spark, d).where("sha256 is not null")).select("item_id", "sha256", "keeper_rank"), "ranked")
+    return G.with_places(p, scratch, "sha256").where("place > 0").select("item_id", F.col("place").cast("long").alias("place"))
 
 
 # Collapse
@@ -357,15 +363,15 @@ def album_sets(spark, d):
 
 @query
 def uid_suffixes(spark, d):
-    r = _records(spark, d).withColumn("url", F.lit(None).cast("string")).withColumn("local_date", F.lit(None).cast("string"))
-    r = L.with_uids(r.withColumn("filename", F.col("folder_kind")))
-    return r.select("item_id", F.md5(F.col("item_uid").cast("binary")).alias("uid_md5"))
+    """The uid of every record, as if each were an item: those of one url share theirs, other repeats are numbered."""
+    r = L.with_uids(_records(spark, d).where("filename is not null").withColumn("local_date", F.lit(None).cast("string")))
+    return r.select("item_id", "item_uid")
 
 
 @query
 def dense_ids(spark, d):
     p = _local(spark, d).withColumn("item_uid", F.concat(F.lit("x:"), F.col("item_id").cast("string")))
-    return L.with_item_ids(p.withColumnRenamed("item_id", "photo"), "new_id").select("photo", "new_id")
+    return L.with_item_ids(p.withColumnRenamed("item_id", "photo"), Scratch(spark, "dense"), "new_id").select("photo", "new_id")
 
 
 @query
@@ -389,47 +395,59 @@ def pairing(spark, d):
 
 @query
 def mutual_best_match(spark, d):
-    """Customers and suppliers of a nation with balances within 50, paired while each is the other's only best."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("media_key"), F.col("c_nationkey").alias("k"), "c_acctbal")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sidecar_key"), F.col("s_nationkey").alias("k"), "s_acctbal")
+    """Customers and suppliers of a nation with balances within 50, paired while each is the other's only best.
+
+    Balances fall into buckets of 50, so a partner is in the same or a neighbouring one.
+    """
+    bucket = lambda c: F.floor(F.col(c) / 50)
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("media_key"), F.col("c_nationkey").alias("k"), "c_acctbal", F.explode(F.array(*[bucket("c_acctbal") + i for i in (-1, 0, 1)])).alias("at"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sidecar_key"), F.col("s_nationkey").alias("k"), "s_acctbal", bucket("s_acctbal").alias("at"))
     q = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    return mutual_best(c.join(s, "k").withColumn("q", q).where("q <= 50").select("media_key", "sidecar_key", "q"), Scratch(spark, "mutual"))
+    return mutual_best(c.join(s, ["k", "at"]).withColumn("q", q).where("q <= 50").select("media_key", "sidecar_key", "q"), Scratch(spark, "mutual"))
 
 
 # Bursts
 
 
-def _shots(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("item_id"), F.col("event_id").cast("string").alias("item_uid"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("taken_ts"), F.lit(None).cast("string").alias("exif_subsec"), F.lit(1).cast("long").alias("phash64"), F.col("event_type").alias("model"), F.col("value").alias("lap_var"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(0.0).alias("frac_dark"), F.lit(0.0).alias("frac_bright"))
-    return e
+def _shots(spark, d, scratch):
+    """Photos in the order of their wall clocks, with hash, model, measures and the group of equal bytes."""
+    p = photos(spark, d, "exif_dt", "exif_subsec", "phash64", "model", "lap_var", "width", "height", "frac_dark", "frac_bright")
+    p = p.withColumns({"item_uid": F.col("item_id").cast("string"), "taken_ts": exif_wall(F.col("exif_dt"), MAX_YEAR)})
+    return scratch.save(p.join(_dup_members(spark, d).select("item_id", F.col("group_id").alias("dup_group")), "item_id", "left"), "shots")
+
+
+def _bursts(spark, d, label):
+    scratch = Scratch(spark, label)
+    shots = _shots(spark, d, scratch)
+    return scratch.save(B.time_bursts(shots, scratch), "bursts"), shots
 
 
 @query
 def bursts_time(spark, d):
-    return B.time_bursts(Scratch(spark, "bt").save(_shots(spark, d)), 60.0)
+    return _bursts(spark, d, "bt")[0]
 
 
 @query
 def burst_ranks(spark, d):
-    s = Scratch(spark, "br").save(_shots(spark, d))
-    return B.ranked(B.time_bursts(s, 60.0), s).select("burst", "item_id", F.col("rank").cast("long").alias("place"), F.col("is_best").cast("long").alias("is_best"))
+    return B.ranked(*_bursts(spark, d, "br")).select("burst", "item_id", F.col("rank").cast("long").alias("place"), F.col("is_best").cast("long").alias("is_best"))
 
 
 @query
 def burst_summary(spark, d):
-    s = Scratch(spark, "bs").save(_shots(spark, d))
-    return B.burst_summary(B.time_bursts(s, 60.0), s).select("burst", "size", "start_ts", "end_ts")
+    return B.burst_summary(*_bursts(spark, d, "bs")).withColumn("duration_s", F.round("duration_s", 6))
 
 
 @query
 def burst_extras(spark, d):
-    s = Scratch(spark, "be").save(_shots(spark, d))
-    return B.burst_extras(B.ranked(B.time_bursts(s, 60.0), s)).select("item_id", "best_item_id", "score")
+    members, shots = _bursts(spark, d, "be")
+    rank = B.ranked(members, shots)
+    return B.extra_reasons(B.burst_extras(rank), B.burst_summary(members, shots), rank)
 
 
 @query
 def bursts_by_name(spark, d):
-    return B.filename_bursts(photos(spark, d, "folder", "filename").withColumn("filename", F.concat(F.substring("filename", 1, 6), F.lit("_BURST001.jpg"))))
+    """Photos of a folder whose names tell of one burst."""
+    return B.filename_bursts(photos(spark, d, "folder", "filename"))
 
 
 # Serving
@@ -492,19 +510,11 @@ def _dup_members(spark, d):
 
 @query
 def memberships(spark, d):
-    b = table(spark, d, "items").where("year is not null").groupBy("zipkey", "year").agg(F.min("item_id").alias("burst_id"), F.count("*").alias("n")).where("n between 2 and 5")
-    bm = table(spark, d, "items").join(b, ["zipkey", "year"]).select("burst_id", "item_id")
-    bursts = b.select("burst_id", F.col("burst_id").alias("best_item_id"))
-    return lookups.memberships(table(spark, d, "items"), _dup_members(spark, d), bm, bursts)
-
-
-@query
-def memberships_all(spark, d):
-    """Memberships with every group of two or more of one archive and year on the burst side, whatever its size."""
-    i = table(spark, d, "items")
-    b = i.where("year is not null").groupBy("zipkey", "year").agg(F.min("item_id").alias("burst_id"), F.count("*").alias("n")).where("n > 1")
-    bm = i.join(b, ["zipkey", "year"]).select("burst_id", "item_id")
-    return lookups.memberships(i, _dup_members(spark, d), bm, b.select("burst_id", F.col("burst_id").alias("best_item_id")))
+    """The group of equal bytes and the burst of every item."""
+    members, shots = _bursts(spark, d, "memberships")
+    rank = B.ranked(members, shots)
+    bursts = rank.where("is_best = 1").select(F.col("burst").alias("burst_id"), F.col("item_id").alias("best_item_id"))
+    return lookups.memberships(table(spark, d, "items"), _dup_members(spark, d), members.withColumnRenamed("burst", "burst_id"), bursts)
 
 
 @query
@@ -540,10 +550,12 @@ def ordered_lookup(spark, d):
 
 @query
 def day_blockers(spark, d):
-    i = _index(spark, d).where("local_date is not null")
-    approved = i.where("filename like 'IMG%' or filename like 'PXL%' or filename like 'DSC%'").select("item_uid")
-    unindexed = sidecars(spark, d, "item_id", "taken_ts").where("item_id is null").select(F.date_format(F.timestamp_seconds(unix_field(F.col("taken_ts"))), "yyyy-MM-dd").alias("day"))
-    return lookups.day_safety(i, unindexed, approved, _dup_members(spark, d).where("is_keeper = 0"))
+    """The days with favorites as approved rows, and all that speaks against taking each as a whole."""
+    i = _index(spark, d).join(photos(spark, d, "folder"), "item_id")
+    s = sidecars(spark, d, "item_id", "favorited", "taken_ts").withColumn("ts", unix_field(F.col("taken_ts"))).withColumn("day", wall_date(utc_to_wall(F.col("ts"), "UTC")))
+    liked = s.where("favorited = 1 and item_id is not null").groupBy("item_id").agg(F.min("day").alias("local_date"))
+    approved = liked.select(F.concat(F.lit("x:"), F.col("item_id").cast("string")).alias("item_uid"), "local_date")
+    return lookups.day_safety(i, s.where("item_id is null").select("day"), approved)
 
 
 # Decisions and streams

@@ -104,13 +104,20 @@ def test_bad_searches(bad):
 
 
 def test_days(spark, index):
-    approved = spark.createDataFrame([("u1",), ("u3",)], "item_uid string")
-    none = spark.createDataFrame([], "item_id long")
-    days = spark.createDataFrame([("2020-01-01",)], "day string")
+    approved = spark.createDataFrame([("u1", None), ("u3", None), ("x9", "2021-05-05")], "item_uid string, local_date string")
+    days = spark.createDataFrame([("2020-01-01",), (None,)], "day string")
     dated = index.where("local_date is not null")
-    got = {r.local_date: r.blocker for r in lookups.day_safety(dated, days, approved, none).collect()}
-    assert got == {"2020-01-01": "unindexed items", "2020-01-03": "uncertain day"}
-    assert {r.blocker for r in lookups.day_safety(index, days, approved, none).collect()} == {"undated items"}
+    got = {r.local_date: (r.n, r.n_approved, r.blockers, r.safe) for r in lookups.day_safety(dated, days.dropna(), approved).collect()}
+    assert got == {"2020-01-01": (1, 1, "not_indexed_that_day", 0), "2020-01-03": (1, 1, "day_uncertain", 0), "2021-05-05": (0, 0, "no_indexed_photos", 0)}
+    got = {r.local_date: r.blockers for r in lookups.day_safety(index, days, approved).collect()}
+    assert got == {"2020-01-01": "not_indexed_that_day,undated_in_year,unindexed_undated", "2020-01-03": "day_uncertain,undated_in_year,unindexed_undated", "2021-05-05": "no_indexed_photos,unindexed_undated"}
+    unknown = index.withColumns({"year": F.when(F.col("local_date").isNotNull(), F.col("year")), "folder": F.lit("Trip")})
+    got = {r.local_date: r.blockers for r in lookups.day_safety(unknown, days.limit(0), approved.where("item_uid = 'u1'")).collect()}
+    assert got == {"2020-01-01": "undated_unknown_year"}
+    two = index.withColumn("local_date", F.lit("2020-01-01")).withColumn("day_uncertain", F.lit(0))
+    got = [(r.blockers, r.safe) for n in (2, 5) for r in lookups.day_safety(two, days.limit(0), index.select("item_uid").where(f"item_id <= {n}")).collect()]
+    assert got == [("not_all_approved", 0), ("", 1)]
+    assert lookups.day_safety(index, days, approved.limit(0)).count() == 0
     assert lookups.undated_counts(index).collect() == [(2020, 1)]
 
 
@@ -162,6 +169,9 @@ def test_build_and_regroup(spark, tmp_path):
     items = snapshots.read_table(spark, root, "one", "items")
     assert items.select("item_id").distinct().count() == rows["items"] == items.agg(F.max("item_id")).first()[0]
     assert items.select("item_uid").distinct().count() == rows["items"]
+    stats = {r.key: r.value for r in snapshots.read_table(spark, root, "one", "stats").collect()}
+    assert stats["items"] == rows["items"] and stats["pairing:R1"] > 0 and stats["unindexed"] + stats["undated_unindexed"] == stats["unreadable"]
+    assert snapshots.read_table(spark, root, "one", "scores").where("reason is null").count() == 0
     again = pipeline.regroup(spark, root, "one", "two", GroupParams())
     assert {t["table"]: t["rows"] for t in again["tables"]} == rows
     for t in ("scores", "dup_members"):
