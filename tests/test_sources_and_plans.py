@@ -211,7 +211,7 @@ def test_build_finds_near_groups_without_signatures(spark, tmp_path):
 
 
 def test_build_carries_signatures(spark, tmp_path):
-    root, sig = f"file://{tmp_path}", lambda i: F.when(i == 0, F.lit(bytearray([200]) * 1152)).otherwise(F.lit(bytearray(1152)))
+    root, sig = f"file://{tmp_path}", lambda i: F.when(i == 0, F.lit(bytearray([200]) * 576 + bytearray(576))).otherwise(F.lit(bytearray(576) + bytearray([200]) * 576))  # not flat: a featureless one would be graphic
     pipeline.build(spark, deliveries(spark, tmp_path, items_raw=planted(spark, 3, sig)), root, "one")
     pipeline.regroup(spark, root, "one", "two", GroupParams())
     for name in ("one", "two"):
