@@ -75,35 +75,54 @@ def _first_agreeing(x: Column, masks: list[int]) -> Column:
     return F.coalesce(*[F.when(x.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
 
 
+def _finer(masks: list[int], distance: int) -> list[tuple[int, int, int, list[int]]]:
+    """(mask, number, finer mask, masks before) of the distance + 1 parts into which the other bits of each mask are split."""
+    out = []
+    for m in masks:
+        parts = _split([p for p in range(BITS) if not m >> p & 1], distance + 1)
+        out += [(_signed(m), i, _signed(m | part), [_signed(x) for x in parts[:i]]) for i, part in enumerate(parts)]
+    return out
+
+
 def hamming_pairs(hashes: DataFrame, scratch: Scratch, distance: int = 3, hash_col: str = "h", id_col: str = "rep", hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b): the ids of all pairs of distinct hashes at most `distance` bits apart, each pair once.
 
     hashes: distinct non-null hashes with an id. Exact at any size: candidates agree on two of distance + 2 blocks, and a
-    pair is kept in the first table where it agrees. Buckets over `hot` hashes are keyed by a further part of their other
-    bits, of which one must agree again, so no bucket is joined with itself on few bits.
+    pair is kept in the first table where it agrees. Buckets over `hot` hashes are keyed by each of distance + 1 parts of their other
+    bits, of which one must agree again (the first that does keeps the pair), and so on until no bucket is over it, so none is
+    joined with itself on few bits.
     """
     masks = block_masks(distance)
-    rest = [_split([p for p in range(BITS) if not m >> p & 1], distance + 1) for m in masks]
     one = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    keyed = one.select("id", "h", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.col("h").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])))
-    crowded, n_hot = scratch.save_counted(keyed.groupBy("t", "k").count().where(F.col("count") > hot).select("t", "k", F.lit(True).alias("hot")), "hot")
+    rows = one.select("id", "h", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("path"), F.lit(_signed(m)).alias("m"), F.lit(i).alias("t")) for i, m in enumerate(masks)])))
+    rows = rows.withColumn("k", F.col("h").bitwiseAND(F.col("m")))
+    deep, found = [], None
 
-    def joined(left: DataFrame, on: list[str], extra: Column) -> DataFrame:
-        a, b = (left.select(*on, F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h")) for s in "ab")
+    def joined(left: DataFrame) -> DataFrame:
+        a, b = (left.select("path", "k", "t", *deep, F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h")) for s in "ab")
         x = F.col("a_h").bitwiseXOR(F.col("b_h"))
         near = (F.col("a_h") < F.col("b_h")) & (F.bit_count(x) <= distance) & (_first_agreeing(x, masks) == F.col("t"))
-        return a.join(b, on).where(near & extra).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-    if not n_hot:
-        return joined(keyed, ["t", "k"], F.lit(True))
-    marked = keyed.join(crowded, ["t", "k"], "left")
-    plain = joined(marked.where(F.col("hot").isNull()), ["t", "k"], F.lit(True))
-    # The part masks of every table, as one small literal.
-    parts = F.array(*[F.array(*[F.lit(_signed(m | s)) for s in subs]) for m, subs in zip(masks, rest, strict=True)])
-    finer = marked.where("hot").select("id", "h", "t", F.posexplode(F.get(parts, F.col("t"))).alias("s", "m")).withColumn("k2", F.col("h").bitwiseAND(F.col("m")))
-    x = F.col("a_h").bitwiseXOR(F.col("b_h"))
-    first_part = F.coalesce(*[F.when(x.bitwiseAND(F.get(F.get(parts, F.col("t")), F.lit(i))) == 0, F.lit(i)) for i in range(distance + 1)])
-    return plain.unionByName(joined(finer, ["t", "s", "k2"], first_part == F.col("s")))
+        if deep:
+            near &= F.forall("avoid", lambda m: x.bitwiseAND(m) != 0)
+        return a.join(b.drop("t", *deep), ["path", "k"]).where(near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+    while True:
+        # Where as few bits are left as may differ, a bucket has no more hashes than these can form.
+        crowded = rows.where(F.bit_count("m") < BITS - distance).groupBy("path", "k").agg(F.count("*").alias("n"), F.first("m").alias("m")).where(F.col("n") > hot)
+        crowded, n_hot = scratch.save_counted(crowded.select("path", "k", "m"), "hot")
+        if not n_hot:
+            pairs = joined(rows)
+            return pairs if found is None else found.unionByName(pairs)
+        marked = rows.join(crowded.select("path", "k", F.lit(True).alias("hot")), ["path", "k"], "left")
+        plain = joined(marked.where(F.col("hot").isNull()))
+        found = plain if found is None else found.unionByName(plain)
+        # At most (distance + 1)^level masks of each block pair, whatever the number of hashes.
+        used = [r["m"] % (1 << BITS) for r in crowded.select("m").distinct().collect()]
+        parts = scratch.spark.createDataFrame(_finer(used, distance), "m long, s int, m2 long, before array<long>")
+        avoid = F.concat("avoid", "before") if deep else F.col("before")
+        finer = marked.where("hot").join(F.broadcast(parts), "m").select("id", "h", (F.col("path") * (distance + 2) + F.col("s") + 1000).alias("path"), F.col("m2").alias("m"), "t", avoid.alias("avoid"))
+        deep = ["avoid"]
+        rows = scratch.save(finer.withColumn("k", F.col("h").bitwiseAND(F.col("m"))), "finer")
 
 
 def exact_candidates(hashes: DataFrame, scratch: Scratch, distance: int = 3, id_col: str = "item_id", hash_col: str = "phash64", hot: int = HOT_BUCKET) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -101,14 +101,19 @@ class Scratch:
 
     def save_counted(self, df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
         """The same with the number of rows, observed while writing."""
+        out, seen = self.save_observed(df, name, n=F.count(F.lit(1)))
+        return out, int(seen["n"])
+
+    def save_observed(self, df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """The same with aggregates of the rows by name, observed while writing."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        df.observe(seen, *[c.alias(k) for k, c in aggregates.items()]).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._at[id(out)] = path
         self._keep = getattr(self, "_keep", []) + [out]
-        return out, int(seen.get["n"])
+        return out, seen.get
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete written tables that no later plan reads."""
