@@ -94,35 +94,36 @@ def hamming_pairs(hashes: DataFrame, scratch: Scratch, distance: int = 3, hash_c
     """
     masks = block_masks(distance)
     one = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    rows = one.select("id", "h", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("path"), F.lit(_signed(m)).alias("m"), F.lit(i).alias("t")) for i, m in enumerate(masks)])))
-    rows = rows.withColumn("k", F.col("h").bitwiseAND(F.col("m")))
-    deep, found = [], None
+    rows = one.select("id", "h", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.col("h").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])))
+    # Deeper rows carry their way there, their mask, and the parts in which a pair must differ as it is kept before.
+    on, more, mask, found = ["t", "k"], [], F.get(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("t")), None
 
     def joined(left: DataFrame) -> DataFrame:
-        a, b = (left.select("path", "k", "t", *deep, F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h")) for s in "ab")
+        a, b = (left.select(*on, F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h"), *(more if s == "a" else [])) for s in "ab")
         x = F.col("a_h").bitwiseXOR(F.col("b_h"))
         near = (F.col("a_h") < F.col("b_h")) & (F.bit_count(x) <= distance) & (_first_agreeing(x, masks) == F.col("t"))
-        if deep:
+        if more:
             near &= F.forall("avoid", lambda m: x.bitwiseAND(m) != 0)
-        return a.join(b.drop("t", *deep), ["path", "k"]).where(near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        return a.join(b, on).where(near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
     while True:
         # Where as few bits are left as may differ, a bucket has no more hashes than these can form.
-        crowded = rows.where(F.bit_count("m") < BITS - distance).groupBy("path", "k").agg(F.count("*").alias("n"), F.first("m").alias("m")).where(F.col("n") > hot)
-        crowded, n_hot = scratch.save_counted(crowded.select("path", "k", "m"), "hot")
+        open_ = rows.where(F.bit_count("m") < BITS - distance) if more else rows
+        crowded, n_hot = scratch.save_counted(open_.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*on, F.lit(True).alias("hot")), "hot")
         if not n_hot:
             pairs = joined(rows)
             return pairs if found is None else found.unionByName(pairs)
-        marked = rows.join(crowded.select("path", "k", F.lit(True).alias("hot")), ["path", "k"], "left")
+        marked = rows.join(crowded, on, "left")
         plain = joined(marked.where(F.col("hot").isNull()))
         found = plain if found is None else found.unionByName(plain)
+        over = marked.where("hot").select("id", "h", "t", mask.alias("m"), *(["path", "avoid"] if more else [F.col("t").cast("long").alias("path")]))
         # At most (distance + 1)^level masks of each block pair, whatever the number of hashes.
-        used = [r["m"] % (1 << BITS) for r in crowded.select("m").distinct().collect()]
+        used = [r["m"] % (1 << BITS) for r in over.select("m").distinct().collect()]
         parts = scratch.spark.createDataFrame(_finer(used, distance), "m long, s int, m2 long, before array<long>")
-        avoid = F.concat("avoid", "before") if deep else F.col("before")
-        finer = marked.where("hot").join(F.broadcast(parts), "m").select("id", "h", (F.col("path") * (distance + 2) + F.col("s") + 1000).alias("path"), F.col("m2").alias("m"), "t", avoid.alias("avoid"))
-        deep = ["avoid"]
+        avoid = F.concat("avoid", "before") if more else F.col("before")
+        finer = over.join(F.broadcast(parts), "m").select("id", "h", "t", (F.col("path") * (distance + 2) + F.col("s") + 1000).alias("path"), F.col("m2").alias("m"), avoid.alias("avoid"))
         rows = scratch.save(finer.withColumn("k", F.col("h").bitwiseAND(F.col("m"))), "finer")
+        on, more, mask = ["path", "k"], ["t", "avoid"], F.col("m")
 
 
 def exact_candidates(hashes: DataFrame, scratch: Scratch, distance: int = 3, id_col: str = "item_id", hash_col: str = "phash64", hot: int = HOT_BUCKET) -> DataFrame:
