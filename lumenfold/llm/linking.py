@@ -56,27 +56,33 @@ def _strip(edges: DataFrame, deg: DataFrame, scratch: Scratch) -> tuple[DataFram
     return kept.select("a", "b"), gone
 
 
+# A vertex inside a chain: of degree two, and not smaller than both neighbours, so that every cycle keeps an end.
+INNER = "n = 2 and not (v < lo and v < hi)"
+
+
 def _compress(edges: DataFrame, deg: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Chains of degree-two vertices become edges between their ends, by list ranking.
 
-    A vertex smaller than both neighbours stays, so every cycle has an end. An arc (v, came) leaves v on the other side
-    than it came from; pointers double until all point past a chain's end, and rank counts the steps.
+    An arc (v, came) leaves v on the other side than it came from; pointers double until all point past a chain's end, and
+    rank counts the steps.
     """
-    inner = scratch.save(deg.where("n = 2 and not (v < lo and v < hi)").select("v", "lo", "hi"), "inner")
+    inner = deg.where(INNER).select("v", "lo", "hi")
     arcs = inner.select("v", F.inline(F.array(F.struct(F.col("lo").alias("came"), F.col("hi").alias("to")), F.struct(F.col("hi").alias("came"), F.col("lo").alias("to")))))
     chain = inner.select(F.col("v").alias("to"), F.lit(True).alias("on"))
     # at, via: the arc pointed to; open while `at` is itself inside a chain.
     arcs = arcs.join(chain, "to", "left").select("v", "came", F.col("to").alias("at"), F.col("v").alias("via"), F.col("on").isNotNull().alias("open"), F.lit(1).cast("long").alias("rank"))
-    ranked = scratch.save(arcs, "arcs")
-    while not ranked.where("open").isEmpty():
+    opened = {"open": F.count_if("open")}
+    ranked, seen = scratch.save_observed(arcs, "arcs", **opened)
+    while seen["open"]:
         step = ranked.select(F.col("v").alias("at"), F.col("came").alias("via"), F.col("at").alias("at2"), F.col("via").alias("via2"), F.col("open").alias("open2"), F.col("rank").alias("rank2"))
         closed = ranked.where("not open")
         jumped = ranked.where("open").join(step, ["at", "via"]).select("v", "came", F.col("at2").alias("at"), F.col("via2").alias("via"), F.col("open2").alias("open"), (F.col("rank") + F.col("rank2")).alias("rank"))
-        before, ranked = ranked, scratch.save(closed.unionByName(jumped), "arcs")
+        before = ranked
+        ranked, seen = scratch.save_observed(closed.unionByName(jumped), "arcs", **opened)
         scratch.drop(before)
     ends = ranked.groupBy("v").agg(F.min(F.struct("rank", "at"))["at"].alias("p"), F.min("at").alias("a"), F.max("at").alias("b"))
     gone = scratch.save(ends, "chained")
-    kept = edges.join(inner.select(F.col("v").alias("a")), "a", "left_anti").join(inner.select(F.col("v").alias("b")), "b", "left_anti")
+    kept = edges.join(gone.select(F.col("v").alias("a")), "a", "left_anti").join(gone.select(F.col("v").alias("b")), "b", "left_anti")
     scratch.drop(ranked)
     return _simple(kept.select("a", "b").unionByName(gone.select("a", "b"))), gone.select("v", "p")
 
@@ -84,33 +90,38 @@ def _compress(edges: DataFrame, deg: DataFrame, scratch: Scratch) -> tuple[DataF
 def _hook(edges: DataFrame, deg: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Each vertex with a smaller neighbour hooks to its smallest; the trees contract to their roots."""
     up = scratch.save(deg.where("lo < v").select("v", F.col("lo").alias("p")), "hooks")
-    while True:
-        step = up.select(F.col("v").alias("p"), F.col("p").alias("p2"))
-        far, moved = scratch.save_counted(up.join(step, "p").select("v", F.col("p2").alias("p")), "hooks")
-        if not moved:
-            scratch.drop(far)
-            break
-        before, up = up, scratch.save(up.join(far.select("v"), "v", "left_anti").unionByName(far), "hooks")
-        scratch.drop(before, far)
+    moved = 1
+    while moved:
+        before = up
+        far = _jumped(up)
+        up, seen = scratch.save_observed(far, "hooks", moved=F.count_if("moved"))
+        moved = seen["moved"]
+        scratch.drop(before)
+        up = up.drop("moved")
     root = lambda c: up.select(F.col("v").alias(c), F.col("p").alias(f"{c}_root"))
     ends = edges.join(root("a"), "a", "left").join(root("b"), "b", "left")
     return _simple(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), up
 
 
+def _jumped(up: DataFrame) -> DataFrame:
+    """(v, p, moved): every pointer moved on to what its target points to."""
+    step = up.select(F.col("v").alias("p"), F.col("p").alias("p2"))
+    return up.join(step, "p", "left").select("v", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved"))
+
+
 def components(edges: DataFrame, scratch: Scratch, least_share: float = 0.1) -> DataFrame:
     """(v, label): every vertex of an edge with the smallest vertex that it is linked to, directly or indirectly.
 
     edges: columns a and b of one orderable type. Loops and repeated edges are allowed and change nothing, null ends are
     dropped; an empty table gives an empty table; other columns are ignored. Stripping and compressing go on while they
-    remove at least `least_share` of the remaining vertices; the core is then contracted to nothing.
+    remove at least `least_share` of the remaining vertices; the core is then contracted to nothing. Each removed vertex points to one
+    that was removed later or never, so the labels return by doubling these pointers, as often as it takes to pass all steps.
     """
     known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
     edges, n = scratch.save_counted(_simple(known), "edges")
-    vertices = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    first, removed, turn, tried = edges, [], 0, 0.0
+    removed, turn, none = [], 0, edges.select(F.col("a").alias("v"), F.col("a").alias("label")).where("false")
     while n:
-        deg = scratch.save(_degrees(edges), "degrees")
-        counts = deg.agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("leaves"), F.count_if((F.col("n") == 2) & ~((F.col("v") < F.col("lo")) & (F.col("v") < F.col("hi")))).alias("inner")).first()
+        deg, counts = scratch.save_observed(_degrees(edges), "degrees", all=F.count(F.lit(1)), leaves=F.count_if(F.col("n") == 1), inner=F.count_if(F.expr(INNER)))
         shares = (counts["leaves"] / counts["all"], counts["inner"] / counts["all"])
         if max(shares) < least_share:
             step = _hook
@@ -123,26 +134,17 @@ def components(edges: DataFrame, scratch: Scratch, least_share: float = 0.1) ->
         removed.append(gone)
         before = edges
         edges, n = scratch.save_counted(rest, "edges")
-        scratch.drop(deg, before if before is not first else None)
-    labels = None
-    for gone in reversed(removed):
-        # Written each time: the labels are read twice by every further step.
-        before, labels = labels, scratch.save(_unremove(labels, gone), "labels")
-        scratch.drop(before, gone)
-    if labels is None:
-        return vertices.select("v", F.col("v").alias("label"))
-    roots = vertices.join(labels, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
-    roots = scratch.save(roots, "roots")
-    smallest = roots.groupBy("root").agg(F.min("v").alias("label"))
-    return roots.join(smallest, "root").select("v", "label")
-
-
-def _unremove(labels: DataFrame | None, gone: DataFrame) -> DataFrame:
-    """Add the labels of vertices removed in one step, whose p has its label already or is a root itself."""
-    if labels is None:
-        return gone.select("v", F.col("p").alias("root"))
-    known = labels.select(F.col("v").alias("p"), "root")
-    return labels.unionByName(gone.select("v", "p").join(known, "p", "left").select("v", F.coalesce("root", "p").alias("root")))
+        scratch.drop(deg, before)
+    if not removed:
+        return none
+    up = removed[0]
+    for gone in removed[1:]:
+        up = up.unionByName(gone)
+    for i in range(max(0, len(removed) - 1).bit_length()):
+        before, up = up, scratch.save(_jumped(up).select("v", "p"), "labels")
+        scratch.drop(before if i else None)
+    smallest = up.groupBy("p").agg(F.least(F.min("v"), F.col("p")).alias("label"))
+    return up.join(smallest, "p").select("v", "label").unionByName(smallest.select(F.col("p").alias("v"), "label"))
 
 
 def linked_groups(items: DataFrame, scratch: Scratch, key: str = "item_id", exact: str = "sha256", hashed: str = "phash64", distance: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
