@@ -10,7 +10,6 @@ texts at random places against real ends, on a bounded sample.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from math import erf, exp, log, pi, sqrt
 
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from lumenfold.session import Scratch
 
 SAMPLE_DOCS = 20_000  # documents of which cut and uncut ends train the ending model
-FLUSH = 400_000
+FLUSH = 400_000  # tokens counted at once
+FORMS = 500_000  # token forms kept by a worker
 CJK = "぀-ヿ㐀-鿿ｦ-ﾟ"
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 STOPS = ".!?。！？…"
@@ -36,119 +36,193 @@ TOKEN = re.compile(rf"[{STOPS}]+|\n|[{CJK}]|[^\W\d_{CJK}]+|\d+|[^\w\s]|_")
 MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|\.{3,}|…)$")
 NOTHING, LINE, STOP, DOT, PREFIX, UNIT = range(6)
 UNIT_TOKENS = 16
+PREFIX_CHARS = 40  # longer words have no statistics of how they begin
+TAIL = 160  # characters read at first for an end; more, if no line or sentence begins in them
 ENDS = "doc_id long, source string, kind int, mark int, last int, broken int, chars int, bytes int, own int, k1 long, k2 long, k3 long, kp long, ku long"
 REAL, CUT, UNSTOPPED = range(3)
 PLAIN, STOPPED = 0, 1
+MASK, ODD = (1 << 64) - 1, 0x9E3779B97F4A7C15
+UNIT_SEED, PREFIX_SEED = 17, 18  # n-grams of n words have the seed n
 
 
-def _key(parts: tuple[str, ...] | str) -> int:
-    return xxhash.xxh3_64_intdigest("\x1f".join(parts) if isinstance(parts, tuple) else "\x1e" + parts) - (1 << 63)
+def _fold(acc: int, h: int) -> int:
+    acc = ((acc ^ h) * ODD) & MASK
+    return acc ^ (acc >> 32)
 
 
-class _Forms(dict):
-    """Token to its form, filled as tokens come: words in lower case, digits as 0, stops as one, overlong words as one."""
+def _folded(acc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        acc = (acc ^ h) * np.uint64(ODD)
+    return acc ^ (acc >> np.uint64(32))
 
-    def __missing__(self, t: str) -> str:
-        c = t[0]
-        form = "0" if c.isdigit() else "." if c in STOPS else (t.lower() if len(t) <= 40 else "\x02") if c.isalpha() else t
-        if len(self) < 1_000_000:
-            self[t] = form
-        return form
 
+def _signed(acc: int) -> int:
+    """A key as a long; its lowest three bits are left to the event."""
+    acc &= ~7
+    return acc - (1 << 64) if acc >> 63 else acc
 
-_FORMS = _Forms()
 
+def _key(seed: int, hashes) -> int:
+    for h in hashes:
+        seed = _fold(seed, h)
+    return _signed(seed)
 
-def _marked(text: str) -> list[str]:
-    """Forms of the tokens, with dots inside of words or numbers as ·; markup is a new line."""
-    plain = TAG.sub("\n", text) if "<" in text else text
-    forms = _FORMS
-    return [forms[t] for t in TOKEN.findall(INNER.sub("·", plain))]
+
+def _form(t: str) -> str:
+    """The form of a token: words in lower case, digits as 0, stops as one."""
+    c = t[0]
+    return "0" if c.isdigit() else "." if c in STOPS else t.lower() if c.isalpha() else t
 
 
-def _event(following: str | None) -> int:
-    if following is None or following in ("\n", "#") or ord(following[0]) > 0x2190 and not following.isalpha():
+def _event(following: str) -> int:
+    if following in ("\n", "#") or ord(following[0]) > 0x2190 and not following.isalpha():
         return LINE
     return STOP if following == "." else DOT if following == "·" else NOTHING
 
 
-class _Events(dict):
-    def __missing__(self, following: str | None) -> int:
-        e = _event(following)
-        if len(self) < 1_000_000:
-            self[following] = e
-        return e
-
-
-_EVENTS = _Events()
-
-
-def _unit_key(unit: list[str]) -> int:
-    """Key of a whole line or sentence of some tokens, without signs before it; 0 if it is none or long."""
-    i = next((i for i, x in enumerate(unit) if x.isalnum()), len(unit))
-    return _key(("\x1d", *unit[i:])) if 0 < len(unit) - i <= UNIT_TOKENS else 0
+class _Vocabulary(dict):
+    """Token to the number of its form, filled as tokens come; what a form is, is kept in lists."""
+
+    def __init__(self) -> None:
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.number: dict[str, int] = {}
+        self.hash: list[int] = []
+        self.event: list[int] = []
+        self.word: list[bool] = []
+        self.starts: list[np.ndarray] = []
+        self["\n"]  # form 0
+
+    def __missing__(self, t: str) -> int:
+        form = _form(t)
+        i = self.number.get(form)
+        if i is None:
+            i = self.number[form] = len(self.hash)
+            self.hash.append(xxhash.xxh3_64_intdigest(form))
+            self.event.append(_event(form))
+            self.word.append(form.isalnum())
+            starts, acc = [], PREFIX_SEED
+            if form[0].isalpha() and len(form) <= PREFIX_CHARS:
+                for c in form[:-1]:
+                    acc = _fold(acc, ord(c))
+                    starts.append(acc)
+            self.starts.append(np.array(starts, np.uint64))
+        self[t] = i
+        return i
+
+
+_VOCABULARY = _Vocabulary()
+
+
+def _tokens(text: str) -> list[int]:
+    """Numbers of the forms of a text's tokens, with dots inside of words or numbers as ·; markup is a new line."""
+    plain = TAG.sub("\n", text) if "<" in text else text
+    v = _VOCABULARY
+    return [v[t] for t in TOKEN.findall(INNER.sub("·", plain) if "." in plain else plain)]
+
+
+def _forget() -> None:
+    """Keep a worker's vocabulary bounded; numbers of forms hold until then."""
+    if len(_VOCABULARY) > FORMS:
+        _VOCABULARY.restart()
+
+
+def _next_event(rest: str) -> int:
+    """What a place before `rest` is followed by."""
+    return _VOCABULARY.event[next(iter(_tokens(rest[:200])), 0)]
+
+
+def _tallied(ids: list[int], sizes: list[int]) -> pa.RecordBatch:
+    """Counts of what follows every one, two and three tokens of some texts, of words that go on after a prefix, and of whole lines and sentences."""
+    v = _VOCABULARY
+    t, n = np.array(ids, np.int64), len(ids)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    h, kind, word = np.array(v.hash, np.uint64)[t], np.array(v.event, np.int64), np.array(v.word, bool)[t]
+    line = np.uint64(v.hash[0])
+    event = np.empty(n, np.int64)
+    event[:-1] = kind[t[1:]]
+    event[ends - 1] = LINE
+    first = np.zeros(n, bool)
+    first[starts] = True
+    second = np.zeros(n, bool)
+    second[starts[np.asarray(sizes) > 1] + 1] = True
+    back = lambda by: np.concatenate([np.full(by, line), h[:-by]])[:n]
+    before, before2 = np.where(first, line, back(1)), np.where(first | second, line, back(2))
+    seed = lambda i: np.full(n, i, np.uint64)
+    grams = [_folded(seed(1), h), _folded(_folded(seed(2), before), h), _folded(_folded(_folded(seed(3), before2), before), h)]
+    low = ~np.uint64(7)
+    found = [np.unique(np.concatenate([(g & low) | event.astype(np.uint64) for g in grams]), return_counts=True)]
+
+    forms, times = np.unique(t, return_counts=True)
+    begun = [v.starts[i] for i in forms]
+    found.append(((np.concatenate(begun) & low) | np.uint64(PREFIX), np.repeat(times, [len(x) for x in begun])))
+
+    # A unit ends with its line or sentence; signs before its first word don't count.
+    last = np.flatnonzero((event == LINE) | (event == STOP))
+    start = np.concatenate([[0], last[:-1] + 1])
+    nearest = np.minimum.accumulate(np.where(word, np.arange(n), n)[::-1])[::-1]
+    start = nearest[start]
+    size = last + 1 - start
+    good = (size > 0) & (size <= UNIT_TOKENS)
+    start, size = start[good], size[good]
+    acc = np.full(len(start), UNIT_SEED, np.uint64)
+    for i in range(UNIT_TOKENS):
+        on = np.flatnonzero(size > i)
+        acc[on] = _folded(acc[on], h[start[on] + i])
+    found.append(((acc & low) | np.uint64(UNIT), np.ones(len(acc), np.int64)))
+    keyed, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array((keyed & low).view(np.int64)), pa.array((keyed & np.uint64(7)).astype(np.int32)), pa.array(counts.astype(np.int64))], names=["key", "event", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of what follows every one, two and three tokens, and of words that go on after a prefix."""
-    counts: Counter = Counter()
-    words: Counter = Counter()
-
-    units: Counter = Counter()
-    events_of = _EVENTS
-
-    def flush() -> pa.RecordBatch:
-        keys, events, ns = [], [], []
-        for (*ctx, e), n in counts.items():
-            keys.append(_key(tuple(ctx)))
-            events.append(e)
-            ns.append(n)
-        prefixes: Counter = Counter()
-        for w, n in words.items():
-            if len(w) > 1 and w[0].isalpha():
-                for i in range(1, len(w)):
-                    prefixes[w[:i]] += n
-        for p, n in prefixes.items():
-            keys.append(_key(p))
-            events.append(PREFIX)
-            ns.append(n)
-        for u, n in units.items():
-            keys.append(u)
-            events.append(UNIT)
-            ns.append(n)
-        counts.clear()
-        words.clear()
-        units.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(events, pa.int32()), pa.array(ns, pa.int64())], names=["key", "event", "n"])
-
+    """Partial counts over whole texts, some hundred thousand tokens at a time."""
+    ids: list[int] = []
+    sizes: list[int] = []
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            t = _marked(text.rstrip())
+            t = _tokens(text.rstrip())
             if not t:
                 continue
-            ev = [events_of[x] for x in t[1:]] + [LINE]
-            t1, t2 = ["\n", *t[:-1]], ["\n", "\n", *t[:-2]][: len(t)]
-            counts.update(zip(t, ev, strict=True))
-            counts.update(zip(t1, t, ev, strict=True))
-            counts.update(zip(t2, t1, t, ev, strict=True))
-            words.update(t)
-            start = 0
-            for i in [i for i, e in enumerate(ev) if e == LINE or e == STOP]:
-                if i - start < 2 * UNIT_TOKENS and (u := _unit_key(t[start : i + 1])):
-                    units[u] += 1
-                start = i + 1
-            if len(counts) > FLUSH:
-                yield flush()
-    if counts:
-        yield flush()
+            ids += t
+            sizes.append(len(t))
+            if len(ids) > FLUSH:
+                yield _tallied(ids, sizes)
+                ids, sizes = [], []
+                _forget()
+    if ids:
+        yield _tallied(ids, sizes)
+
+
+def _last_unit(text: str) -> tuple[list[int], int]:
+    """Tokens at the end of a text, and where among them its last line or sentence begins; as much is read as that takes."""
+    v, size = _VOCABULARY, TAIL
+    while True:
+        t = _tokens(text[-size:])
+        start = next((i + 1 for i in range(len(t) - 2, -1, -1) if v.event[t[i + 1]] in (LINE, STOP) or v.event[t[i]] == STOP or t[i] == 0 or v.hash[t[i]] == _HASH), 0)
+        # The first token may be cut by the window.
+        if size >= len(text) or (start and len(t) > 4):
+            return t, start
+        size *= 4
+
+
+_HASH = xxhash.xxh3_64_intdigest("#")
 
 
 def _ending(text: str, own: int) -> tuple[int, int, int, int, int, int]:
     """(own event, k1, k2, k3, kp, ku) of the place after text."""
-    all_ = _marked(text[-400:])
-    start = next((i + 1 for i in range(len(all_) - 2, -1, -1) if _EVENTS[all_[i + 1]] in (LINE, STOP) or all_[i] in (".", "\n", "#")), 0)
-    t = ["\n", "\n", *all_][-3:]
-    return own, _key((t[2],)), _key((t[1], t[2])), _key((t[0], t[1], t[2])), _key(t[2]) if t[2][0].isalpha() else 0, _unit_key(all_[start:])
+    v = _VOCABULARY
+    t, start = _last_unit(text)
+    h = [v.hash[0]] * 2 + [v.hash[i] for i in t]
+    a, b, c = h[-3:]
+    unit = t[start:]
+    at = next((i for i, x in enumerate(unit) if v.word[x]), len(unit))
+    ku = _key(UNIT_SEED, [v.hash[x] for x in unit[at:]]) if 0 < len(unit) - at <= UNIT_TOKENS else 0
+    word = re.search(rf"[^\W\d_{CJK}]+$", text[-PREFIX_CHARS - 1 :])
+    kp = _key(PREFIX_SEED, map(ord, word.group().lower())) if word and len(word.group()) <= PREFIX_CHARS else 0
+    return own, _key(1, (c,)), _key(2, (b, c)), _key(3, (a, b, c)), kp, ku
 
 
 def _core(text: str) -> tuple[str, int, int]:
@@ -156,7 +230,9 @@ def _core(text: str) -> tuple[str, int, int]:
     body = text
     while (m := re.search(r"(?:</?[A-Za-z][^<>]{0,80}>|\s)+$", body[-200:])) and m.group():
         body = body[: len(body) - len(m.group())]
-    if m := MARK.search(body[-30:]):
+    # All of the dots, brackets and blanks at the end.
+    signs = len(body) - len(body.rstrip(" \t\r\n\xa0.…[]()"))
+    if m := MARK.search(body[len(body) - signs :]):
         core = body[: len(body) - len(m.group())].rstrip()
         return core, 2 if m.group().strip()[0] in "[(" else 1, PLAIN
     bare = body.rstrip(CLOSERS)
@@ -167,19 +243,21 @@ def _core(text: str) -> tuple[str, int, int]:
 
 def _endings(rate: float):
     """The end of every text, and made ends of the sampled ones."""
+    schema = pa.schema([(c.split(" ")[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split(" ")[1]]) for c in ENDS.split(", ")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, source in zip(batch.doc_id, batch.text, batch.source, strict=True):
+            for doc, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
                 whole = text.rstrip()
                 core, mark, last = _core(whole)
                 size = (len(whole), len(whole.encode()))
                 own = STOP if last == STOPPED or mark == 1 else NOTHING if mark == 2 else LINE
                 out.append((doc, source, REAL, mark, last, int(core.endswith("\ufffd")), *size, *_ending(core, own)))
-                dice = np.random.default_rng(xxhash.xxh3_64_intdigest(str(doc)))
-                if dice.random() >= rate:
+                draw = xxhash.xxh3_64_intdigest(str(doc))
+                if (draw >> 11) * 2.0**-53 >= rate:
                     continue
+                dice = np.random.default_rng(draw)
                 if last == STOPPED:
                     out.append((doc, source, UNSTOPPED, 0, PLAIN, 0, *size, *_ending(core, STOP)))
                 for _ in range(2):
@@ -189,9 +267,9 @@ def _endings(rate: float):
                     if not cut or not rest or cut[-1] in STOPS + CLOSERS or rest.lstrip(" ")[:1] in ("", "\n", "\r", *STOPS, "<", "#"):
                         continue
                     inside = whole[at - 1].isalnum() and rest[0].isalnum()
-                    following = None if inside else next(iter(_marked(rest[:60])), None)
-                    out.append((doc, source, CUT, 0, PLAIN, 0, *size, *_ending(cut, -1 if inside else _EVENTS[following])))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ENDS.split(", ")])
+                    out.append((doc, source, CUT, 0, PLAIN, 0, *size, *_ending(cut, -1 if inside else _next_event(rest))))
+            _forget()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
 
@@ -219,26 +297,51 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, censored: np.ndarray,
     return mu, sd
 
 
+BIN = 50  # lengths of one bin differ by about two percent
+AROUND = 10  # lengths on either side that are a length's surroundings
+LEAST = 4  # texts that make a length a candidate
+
+
 def _limits(part: pd.DataFrame) -> pd.DataFrame:
-    """Candidate limits of one source and unit: lengths with many more texts than the fit and their surroundings explain."""
-    part = part.sort_values("length")
+    """Candidate limits of one source and unit: peaks with many more texts than the fit explains.
+
+    part: the peaks at their lengths, and all other lengths in bins.
+    """
     x, n = part.length.to_numpy(float), part.n.to_numpy(float)
-    share = np.zeros(len(x))
-    found = share > 0
-    if n.sum() >= 20:
-        at = dict(zip(part.length, n, strict=True))
-        around = np.array([sum(at.get(v + d, 0) for d in range(-10, 11) if d) / 20 for v in part.length])
-        for _ in range(4):
-            mu, sd = fit_censored(x, n, share)
-            density = np.exp(-(((np.log(x) - mu) / sd) ** 2) / 2) / (x * sd * sqrt(2 * pi)) * n.sum()
-            expected = np.maximum(density, around)
-            found = (n >= 4) & (n > expected + 4 * np.sqrt(expected + 0.25))
-            share = np.where(found, np.clip(1 - expected / np.maximum(n, 1), 0, 0.999), 0)
-    out = part.loc[found, ["source", "unit", "length"]].copy()
-    out["censored"] = share[found]
+    peak, around = part.peak.to_numpy(bool), part.around.to_numpy(float)
+    share, found = np.zeros(len(x)), np.zeros(len(x), bool)
+    for _ in range(4 if peak.any() else 0):
+        mu, sd = fit_censored(x, n, share)
+        density = np.exp(-(((np.log(x) - mu) / sd) ** 2) / 2) / (x * sd * sqrt(2 * pi)) * n.sum()
+        expected = np.maximum(density, around)
+        # A chance count this high, among as many lengths as there are texts, has a probability of at most e^-3.
+        chance = n * np.log(n / np.maximum(expected, 1e-9)) - n + expected
+        found = peak & (n > expected) & (chance > log(n.sum()) + 3)
+        share = np.where(found, np.clip(1 - expected / np.maximum(n, 1), 0, 0.999), 0)
+    out = part.loc[found, ["source", "unit"]].copy()
+    out["length"], out["censored"] = x[found].astype(np.int64), share[found]
     return out
 
 
+def length_limits(lengths: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, unit, length, censored): lengths that a source's texts have too often, with the share that was cut there.
+
+    lengths: source, unit and length (at least 1), a row for each text. Lengths are exact at any size. Those with more texts than their
+    surroundings explain are peaks; the others are binned for the fit only, so a source has about a thousand rows besides its peaks.
+    """
+    by = ["source", "unit", "length"]
+    counts = scratch.save(lengths.groupBy(*by).agg(F.count("*").alias("n")), "lengths")
+    busy = counts.where(F.col("n") >= LEAST)
+    near = busy.select(*by, F.explode(F.array(*[F.lit(i) for i in range(-AROUND, AROUND + 1) if i])).alias("off")).withColumn("at", F.col("length") + F.col("off"))
+    others = near.join(counts.select("source", "unit", F.col("length").alias("at"), F.col("n").alias("m")), ["source", "unit", "at"]).groupBy(*by).agg((F.sum("m") / (2 * AROUND)).alias("around"))
+    peaks = busy.join(others, by, "left").withColumn("around", F.coalesce("around", F.lit(0.0))).where(F.col("n") > F.col("around") + 4 * F.sqrt(F.col("around") + 0.25))
+    peaks = scratch.save(peaks, "peaks")
+    rest = counts.join(peaks.select(*by), by, "left_anti").groupBy("source", "unit", F.floor(F.log("length") * BIN).alias("bin"))
+    rest = rest.agg((F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("length"), F.sum("n").alias("n"))
+    rows = rest.select("source", "unit", "length", "n", F.lit(0.0).alias("around"), F.lit(False).alias("peak")).unionByName(peaks.select("source", "unit", F.col("length").cast("double").alias("length"), "n", "around", F.lit(True).alias("peak")))
+    return scratch.save(rows.groupBy("source", "unit").applyInPandas(_limits, "source string, unit string, length long, censored double"), "limits")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     """Weights of a logistic model by Newton's method; each class counts as a half."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -309,15 +412,13 @@ def truncated(documents: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     rate = min(1.0, sample_docs / max(1, total))
     per = lambda e: F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(0)).alias(f"n{e}")
     counts = used.select("text").mapInArrow(_count, "key long, event int, n long").groupBy("key").agg(*[per(e) for e in range(6)])
-    ends = scratch.save(used.mapInPandas(_endings(rate), ENDS).withColumn("eid", F.monotonically_increasing_id()), "ends")
+    ends = scratch.save(used.mapInArrow(_endings(rate), ENDS).withColumn("eid", F.monotonically_increasing_id()), "ends")
     seen = scratch.save(_featured(ends, counts), "evidence")
     real = seen.where(F.col("kind") == REAL)
 
-    # Lengths in characters and in bytes; long ones fall into bins, so a source has a bounded number of rows.
-    binned = lambda c: F.when(F.col(c) <= 65536, F.col(c)).otherwise(F.exp(F.round(F.log(c) * 50) / 50)).cast("long")
-    units = F.inline(F.array(*[F.struct(F.lit(u).alias("unit"), binned(u).alias("length")) for u in ("chars", "bytes")]))
-    lengths = real.select(F.coalesce("source", F.lit("")).alias("source"), units).groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
-    limits = scratch.save(lengths.groupBy("source", "unit").applyInPandas(_limits, "source string, unit string, length long, censored double"), "limits")
+    # Lengths in characters and in bytes.
+    units = F.inline(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("length")) for u in ("chars", "bytes")]))
+    limits = length_limits(real.select(F.coalesce("source", F.lit("")).alias("source"), units), scratch)
     # A cut in bytes spares the character it would split, so it may be up to three bytes short.
     reach = limits.select(F.col("source").alias("s"), "unit", F.col("length").alias("limit"), "censored", F.explode(F.when(F.col("unit") == "bytes", F.array(*[F.lit(i) for i in range(4)])).otherwise(F.array(F.lit(0)))).alias("short"))
     reach = reach.select("s", "unit", F.col("limit"), (F.col("limit") - F.col("short")).alias("length"), "short", "censored")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,62 @@ def test_censored_fit_recovers_the_distribution():
     lengths, counts = np.unique(y, return_counts=True)
     mu, sd = fit_censored(lengths.astype(float), counts.astype(float), (lengths == 200).astype(float), 200)
     assert abs(mu - 5) < 0.03 and abs(sd - 0.8) < 0.03
+
+
+@pytest.mark.parametrize("limit", [None, 100_000])
+def test_limits_beyond_any_bin(spark, scratch, limit):
+    """Lengths about 90,000: none is a limit by itself, and a real one is told from its neighbours."""
+    from lumenfold.llm.truncation import length_limits
+
+    rng = np.random.default_rng(5)
+    lengths = np.exp(rng.normal(np.log(90_000), 0.5, 20_000)).astype(int)
+    if limit:
+        lengths = np.minimum(lengths, limit)
+    df = spark.createDataFrame([("s", "chars", int(n)) for n in lengths], "source string, unit string, length long")
+    found = {r.length: r.censored for r in length_limits(df, scratch).collect()}
+    assert set(found) == ({limit} if limit else set())
+    assert not limit or found[limit] > 0.9
+    assert length_limits(df.limit(0), scratch).count() == 0
+
+
+def test_vector_counts_equal_counts_one_by_one():
+    """The keys and counts made for many texts at once are those of the definition."""
+    from collections import Counter
+
+    from lumenfold.llm import truncation as T
+
+    texts = ["One day.\nOne day we went on", "x", "— and so on!\nTitle\n7.5 km, 12 cats", "a " * 50, "é" * 60 + " end"]
+    got: Counter = Counter()
+    for b in T._count(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        for k, e, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[k, e] += n
+    want: Counter = Counter()
+    v = T._VOCABULARY
+    for text in texts:
+        t = T._tokens(text.rstrip())
+        h, begun = [v.hash[0]] * 2 + [v.hash[i] for i in t], 0
+        for i, x in enumerate(t):
+            e = v.event[t[i + 1]] if i + 1 < len(t) else T.LINE
+            for n in (1, 2, 3):
+                want[T._key(n, h[i + 3 - n : i + 3]), e] += 1
+            word = next(w for w, j in v.number.items() if j == x)
+            for j in range(1, len(word) if word[0].isalpha() and len(word) <= T.PREFIX_CHARS else 0):
+                want[T._key(T.PREFIX_SEED, map(ord, word[:j])), T.PREFIX] += 1
+            if e in (T.LINE, T.STOP):
+                unit = t[begun : i + 1]
+                while unit and not v.word[unit[0]]:
+                    unit = unit[1:]
+                if 0 < len(unit) <= T.UNIT_TOKENS:
+                    want[T._key(T.UNIT_SEED, [v.hash[x] for x in unit]), T.UNIT] += 1
+                begun = i + 1
+    assert got == want
+
+
+def test_ends_are_read_to_their_boundary():
+    from lumenfold.llm import truncation as T
+
+    assert T._core("so it goes [ " + " " * 60 + "… ]") == ("so it goes", 2, T.PLAIN)
+    assert T._core("so it goes" + "." * 80) == ("so it goes", 1, T.PLAIN)
+    long = "word " * 400
+    tokens, start = T._last_unit("First line\n" + long.strip())
+    assert len(tokens) - start == 400
