@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,16 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
 
 
 def with_token_counts(df: DataFrame, text: str, out: str = "n_tokens", path: str = TOKENIZER) -> DataFrame:
-    """Add the number of tokens as a long; null and empty texts have 0."""
+    """Add the number of tokens as a long; null and empty texts have 0.
+
+    The driver sends the tokenizer's file to the executors, so they need no copy of it.
+    """
+    df.sparkSession.sparkContext.addFile(path)
+    name = Path(path).name
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([count_tokens(t, path) for t in part], dtype="int64")
+            yield pd.Series([count_tokens(t, SparkFiles.get(name)) for t in part], dtype="int64")
 
     return df.withColumn(out, count(F.col(text)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.curves import hilbert_keys
 from lumenfold.llm.mixing import blocks, draws, mix, permuted, quotas, shares
 from lumenfold.llm.neighbours import nearest, neighbour_pairs
-from lumenfold.llm.packing import attention_cost, best_fit, fills, pack, piece_limit
+from lumenfold.llm.packing import WEIGHTS, attention_cost, best_fit, fills, pack, tile_of
 from lumenfold.llm.runs import agglomerate, collapsed, runs
 from lumenfold.llm.tokenizer import TOKENIZER, count_tokens, with_token_counts
 
@@ -109,13 +109,51 @@ def test_runs_of_one_hot_second_and_of_nothing(spark, scratch):
 def test_best_fit_keeps_every_constraint(measure):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 100, 800)
-    most = attention_cost(128) * 0.7
+    most = attention_cost(128, 8) * 0.7
     packs = best_fit(sizes, 128, 5, most, measure)
     load, n = np.bincount(packs, sizes), np.bincount(packs)
-    assert load.max() <= 128 and n.max() <= 5 and np.bincount(packs, attention_cost(sizes)).max() <= most
+    assert load.max() <= 128 and n.max() <= 5 and np.bincount(packs, attention_cost(sizes, 8)).max() <= most
     assert len(load) <= 1.25 * max(sizes.sum() / 128, len(sizes) / 5)
 
 
+def one_by_one(sizes, capacity, max_docs, measure):
+    """Best fit of one piece after the other, by the definition."""
+    full, w = np.array([capacity, max_docs, attention_cost(capacity, tile_of(capacity))], float), np.array(WEIGHTS)
+    packs, out = [], np.empty(len(sizes), int)
+    for i in np.argsort(-sizes, kind="stable"):
+        need = np.array([sizes[i], 1.0, attention_cost(sizes[i], tile_of(capacity))])
+        best = None
+        for p, left in enumerate(packs):
+            rest = left - need
+            if (rest >= -1e-9).all():
+                score = (w * (rest / full) ** 2).sum() if measure == "norm" else -(w * need / full * left / full).sum()
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, p)
+        if best is None:
+            packs.append(full.copy())
+            best = (0, len(packs) - 1)
+        packs[best[1]] -= need
+        out[i] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("measure", ["norm", "dot"])
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_of_one_size_are_placed_as_one_by_one(measure, seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice([1, 2, 3, 5, 8, 40, 64, 100], 300, p=[0.4, 0.1, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05])
+    got, want = best_fit(sizes, 128, 20, None, measure), one_by_one(sizes, 128, 20, measure)
+    loads = lambda p: sorted(zip(np.bincount(p, sizes), np.bincount(p), strict=True))
+    assert loads(got) == loads(want)
+
+
+def test_attention_binds_where_tokens_and_documents_are_left():
+    """A pack of 2,048 tokens takes 136 tiles: pieces of 5 tokens exhaust these before 256 documents or the tokens."""
+    packs = best_fit(np.full(1360, 5), 2048, 256)
+    assert np.bincount(packs).tolist() == [136] * 10
+    assert best_fit(np.array([], int), 64).tolist() == []
+
+
 def test_packs(spark, scratch):
     rng = random.Random(4)
     rows = [(i, rng.choice([3, 10, 60, 64, 65, 700])) for i in range(400)] + [(900, 0), (901, None), (None, 5)]
@@ -134,9 +172,11 @@ def test_packs(spark, scratch):
             assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False))
         assert all(len(s) == 1 for d, s in spans.items() if dict(rows)[d] <= c)
     f = fills(placed, kinds).collect()
-    assert max(r.fill for r in f) <= 1 and max(r.n_pieces for r in f) <= 8
+    assert max(r.fill for r in f) <= 1 and max(r.n_pieces for r in f) <= 8 and max(r.tiles for r in f) <= 136
+    assert len({(r["pack"], r.pack_id) for r in got}) == len(f)
     assert pack(df.limit(0), kinds, scratch).count() == 0
-    assert piece_limit(64, 1.0) == 64 and attention_cost(piece_limit(64, 0.5)) <= attention_cost(64) * 0.5
+    twice = spark.createDataFrame([(1, 64), (1, 64), (1, 10), (1, 10)], "doc_id long, n_tokens long")
+    assert sorted(r.n_pieces for r in fills(pack(twice, kinds[:1], scratch), kinds[:1]).collect()) == [1, 1, 2]
 
 
 def test_token_counts(spark):
