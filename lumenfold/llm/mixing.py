@@ -8,16 +8,19 @@ or shuffled as a whole, and no draw depends on another row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.session import Scratch
 
 BLOCK_TOKENS = 512
-MAX_SHARDS = 4096
-SHARD_BLOCKS = 1024
+SHARD_BLOCKS = 1024  # about as many blocks go to an output shard
+GROUP_SHARDS = 4096  # shards whose draws are one task's
 BUCKET_DOCS = 10_000
 
 
@@ -89,28 +92,67 @@ def quotas(weights: dict[str, float], available: dict[str, int], repeats: dict[s
     return out
 
 
-def draws(quota: dict[str, int], shards: int, seed: int) -> list[tuple[int, str, int, int, int]]:
-    """(shard, source, count, source's draws before, shard's slots before): multinomial draws over the quotas left.
+def split(quota: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """(parts, sources): the quotas drawn out in parts of the given relative sizes, each part multinomial over what is left.
 
-    The last shard takes what is left, so the quotas are met exactly. A row for each shard and source: bounded by MAX_SHARDS.
+    The last part takes what is left, so the quotas are met exactly; what a draw takes beyond a quota is drawn again from the others.
     """
-    names, left = list(quota), np.array(list(quota.values()), np.int64)
-    rng, out, used = np.random.default_rng(seed), [], np.zeros(len(quota), np.int64)
-    for shard in range(shards):
-        n = int(left.sum()) // (shards - shard)
-        take = np.minimum(rng.multinomial(n, left / left.sum()), left) if n and shard < shards - 1 else left.copy()
+    left, out = quota.astype(np.int64), np.zeros((len(sizes), len(quota)), np.int64)
+    ahead = np.cumsum(sizes[::-1])[::-1]
+    for i, size in enumerate(sizes):
+        n = int(left.sum()) * int(size) // int(ahead[i]) if i < len(sizes) - 1 else int(left.sum())
+        take = np.zeros_like(left)
         while (short := n - int(take.sum())) > 0:
             room = left - take
+            if short == room.sum():
+                take = left.copy()
+                break
             take = take + np.minimum(rng.multinomial(short, room / room.sum()), room)
-        at = 0
-        for i, c in enumerate(take):
+        out[i], left = take, left - take
+    return out
+
+
+def draws(quota: dict[str, int], shards: int, seed: int, first: int = 0, used: dict[str, int] | None = None) -> list[tuple[int, str, int, int, int, int]]:
+    """(shard, source, count, source's draws before, shard's slots before, shard's slots) of some shards, from `first` on."""
+    names, before, out = list(quota), dict(used or dict.fromkeys(quota, 0)), []
+    for i, take in enumerate(split(np.array(list(quota.values()), np.int64), np.ones(shards, np.int64), np.random.default_rng([seed, first]))):
+        at, slots = 0, int(take.sum())
+        for name, c in zip(names, take.tolist(), strict=True):
             if c:
-                out.append((shard, names[i], int(c), int(used[i]), at))
-                at += int(c)
-        left, used = left - take, used + take
+                out.append((first + i, name, c, before[name], at, slots))
+                before[name] += c
+                at += c
     return out
 
 
+DRAWN = "shard long, source string, count long, before long, at long, slots long"
+
+
+def drawn_shards(spark: SparkSession, quota: dict[str, int], seed: int) -> DataFrame:
+    """The draws of all output shards: the driver draws for groups of shards, tasks draw for the shards of a group.
+
+    There are at least as many shards as sources and one for every SHARD_BLOCKS blocks, however many that are; the driver holds a row
+    for each GROUP_SHARDS of them.
+    """
+    total = sum(quota.values())
+    shards = max(1, min(total, max(len(quota), -(-total // SHARD_BLOCKS))))
+    firsts = np.arange(0, shards, GROUP_SHARDS)
+    sizes = np.minimum(shards - firsts, GROUP_SHARDS)
+    takes = split(np.array(list(quota.values()), np.int64), sizes, np.random.default_rng(seed))
+    used = np.cumsum(takes, axis=0) - takes
+    names = list(quota)
+    rows = [(int(f), int(n), list(map(int, t)), list(map(int, u))) for f, n, t, u in zip(firsts, sizes, takes, used, strict=True)]
+    groups = spark.createDataFrame(rows, "first long, n long, take array<long>, used array<long>").repartition(len(rows), "first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g in batch.itertuples():
+                out = draws(dict(zip(names, map(int, g.take), strict=True)), int(g.n), seed, int(g.first), dict(zip(names, map(int, g.used), strict=True)))
+                yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in DRAWN.split(", ")])
+
+    return groups.mapInPandas(run, DRAWN)
+
+
 def mix(documents: DataFrame, targets: list[tuple[str, float, int]], scratch: Scratch, block_tokens: int = BLOCK_TOKENS, total_blocks: int | None = None, seed: int = 1, **names: str) -> DataFrame:
     """(shard, slot, source, pass, block, doc_id, from_token, to_token): the selection, in shards of interleaved sources.
 
@@ -124,21 +166,24 @@ def mix(documents: DataFrame, targets: list[tuple[str, float, int]], scratch: Sc
     # One row for each source that is a target.
     have = {r["source"]: r["n"] for r in cut.where(F.col("source").isin(list(wanted))).groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
     quota = quotas(wanted, have, {s: r for s, _, r in targets}, total_blocks)
-    shards = min(MAX_SHARDS, max(1, sum(quota.values()) // SHARD_BLOCKS))
-    rows = [(*d, have[d[1]], sum(map(ord, d[1]))) for d in draws(quota, shards, seed)]
-    per_shard: dict[int, int] = {}
-    for d in rows:
-        per_shard[d[0]] = per_shard.get(d[0], 0) + d[2]
-    drawn = spark.createDataFrame([(*d, per_shard[d[0]]) for d in rows], "shard int, source string, count long, before long, at long, have long, code long, slots long")
+    if not quota:
+        none = F.lit(0).cast("long")
+        return cut.where("false").select(none.alias("shard"), none.alias("slot"), "source", none.alias("pass"), "block", "doc_id", "from_token", "to_token")
+    drawn = scratch.save(drawn_shards(spark, quota, seed), "drawn")
+    # Permutations differ by source, pass and shard.
+    known = F.create_map(*[F.lit(x) for s in quota for x in (s, F.struct(F.lit(have[s]).cast("long").alias("have"), F.lit(xxhash.xxh3_64_intdigest(s) >> 1).alias("code")))])
 
     @F.pandas_udf("struct<pass: long, block: long, slot: long>")
     def mapped(nth: pd.Series, have_: pd.Series, code: pd.Series, shard: pd.Series, at: pd.Series, slots: pd.Series) -> pd.DataFrame:
         n, h = nth.to_numpy(), have_.to_numpy()
         turn = n // h
-        block = permuted(n % h, h, code.to_numpy() * 1_000_003 + turn * 31 + seed)
-        return pd.DataFrame({"pass": turn, "block": block, "slot": permuted(at.to_numpy(), slots.to_numpy(), shard.to_numpy() + 7_919 * seed)})
+        with np.errstate(over="ignore"):
+            key = code.to_numpy() + (turn + 1) * 1_000_003 + seed * 31
+        return pd.DataFrame({"pass": turn, "block": permuted(n % h, h, key), "slot": permuted(at.to_numpy(), slots.to_numpy(), shard.to_numpy() + 7_919 * seed)})
 
-    slots = drawn.repartition(max(1, len(rows) // 64 + 1), "shard", "source").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
+    d = drawn.withColumn("k", known[F.col("source")])
+    # A shard's count of a source is about SHARD_BLOCKS at most.
+    slots = d.select("shard", "source", "before", "at", "slots", "k.have", "k.code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
     slots = slots.select("shard", "source", mapped(F.col("before") + F.col("i"), "have", "code", "shard", F.col("at") + F.col("i"), "slots").alias("m")).select("shard", "source", "m.*")
     return slots.join(cut, ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "from_token", "to_token")
 

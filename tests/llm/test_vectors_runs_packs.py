@@ -63,6 +63,28 @@ def test_copies_have_k_neighbours_each(spark, scratch):
     assert neighbour_pairs(nearest(vector_table(spark, x), scratch, 5, 0.999)).where("emb_row_a >= emb_row_b").count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 9, 30])
+def test_few_vectors_in_many_partitions(spark, scratch, n):
+    """All pairs of a few vectors are found, although there are more partitions than a window has rows."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        x = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
+        assert {(r.a, r.b) for r in nearest(vector_table(spark, x), scratch, n).collect()} == {(i, j) for i in range(n) for j in range(n) if i != j}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_borders_skip_empty_partitions(spark, scratch, monkeypatch):
+    """Vectors in two far groups on one curve, with partitions between them that stay empty."""
+    from pyspark.sql import DataFrame
+
+    spread = DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *cols: spread(self, *cols).repartition(8, (F.col("row") % 2) * 5) if "row" in cols else spread(self, *cols))
+    x = np.random.default_rng(1).normal(size=(20, 4)).astype(np.float32)
+    got = {(r.a, r.b) for r in nearest(vector_table(spark, x), scratch, 19, curves=1).collect()}
+    assert len(got) == 20 * 19
+
+
 def test_odd_vectors(spark, scratch):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (8, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "emb_row long, emb array<float>")
@@ -203,6 +225,26 @@ def test_quotas_and_draws():
     assert all(sum(x[2] for x in d if x[0] == k) in (14, 15, 16) for k in range(7))
 
 
+def test_draws_of_many_groups(spark, monkeypatch):
+    """Shards drawn by tasks in groups: quotas are met exactly, every draw of a source has its own number, and the counts vary."""
+    from lumenfold.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 16)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 4)
+    quota = {"a": 500, "b": 300, "c": 33}
+    d = mixing.drawn_shards(spark, quota, 5).collect()
+    assert {s: sum(r["count"] for r in d if r.source == s) for s in quota} == quota
+    for s in quota:
+        numbers = sorted(n for r in d if r.source == s for n in range(r.before, r.before + r["count"]))
+        assert numbers == list(range(quota[s]))
+    for shard in {r.shard for r in d}:
+        rows = sorted((r.at, r["count"], r.slots) for r in d if r.shard == shard)
+        assert sum(c for _, c, _ in rows) == rows[0][2] and all(a + c == b for (a, c, _), (b, _, _) in zip(rows, rows[1:], strict=False))
+    assert len({r.shard for r in d}) == 53 and len({r["count"] for r in d if r.source == "a"}) > 5
+    few = mixing.drawn_shards(spark, {"a": 2, "b": 1, "c": 1}, 1).collect()
+    assert len({r.shard for r in few}) == 3 and sum(r["count"] for r in few) == 4
+
+
 def test_mixture(spark, scratch):
     rng = random.Random(6)
     rows = [(i, rng.choices(["big", "mid", "small", None], [70, 20, 8, 2])[0], rng.randint(0, 300), "x") for i in range(3000)]
