@@ -66,7 +66,7 @@ def _keyed(width: int, curves: int, dims: int, bits: int, seed: int):
 
 
 def _best(rows: np.ndarray, curve: np.ndarray, unit: np.ndarray, first: int, last: int, window: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows first..last, the best `k` + SPARE rows within the window, as row, other row and cosine."""
+    """Of the rows first..last, the best `k` + SPARE rows within the window: each pair once, as smaller row, larger row and cosine."""
     single = unit.astype(np.float32)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     keep = k + SPARE
@@ -86,13 +86,17 @@ def _best(rows: np.ndarray, curve: np.ndarray, unit: np.ndarray, first: int, las
         x, y = np.nonzero(hits)
         out.append((x + lo, y + a))
     x, y = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int))
+    # Most pairs are found from both ends.
+    both = np.unique(np.minimum(x, y) * len(rows) + np.maximum(x, y))
+    x, y = both // max(1, len(rows)), both % max(1, len(rows))
     cos = np.einsum("ij,ij->i", unit[x], unit[y])
     good = cos >= least
-    return rows[x[good]], rows[y[good]], cos[good]
+    a, b = rows[x[good]], rows[y[good]]
+    return np.minimum(a, b), np.maximum(a, b), cos[good]
 
 
 def _windows(width: int, window: int, k: int, least: float):
-    """Sorted batches of (curve, row, vec) to candidates (kind 0) and the rows at both ends of the partition (kind 1)."""
+    """Sorted batches of (curve, row, vec) to candidates (kind 0) and the rows at the end (kind 1) and the beginning (kind 2) of the partition."""
 
     def made(kind: int, a, b, cos, pos, curve, vec) -> pa.RecordBatch:
         n = len(a)
@@ -101,9 +105,9 @@ def _windows(width: int, window: int, k: int, least: float):
             names=["kind", "a", "b", "cos", "pos", "curve", "vec"],
         )
 
-    def ends(border: int, pos, rows, curve, flat) -> pa.RecordBatch:
+    def ends(kind: int, pid: int, pos, rows, curve, flat) -> pa.RecordBatch:
         n = len(rows)
-        return made(1, rows, np.full(n, border), np.zeros(n), pos, curve, [v.tobytes() for v in flat])
+        return made(kind, rows, np.full(n, pid), np.zeros(n), pos, curve, [v.tobytes() for v in flat])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -115,7 +119,7 @@ def _windows(width: int, window: int, k: int, least: float):
             if seen < window:
                 head = min(window - seen, batch.num_rows)
                 part = batch.slice(0, head)
-                yield ends(pid - 1, window + seen + np.arange(head), part.column("row").to_numpy(), part.column("curve").to_numpy(), _vectors(part.column("vec"), width))
+                yield ends(2, pid, window + seen + np.arange(head), part.column("row").to_numpy(), part.column("curve").to_numpy(), _vectors(part.column("vec"), width))
             seen += batch.num_rows
             rows = np.concatenate([rows, batch.column("row").to_numpy()])
             curve = np.concatenate([curve, batch.column("curve").to_numpy()])
@@ -130,7 +134,7 @@ def _windows(width: int, window: int, k: int, least: float):
             a, b, cos = _best(rows, curve, _unit(flat), done, len(rows), window, k, least)
             yield made(0, a, b, cos, np.zeros(len(a)), np.zeros(len(a)), None)
             n = min(window, len(rows))
-            yield ends(pid, window - n + np.arange(n), rows[-n:], curve[-n:], flat[-n:])
+            yield ends(1, pid, window - n + np.arange(n), rows[-n:], curve[-n:], flat[-n:])
 
     return run
 
@@ -143,7 +147,7 @@ def _across(width: int, window: int, least: float):
         unit, pos, curve, row = _unit(np.frombuffer(b"".join(part.vec), np.float32).reshape(-1, width)), part.pos.to_numpy(), part.curve.to_numpy(), part.a.to_numpy()
         cos = unit @ unit.T
         x, y = np.nonzero((pos[:, None] < window) & (pos[None, :] >= window) & (pos[None, :] - pos[:, None] <= window) & (curve[:, None] == curve[None, :]) & (cos >= least))
-        return pd.DataFrame({"a": np.concatenate([row[x], row[y]]), "b": np.concatenate([row[y], row[x]]), "cos": np.concatenate([cos[x, y], cos[x, y]])})
+        return pd.DataFrame({"a": np.minimum(row[x], row[y]), "b": np.maximum(row[x], row[y]), "cos": cos[x, y]})
 
     return run
 
@@ -164,15 +168,21 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = 10, min_cosine: float
         return spark.createDataFrame([], "a long, b long, cos double")
     width = sizes["width"]
     sound = rows.where((F.size("vec") == width) & ~F.exists("vec", lambda x: x.isNull()))
-    keyed = scratch.save(sound.mapInArrow(_keyed(width, curves, dims, bits, seed), "row long, cls binary, keys array<long>, vec binary"), "keyed")
+    keyed, n_keyed = scratch.save_counted(sound.mapInArrow(_keyed(width, curves, dims, bits, seed), "row long, cls binary, keys array<long>, vec binary"), "keyed")
 
     classes = keyed.groupBy("cls").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.save(keyed.select("row", "cls").join(classes.select("cls", "rep"), "cls").select("row", "rep"), "copies")
     single = keyed.join(copies.where("row <> rep").select("row"), "row", "left_anti")
-    ordered = single.select("row", "vec", F.posexplode("keys").alias("curve", "key")).repartitionByRange("curve", "key", "row").sortWithinPartitions("curve", "key", "row").select("curve", "row", "vec")
+    # Few rows go to fewer partitions, so that a window is not wider than one.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, n_keyed * curves // (8 * window)))
+    ordered = single.select("row", "vec", F.posexplode("keys").alias("curve", "key")).repartitionByRange(parts, "curve", "key", "row").sortWithinPartitions("curve", "key", "row").select("curve", "row", "vec")
     seen = scratch.save(ordered.mapInArrow(_windows(width, window, k, min_cosine), WINDOWED), "windows")
-    across = seen.where("kind = 1").groupBy("b").applyInPandas(_across(width, window, min_cosine), "a long, b long, cos double")
-    merged = seen.where("kind = 0").select("a", "b", "cos").unionByName(across).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    # A row for each partition that has rows: a border is that between a partition and the last one before it with any.
+    border = seen.where("kind = 1").select("b").distinct().select("b", F.lag("b").over(Window.orderBy("b")).alias("before"))
+    heads = seen.where("kind = 2").join(F.broadcast(border), "b").where("before is not null").withColumn("b", F.col("before")).select(*seen.columns)
+    across = seen.where("kind = 1").unionByName(heads).groupBy("b").applyInPandas(_across(width, window, min_cosine), "a long, b long, cos double")
+    pairs = seen.where("kind = 0").select("a", "b", "cos").unionByName(across).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    merged = pairs.select(F.inline(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))))
     by_rank = lambda key: Window.partitionBy(key).orderBy(F.desc("cos"), "b")
     best = scratch.save(merged.withColumn("r", F.row_number().over(by_rank("a"))).where(F.col("r") <= k).drop("r"), "best")
 
