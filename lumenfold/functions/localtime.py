@@ -98,3 +98,9 @@ def with_local_fields(df: DataFrame, exif_dt: str, offset: str, exif_dt_any: str
     certain = dto.isNotNull() | (sc.isNotNull() & off.isNotNull() & at.isNotNull())
     d = d.withColumns({"local_date": wall_date(at), "local_time": wall_time(at), "day_uncertain": F.when(certain, 0).otherwise(1), "year": F.coalesce(F.year(F.timestamp_seconds(at)), year_of_folder(F.col(folder)))})
     return d.drop("_dto", "_any", "_off", "_sc", "_zone", "_wall")
+
+
+def reset_hour(instant: Column, zone: str = "America/Los_Angeles") -> Column:
+    """UTC hour of the next midnight of a zone after an instant in seconds, when daily quotas begin anew."""
+    midnight = (F.floor(utc_to_wall(instant, zone) / 86400) + 1) * 86400
+    return F.floor(F.pmod(wall_to_utc(midnight, zone), F.lit(86400)) / 3600).cast("int")

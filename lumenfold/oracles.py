@@ -296,3 +296,57 @@ ORACLES["proposal_batches"] = "select event_type as batch_id, cast(user_id % 3 a
 SESSIONS = "with l as (select event_type, ts, case when ts - lag(ts) over (partition by event_type order by ts) <= interval 60 seconds then 0 else 1 end as o from events), c as (select *, sum(o) over (partition by event_type order by ts rows unbounded preceding) as s from l) select event_type, count(*) as n, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts))) as bigint) as end_s from c group by event_type, s"
 ORACLES["event_sessions"] = SESSIONS
 ORACLES["stream_sessions"] = SESSIONS
+
+
+def clean_sql(c: str, width: int) -> str:
+    line = f"replace(trim(regexp_replace(regexp_replace({c}, '{UNSAFE}', '', 'g'), '\\s+', ' ', 'g'), ' '), '|', '/')"
+    return f"(case when length({line}) > {width} then rtrim(left({line}, {width - 1})) || '…' else {line} end)"
+
+
+LIBRARY = f"""ix as ({INDEX} select * from ix), ru as ({MEASURED} select item_id, category, score, reason from rules), {DUP},
+sc as (select item_id, arg_min(row(url, title, favorited, from_shared_album, from_partner), sidecar_id) as s from {sidecars('item_id', 'url', 'title', 'favorited', 'from_shared_album', 'from_partner')} where item_id is not null group by 1),
+it as (select ix.*, x.folder, x.make, x.model, x.width, x.height, x.file_size, s[1] as url, s[3] as favorited, s[4] as shared, s[5] as partner, case when s[2] = ix.filename then 'high' when sc.item_id is not null then 'low' end as match_conf from ix join {photos('folder', 'make', 'model', 'width', 'height', 'file_size')} x on x.item_id = ix.item_id left join sc on sc.item_id = ix.item_id),
+gu as (select d.group_id, count(distinct it.url) >= 2 as deletable from d join it on it.item_id = d.item_id group by 1),
+un as (select d.item_id, d.group_id, not deletable as unc, d.is_keeper = 0 and (not deletable or coalesce(it.url, '') = '' or coalesce(kt.url, '') = '' or it.url = kt.url) as same from d join gu on gu.group_id = d.group_id join it on it.item_id = d.item_id left join it kt on kt.item_id = d.group_id),
+fl as (select item_id, string_agg(category || ':' || printf('%.2f', score), ' ' order by score desc, category) filter (where n <= 3) as flags, list(json_object('category', category, 'score', printf('%.2f', score), 'reason', {clean_sql('reason', 120)}) order by score desc, category) as scored from (select *, row_number() over (partition by item_id order by score desc, category) as n from ru where score > 0) group by 1)"""
+ATTRS = "list_filter([case when coalesce(shared, 0) <> 0 then 'shared' end, case when coalesce(partner, 0) <> 0 then 'partner' end, case when coalesce(favorited, 0) <> 0 then 'fav' end, case when coalesce(url, '') = '' then 'nolink' end], lambda x: x is not null)"
+_stem = name_sql("it.filename")["stem"]
+CARDS = f"""with {LIBRARY}, bu as (with {SHOTS} select item_id, burst, choice from k),
+ca as (select it.item_id, {clean_sql('it.filename', 120)} as filename, case when local_date is null then 'undated' else local_date || ' ' || left(local_time, 5) || case when day_uncertain = 1 then '~' else '' end end as taken,
+ case when url is not null then url when {_stem} <> '' then 'https://photos.example/search/' || url_encode({_stem}) end as photos_url, case when url is not null then case when match_conf = 'high' then 'high' else 'low' end when {_stem} <> '' then 'low' else 'none' end as link_conf,
+ coalesce(fl.flags, '') as flags, array_to_string({ATTRS}, ',') as attrs,
+ case when d.item_id is null and bu.item_id is null then '-' else concat_ws(',', 'dup' || d.group_id || case when un.unc then '?' else '' end || case when d.is_keeper = 1 then ':keeper' else '' end, 'burst' || bu.burst || case when bu.choice = 1 then ':best' else '' end) end as tag,
+ cast(coalesce(un.unc, false) as integer) as possible_same, cast(coalesce(un.same, false) as integer) as maybe_same, cast(coalesce(shared, 0) <> 0 or coalesce(partner, 0) <> 0 or coalesce(favorited, 0) <> 0 or coalesce(un.unc, false) as integer) as protected, case when favorited = 1 then 'approved' end as queue_status
+ from it left join fl on fl.item_id = it.item_id left join d on d.item_id = it.item_id left join bu on bu.item_id = it.item_id left join un on un.item_id = it.item_id)"""
+ORACLES["item_cards"] = f"{CARDS} select * from ca"
+ORACLES["sheet_legend"] = f"{CARDS}, pg as (select *, row_number() over (order by item_id) as n from ca order by item_id limit 48) select n, concat_ws(' | ', n, '#' || item_id, taken, filename, case when flags = '' then '-' else flags end, case when attrs = '' then '-' else attrs end, tag) as line from pg"
+ORACLES["item_details"] = f"""with {LIBRARY}, gs as (select group_id, count(*) as size from d group by 1)
+select it.item_id, cast(json_object('id', it.item_id, 'date', local_date, 'time', local_time, 'day_uncertain', coalesce(day_uncertain, 0) <> 0, 'size', coalesce(it.width, 0) || 'x' || coalesce(it.height, 0), 'file_kb', cast(round_even(coalesce(it.file_size, 0) / 1024.0, 0) as bigint), 'flags', {ATTRS}, 'scores', coalesce(fl.scored, []),
+ 'duplicate_group', case when d.item_id is not null then json_object('group_id', d.group_id, 'size', gs.size, 'keeper_id', d.group_id, 'uncertain', coalesce(un.unc, false), 'maybe_same_item_as_keeper', coalesce(un.same, false)) end,
+ 'untrusted_text', json_object('filename', {clean_sql('it.filename', 120)}, 'folder', {clean_sql('it.folder', 120)}, 'camera', case when concat_ws(' ', make, model) <> '' then {clean_sql("concat_ws(' ', make, model)", 120)} end)) as varchar) as details
+from it left join fl on fl.item_id = it.item_id left join d on d.item_id = it.item_id left join gs on gs.group_id = d.group_id left join un on un.item_id = it.item_id"""
+ORACLES["uncertain_groups"] = f"with {LIBRARY} select item_id, group_id, cast(unc as integer) as uncertain_group, cast(same as integer) as maybe_same from un"
+ORACLES["queue_pages"] = f"""with ix as ({INDEX} select * from ix), qu as (select 'x:' || item_id as item_uid, item_id, min(sidecar_id) as proposed_at from {sidecars('item_id', 'favorited')} where item_id is not null and favorited = 1 group by 1, 2), j as (select qu.item_uid, ix.item_id, proposed_at, local_date, local_time from qu left join ix on ix.item_id = qu.item_id)
+(select item_uid, 'approved' as status, local_date from j order by local_date is null, local_date, coalesce(local_time, ''), item_id is null, item_id, item_uid limit 40 offset 10) union all (select item_uid, 'proposed', local_date from j order by proposed_at, item_uid limit 20 offset 5)"""
+ORACLES["event_log"] = "select event_id as seq, event_type as action from events order by date_trunc('hour', ts) desc, event_id desc limit 100"
+ORACLES["burst_pages"] = f"with {SHOTS}, pg as (select distinct burst from k order by burst limit 20) select k.burst, k.item_id, cast(choice = 1 as integer) as is_best, p.filename from k join pg on pg.burst = k.burst join {photos('filename')} p on p.item_id = k.item_id"
+ORACLES["library_summary"] = f"""with ix as ({INDEX} select * from ix), ru as ({MEASURED} select * from rules), {DUP}, su as (select {unix_sql('taken_ts')} as ts from {sidecars('item_id', 'taken_ts')} where item_id is null)
+select 'items' as key, count(*) as value from ix union all select 'with_vector', count(emb_row) from ix left join items on items.item_id = ix.item_id union all select 'undated', count(*) from ix where local_date is null union all select 'unindexed', count(ts) from su
+union all select 'year:' || coalesce(cast(year as varchar), 'unknown'), count(*) from ix group by year union all select 'groups:exact', count(distinct group_id) from d having count(*) > 0 union all select 'category:' || category, count(*) from ru where score >= 0.5 group by category"""
+_sc_keys = ("title", "taken_ts", "creation_ts", "lat", "url", "description", "people", "origin_folder", "device_type", "from_shared_album", "from_partner", "favorited", "archived", "trashed")
+_there = lambda c: f"count(*) filter (where {c} is not null and cast({c} as varchar) not in ('', '0'))"
+ORACLES["scan_survey"] = f"""with sv as (select * from {sidecars(*_sc_keys)}), pv as (select * from {photos('exif_dt', 'exif_offset', 'has_camera_exif', 'exif_lat', 'err')})
+select 'sidecars' as key, count(*) as n from sv union all {' union all '.join(f"select 'sc_{c}', {_there(c)} from sv" for c in _sc_keys)}
+union all select 'items', count(*) from pv union all {' union all '.join(f"select '{c}', {_there(c)} from pv" for c in ('exif_dt', 'exif_offset'))} union all select 'exif_camera', count(*) filter (where has_camera_exif = 1) from pv union all select 'exif_gps', count(exif_lat) from pv union all select 'item_errors', {_there('err')} from pv
+union all select concat_ws(':', 'member', kind, reason), count(*) from ({CLASSIFY}) group by kind, reason"""
+ORACLES["quota_hours"] = "select event_id, cast(hour(timezone('UTC', timezone('America/Los_Angeles', date_trunc('day', timezone('America/Los_Angeles', timezone('UTC', ts))) + interval 1 day))) as integer) as hour from events"
+FOLD = ORACLES["queue_fold"]
+ORACLES["queue_log"] = FOLD[: FOLD.index("r as (select")] + """r as (select item_uid, cast(0 as bigint) as i, cast(null as bigint) as seq, cast(null as varchar) as action, cast(null as varchar) as status, cast(null as varchar) as first_, cast(null as varchar) as was, false as changed, cast(0 as bigint) as rev from (select distinct item_uid from e)
+ union all select item_uid, i, seq, action, status, case when status is not null then first_ end, old, (status, case when status is not null then first_ end) is distinct from (old, old_first), rev + cast((status, case when status is not null then first_ end) is distinct from (old, old_first) as bigint) from (
+  select r.item_uid, e.i, e.seq, e.action, r.status as old, r.first_ as old_first, r.rev,
+   case when e.action = 'propose' then coalesce(r.status, 'proposed') when e.action = 'add' then 'approved' when r.status is null then null when e.action = 'approve' then 'approved' when e.action = 'reject' then 'rejected' when r.first_ = 'user' then null else 'proposed' end as status,
+   case when r.first_ is not null then r.first_ when e.action = 'propose' then 'a' when e.action = 'add' then 'user' end as first_
+  from r join e on e.item_uid = r.item_uid and e.i = r.i + 1)) select item_uid, seq, action, 'a' as actor, status, was, rev from r where changed"""
+ORACLES["batch_decisions"] = """with p as (select event_type as batch_id, cast(user_id as varchar) as item_uid, min(event_id) as proposed from events where event_id % 5 = 0 group by 1, 2)
+select cast(user_id as varchar) as item_uid, event_id as seq, 'approve' as action, event_type as batch_id from events where event_id % 997 <> 0 and event_id % 5 = 1
+union all select p.item_uid, e.event_id, 'reject', p.batch_id from events e join p on p.batch_id = e.event_type and proposed < e.event_id where e.event_id % 997 = 0"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import bits, names, text
 from lumenfold.functions.documents import position, unix_field
-from lumenfold.functions.localtime import LOCAL, exif_wall, subsec, utc_to_wall, wall_date, with_local_fields
+from lumenfold.functions.localtime import LOCAL, exif_wall, reset_hour, subsec, utc_to_wall, wall_date, with_local_fields
 from lumenfold.operators import bursts as B
 from lumenfold.operators import candidates as C
 from lumenfold.operators import collapse as L
@@ -19,11 +19,12 @@ from lumenfold.operators.capture import library_instants
 from lumenfold.operators.components import connected
 from lumenfold.operators.deliveries import latest_values
 from lumenfold.operators.pairing import mutual_best, pair
-from lumenfold.plans import lookups
+from lumenfold.plans import lookups, shaping
 from lumenfold.plans import search as Q
 from lumenfold.session import Scratch, table
 from lumenfold.sources import shards as H
 from lumenfold.sources.archive import plan_shards as with_shards
+from lumenfold.sources.scan import survey
 from lumenfold.streaming import decisions as D
 from lumenfold.streaming.sessions import sessions
 
@@ -558,6 +559,104 @@ def day_blockers(spark, d):
     return lookups.day_safety(i, s.where("item_id is null").select("day"), approved)
 
 
+# Shaping
+
+
+def _library(spark, d, scratch):
+    """Index rows with their sidecar's fields, scores, groups of equal bytes and what is uncertain about them."""
+    told = F.struct("url", "title", "favorited", F.col("from_shared_album").alias("shared"), F.col("from_partner").alias("partner"))
+    s = sidecars(spark, d, "item_id", "url", "title", "favorited", "from_shared_album", "from_partner").where("item_id is not null").groupBy("item_id").agg(F.min_by(told, "sidecar_id").alias("s"))
+    i = _index(spark, d).join(photos(spark, d, "folder", "make", "model", "width", "height"), "item_id").join(s, "item_id", "left")
+    i = i.select(*[c for c in i.columns if c != "s"], "s.url", "s.favorited", "s.shared", "s.partner", F.when(F.col("s.title") == F.col("filename"), "high").when(F.col("s").isNotNull(), "low").alias("match_conf"))
+    i = scratch.save(i, "index")
+    members = scratch.save(_dup_members(spark, d), "members")
+    groups = members.join(i.select("item_id", "url"), "item_id").groupBy("group_id").agg((F.count_distinct("url") >= 2).cast("int").alias("deletable"))
+    uncertain = scratch.save(shaping.uncertainty(groups, members, i), "uncertain")
+    return i, scratch.save(S.category_scores(_measured(spark, d)), "scores"), members, uncertain
+
+
+def _cards(spark, d, label):
+    scratch = Scratch(spark, label)
+    i, scores, members, uncertain = _library(spark, d, scratch)
+    frames, shots = _bursts(spark, d, f"{label}-bursts")
+    best = B.ranked(frames, shots).where("is_best = 1").select(F.col("burst").alias("burst_id"), F.col("item_id").alias("best_item_id"))
+    inside = lookups.memberships(i, members, frames.withColumnRenamed("burst", "burst_id"), best)
+    queue = i.where("favorited = 1").select("item_uid", F.lit("approved").alias("status"))
+    return shaping.item_cards(i, scores, inside, uncertain, queue, "photos.example")
+
+
+@query
+def item_cards(spark, d):
+    return _cards(spark, d, "cards").drop("item_uid")
+
+
+@query
+def sheet_legend(spark, d):
+    """The legend of a sheet of the first 48 items: a page is the feature."""
+    return shaping.legend(_cards(spark, d, "legend").orderBy("item_id").limit(48), [F.col("item_id")])
+
+
+@query
+def item_details(spark, d):
+    i, scores, members, uncertain = _library(spark, d, Scratch(spark, "details"))
+    return shaping.item_details(i, scores, members, uncertain)
+
+
+@query
+def uncertain_groups(spark, d):
+    return _library(spark, d, Scratch(spark, "uncertain"))[3].select("item_id", "group_id", F.col("uncertain_group").cast("int").alias("uncertain_group"), F.col("maybe_same").cast("int").alias("maybe_same"))
+
+
+@query
+def queue_pages(spark, d):
+    """A page of the approved rows in the order of the calendar: the limit is the feature."""
+    s = sidecars(spark, d, "item_id", "favorited").where("item_id is not null and favorited = 1").groupBy("item_id").agg(F.min("sidecar_id").alias("proposed_at"))
+    queue = s.select(F.concat(F.lit("x:"), F.col("item_id").cast("string")).alias("item_uid"), F.lit("approved").alias("status"), "proposed_at")
+    i = _index(spark, d)
+    approved = shaping.queue_page(queue, i, "approved", 10, 40).select("item_uid", "status", "local_date")
+    proposed = shaping.queue_page(queue.withColumn("status", F.lit("proposed")), i, "proposed", 5, 20).select("item_uid", "status", "local_date")
+    return approved.unionByName(proposed)
+
+
+@query
+def event_log(spark, d):
+    """The 100 newest events: the limit is the feature."""
+    e = table(spark, d, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("action"))
+    return shaping.latest_events(e).select("seq", "action")
+
+
+@query
+def burst_pages(spark, d):
+    """The frames of the first 20 bursts, the best first: a page is the feature."""
+    frames, shots = _bursts(spark, d, "bpages")
+    rank = B.ranked(frames, shots).select("burst", "item_id", "is_best")
+    return lookups.group_page(frames.select("burst").distinct(), rank, photos(spark, d, "filename"), 0, 20, key="burst", first="is_best").select("burst", "item_id", "is_best", "filename")
+
+
+@query
+def library_summary(spark, d):
+    """Counts of the whole library, by year, kind of group and category."""
+    scratch = Scratch(spark, "summary")
+    i = scratch.save(_index(spark, d).join(table(spark, d, "items").select("item_id", "emb_row"), "item_id", "left"), "items")
+    groups = _dup_members(spark, d).select("group_id").distinct().withColumn("kind", F.lit("exact"))
+    s = sidecars(spark, d, "item_id", "taken_ts").where("item_id is null").withColumn("ts", unix_field(F.col("taken_ts")))
+    by_day = s.where("ts is not null").groupBy(wall_date(utc_to_wall(F.col("ts"), "UTC")).alias("local_date")).agg(F.count("*").alias("n"))
+    return lookups.library_stats(i, groups, S.category_scores(_measured(spark, d)), by_day)
+
+
+@query
+def scan_survey(spark, d):
+    """How often each field of a scan is there, and its members by kind."""
+    c = names.classify(F.col("member"), F.col("file_size"))
+    keys = ("title", "taken_ts", "creation_ts", "lat", "url", "description", "people", "origin_folder", "device_type", "from_shared_album", "from_partner", "favorited", "archived", "trashed")
+    return survey(photos(spark, d, "exif_dt", "exif_offset", "has_camera_exif", "exif_lat", "err"), sidecars(spark, d, *keys), _members(spark, d).select(c.alias("c")).select("c.kind", "c.reason"))
+
+
+@query
+def quota_hours(spark, d):
+    return table(spark, d, "events").select("event_id", reset_hour(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("hour"))
+
+
 # Decisions and streams
 
 
@@ -572,6 +671,19 @@ def queue_fold(spark, d):
     return D.fold(_decisions(table(spark, d, "events")))
 
 
+@query
+def queue_log(spark, d):
+    """Every decision that changed a row, with its status before and after and its revision."""
+    return D.transitions(_decisions(table(spark, d, "events")))
+
+
+@query
+def batch_decisions(spark, d):
+    """Decisions on whole batches spread over what was proposed in them before."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("item_uid"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 997 == 0, "reject_batch").otherwise("approve").alias("action"), F.lit("a").alias("actor"), F.col("event_type").alias("batch_id"))
+    return D.with_batches_spread(e.where("seq % 997 = 0 or seq % 5 = 1"), e.where("seq % 5 = 0")).select("item_uid", "seq", "action", "batch_id")
+
+
 @query
 def latest_decisions(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("group_key"), F.col("event_id").alias("seq"), F.when(F.pmod(F.col("event_id"), F.lit(3)) == 0, "clear").otherwise("keeper").alias("action"), F.col("event_type").alias("keeper_uid"))

@@ -52,9 +52,12 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.delete(rel)
-        if not self._fs.rename(tmp, self._at(rel)):
-            raise OSError("rename failed")
+        # FileContext replaces the target in one step, where FileSystem.rename would refuse.
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(tmp.toUri(), self.spark._jsc.hadoopConfiguration()) if tmp.toUri().getScheme() else hadoop.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
+        options = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        context.rename(tmp, self._at(rel), options)
 
     def delete(self, rel: str) -> None:
         if self.exists(rel):

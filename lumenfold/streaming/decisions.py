@@ -57,12 +57,14 @@ def fold(events: DataFrame) -> DataFrame:
         state, seq, n = _fold(part)
         return pd.DataFrame([(part.item_uid.iloc[0], *(state or (None, None)), seq, n)], columns=["item_uid", "status", "actor", "seq", "n_events"])
 
-    good = events.where("item_uid is not null and seq is not null and action is not null").select("item_uid", "seq", "action", F.coalesce("actor", F.lit("")).alias("actor"))
-    return good.groupBy("item_uid").applyInPandas(run, STATE).where("status is not null")
+    return usable(events).groupBy("item_uid").applyInPandas(run, STATE).where("status is not null")
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream, with the state of each key kept; emits a key's row whenever events arrive, status null for none."""
+    """The same over a stream, with the state of each key kept; emits a key's row whenever events arrive, status null for none.
+
+    A key's events must arrive in order of seq: one that comes after a later one, in a later batch, is folded when it comes.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,7 +74,45 @@ def fold_stream(events: DataFrame) -> DataFrame:
         state.update((*(now or (None, None)), n))
         yield pd.DataFrame([(key[0], *(now or (None, None)), seq, n)], columns=["item_uid", "status", "actor", "seq", "n_events"])
 
-    return events.select("item_uid", "seq", "action", F.coalesce("actor", F.lit("")).alias("actor")).groupBy("item_uid").applyInPandasWithState(run, STATE, "status string, actor string, n long", "update", GroupStateTimeout.NoTimeout)
+    return usable(events).groupBy("item_uid").applyInPandasWithState(run, STATE, "status string, actor string, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+LOG = "item_uid string, seq long, action string, actor string, status string, was string, rev long"
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """(item_uid, seq, action, actor, status, was, rev): the events that changed their key's row, with its status before and after.
+
+    The log of effective changes; rev counts a key's changes, and the number of rows is the revision of the whole queue. status is null
+    where the row went.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        state, out = None, []
+        for uid, seq, action, actor in part.sort_values("seq")[["item_uid", "seq", "action", "actor"]].itertuples(index=False):
+            after = next_state(state, action, actor)
+            if after != state:
+                out.append((uid, seq, action, actor, after[0] if after else None, state[0] if state else None, len(out) + 1))
+            state = after
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in LOG.split(", ")])
+
+    return usable(events).groupBy("item_uid").applyInPandas(run, LOG)
+
+
+def with_batches_spread(events: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Events with those on a whole batch ('reject_batch', 'approve_batch') replaced by one on each item proposed in it before.
+
+    events: item_uid, seq, action, actor and batch_id; proposals: batch_id, item_uid, seq. The fold then leaves alone what is no longer open.
+    """
+    single, whole = events.where("action not like '%_batch'"), events.where("action like '%_batch'")
+    first = proposals.groupBy("batch_id", "item_uid").agg(F.min("seq").alias("proposed"))
+    spread = whole.drop("item_uid").join(first, "batch_id").where("proposed < seq").withColumn("action", F.regexp_replace("action", "_batch$", ""))
+    return single.unionByName(spread.select(*single.columns))
+
+
+def usable(events: DataFrame) -> DataFrame:
+    """Events with a key, a sequence number and an action; a null actor is an empty one."""
+    return events.where("item_uid is not null and seq is not null and action is not null").select("item_uid", "seq", "action", F.coalesce("actor", F.lit("")).alias("actor"))
 
 
 def latest_decision(events: DataFrame, key: str = "group_key") -> DataFrame:
