@@ -1,4 +1,4 @@
-"""Command line: build, regroup, check, search, export and archive listings."""
+"""Command line: scan, build, regroup, check, use, search, stats, groups, export and archive listings."""
 
 from __future__ import annotations
 
@@ -7,19 +7,24 @@ import argparse
 from pyspark.sql import SparkSession
 
 from lumenfold.operators.groups import GroupParams
-from lumenfold.plans import pipeline
+from lumenfold.plans import lookups, pipeline
 from lumenfold.plans import search as Q
-from lumenfold.sources import archive, snapshots
+from lumenfold.sources import archive, csvfile, scan, snapshots
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lumenfold", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"build": ["data", "root", "name"], "regroup": ["root", "old", "new"], "check": ["root", "name"], "use": ["root", "name"], "search": ["root"], "list": ["path"]}.items():
+    for name, args in {"build": ["data", "root", "name"], "regroup": ["root", "old", "new"], "check": ["root", "name"], "use": ["root", "name"], "search": ["root"], "list": ["path"], "scan": ["path", "shards", "cfg"], "build-scanned": ["shards", "root", "name"], "stats": ["root"], "groups": ["root"], "export": ["root", "path"]}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
-        if name in ("build", "regroup"):
+        if name == "build-scanned":
+            s.add_argument("--home-tz", default="UTC")
+        if name == "groups":
+            s.add_argument("--limit", type=int, default=50)
+            s.add_argument("--offset", type=int, default=0)
+        if name in ("build", "build-scanned", "regroup"):
             s.add_argument("--distance", type=int, default=3)
             s.add_argument("--bucket-cap", type=int, help="skip hash buckets of more items, as the reference does at 500; exact without")
         if name == "search":
@@ -36,6 +41,19 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lumenfold").getOrCreate()
     if a.command == "build":
         print(pipeline.build(spark, a.data, a.root, a.name, GroupParams(distance=a.distance, bucket_cap=a.bucket_cap))["tables"])
+    elif a.command == "scan":
+        scan.scan(spark, a.path, a.shards, a.cfg).show(truncate=False)
+    elif a.command == "build-scanned":
+        print(pipeline.build(spark, scan.deliveries(spark, a.shards, a.home_tz), a.root, a.name, GroupParams(distance=a.distance, bucket_cap=a.bucket_cap))["tables"])
+    elif a.command in ("stats", "groups", "export"):
+        name = snapshots.current(spark, a.root)
+        read = lambda t: snapshots.read_table(spark, a.root, name, t)
+        if a.command == "stats":
+            read("stats").orderBy("key").show(10_000, truncate=False)
+        elif a.command == "groups":
+            lookups.group_page(read("dup_groups"), read("dup_members"), read("items").select("item_id", "filename"), a.offset, a.limit).show(1000, truncate=False)
+        else:
+            csvfile.write_csv(read("items").withColumnRenamed("file_size", "size_bytes"), a.path)
     elif a.command == "regroup":
         print(pipeline.regroup(spark, a.root, a.old, a.new, GroupParams(distance=a.distance, bucket_cap=a.bucket_cap))["tables"])
     elif a.command == "check":

@@ -122,13 +122,26 @@ def _cfg(p: GroupParams | None) -> dict:
     return {"distance": p.distance, "bucket_cap": p.bucket_cap}
 
 
-def build(spark: SparkSession, sf_dir: str, root: str, name: str, p: GroupParams | None = None) -> dict:
-    """Read deliveries, build the index and write it as a snapshot; returns the manifest."""
+# Columns that a scan without EXIF reading lacks, by type; all other columns are texts.
+KINDS = {"long": ("member_idx", "file_size", "phash64", "trashed"), "int": ("width", "height", "has_camera_exif", "from_shared_album", "from_partner", "favorited", "archived"), "double": ("exif_lat", "exif_lon", "lap_var", "luma_mean", "luma_std", "frac_dark", "frac_bright", "flat_frac", "lat", "lon"), "binary": ("sha256",)}
+
+
+def completed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with null columns for those it lacks."""
+    kind = {c: k for k, cs in KINDS.items() for c in cs}
+    return df.withColumns({c: F.lit(None).cast(kind.get(c, "string")) for c in columns if c not in df.columns})
+
+
+def build(spark: SparkSession, source: str | dict[str, DataFrame], root: str, name: str, p: GroupParams | None = None) -> dict:
+    """Read deliveries, build the index and write it as a snapshot; returns the manifest.
+
+    source: a folder of Parquet tables, or the tables themselves (see `sources.scan.deliveries`).
+    """
     scratch = Scratch(spark, "build")
-    raw = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    scanned = raw("items_raw")
+    raw = lambda t: source[t] if isinstance(source, dict) else spark.read.parquet(f"{source}/{t}.parquet")
+    scanned = completed(raw("items_raw"), PHOTO)
     photos = scratch.save(latest_values(scanned, "item_id", [*PHOTO, *(c for c in ["sig"] if c in scanned.columns)]), "photos")
-    told = raw("sidecars_raw")
+    told = completed(raw("sidecars_raw"), SIDECAR)
     sidecars = scratch.save(latest_values(told, "sidecar_id", [*SIDECAR, *(c for c in ("lat_exif", "lon_exif") if c in told.columns)]), "sidecars")
     owned = scratch.save(owned_sidecars(photos, sidecars, scratch), "owned")
     items, aliases = library_items(records(photos, sidecars, owned, raw("exports")), sidecars, scratch)

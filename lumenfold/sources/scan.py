@@ -78,32 +78,32 @@ def scan(spark: SparkSession, archives: str, out: str, cfg: str, photos_per_shar
     """
     out = out.rstrip("/")
 
-    def listed(contents: str, names: list[str] | None = None) -> DataFrame:
-        d = read_archives(spark, archives, contents, names=names)
-        return d.withColumn("c", classify(F.col("member"), F.col("file_size"))).select("*", "c.kind", "c.folder", "c.folder_kind", "c.filename", "c.reason").drop("c")
-
-    every = listed("").select("zipkey", "zip_name", "member_idx", F.when(F.col("kind") == "image", ext_of(F.col("filename"))).alias("ext"))
-    plan = plan_shards(every, photos_per_shard).select("zipkey", "zip_name", "member_idx", "shard")
+    told = ["kind", "folder", "folder_kind", "filename", "reason"]
+    c = F.col("c")
+    scratch = Scratch(spark, "scan")
+    # Written before its parts are read, so that the rules are evaluated once.
+    every = scratch.save(read_archives(spark, archives, "").select("zipkey", "zip_name", "member_idx", "member", "file_size", "crc32", classify(F.col("member"), F.col("file_size")).alias("c")), "members")
+    every = every.select("zipkey", "zip_name", "member_idx", "member", "file_size", "crc32", *[c[f].alias(f) for f in told])
+    plan = plan_shards(every.withColumn("ext", F.when(F.col("kind") == "image", ext_of(F.col("filename")))), photos_per_shard).drop("ext")
     if Store(spark, out).exists("shard_info"):
         done = spark.read.parquet(f"{out}/shard_info").where(F.col("cfg") == cfg).select("zipkey", "shard").distinct()
         plan = plan.join(done, ["zipkey", "shard"], "left_anti")
-    plan = Scratch(spark, "scan").save(plan, "plan")
+    plan = scratch.save(plan.withColumns({"cfg": F.lit(cfg), "export_id": export_id(F.col("zip_name"))}), "plan")
     names = [r["zip_name"] for r in plan.select("zip_name").distinct().collect()]  # a name for each archive
     if not names:
-        return plan.select(F.lit(cfg).alias("cfg"), "zipkey", "shard", "zip_name").where("false")
+        return plan.select("cfg", "zipkey", "shard", "zip_name").where("false")
 
     def members(contents: str) -> DataFrame:
-        d = listed(contents, names).join(plan.drop("zip_name"), ["zipkey", "member_idx"])
-        return d.withColumns({"cfg": F.lit(cfg), "export_id": export_id(F.col("zip_name"))})
+        return plan.join(read_archives(spark, archives, contents, names=names).select("zipkey", "member_idx", "content", "sha256", "err"), ["zipkey", "member_idx"])
 
-    keys, bare = [*PLACE, *COMMON, "export_id"], members("")
+    keys, bare = [*PLACE, *COMMON, "export_id"], plan
     tables = {
         "items_raw": _images(members(",".join(PHOTO_EXTS)), keys, decode),
         "sidecars_raw": _sidecars(members("json"), keys),
         "videos_raw": bare.where("kind = 'video'").select(*keys, "folder", "folder_kind", "filename", "file_size"),
         "skipped_raw": bare.where("kind = 'skip'").select(*keys, "reason", "file_size"),
     }
-    shards = plan.select("zipkey", "zip_name", "shard").distinct().withColumns({"cfg": F.lit(cfg), "export_id": export_id(F.col("zip_name"))})
+    shards = plan.select("zipkey", "zip_name", "shard", "cfg", "export_id").distinct()
     for t, df in tables.items():
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{out}/{t}")
         n = spark.read.schema(df.schema).parquet(f"{out}/{t}").where(F.col("cfg") == cfg).groupBy("zipkey", "shard").agg(F.count("*").alias(f"n_{t.removesuffix('_raw')}"))
@@ -145,3 +145,19 @@ def survey(items: DataFrame, sidecars: DataFrame, members: DataFrame) -> DataFra
     rows = lambda df, aggs: df.agg(*[c.alias(k) for k, c in aggs.items()]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("n")) for k in aggs])))
     kinds = members.groupBy(F.concat_ws(":", F.lit("member"), "kind", "reason").alias("key")).agg(F.count("*").alias("n"))
     return rows(sidecars, told).unionByName(rows(items, seen)).unionByName(kinds)
+
+
+def deliveries(spark: SparkSession, shards: str, home_tz: str = "UTC") -> dict[str, DataFrame]:
+    """The tables that a build reads, from scanned shards: items_raw and sidecars_raw with a key told by archive and member, exports and zips.
+
+    A member scanned twice (under two configurations) is delivered twice; the one of the greater configuration counts.
+    """
+    shards = shards.rstrip("/")
+    read = lambda t: spark.read.parquet(f"{shards}/{t}")
+    key = F.xxhash64("zipkey", "member_idx")
+    stamp = F.col("cfg").alias("scanned_at")
+    items = read("items_raw").select("*", key.alias("item_id"), stamp)
+    cars = read("sidecars_raw").select("*", key.alias("sidecar_id"), F.lit(None).cast("long").alias("item_id"), stamp)
+    zips = read("shard_info").groupBy("zipkey").agg(F.min("zip_name").alias("name"), F.min("export_id").alias("export_id"))
+    exports = zips.select("export_id").distinct().withColumn("home_tz", F.lit(home_tz))
+    return {"items_raw": items, "sidecars_raw": cars.withColumn("taken_ts", F.col("taken_ts").cast("string")), "exports": exports, "zips": zips}
