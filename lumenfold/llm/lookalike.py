@@ -2,7 +2,7 @@
 
 Compatibility forms (full width and the like), kinds of blanks and hyphens, and composed or decomposed accents are
 brought to one form, ignorable characters go; superscripts, letter case and accents stay. Then the letters of each
-token form a lattice of their look-alikes in the Latin, Cyrillic and Greek scripts, and a Viterbi search finds its most
+token form a lattice of their look-alikes in the Latin, Cyrillic, Greek, Armenian and Cherokee scripts, and a Viterbi search finds its most
 probable reading under character bigram scores of each script. The lattice depends on what is displayed only, so texts
 that display alike get one reading.
 """
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.session import Scratch
 
-# Letters of the Latin, Cyrillic and Greek scripts that display alike; . where a script has none.
+# Letters that display alike, within Latin (phonetic letters, small capitals) and across scripts. Digits and accents are no letters here.
 LOOKALIKES = """
-A А Α|B В Β|C С .|E Е Ε|G Ԍ .|H Н Η|I І Ι|J Ј .|K К Κ|M М Μ|N . Ν|O О Ο|P Р Ρ|Q Ԛ .|S Ѕ .|T Т Τ|W Ԝ .|X Х Χ|Y Ү Υ|Z . Ζ
-a а .|c с .|d ԁ .|e е .|h һ .|i і .|j ј .|l ӏ .|o о ο|p р ρ|q ԛ .|s ѕ .|v ѵ ν|w ԝ .|x х .|y у .|. Г Γ|. П Π|. Ф Φ|. к κ
+A А Α Ꭺ|B В Β|C С Ϲ Ꮯ|D Ꭰ|E Е Ε Ꭼ|G Ԍ Ꮐ|H Н Η Ꮋ|I І Ι Ӏ|J Ј Ϳ Ꭻ|K К Κ Ꮶ|L Լ Ꮮ|M М Μ Ꮇ|N Ν|O О Ο Օ|P Р Ρ Ꮲ|Q Ԛ|R Ꭱ|S Ѕ Տ Ꮪ|T Т Τ Ꭲ|U Ս|V Ꮩ|W Ԝ Ꮃ|X Х Χ|Y Ү Υ|Z Ζ Ꮓ
+a а ɑ|c с ϲ ᴄ|d ԁ|e е|g ɡ ց|h һ հ|i і|j ј ϳ յ|l ӏ|n ո|o о ο օ ᴏ|p р ρ|q ԛ զ|s ѕ ꜱ|u ս|v ѵ ν ᴠ|w ԝ ᴡ|x х|y у|z ᴢ|Г Γ|П Π|Ф Φ|к κ
 """
 HYPHENS = "‐‑‒–−﹣－⁃"
 # Compatibility decompositions that keep what is displayed; super, sub, circle, square, fraction and font do not.
@@ -32,7 +32,7 @@ KEEPING = ("<wide>", "<narrow>", "<noBreak>", "<small>", "<vertical>", "<compat>
 IGNORABLE = "͏ᅟᅠ឴឵ㅤﾠ⠀"
 MARK = "̀-ͯ"
 TOKEN = re.compile(rf"[^\W\d_][^\W\d_{MARK}]*(?:[{MARK}]+[^\W\d_]*)*")
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
 MIX_COST = 12.0  # log score of a change of script within a token
 
 
@@ -65,11 +65,17 @@ def plain(text: str) -> str:
     return text if text.isascii() and text.isprintable() else unicodedata.normalize("NFD", text.translate(_PLAIN))
 
 
+def script(ch: str) -> int | None:
+    """The number of a letter's script in SCRIPTS; None for marks and other scripts."""
+    name = unicodedata.name(ch, "").split(" ")[0]
+    return SCRIPTS.index(name) if name in SCRIPTS else None
+
+
 def _classes() -> dict[str, tuple[tuple[str, int], ...]]:
     """Letter to its look-alikes as (letter, script)."""
     out = {}
     for group in re.split(r"[|\n]", LOOKALIKES.strip()):
-        members = tuple((c, s) for s, c in enumerate(group.split()) if c != ".")
+        members = tuple((c, script(c)) for c in group.split())
         out.update({c: members for c, _ in members})
     return out
 
@@ -77,14 +83,8 @@ def _classes() -> dict[str, tuple[tuple[str, int], ...]]:
 CLASSES = _classes()
 
 
-def script(ch: str) -> int | None:
-    """0 Latin, 1 Cyrillic, 2 Greek; None for marks and other scripts."""
-    name = unicodedata.name(ch, "").split(" ")[0]
-    return SCRIPTS.index(name) if name in SCRIPTS else None
-
-
 def bigrams(texts: Iterable[str | None]) -> Counter:
-    """Counts of neighbouring letters, ^ and $ for a token's ends, of tokens written in one of the three scripts."""
+    """Counts of neighbouring letters, ^ and $ for a token's ends, of tokens written in one script."""
     counts: Counter = Counter()
     tokens: Counter = Counter()
     for text in texts:
@@ -112,7 +112,7 @@ class Reader:
         for (a, b), n in counts.items():
             if a == "^":
                 starts[script(b)] += n
-        self.prior = [math.log((starts[s] + 1) / (sum(starts.values()) + 3)) for s in range(3)]
+        self.prior = [math.log((starts[s] + 1) / (sum(starts.values()) + len(SCRIPTS))) for s in range(len(SCRIPTS))]
         self.cache: dict[str, str] = {}
 
     def _log(self, a: str, b: str) -> float:
@@ -121,7 +121,7 @@ class Reader:
         return math.log((max(n - 0.5, 0) + (0.5 * kinds + 0.5) / 64) / (all_ + 0.5))
 
     def token(self, token: str) -> str:
-        """Viterbi over the token's look-alike lattice; equal scores go to Latin, then Cyrillic, then Greek."""
+        """Viterbi over the token's look-alike lattice; equal scores go to the first script."""
         if (known := self.cache.get(token)) is not None:
             return known
         # A state is (last letter, its script); marks and letters of other scripts pass through.
@@ -158,7 +158,7 @@ class Reader:
 def letter_counts(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
     """Bigram counts over all rows of the columns.
 
-    They come to the driver: at most the square of the letters of three scripts, whatever the number of rows.
+    They come to the driver: at most the square of the letters of some scripts, whatever the number of rows.
     """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,7 +57,8 @@ def _parts(max_gap: int, max_bits: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, made, first, held = TaskContext.get().partitionId(), 0, True, None
+        pid, made, first = TaskContext.get().partitionId(), 0, True
+        held: list[pa.RecordBatch] = []
 
         def emit(t: pa.Table, done: bool) -> pa.RecordBatch:
             nonlocal made, first
@@ -76,20 +77,27 @@ def _parts(max_gap: int, max_bits: int):
             made, first = made + n, False
             return out
 
+        def broken(batch: pa.RecordBatch) -> np.ndarray:
+            """Places of the batch at which a new run begins, each row looked at once; the row before the batch is the last one held."""
+            t = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
+            time, code = t.column("t").to_numpy(), t.column("hash").to_numpy()
+            e = [t.column(c).to_numpy(zero_copy_only=False) for c in ("e1", "e2")]
+            at = np.flatnonzero((e[0][1:] != e[0][:-1]) | (e[1][1:] != e[1][:-1]) | (time[1:] - time[:-1] > max_gap) | (_bits(code[1:].copy(), code[:-1].copy()) > max_bits))
+            return at if held else at + 1
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = pa.Table.from_batches([batch])
-            held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
-            time, code = held.column("t").to_numpy(), held.column("hash").to_numpy()
-            e = [held.column(c).to_numpy(zero_copy_only=False) for c in ("e1", "e2")]
-            breaks = np.flatnonzero((e[0][1:] != e[0][:-1]) | (e[1][1:] != e[1][:-1]) | (time[1:] - time[:-1] > max_gap) | (_bits(code[1:].copy(), code[:-1].copy()) > max_bits))
-            if len(breaks):
-                cut = int(breaks[-1]) + 1
-                yield emit(held.slice(0, cut), False)
-                held = held.slice(cut)
-        if held is not None:
-            yield emit(held, True)
+            at = broken(batch)
+            if not len(at):
+                held.append(batch)
+                continue
+            cut = int(at[-1])
+            head = [*held, batch.slice(0, cut)] if cut else held
+            yield emit(pa.Table.from_batches(head).combine_chunks(), False)
+            held = [batch.slice(cut)]
+        if held:
+            yield emit(pa.Table.from_batches(held).combine_chunks(), True)
 
     return run
 

@@ -184,3 +184,17 @@ def test_ends_are_read_to_their_boundary():
     long = "word " * 400
     tokens, start = T._last_unit("First line\n" + long.strip())
     assert len(tokens) - start == 400
+
+
+@pytest.mark.parametrize(("shown", "plain_"), [("Ꮲhоtoѕ", "Photos"), ("ɡɑrdеn", "garden"), ("ᴏcеɑn", "ocean"), ("ѕեаr", None)])
+def test_letters_of_more_scripts(shown, plain_):
+    reader = Reader(bigrams(["Photos", "garden", "ocean", "star"] * 5))
+    assert (reader.text(shown) == plain_) if plain_ else reader.text(shown) != "star"
+
+
+def test_classes_are_disjoint():
+    from lumenfold.llm import lookalike as L
+
+    groups = [g.split() for line in L.LOOKALIKES.strip().splitlines() for g in line.split("|")]
+    letters = [c for g in groups for c in g]
+    assert len(letters) == len(set(letters)) and all(L.script(c) is not None for c in letters)
