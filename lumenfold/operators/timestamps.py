@@ -121,7 +121,7 @@ def parse_value(value: Column) -> Column:
     v = _tidy(value)
     for pattern, to in _NOTATIONS:
         v = F.regexp_replace(v, pattern, to)
-    return F.when(v.startswith("@"), F.split(F.substring(v, 2, 1000), r"\|", 8)).when(v.rlike(_UNIX), F.array(v))
+    return F.when(v.startswith("@"), F.split(F.substring(v, 2, 2**31 - 1), r"\|", 8)).when(v.rlike(_UNIX), F.array(v))
 
 
 def with_instants(df: DataFrame, value: str, home_tz: str, offset: str | None = None, out: str = "epoch_s", first: int = FIRST_YEAR, last: int = LAST_YEAR, zones: list[str] | None = None) -> DataFrame:

@@ -160,5 +160,9 @@ def regroup(spark: SparkSession, root: str, old: str, new: str, p: GroupParams)
     """A new snapshot with the analysis made anew from the items of an old one."""
     scratch = Scratch(spark, "regroup")
     items = read_table(spark, root, old, "items").drop("shot", "is_graphic")
-    keep = {t: read_table(spark, root, old, t) for t in ("item_aliases", "videos_by_day", "stats", "zips")}
-    return write_snapshot(spark, root, new, {**analyse(items, scratch, p), **keep}, _cfg(p))
+    keep = {t: read_table(spark, root, old, t) for t in ("item_aliases", "videos_by_day", "zips")}
+    tables = analyse(items, scratch, p)
+    now = library_stats(tables["items"], tables["dup_groups"], tables["scores"], keep["videos_by_day"])
+    # What a new analysis doesn't touch stays as it was counted.
+    before = read_table(spark, root, old, "stats").join(now.select("key"), "key", "left_anti").where("key not like 'groups:%' and key not like 'category:%'")
+    return write_snapshot(spark, root, new, {**tables, **keep, "stats": now.unionByName(before.select("key", "value"))}, _cfg(p))

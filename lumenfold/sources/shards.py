@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ordering import numbered
+from lumenfold.session import Scratch
+
 
 def load_shards(spark: SparkSession, path: str, tables: tuple[str, ...] = ("items_raw", "sidecars_raw", "videos_raw", "skipped_raw")) -> dict[str, DataFrame]:
     """The union of all shards' tables, partitioned by cfg, zipkey and shard; raises if they don't belong together."""
@@ -30,14 +33,14 @@ def without_repeated_names(df: DataFrame, name: str) -> DataFrame:
     return df.join(once, name, "left_semi")
 
 
-def extend_plan(plan: DataFrame, found: DataFrame) -> DataFrame:
+def extend_plan(plan: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """The shard plan with the archives found: ids stay, `present` follows what is there, new archives are appended."""
     here = found.select("zipkey").distinct().withColumn("here", F.lit(True))
     old = plan.drop("present").join(here, "zipkey", "left").withColumn("present", F.coalesce("here", F.lit(False))).drop("here")
     last = plan.agg(F.coalesce(F.max("shard_id"), F.lit(-1)).alias("last")).first()["last"]
     new = found.join(plan.select("zipkey").distinct(), "zipkey", "left_anti")
-    numbered = new.withColumn("shard_id", F.row_number().over(Window.orderBy("zipkey", "shard")) + last).withColumn("present", F.lit(True))
-    return old.unionByName(numbered.select(*old.columns))
+    added = numbered(new, ["zipkey", "shard"], "shard_id", scratch).withColumn("shard_id", (F.col("shard_id") + last).cast(plan.schema["shard_id"].dataType)).withColumn("present", F.lit(True))
+    return old.unionByName(added.select(*old.columns))
 
 
 def pending(plan: DataFrame, done: DataFrame, key: str = "shard_id", size: str = "size") -> DataFrame:

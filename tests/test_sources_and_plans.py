@@ -55,11 +55,11 @@ def test_unsafe_paths(bad):
         snapshots.safe_path(bad)
 
 
-def test_shards(spark):
+def test_shards(spark, scratch):
     info = spark.createDataFrame([("z", "a.zip", 0, "c"), ("z", "b.zip", 0, "c"), ("y", "c.zip", 1, "d"), (None, "x", 1, "c")], "zipkey string, zip_name string, shard int, cfg string")
     assert {r.problem for r in shards.shard_problems(info).collect()} == {"missing key", "duplicate shard", "two names", "mixed configurations"}
     plan = spark.createDataFrame([(0, "a", 0, True), (1, "b", 0, True)], "shard_id int, zipkey string, shard int, present boolean")
-    new = shards.extend_plan(plan, spark.createDataFrame([("b", 0), ("c", 0)], "zipkey string, shard int"))
+    new = shards.extend_plan(plan, spark.createDataFrame([("b", 0), ("c", 0)], "zipkey string, shard int"), scratch)
     assert sorted((r.shard_id, r.zipkey, r.present) for r in new.collect()) == [(0, "a", False), (1, "b", True), (2, "c", True)]
     done = spark.createDataFrame([(1, 0), (2, 5)], "shard_id int, size long")
     assert [r.shard_id for r in shards.pending(new, done).collect()] == [1]
