@@ -61,11 +61,11 @@ def sidecar_fields(df: DataFrame, doc: str = "doc") -> DataFrame:
 
     flag = lambda path: F.when(get(path, "boolean"), 1).otherwise(0)
     present = lambda path: F.when(get(path, "variant").isNotNull(), 1).otherwise(0)
-    written = lambda c: F.when(c.rlike(r"\S"), c)
+    written = lambda c: F.when(c.rlike(r"[^\s\p{Z}]"), c)
     people = F.slice(F.filter(F.transform(get("$.people", "array<struct<name string>>"), lambda p: truncate_utf8(written(p["name"]), PEOPLE[1])), lambda x: x.isNotNull()), 1, PEOPLE[0])
     origin = "$.googlePhotosOrigin"
     out = {
-        "title": truncate_utf8(F.trim(written(as_text("$.title"))), LIMITS["title"]),
+        "title": truncate_utf8(F.regexp_replace(written(as_text("$.title")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), LIMITS["title"]),
         "taken_ts": when("$.photoTakenTime.timestamp"),
         "creation_ts": when("$.creationTime.timestamp"),
         "geo": geo("geoData"),

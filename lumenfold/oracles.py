@@ -350,3 +350,19 @@ ORACLES["queue_log"] = FOLD[: FOLD.index("r as (select")] + """r as (select item
 ORACLES["batch_decisions"] = """with p as (select event_type as batch_id, cast(user_id as varchar) as item_uid, min(event_id) as proposed from events where event_id % 5 = 0 group by 1, 2)
 select cast(user_id as varchar) as item_uid, event_id as seq, 'approve' as action, event_type as batch_id from events where event_id % 997 <> 0 and event_id % 5 = 1
 union all select p.item_uid, e.event_id, 'reject', p.batch_id from events e join p on p.batch_id = e.event_type and proposed < e.event_id where e.event_id % 997 = 0"""
+_cut100 = "left(text, list_max(list_filter(range(0, 101), lambda i: octet_length(encode(left(text, i))) <= 100)))"
+ORACLES["text_forms"] = f"""select doc_id, replace(lower(nfc_normalize(text)), 'ß', 'ss') as folded, case when octet_length(encode(text)) <= 100 then text else {_cut100} end as bytes100, case when length({SAFE}) between 3 and 300 then {SAFE} end as reason,
+ coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 32), ''), 'client') as slug, strftime(epoch_ms((1700000000 + doc_id * 86400) * 1000) + interval 30 day, '%Y-%m-%d') as until, url_encode(left(text, 50)) as quoted from documents where text is not null"""
+_geo = "lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0)"
+_bare = "nullif(regexp_replace(title, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '')"
+ORACLES["sidecar_documents"] = f"""select sidecar_id, {_bare} as title, {unix_sql('taken_ts')} as taken_ts, {unix_sql('creation_ts')} as creation_ts, case when {_geo} then lat end as lat, case when {_geo} then lon end as lon, case when {_geo} then alt end as alt,
+ case when trim(description) <> '' then description end as description, case when trim(device_type) <> '' then device_type end as device_type, cast(coalesce(from_partner = 1, false) as integer) as from_partner, cast(coalesce(favorited = 1, false) as integer) as favorited, cast(coalesce(trashed = 1, false) as integer) as trashed, '' as err
+ from {sidecars('title', 'taken_ts', 'creation_ts', 'lat', 'lon', 'alt', 'description', 'device_type', 'favorited', 'trashed', 'from_partner')}"""
+ORACLES["search_scored"] = f"with ix as ({INDEX} select * from ix), ru as ({MEASURED} select item_id, max(score) as score from rules group by 1) select ix.item_id, local_date, score from ix join ru on ru.item_id = ix.item_id where score >= 0.6 and local_date <= '2019-12-31' and not (lat is not null and lon is not null) order by score desc, local_date, local_time, ix.item_id limit 100"
+ORACLES["search_total"] = f"{INDEX}, t as (select count(*) as total from ix where contains(lower(filename), 'img') and year = 2018) select total, case when total > 10 then 10 end as next_offset from t"
+ORACLES["search_group"] = f"with {DUP} select item_id from d where group_id = (select min(group_id) from d)"
+ORACLES["junk_pages"] = f"with ix as ({INDEX} select * from ix), ru as ({MEASURED} select item_id, score from rules where category = 'tiny' and score >= 0.5) select ix.item_id, score from ix join ru on ru.item_id = ix.item_id order by score desc, local_date is null, local_date, local_time, ix.item_id limit 20 offset 5"
+ORACLES["queue_counts"] = f"select count(*) filter (where status = 'proposed') as proposed, count(*) filter (where status = 'approved') as approved, count(*) filter (where status = 'rejected') as rejected, count(*) filter (where status = 'deleted') as deleted from ({FOLD})"
+ORACLES["queue_rows"] = f"with ix as ({INDEX} select * from ix), q as (select distinct item_id from {sidecars('item_id')} where item_id is not null) select 'x:' || q.item_id as item_uid, ix.item_id, local_date from q left join ix on ix.item_id = q.item_id"
+ORACLES["extended_plan"] = "with p as (select zip_id, zipkey from zips where zip_id % 3 > 0), n as (select zipkey, row_number() over (order by zipkey) as k from zips where zip_id > 1 and zip_id % 3 = 0) select zip_id as shard_id, zipkey, cast(zip_id > 1 as integer) as present from p union all select k + (select max(zip_id) from p), zipkey, 1 from n"
+ORACLES["snapshot_round_trip"] = "select item_id, item_uid, year from items"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import bits, names, text
-from lumenfold.functions.documents import position, unix_field
+from lumenfold.functions.documents import position, sidecar_fields, unix_field
 from lumenfold.functions.localtime import LOCAL, exif_wall, reset_hour, subsec, utc_to_wall, wall_date, with_local_fields
 from lumenfold.operators import bursts as B
 from lumenfold.operators import candidates as C
@@ -23,6 +23,7 @@ from lumenfold.plans import lookups, shaping
 from lumenfold.plans import search as Q
 from lumenfold.session import Scratch, table
 from lumenfold.sources import shards as H
+from lumenfold.sources import snapshots
 from lumenfold.sources.archive import plan_shards as with_shards
 from lumenfold.sources.scan import survey
 from lumenfold.streaming import decisions as D
@@ -108,6 +109,25 @@ def worker_split(spark, d):
     return H.split_work(table(spark, d, "zips").select(F.col("zip_id").alias("shard_id")), 4).groupBy("worker").agg(F.count("*").alias("n"))
 
 
+@query
+def extended_plan(spark, d):
+    """A plan of two thirds of the archives, extended by all of them but the first."""
+    z = table(spark, d, "zips").select("zip_id", "zipkey", F.lit(0).alias("shard"))
+    plan = z.where("zip_id % 3 > 0").select(F.col("zip_id").alias("shard_id"), "zipkey", "shard", F.lit(True).alias("present"))
+    return H.extend_plan(plan, z.where("zip_id > 1").select("zipkey", "shard"), Scratch(spark, "plan")).select("shard_id", "zipkey", F.col("present").cast("int").alias("present"))
+
+
+@query
+def snapshot_round_trip(spark, d):
+    """A table written as a snapshot, checked against its manifest, made current and read back."""
+    root = Scratch(spark, "snapshot").root
+    snapshots.write_snapshot(spark, root, "one", {"items": table(spark, d, "items")}, {"distance": 3})
+    if not snapshots.check_snapshot(spark, root, "one").isEmpty():
+        raise ValueError("the snapshot differs from its manifest")
+    snapshots.set_current(spark, root, "one")
+    return snapshots.read_table(spark, root, snapshots.current(spark, root), "items").select("item_id", "item_uid", "year")
+
+
 # Texts and documents
 
 
@@ -147,6 +167,29 @@ def image_tokens(spark, d):
     return photos(spark, d, "width", "height").where("width > 0 and height > 0").select("item_id", text.image_tokens(F.col("width"), F.col("height")).alias("tokens"))
 
 
+@query
+def text_forms(spark, d):
+    """The smaller text functions over whole texts."""
+    t = F.col("text")
+    docs = table(spark, d, "documents").where("text is not null")
+    day = text.recoverable_until(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 86_400)).cast("string")
+    return docs.select("doc_id", text.casefold(t).alias("folded"), text.truncate_utf8(t, 100).alias("bytes100"), text.reason(t).alias("reason"), text.slug(t).alias("slug"), day.alias("until"), text.url_quote(F.left(t, F.lit(50))).alias("quoted"))
+
+
+@query
+def sidecar_documents(spark, d):
+    """Sidecars written as JSON documents and read back."""
+    s = sidecars(spark, d, "title", "taken_ts", "creation_ts", "lat", "lon", "alt", "description", "device_type", "favorited", "trashed", "from_partner")
+    geo = F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("alt").alias("altitude"))
+    at = lambda c: F.struct(F.col(c).alias("timestamp"))
+    origin = F.struct(F.struct(F.col("device_type").alias("deviceType")).alias("mobileUpload"), F.when(F.col("from_partner") == 1, F.struct(F.lit(1).alias("x"))).alias("fromPartnerSharing"))
+    yes = lambda c: F.coalesce(F.col(c) == 1, F.lit(False)).alias(c)
+    doc = F.to_json(F.struct("title", at("taken_ts").alias("photoTakenTime"), at("creation_ts").alias("creationTime"), geo.alias("geoData"), "description", origin.alias("googlePhotosOrigin"), yes("favorited"), yes("trashed")))
+    docs = Scratch(spark, "docs").save(s.select("sidecar_id", doc.alias("doc")))
+    f = sidecar_fields(docs)
+    return f.select("sidecar_id", "title", "taken_ts", "creation_ts", "geo.lat", "geo.lon", "geo.alt", "description", "device_type", "from_partner", "favorited", "trashed", F.coalesce("err", F.lit("")).alias("err"))
+
+
 # Local time
 
 
@@ -484,6 +527,36 @@ def search_page(spark, d):
     return page.select("item_id", "local_date", "score")
 
 
+@query
+def search_scored(spark, d):
+    """Items without a position that have any score from 0.6 on, up to a day, by score: the limit is the feature."""
+    p = Q.SearchParams(category="any", min_score=0.6, date_to="2019-12-31", has_gps=False, sort="score", limit=100)
+    page, _ = Q.search(_index(spark, d), p, S.category_scores(_measured(spark, d)).select("item_id", "category", "score"))
+    return page.select("item_id", "local_date", "score")
+
+
+@query
+def search_total(spark, d):
+    """How many items a search finds, and where its next page begins."""
+    _, total = Q.search(_index(spark, d), Q.SearchParams(filename_contains="img", year=2018, limit=10), S.category_scores(_measured(spark, d)).select("item_id", "category", "score"))
+    return total
+
+
+@query
+def search_group(spark, d):
+    """The members of one group of equal bytes, by its id: that of the smallest group."""
+    members = Scratch(spark, "group").save(_dup_members(spark, d))
+    first = members.agg(F.min("group_id").alias("g")).first()["g"]  # one number
+    p = Q.SearchParams(group=f"dup:{first}").validate()
+    return Q.filtered(_index(spark, d), p, dup_members=members).select("item_id")
+
+
+@query
+def junk_pages(spark, d):
+    """The second page of small pictures: the limit is the feature."""
+    return lookups.junk_page(S.category_scores(_measured(spark, d)), _index(spark, d), "tiny", 0.5, 5, 20).select("item_id", "score")
+
+
 @query
 def vector_topk(spark, d):
     """The 20 vectors most similar to a fixed direction: a top-k report."""
@@ -671,6 +744,19 @@ def queue_fold(spark, d):
     return D.fold(_decisions(table(spark, d, "events")))
 
 
+@query
+def queue_counts(spark, d):
+    """How many rows of each status the folded queue has."""
+    return D.counts(D.fold(_decisions(table(spark, d, "events"))))
+
+
+@query
+def queue_rows(spark, d):
+    """Queue rows with their items, those without one too."""
+    q = sidecars(spark, d, "item_id").where("item_id is not null").select(F.concat(F.lit("x:"), F.col("item_id").cast("string")).alias("item_uid")).distinct()
+    return lookups.queue_rows(q, _index(spark, d)).select("item_uid", "item_id", "local_date")
+
+
 @query
 def queue_log(spark, d):
     """Every decision that changed a row, with its status before and after and its revision."""
