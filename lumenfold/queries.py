@@ -329,8 +329,8 @@ def _checked(spark, d, label):
     """Candidate pairs of representatives of (hash, bytes, sizes, capture) with the check that rejects each."""
     scratch = Scratch(spark, label)
     looks = ["phash64", "width", "height", "capture_s", "subsec", "sha256"]
-    p = scratch.save(_eligible(spark, d).groupBy(*looks).agg(F.min("item_id").alias("item_id")).withColumn("sig", signature_of_hash(F.col("phash64"))), "looks")
-    edges = G.verified_edges(C.exact_candidates(p, scratch, 3), p, G.GroupParams())
+    p = scratch.save(_eligible(spark, d).groupBy(*looks).agg(F.min("item_id").alias("item_id")), "looks")
+    edges = G.verified_edges(C.exact_candidates(p, scratch, 3), p, p.select("item_id", signature_of_hash(F.col("phash64")).alias("sig")), scratch, G.GroupParams())
     return scratch.save(edges.select("a", "b", F.coalesce("rejected", F.lit("none")).alias("rejected")), "checked")
 
 
@@ -360,13 +360,15 @@ def _groupable(spark, d):
     at = F.coalesce("sc_at", position(F.col("exif_lat"), F.col("exif_lon")))
     album = F.when(F.col("folder_kind") == "album", F.array("folder")).otherwise(F.array().cast("array<string>"))
     p = p.withColumns({"lat": at["lat"], "lon": at["lon"], "favorited": F.coalesce("favorited", F.lit(0)), "albums_n": F.size(F.array_union(album, F.coalesce("url_albums", F.array().cast("array<string>"))))})
-    return p.withColumns({"item_uid": F.col("item_id").cast("string"), "sig": signature_of_hash(F.col("phash64")), "is_graphic": F.coalesce(F.col("phash64") == 0, F.lit(False)), "capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec"))})
+    return p.withColumns({"item_uid": F.col("item_id").cast("string"), "is_graphic": F.coalesce(F.col("phash64") == 0, F.lit(False)), "capture_s": exif_wall(F.col("exif_dt"), MAX_YEAR), "subsec": subsec(F.col("exif_subsec"))})
 
 
 @query
 def seed_groups(spark, d):
     """Groups in which every member matches its seed; signatures are derived from the hashes, as the test tables have none."""
-    found = G.find_groups(_groupable(spark, d), Scratch(spark, "seed"))
+    scratch = Scratch(spark, "seed")
+    items = scratch.save(_groupable(spark, d), "groupable").withColumn("sig", signature_of_hash(F.col("phash64")))
+    found = G.find_groups(items, scratch)
     return found["members"].select("seed_item_id", "item_id", "place", "dist", "is_keeper")
 
 
