@@ -3,8 +3,8 @@
 `hamming_pairs` (of the core) finds all pairs of distinct 64-bit hashes within a small distance; `match_edges` adds the stars of
 exact copies; `components` gives every linked record one group identifier. The components come by stripping
 vertices of degree one and compressing chains of degree-two vertices by list ranking, in turn, until little more
-goes; the reduced core is solved by hooking and contraction; then the labels return to the removed vertices in
-reverse order. Every step is a join or an aggregation of whole tables; each intermediate table is written to the
+goes; the reduced core is solved by hooking and contraction; then the labels return to the removed vertices by
+doubling their pointers to what was removed later. Every step is a join or an aggregation of whole tables; each intermediate table is written to the
 shared folder, so a lost executor costs no more than a step.
 """
 
